@@ -5,11 +5,12 @@ Every document becomes the set of its distinct word shingles (64-bit hashes). Ea
 signature values, its minimum and its maximum, so a signature of 2p values costs p
 evaluations. Bands of `rows` values of different permutations are the candidate keys.
 
-Exact copies of a set are one node. In a bucket of candidates all members are compared with
-one hub; after that only members that lie outside the bucket's largest component become hubs
-in turn, until no two members of different components are left uncompared. So no bucket emits
-all of its pairs, no bucket is capped, and no link between different texts is lost. Every
-candidate is confirmed on the full sets.
+Exact copies of a set are one node. First every member of a bucket is compared with the bucket's hub, the member that
+shares most buckets with others; in a group of copies this joins nearly all. What buckets tie together is a cluster; in
+each cluster the nodes outside its largest component are compared with all nodes of other components, block by block:
+a task holds two blocks of bounded size, screens pairs by the signatures and confirms them on the full
+sets. No pairs are emitted but confirmed links, and at most as many as join the nodes of the task; no
+bucket is capped, and no link between different texts is lost.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.llm.common import connected_components, drop_scratch, materialize, table
 
@@ -31,10 +32,10 @@ from tidemark.llm.common import connected_components, drop_scratch, materialize,
 class MinMaxConfig:
     shingle_words: int = 5
     threshold_percent: int = 80
-    permutations: int = 48
-    rows: int = 4
-    small_bucket: int = 64
-    hubs_per_round: int = 8
+    permutations: int = 80
+    rows: int = 5
+    screen_deviations: float = 4.3  # pairs whose signatures agree so much less than at the threshold aren't confirmed
+    block_shingles: int = 150_000  # of the texts that a task compares with each other
     seed: int = 20240229
 
 
@@ -86,8 +87,11 @@ def _permutations(c: MinMaxConfig) -> tuple[np.ndarray, np.ndarray]:
     return draw() * np.uint64(2) + np.uint64(1), draw()
 
 
-def band_keys(hashes: np.ndarray, c: MinMaxConfig, drawn: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """One key per band. A band takes its values from different permutations; minima and maxima are grouped differently."""
+def signature(hashes: np.ndarray, c: MinMaxConfig, drawn: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, bytes]:
+    """One key per band, and a byte per signature value.
+
+    A band takes its values from different permutations; minima and maxima are grouped differently.
+    """
     mul, xor = drawn
     low, high = np.full(c.permutations, 2**64 - 1, np.uint64), np.zeros(c.permutations, np.uint64)
     for at in range(0, len(hashes), 8192):
@@ -98,30 +102,39 @@ def band_keys(hashes: np.ndarray, c: MinMaxConfig, drawn: tuple[np.ndarray, np.n
     key = np.arange(1, len(values) + 1, dtype=np.uint64)
     for i in range(c.rows):
         key = _mixed(key * _MIX + values[:, i])
-    return key.view(np.int64)
+    return key.view(np.int64), _mixed(np.concatenate([low, high]) * _MIX).astype(np.uint8).tobytes()
+
+
+def screen(a: np.ndarray, b: np.ndarray, c: MinMaxConfig) -> np.ndarray:
+    """Which signatures (rows of bytes) of a and b agree enough for the threshold, give or take some deviations."""
+    t = c.threshold_percent / 100
+    least = 2 * c.permutations * t - c.screen_deviations * np.sqrt(2 * c.permutations * t * (1 - t))
+    return np.stack([(row[None, :] == b).sum(axis=1) for row in a]) >= least if len(a) else np.zeros((0, len(b)), bool)
 
 
 def signatures(docs: DataFrame, c: MinMaxConfig, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, digest, bands) of every row, from whole texts."""
+    """(id, n, digest, bands, sketch) of every row, from whole texts."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drawn = _permutations(c)
         for batch in batches:
-            n, digest, flat = [], [], []
+            n, digest, flat, sketch = [], [], [], []
             offsets = [0]
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, c.shingle_words)
                 n.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                keys, sketched = signature(s, c, drawn) if len(s) else (None, None)
+                sketch.append(sketched)
                 if len(s):
-                    flat.append(band_keys(s, c, drawn))
+                    flat.append(keys)
                 offsets.append(offsets[-1] + (len(flat[-1]) if len(s) else 0))
             keys = np.concatenate(flat) if flat else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys, pa.int64()))],
-                names=["id", "n", "digest", "bands"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys, pa.int64())), pa.array(sketch, pa.binary())],
+                names=["id", "n", "digest", "bands", "sketch"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(sign, "id long, n long, digest binary, bands array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(sign, "id long, n long, digest binary, bands array<long>, sketch binary")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, c: MinMaxConfig) -> DataFrame:
@@ -143,6 +156,72 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, c: MinMaxConfig) -> DataFrame
     return both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long").distinct()
 
 
+def _screened(sides: DataFrame, c: MinMaxConfig) -> DataFrame:
+    """The pairs of (a, b, sketch_a, sketch_b) whose signatures agree enough."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+            keep = np.concatenate([screen(x[None], y[None], c)[0] for x, y in zip(left, right, strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], names=["a", "b"])
+
+    return sides.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+
+
+def _find(parent: dict[int, int], x: int) -> int:
+    while parent.setdefault(x, x) != x:
+        parent[x] = parent[parent[x]]
+        x = parent[x]
+    return x
+
+
+def block_links(nodes: list[int], comps: list[int], sketches: list[bytes], texts: list[str], outside: list[bool], c: MinMaxConfig) -> list[tuple[int, int]]:
+    """Confirmed links that join the components of a task's nodes: rows marked outside are compared with the others."""
+    parent: dict[int, int] = {}
+    sets: dict[int, np.ndarray] = {}
+    links = []
+    rows, others = [i for i, x in enumerate(outside) if x], [i for i, x in enumerate(outside) if not x]
+    matrix = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
+    for i, hits in zip(rows, screen(matrix[rows], matrix[others], c), strict=True):
+        for j in (others[k] for k in np.flatnonzero(hits)):
+            x, y = _find(parent, comps[i]), _find(parent, comps[j])
+            if x == y:
+                continue
+            for k in (i, j):
+                if k not in sets:
+                    sets[k] = shingle_set(texts[k], c.shingle_words)
+            if linked(sets[i], sets[j], c.threshold_percent):
+                parent[max(x, y)] = min(x, y)
+                links.append((nodes[i], nodes[j]))
+    return links
+
+
+def _crossing_links(placed: DataFrame, texts: DataFrame, c: MinMaxConfig) -> DataFrame:
+    """Links between components of the same cluster, of (cluster, id, n, comp, sketch).
+
+    Nodes outside the largest component (role 0) meet all nodes (role 1) in pairs of blocks. Blocks are dealt by hash;
+    their number follows the shingles in the cluster, so what a task holds is bounded by two blocks and the longest text.
+    """
+    sized = placed.groupBy("cluster", "comp").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
+    open_ = sized.groupBy("cluster").agg(F.count("*").alias("comps"), F.sum("n").alias("all_n"), F.max_by("comp", F.struct("size", -F.col("comp"))).alias("main"), F.max_by("n", F.struct("size", -F.col("comp"))).alias("main_n")).where("comps > 1")
+    count = lambda total: F.ceil(total / c.block_shingles).cast("int")
+    cut = open_.select("cluster", "main", count(F.col("all_n")).alias("all_blocks"), count(F.col("all_n") - F.col("main_n")).alias("out_blocks"))
+    rows = placed.join(cut, "cluster")
+    deal = lambda blocks: F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    outer = rows.where("comp <> main").select("cluster", "id", "comp", "sketch", deal("out_blocks").alias("left"), every("all_blocks").alias("right"), F.lit(True).alias("outside"))
+    inner = rows.select("cluster", "id", "comp", "sketch", deal("all_blocks").alias("right"), every("out_blocks").alias("left"), F.lit(False).alias("outside"))
+    dealt = outer.unionByName(inner).join(texts, "id")
+
+    def compare(block: pd.DataFrame) -> pd.DataFrame:
+        links = block_links(*(block[x].tolist() for x in ("id", "comp", "sketch", "text", "outside")), c)
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    found = dealt.groupBy("cluster", "left", "right").applyInPandas(compare, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, config: MinMaxConfig = MinMaxConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs.
 
@@ -155,44 +234,29 @@ def near_duplicates(docs: DataFrame, config: MinMaxConfig = MinMaxConfig(), id_c
     c = config
     signed = materialize(signatures(docs, c, id_col, text_col), "minmax-signed")
     named = signed.where("n > 0 and id is not null")
-    nodes = materialize(named.groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")), "minmax-nodes")
-    banded = nodes.select(F.explode("bands").alias("key"), "node", "n")
-    hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.min_by("n", "node").alias("hub_n")).where("hub < top").drop("top")
-    members = materialize(banded.join(hubs, "key"), "minmax-members")
-    needed = members.select(F.col("node").alias("id")).distinct()
-    texts = materialize(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(needed, "id"), "minmax-texts")
-
-    def near_size(x: str, y: str) -> F.Column:
-        return 100 * F.least(x, y) >= c.threshold_percent * F.greatest(x, y)
-
-    pairs = members.where(F.col("node") != F.col("hub")).where(near_size("n", "hub_n")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = materialize(_confirmed(pairs, texts, c), "minmax-links")
-    tried = materialize(pairs, "minmax-tried")
-    hubbed = members.select("key", F.col("hub").alias("node")).distinct()
-    while True:
-        comps = connected_components(links)
-        placed = members.join(comps.withColumnRenamed("id", "node"), "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
-        sized = placed.groupBy("key", "comp").agg(F.count("*").alias("size"))
-        mixed = sized.groupBy("key").agg(F.count("*").alias("comps"), F.sum("size").alias("m"), F.max_by("comp", F.struct("size", -F.col("comp"))).alias("main")).where("comps > 1").select("key", "m", "main")
-        open_rows = materialize(placed.join(mixed, "key"), "minmax-open")
-        turn = Window.partitionBy("key").orderBy("node")
-        waiting = open_rows.where("comp <> main").join(hubbed, ["key", "node"], "left_anti")
-        chosen = waiting.select("*", F.row_number().over(turn).alias("turn")).where(F.col("turn") <= c.small_bucket).where((F.col("m") <= c.small_bucket) | (F.col("turn") <= c.hubs_per_round))
-        chosen = materialize(chosen.select("key", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp")), "minmax-hubs")
-        if chosen.isEmpty():
-            break
-        against = open_rows.join(chosen, "key").where("comp <> hub_comp").where(near_size("n", "hub_n"))
-        fresh = materialize(against.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "minmax-tried")
-        found = materialize(_confirmed(fresh, texts, c), "minmax-links")
-        drop_scratch(open_rows)
-        drop_scratch(comps)
-        links, tried = links.union(found), tried.union(fresh)
-        hubbed = hubbed.union(chosen.select("key", F.col("hub").alias("node")))
-    drop_scratch(open_rows)
-    drop_scratch(texts)
+    nodes = materialize(named.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "minmax-nodes")
+    banded = nodes.select(F.explode("bands").alias("key"), "id")
+    shared = banded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    members = materialize(banded.join(shared, "key"), "minmax-members")
+    degrees = members.groupBy("id").agg(F.sum("m").alias("degree"))
+    hubs = members.join(degrees, "id").groupBy("key").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("hub"))
+    stars = materialize(members.join(hubs, "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "minmax-stars")
+    clusters = connected_components(stars)
     drop_scratch(members)
-
-    of_set = nodes.select("digest", "node").join(comps.withColumnRenamed("id", "node"), "node", "left").select("digest", F.coalesce("comp", "node").alias("comp"))
+    texts = materialize(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(clusters.select("id"), "id"), "minmax-texts")
+
+    about = nodes.select("id", "n", "sketch")
+    sides = stars.join(about.toDF("a", "n_a", "sketch_a"), "a").join(about.toDF("b", "n_b", "sketch_b"), "b")
+    alike = sides.where(100 * F.least("n_a", "n_b") >= c.threshold_percent * F.greatest("n_a", "n_b"))
+    first = materialize(_confirmed(_screened(alike, c), texts, c), "minmax-links")
+    joined = connected_components(first)
+    placed = clusters.withColumnRenamed("comp", "cluster").join(about, "id").join(joined, "id", "left").select("cluster", "id", "n", "sketch", F.coalesce("comp", "id").alias("comp"))
+    crossing = materialize(_crossing_links(placed, texts, c), "minmax-links")
+    comps = joined if crossing.isEmpty() else connected_components(first.union(crossing))
+    for used in (texts, stars, clusters):
+        drop_scratch(used)
+
+    of_set = nodes.select("digest", "id").join(comps, "id", "left").select("digest", F.coalesce("comp", "id").alias("comp"))
     by_set = signed.select("id", "n", "digest").join(of_set, "digest", "left")
     shared = by_set.where("id is not null").groupBy("id").agg(F.min("comp").alias("least"), F.max("comp").alias("most"))
     torn = shared.where("least < most").select(F.col("least").alias("a"), F.col("most").alias("b"))
