@@ -20,15 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import materialize, table
+from tidemark.llm.common import table
 
 
 @dataclass(frozen=True)
 class AnnConfig:
     k: int = 10
-    dims: int = 8  # even, for the closed form of the chi-square law
-    confidence: float = 0.85
-    leaf: int = 256
+    dims: int = 12  # even, for the closed form of the chi-square law
+    confidence: float = 0.7
+    leaf: int = 512
     block_rows: int = 16_384
     query_rows: int = 1_024
     seed: int = 11
@@ -172,7 +172,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, config: AnnConfig = AnnConfi
     once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = once.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score")
-    return materialize(ranked.where(F.col("rank") <= c.k), "ann")
+    return ranked.where(F.col("rank") <= c.k)
 
 
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
