@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import history_queries, offer_queries, sale_queries
+from tidemark.plans import decision_queries, history_queries, offer_queries, sale_queries
 
-_ALL = [history_queries, offer_queries, sale_queries]
+_ALL = [history_queries, offer_queries, sale_queries, decision_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
