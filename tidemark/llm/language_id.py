@@ -1,6 +1,6 @@
 """Language identification by compression.
 
-Every learned language has a raw-content zstandard dictionary made of sampled training texts. A text is cut into
+Every learned language has a raw-content zstandard dictionary made of sampled training texts. A text, in lower case, is cut into
 blocks, each block is compressed with every language's dictionary, and the language with the smallest sum wins.
 Where the best two are too close the text is rejected.
 """
@@ -49,7 +49,7 @@ def dictionaries(docs: DataFrame, c: LanguageConfig = LanguageConfig()) -> dict[
     found: dict[str, list[str]] = {}
     for row in sorted(parts.collect(), key=lambda r: (r.lang, r.draw, r.part)):
         found.setdefault(row.lang, []).append(row.part)
-    return {k: "\n".join(v[: c.sample_docs]).encode("utf-8", "replace") for k, v in found.items()}
+    return {k: "\n".join(v[: c.sample_docs]).lower().encode("utf-8", "replace") for k, v in found.items()}
 
 
 def _compressors(learned: dict[str, bytes], level: int) -> list:
@@ -67,7 +67,7 @@ def classify(text: str | None, compressors: list, c: LanguageConfig) -> tuple[st
     """(language, score, rejected) of a whole text."""
     if text is None or not compressors or not _LETTER.search(text):
         return UNDETERMINED, 0.0, True
-    data = text.encode("utf-8", "replace")
+    data = text.lower().encode("utf-8", "replace")
     blocks = [data[i : i + c.block_bytes] for i in range(0, len(data), c.block_bytes)]
     sizes = sorted((sum(len(z.compress(b)) for b in blocks), lang) for lang, z in compressors)
     if len(sizes) == 1:
