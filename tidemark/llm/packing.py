@@ -8,13 +8,15 @@ end of a document or of a sentence; where a sentence is longer than a window, al
 
 where padding is length - size, or 0 if size is a power of two, and penalty is what a cut inside
 a document costs. cost(i) + length + c_i does not depend on j, so the minimum over the reachable i is the
-head of a monotone queue; the powers of two are looked up one by one. A stream is solved in
+head of a monotone queue; the powers of two from 64 on are looked up one by one. A stream is solved in
 blocks; the last window of a block is carried over into the next one, so memory is bounded by
 the block and the longest document, and padding is lost only at the end of a partition.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -38,7 +40,7 @@ class PackConfig:
     cut_penalty: int = 8
     stride: int = 64
     block_windows: int = 256
-    cached_words: int = 1_500_000
+    cached_words: int = 600_000
 
     def path(self) -> str:
         if self.tokenizer:
@@ -48,6 +50,36 @@ class PackConfig:
         return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Words in which lower-casing is all that the normalizer does: printable ASCII and the letters of Latin-1.
+_PLAIN = re.compile("[\x21-\x7e\xc0-\xff]+")
+
+
+def _lowers(spec: dict) -> bool:
+    """Whether a tokenizer composes, collapses white space, lower-cases, cuts by a pattern and maps bytes: then plain words can go to its model directly."""
+    steps = (spec.get("normalizer") or {}).get("normalizers", [])
+    cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and cuts[0]["invert"] and not cuts[1]["use_regex"] and not cuts[1]["add_prefix_space"]
+
+
+class _PieceIds(dict):
+    """Ids of a piece between cuts, from the tokenizer's own model."""
+
+    def __init__(self, tokenizer, limit: int):
+        self.model, self.limit = tokenizer.model, limit
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        mapped = piece if piece.isascii() else "".join(_CHAR_OF[b] for b in piece.encode("utf-8"))
+        self[piece] = ids = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+        return ids
+
+
+#: The bytes that byte-level vocabularies write as themselves; the others follow from 256 on.
+_KEPT = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_CHAR_OF = {b: chr(b) for b in _KEPT} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _KEPT)}
+
+
 class _WordIds(dict):
     """Ids of a word as little-endian bytes. The tokenizer drops white space and never joins over it, so words stand alone."""
 
@@ -58,6 +90,12 @@ class _WordIds(dict):
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        spec = json.load(open(path, encoding="utf-8"))
+        self.plain = _PieceIds(self.tokenizer, limit) if _lowers(spec) else None
+        if self.plain is not None:
+            import regex
+
+            self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 2, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.removesuffix("</w>")[-1:] in (".", "!", "?") and not token[:1].isalnum()
@@ -65,16 +103,20 @@ class _WordIds(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.limit:
             self.clear()
-        self[word] = ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if self.plain is not None and _PLAIN.fullmatch(word) and "<|" not in word:
+            ids = b"".join(map(self.plain.__getitem__, self.pieces(word.lower())))
+        else:
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = ids
         return ids
 
     def ids(self, text: str) -> np.ndarray:
-        if _CONTROLS.intersection(text):  # white space to Python, not to the tokenizer
+        if any(x in text for x in _CONTROLS):  # white space to Python, not to the tokenizer
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         return np.frombuffer(b"".join(map(self.__getitem__, text.split())), "<u4")
 
 
-_CONTROLS = frozenset("\x1c\x1d\x1e\x1f")
+_CONTROLS = "\x1c\x1d\x1e\x1f"
 _LOADED: dict[tuple[str, int], _WordIds] = {}
 
 
@@ -88,7 +130,7 @@ def _words(c: PackConfig) -> _WordIds:
 def window_cuts(cuts: np.ndarray, soft: np.ndarray, length: int, penalty: int) -> list[int]:
     """Indexes into cuts (ascending, from 0, no gap above length) at which the cheapest windows end."""
     at, inner = cuts.tolist(), soft.tolist()
-    powers = [1 << k for k in range(length.bit_length()) if 1 << k <= length]
+    powers = [1 << k for k in range(6, length.bit_length()) if 1 << k <= length]  # short windows save no padding worth a look
     index = {p: i for i, p in enumerate(at)}
     cost, back = [0] * len(at), [0] * len(at)
     queue: deque[tuple[int, int]] = deque([(at[0], 0)])  # (cost(i) + c_i, i), increasing
