@@ -135,7 +135,7 @@ def ops7_alerts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ops7_stale(spark: SparkSession, d: str) -> DataFrame:
-    return O.stale_sources(his15_newest_age(spark, d).withColumn("age_seconds", F.col("age_seconds") + 93 * 86_400))
+    return O.stale_sources(his15_newest_age(spark, d).withColumn("age_seconds", F.col("age_seconds") + 97 * 86_400))
 
 
 def _folder(spark: SparkSession) -> str:
@@ -209,7 +209,7 @@ SELECT product_id, lpad(CAST(product_id AS VARCHAR), 14, '0') AS barcode, CASE W
     "ops7_alerts": (ops7_alerts, f"""WITH {_LOG}, w AS (SELECT make_timestamp(({_BIN} - o) * 1800000000) AS window_start, * FROM lg, (SELECT unnest(range(2)) AS o)),
 g AS (SELECT window_start, window_start + INTERVAL 60 MINUTE AS window_end, count(*) AS events, count(*) FILTER (failed) AS errors, round(count(*) FILTER (failed) * 100.0::DOUBLE / count(*), 4) AS error_rate, round(quantile_cont(value, 0.95), 4) AS p95 FROM w GROUP BY 1)
 SELECT *, concat_ws(',', CASE WHEN error_rate > 25 THEN 'error_rate' END, CASE WHEN errors > 5 THEN 'failures' END, CASE WHEN p95 > 120 THEN 'p95' END) AS alerts FROM g WHERE error_rate > 25 OR errors > 5 OR p95 > 120"""),
-    "ops7_stale": (ops7_stale, f"WITH {SNAP} SELECT * FROM (SELECT retailer_id, max(observed_at) AS newest_at, CAST(floor((epoch_us(TIMESTAMP '2001-08-01') - epoch_us(max(observed_at))) / 1000000) AS BIGINT) + 8035200 AS age_seconds FROM snap GROUP BY 1) WHERE age_seconds > 86400"),
+    "ops7_stale": (ops7_stale, f"WITH {SNAP} SELECT * FROM (SELECT retailer_id, max(observed_at) AS newest_at, CAST(floor((epoch_us(TIMESTAMP '2001-08-01') - epoch_us(max(observed_at))) / 1000000) AS BIGINT) + 8380800 AS age_seconds FROM snap GROUP BY 1) WHERE age_seconds > 86400"),
     "str1_ingest": (str1_ingest, f"WITH {SNAP} SELECT retailer_id, count(DISTINCT ROW(listing_id, observed_at, seller_id)) AS observations FROM snap GROUP BY 1"),
     "str2_daily": (str2_daily, f"WITH {SNAP} SELECT date_trunc('day', observed_at)::TIMESTAMP AS day, retailer_id, count(*) AS observations, CAST(sum(p) AS BIGINT) AS total_paise, min(p) AS low_paise, max(p) AS high_paise FROM (SELECT *, coalesce(effective_paise, displayed_paise) AS p FROM snap) GROUP BY 1, 2"),
     "str5_drops": (str5_drops, f"WITH {SNAP}, c AS (SELECT *, lag(price) OVER (PARTITION BY product_id, listing_id, seller_id ORDER BY observed_at, created_at, snapshot_id) AS base FROM q WHERE product_id % 2 = 0) SELECT snapshot_id, listing_id, seller_id, price, base AS baseline_paise FROM c WHERE price < base"),
