@@ -85,6 +85,7 @@ def write_archive(pages: DataFrame, config: WarcConfig = WarcConfig(), id_col: s
     c = config
 
     def deflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40  # tells repeated rows apart
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = []
@@ -93,10 +94,11 @@ def write_archive(pages: DataFrame, config: WarcConfig = WarcConfig(), id_col: s
                     sha1 = hashlib.sha1(payload)
                     digest = bare_digest(sha1.digest())
                     pieces = list(gzip_pieces(itertools.chain([record_head("response", page_id, url, len(payload), digest, c)], _slices(payload, c.chunk_bytes), [b"\r\n\r\n"]), c.chunk_bytes))
-                    rows += [(page_id, url, len(payload), sha1.hexdigest(), k, len(pieces), piece) for k, piece in enumerate(pieces)]
+                    row += 1
+                    rows += [(page_id, url, len(payload), sha1.hexdigest(), row, k, len(pieces), piece) for k, piece in enumerate(pieces)]
                 columns = list(zip(*rows, strict=True))
-                types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=["page_id", "url", "n", "hex", "chunk_no", "chunks", "data"])
+                types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=["page_id", "url", "n", "hex", "row", "chunk_no", "chunks", "data"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -118,10 +120,10 @@ def write_archive(pages: DataFrame, config: WarcConfig = WarcConfig(), id_col: s
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in ARCHIVE.split(", ")])
             pending = []
 
-    members = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(deflate, "page_id long, url string, n long, hex string, chunk_no int, chunks int, data binary")
+    members = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(deflate, "page_id long, url string, n long, hex string, row long, chunk_no int, chunks int, data binary")
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     firsts = pages.select(F.col(id_col).cast("long").alias("page_id"), F.sha1(payload).alias("hex")).groupBy("hex").agg(F.min("page_id").alias("first"))
-    ordered = members.join(firsts, "hex").sortWithinPartitions("hex", "page_id", "url", "chunk_no")
+    ordered = members.join(firsts, "hex").sortWithinPartitions("hex", "page_id", "row", "chunk_no")
     return materialize(ordered.select("page_id", "url", "n", "hex", "chunk_no", "chunks", "data", "first").mapInArrow(assemble, ARCHIVE), "warc")
 
 
