@@ -25,7 +25,7 @@ def fit_uncertainty(scored: DataFrame, low: float = 0.1, high: float = 0.9) -> D
     """One row: exact residual percentiles, then the share of rows inside them, with RMSE, MAE and mean target."""
     residual = F.col("actual") - F.col("predicted")
     bounds = scored.agg(F.percentile(residual, F.lit(low)).alias("p_low"), F.percentile(residual, F.lit(high)).alias("p_high"))
-    inside = (residual >= F.col("p_low")) & (residual <= F.col("p_high"))
+    inside = (residual >= F.col("p_low") - 1e-9) & (residual <= F.col("p_high") + 1e-9)  # a bound may be a residual itself
     return scored.join(bounds).agg(
         F.first("p_low").alias("p_low"), F.first("p_high").alias("p_high"), F.avg(inside.cast("double")).alias("coverage"),
         F.sqrt(F.avg(residual * residual)).alias("rmse"), F.avg(F.abs(residual)).alias("mae"), F.avg("actual").alias("mean_target"),
@@ -40,7 +40,7 @@ def intervals(scored: DataFrame, uncertainty: DataFrame) -> DataFrame:
     relative = F.when(F.col("mean_target") > 0, F.col("rmse") / F.col("mean_target")).otherwise(0.0)
     unit = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
     confidence = unit(unit(F.col("coverage")) * unit(F.col("completeness")) / (1.0 + relative))
-    return rows.select(*scored.columns, F.round(lower, 2).alias("lower"), F.round(upper, 2).alias("upper"), F.round(confidence, 6).alias("confidence"))
+    return rows.select(*scored.columns, F.round(lower, 4).alias("lower"), F.round(upper, 4).alias("upper"), F.round(confidence, 6).alias("confidence"))
 
 
 def _assembled(examples: DataFrame):

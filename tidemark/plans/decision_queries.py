@@ -130,7 +130,7 @@ t1 AS (SELECT *, greatest(1, CAST(floor(n * 0.7::DOUBLE) AS BIGINT)) AS tr FROM
 t4 AS (SELECT *, CASE WHEN tr >= u THEN greatest(1, u - 1) ELSE tr END AS t FROM t3),
 sp AS (SELECT ft.*, CASE WHEN i <= t THEN 'train' WHEN i <= u THEN 'validation' ELSE 'test' END AS split, coalesce(previous_sale_price, avg_30d, current_price) AS predicted, target_paise2 / 200.0::DOUBLE AS actual FROM ft JOIN t4 USING (as_of)),
 un AS (SELECT quantile_cont(actual - predicted, 0.1) AS p_low, quantile_cont(actual - predicted, 0.9) AS p_high, sqrt(avg((actual - predicted) * (actual - predicted))) AS rmse, avg(abs(actual - predicted)) AS mae, avg(actual) AS mean_target FROM sp WHERE split = 'validation'),
-uc AS (SELECT un.*, (SELECT avg((actual - predicted >= p_low AND actual - predicted <= p_high)::INT) FROM sp, un WHERE split = 'validation') AS coverage FROM un)"""
+uc AS (SELECT un.*, (SELECT avg((actual - predicted >= p_low - 1e-9 AND actual - predicted <= p_high + 1e-9)::INT) FROM sp, un WHERE split = 'validation') AS coverage FROM un)"""
 _CODES = " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS value, min(ROW(as_of, event_id, listing_id)) AS r FROM sp WHERE split = 'train' AND {c} IS NOT NULL GROUP BY 2" for c in X.CATEGORICAL)
 _LEAK = " UNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) AS compared, coalesce(bool_and(abs({c} - target_paise2 / 200.0::DOUBLE) <= 1e-9), false) AS leaks FROM ft" for c in X.NUMERIC)
 
@@ -179,7 +179,7 @@ QUERIES = {
     "mod1_trees": (mod1_trees, None),
     "mod2_errors": (mod2_errors, f"WITH {SNAP}, {EVENTS}, {FEATURES} SELECT split, count(*) AS examples, round(avg(abs(predicted - actual)), 4) AS mae, round(sqrt(avg((predicted - actual) * (predicted - actual))), 4) AS rmse FROM sp GROUP BY 1"),
     "mod3_uncertainty": (mod3_uncertainty, f"WITH {SNAP}, {EVENTS}, {FEATURES} SELECT {', '.join(f'round({c}, 4) AS {c}' for c in ('p_low', 'p_high', 'coverage', 'rmse', 'mae', 'mean_target'))} FROM uc"),
-    "mod5_intervals": (mod5_intervals, f"WITH {SNAP}, {EVENTS}, {FEATURES} SELECT listing_id, event_id, predicted, round(greatest(0.0, predicted + p_low), 2) AS lower, round(greatest(greatest(0.0, predicted + p_low), predicted + p_high), 2) AS upper, round(least(1.0, greatest(0.0, coverage * completeness / (1.0 + CASE WHEN mean_target > 0 THEN rmse / mean_target ELSE 0 END))), 6) AS confidence FROM sp, uc WHERE split = 'test'"),
+    "mod5_intervals": (mod5_intervals, f"WITH {SNAP}, {EVENTS}, {FEATURES} SELECT listing_id, event_id, predicted, round(greatest(0.0, predicted + p_low), 4) AS lower, round(greatest(greatest(0.0, predicted + p_low), predicted + p_high), 4) AS upper, round(least(1.0, greatest(0.0, coverage * completeness / (1.0 + CASE WHEN mean_target > 0 THEN rmse / mean_target ELSE 0 END))), 6) AS confidence FROM sp, uc WHERE split = 'test'"),
     "rec7_events_ahead": (rec7_events_ahead, f"WITH {SNAP}, {EVENTS}, {VARIANT_HISTORY}, {_AHEAD} SELECT product_id, nxt.i AS event_id, nxt.d AS event_days, weak_ahead FROM ah"),
     "rec9_decisions": (rec9_decisions, f"WITH {SNAP}, {EVENTS}, {VARIANT_HISTORY}, {_rec(_NONE)} SELECT * FROM rec"),
     "rec9_decisions_predicted": (rec9_decisions_predicted, f"{_PRED} SELECT * FROM rec"),
