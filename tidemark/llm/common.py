@@ -41,6 +41,18 @@ def drop_scratch(df: DataFrame) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+_ACTIVE: list = []
+
+
+def sole_cache(cache):
+    """The cache of the stage that a Python worker works for; the one before it is emptied, as workers outlive stages."""
+    if _ACTIVE and _ACTIVE[0] is not cache:
+        _ACTIVE.pop().clear()
+    if not _ACTIVE:
+        _ACTIVE.append(cache)
+    return cache
+
+
 def held_out(doc_id) -> F.Column:
     """True for rows that models never learn from: crc32 of the id as text leaves 2 when divided by 4; false for null ids."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

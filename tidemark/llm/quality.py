@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import held_out, table
+from tidemark.llm.common import held_out, sole_cache, table
 
 
 @dataclass(frozen=True)
@@ -51,21 +51,28 @@ _RUNS = [(re.compile(r"[^\W\d_]+"), lambda m: "X" if m[0].isupper() and len(m[0]
 
 
 class _Tokens(dict):
-    """Of each word the hashes of the word and of its shape."""
+    """Of each word the hashes of the word and of its shape, as 16 bytes."""
 
-    LIMIT = 1_000_000
+    LIMIT = 300_000
 
-    def __missing__(self, word: str) -> tuple[int, int]:
+    def __missing__(self, word: str) -> bytes:
         if len(self) >= self.LIMIT:
             self.clear()
         shape = word
         for pattern, to in _RUNS:
             shape = pattern.sub(to, shape)
-        self[word] = h = (xxhash.xxh3_64_intdigest(word.lower()), xxhash.xxh3_64_intdigest(shape, 1))
+        self[word] = h = (xxhash.xxh3_64_intdigest(word.lower()) | xxhash.xxh3_64_intdigest(shape, 1) << 64).to_bytes(16, "little")
         return h
 
 
 _TOKENS = _Tokens()
+
+
+def _own_cache() -> None:
+    """For tasks: functions that are shipped to them would bring copies of the module's names along, this one is looked up there."""
+    sole_cache(_TOKENS)
+
+
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -74,7 +81,7 @@ def indicators(text: str | None, buckets: int) -> np.ndarray:
     words = (text or "").split()
     if not words:
         return np.empty(0, np.int64)
-    h = np.array(list(map(_TOKENS.__getitem__, words)), np.uint64)
+    h = np.frombuffer(b"".join(map(_TOKENS.__getitem__, words)), "<u8").reshape(-1, 2)
     word, shape = h[:, 0], h[:, 1]
     two = word[:-1] * _MUL + word[1:]
     shape2 = shape[:-1] * _MUL + shape[1:]
@@ -137,6 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfi
     drawn = sample(docs, labels, c)
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _own_cache()
         for batch in batches:
             at = [indicators(t, c.buckets).astype(np.int32) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.list_(pa.int32()))], names=["doc_id", "quality", "at"])
@@ -171,6 +179,7 @@ def score_column(model: QualityModel, spark: SparkSession):
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        _own_cache()
         for texts in batches:
             yield pd.Series([shared.value.score(t) for t in texts], dtype="float64")
 
