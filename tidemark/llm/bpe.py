@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import json
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import sole_cache, table
 
 
 @dataclass(frozen=True)
 class BpeConfig:
     tokenizer: str | None = None  # path of a byte-level tokenizers file; None: the public one
-    cached_pieces: int = 1_000_000
+    cached_pieces: int = 900_000
 
     def path(self) -> str:
         if self.tokenizer:
@@ -45,6 +47,8 @@ _IRREGULAR = re.compile(r" \s|\s |\A | \Z|[\x1c-\x1f]")
 
 
 class ByteBpe:
+    TOGETHER = 8_000_000  # characters of texts whose new pieces are merged in one index; a longer text is one group
+
     def __init__(self, path: str, limit: int):
         import regex
 
@@ -53,7 +57,7 @@ class ByteBpe:
         char_of = {b: chr(b) for b in PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(PRINTABLE))}
         byte_of = {c: b for b, c in char_of.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.bytes_of = {i: bytes(byte_of[c] for c in token) for token, i in vocabulary.items() if all(c in byte_of for c in token)} | {i: t.encode() for t, i in self.special.items()}
+        self.bytes_of = {str(i): bytes(byte_of[c] for c in token) for token, i in vocabulary.items() if all(c in byte_of for c in token)} | {str(i): t.encode() for t, i in self.special.items()}
         self.of_byte = np.array([vocabulary[char_of[b]] for b in range(256)], np.int64)
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         left, right, self.made = (np.array(x, np.int64) for x in zip(*((vocabulary[a], vocabulary[b], vocabulary[a + b]) for a, b in pairs), strict=True))
@@ -62,7 +66,8 @@ class ByteBpe:
         self.codes, self.rank_at = codes[order], order
         self.piece, self.limit = regex.compile(PIECE), limit
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.cache: dict[str, tuple[bytes, str]] = {}
+        self.mark = os.path.commonprefix(list(self.special)) if self.special else "\0"
+        self.cache: dict[str, str] = {}  # ids of a segment as decimals joined by commas
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, -1 where there is none."""
@@ -70,8 +75,8 @@ class ByteBpe:
         at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
         return np.where(self.codes[at] == code, self.rank_at[at], -1)
 
-    def merge(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of each piece (none of them empty)."""
+    def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces (none of them empty), one after the other, and where each piece's begin and the last one's end."""
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         symbol = self.of_byte[np.frombuffer(b"".join(pieces), np.uint8)]
         n = len(symbol)
@@ -128,8 +133,7 @@ class ByteBpe:
             enlist(np.unique(np.concatenate([ahead, at[inner]])))
         left = symbol[:n] >= 0
         ids = symbol[:n][left]
-        counts = np.concatenate([[0], np.cumsum(left)])[starts]
-        return np.split(ids, counts[1:-1])
+        return ids, np.concatenate([[0], np.cumsum(left)])[starts]
 
     def pair_code(self, rank: int) -> int:
         if not hasattr(self, "_code_of"):
@@ -137,12 +141,11 @@ class ByteBpe:
             self._code_of[self.rank_at] = self.codes
         return self._code_of[rank]
 
-    def _pieces(self, segment: str) -> list[str | int]:
-        """Pieces to merge, and ids of special tokens."""
-        out: list[str | int] = []
-        for part in self.split_special.split(segment) if self.split_special else [segment]:
-            out += [self.special[part]] if part in self.special else self.piece.findall(part)
-        return out
+    def _pieces(self, segment: str) -> list[str]:
+        """Pieces to merge, and special tokens."""
+        if self.mark in segment and any(x in segment for x in self.special):
+            return [y for x in self.split_special.split(segment) for y in ([x] if x in self.special else self.piece.findall(x))]
+        return self.piece.findall(segment)
 
     def _segments(self, text: str) -> list[str]:
         """Parts of a text that can be encoded alone."""
@@ -157,26 +160,35 @@ class ByteBpe:
         parts = self.split_special.split(text) if self.split_special else [text]
         return [y for x in parts if x for y in ([x] if x in self.special else self.piece.findall(x))]
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        """Of each text the ids as little-endian 32-bit bytes and as decimals joined by commas."""
-        if len(self.cache) > self.limit:
-            self.cache.clear()
-        cut = [self._segments(t) for t in texts]
-        new = list({s for x in cut for s in x}.difference(self.cache))
-        parts = [self._pieces(s) for s in new]
-        distinct = list({p for x in parts for p in x if isinstance(p, str)})
-        merged = dict(zip(distinct, self.merge([p.encode("utf-8") for p in distinct]), strict=True)) if distinct else {}
-        for s, x in zip(new, parts, strict=True):
-            ids = [i for p in x for i in (merged[p].tolist() if isinstance(p, str) else [p])]
-            self.cache[s] = np.array(ids, "<u4").tobytes(), ",".join(map(str, ids))
-        out = []
-        for x in cut:
-            got = [self.cache[s] for s in x]
-            out.append((b"".join(g[0] for g in got), ",".join(g[1] for g in got)))
-        return out
-
-    def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+    def clear(self) -> None:
+        self.cache.clear()
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode segments together."""
+        parts = list(map(self._pieces, new))
+        distinct = list({p for x in parts for p in x if p not in self.special})
+        merged = {t: str(i) for t, i in self.special.items()}
+        if distinct:
+            ids, at = self.merge([p.encode("utf-8") for p in distinct])
+            words, at = list(map(str, ids.tolist())), at.tolist()
+            merged |= {p: ",".join(words[i:j]) for p, i, j in zip(distinct, at, at[1:])}
+        self.cache.update((s, merged[x[0]] if len(x) == 1 else ",".join(map(merged.__getitem__, x))) for s, x in zip(new, parts, strict=True))
+
+    def encode(self, texts: list[str]) -> Iterator[str]:
+        """The ids of each text as decimals joined by commas."""
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))) // self.TOGETHER
+        for own in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(ends)) + 1):
+            cut = [self._segments(texts[i]) for i in own]
+            met = set(itertools.chain.from_iterable(cut))
+            if len(self.cache) > self.limit:
+                self.cache = {s: self.cache[s] for s in met if s in self.cache}
+            self._learn([s for s in met if s not in self.cache])
+            for segments in cut:
+                yield ",".join(map(self.cache.__getitem__, segments))
+
+    def decode(self, ids: str) -> str:
+        """The text of ids given as decimals joined by commas."""
+        return b"".join(map(self.bytes_of.__getitem__, ids.split(","))).decode("utf-8", "replace") if ids else ""
 
 
 _LOADED: dict[tuple[str, int], ByteBpe] = {}
@@ -192,9 +204,9 @@ def tokenizer(c: BpeConfig) -> ByteBpe:
 def encode_texts(docs: DataFrame, config: BpeConfig = BpeConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids) of every row: ids is an array of the whole text's ids, empty for null and empty texts. Ids may repeat or be null."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(config)
+        bpe = sole_cache(tokenizer(config))
         for batch in batches:
-            ids = [np.frombuffer(x[0], "<u4").astype(np.int32) for x in bpe.encode([t or "" for t in batch.column(1).to_pylist()])]
+            ids = [np.array(x.split(","), np.int32) if x else np.empty(0, np.int32) for x in bpe.encode([t or "" for t in batch.column(1).to_pylist()])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -203,9 +215,9 @@ def encode_texts(docs: DataFrame, config: BpeConfig = BpeConfig(), id_col: str =
 def decode_ids(encoded: DataFrame, config: BpeConfig = BpeConfig()) -> DataFrame:
     """(doc_id, text) of (doc_id, ids); null ids give a null text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(config)
+        bpe = sole_cache(tokenizer(config))
         for batch in batches:
-            texts = [None if x is None else bpe.decode(np.array(x, "<u4").tobytes()) for x in batch.column(1).to_pylist()]
+            texts = [None if x is None else bpe.decode(",".join(map(str, x))) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
@@ -221,12 +233,13 @@ def encoding_digests(docs: DataFrame, config: BpeConfig = BpeConfig(), id_col: s
     ids are treated like any other, other columns are not looked at, an empty table gives an empty result.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(config)
+        bpe = sole_cache(tokenizer(config))
         for batch in batches:
-            done = bpe.encode([t or "" for t in batch.column(1).to_pylist()])
             sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
+            rows = [(ids.count(",") + 1 if ids else 0, sha(ids), sha(bpe.decode(ids))) for ids in bpe.encode([t or "" for t in batch.column(1).to_pylist()])]
+            n, encoded, decoded = zip(*rows, strict=True) if rows else ([], [], [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(b) // 4 for b, _ in done], pa.int64()), pa.array([sha(s) for _, s in done]), pa.array([sha(bpe.decode(b)) for b, _ in done])],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())],
                 names=[x.split()[0] for x in DIGESTS.split(", ")],
             )
 
