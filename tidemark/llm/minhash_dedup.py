@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, drop_scratch, materialize, table
+from tidemark.llm.common import connected_components, drop_scratch, materialize, sole_cache, table
 
 
 @dataclass(frozen=True)
@@ -40,7 +40,7 @@ class MinMaxConfig:
 
 
 class _WordHashes(dict):
-    LIMIT = 1_000_000
+    LIMIT = 500_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -50,6 +50,13 @@ class _WordHashes(dict):
 
 
 _WORDS = _WordHashes()
+
+
+def _own_cache() -> None:
+    """For tasks: functions that are shipped to them would bring copies of the module's names along, this one is looked up there."""
+    sole_cache(_WORDS)
+
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -116,6 +123,7 @@ def signatures(docs: DataFrame, c: MinMaxConfig, id_col: str = "doc_id", text_co
     """(id, n, digest, bands, sketch) of every row, from whole texts."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drawn = _permutations(c)
+        _own_cache()
         for batch in batches:
             n, digest, flat, sketch = [], [], [], []
             offsets = [0]
@@ -141,6 +149,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, c: MinMaxConfig) -> DataFrame
     """The pairs (a, b) that are linked on their full sets. A hub's rows meet in a join that AQE can split."""
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, hub = None, np.empty(0, np.uint64)
+        _own_cache()
         for batch in batches:
             out: tuple[list, list] = ([], [])
             for a, b, ta, tb in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
@@ -178,6 +187,7 @@ def _find(parent: dict[int, int], x: int) -> int:
 
 def block_links(nodes: list[int], comps: list[int], sketches: list[bytes], texts: list[str], outside: list[bool], c: MinMaxConfig) -> list[tuple[int, int]]:
     """Confirmed links that join the components of a task's nodes: rows marked outside are compared with the others."""
+    _own_cache()
     parent: dict[int, int] = {}
     sets: dict[int, np.ndarray] = {}
     links = []

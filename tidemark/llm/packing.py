@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import sole_cache, table
 
 
 @dataclass(frozen=True)
@@ -110,6 +110,11 @@ class _WordIds(dict):
         self[word] = ids
         return ids
 
+    def clear(self) -> None:
+        super().clear()
+        if self.plain is not None:
+            self.plain.clear()
+
     def ids(self, text: str) -> np.ndarray:
         if any(x in text for x in _CONTROLS):  # white space to Python, not to the tokenizer
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
@@ -219,7 +224,7 @@ def pack(docs: DataFrame, config: PackConfig = PackConfig(), id_col: str = "doc_
     c = config
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words(c)
+        words = sole_cache(_words(c))
         packer = _Packer(c, words.ends, TaskContext.get().partitionId() << 33)
         end = np.array([c.end_id], "<u4")
 
