@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tidemark.config import SalesConfig
+from tidemark.config import MatchingConfig, SalesConfig
 from tidemark.functions import text as T
 from tidemark.operators import catalog, matching, sales
 from tidemark.operators import offers as O
@@ -103,6 +103,19 @@ def test_matching_rules(spark):
     assert (e.precision, e.recall, e.accuracy) == (1.0, 1.0, 1.0)
 
 
+def test_common_words_and_contained_hints_still_pair(spark):
+    schema = "cid string, side string, title string, brand string, category_slug string, identifiers array<struct<kind:string,value:string>>, attributes map<string,string>"
+    many = [candidate(f"{side[0]}{i}", side, f"{'New ' * (side == 'right')}ring {i} mobile", "Acme") for i in range(110) for side in ("left", "right")]
+    made = matching.blocked_pairs(matching.prepare(spark.createDataFrame([*many, many[0]], schema))).collect()
+    assert len(made) == 110 * 110 == len(set(made))
+    few = matching.blocked_pairs(matching.prepare(spark.createDataFrame(many, schema)), MatchingConfig(max_block=7))
+    assert set(few.collect()) == set(made) and few.count() == len(made)
+    odd = matching.prepare(spark.createDataFrame([candidate("a", "left", "New", "Acme"), candidate("b", "right", "New", "Acme Ltd"), candidate("c", "right", "Old", "Zeta")], schema))
+    assert [tuple(r) for r in matching.blocked_pairs(odd).collect()] == [("a", "b")]
+    asked = spark.createDataFrame([("a", "b"), ("a", "c"), ("a", "b")], "left_id string, right_id string")
+    assert [tuple(r) for r in matching.blocked_among(odd, asked).collect()] == [("a", "b")]
+
+
 def test_identifier_forms(spark):
     assert one(spark, matching.barcode(F.lit("0-12345-67890-5"))) == "00012345678905"
     assert one(spark, matching.isbn(F.lit("0-306-40615-2"))) == "9780306406157"

@@ -39,7 +39,7 @@ class MatchingConfig:
     token_ratio: float = 0.84
     hint_ratio: float = 0.86
     dimension: int = 256
-    max_block: int = 200  # larger title-token blocks are stop words; pairs in them still meet in other blocks
+    max_block: int = 200  # left listings in a piece of a block; larger blocks are cut into pieces, none is dropped
 
 
 @dataclass(frozen=True)

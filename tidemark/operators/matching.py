@@ -133,19 +133,39 @@ def prepare(candidates: DataFrame) -> DataFrame:
     return rows.select("cid", "side", "title", identifier_values(with_models).alias("ids"), "attrs", hint.alias("hint"), slug(F.col("brand")).alias("brand_sig"), title_tokens(F.col("title")).alias("tokens"), accessory.alias("accessory"), document.alias("document"))
 
 
-def blocked_pairs(prepared: DataFrame, c: MatchingConfig = MatchingConfig()) -> DataFrame:
-    """Distinct (left_id, right_id) that share an identifier, brand and model hint, or a title token that isn't too common."""
-    keys = F.concat(
+def _own_keys() -> Column:
+    """A listing's blocking keys: identifiers, brand with model hint, and every word of title and hint."""
+    words = F.array_union("tokens", F.coalesce(F.split("hint", " "), F.array().cast("array<string>")))
+    return F.array_distinct(F.concat(
         F.transform("ids", lambda v: F.concat(F.lit("i|"), v)),
         F.array_compact(F.array(F.when(F.col("brand_sig").isNotNull() & F.col("hint").isNotNull(), F.concat(F.lit("b|"), "brand_sig", F.lit("|"), "hint")))),
-        F.transform(F.array_distinct("tokens"), lambda t: F.concat(F.lit("t|"), t)),
-    )
-    rows = prepared.select("cid", "side", F.explode(keys).alias("key"))
+        F.transform(words, lambda t: F.concat(F.lit("t|"), t)),
+    ))
+
+
+def blocked_pairs(prepared: DataFrame, c: MatchingConfig = MatchingConfig()) -> DataFrame:
+    """Distinct (left_id, right_id) that share an identifier, brand and model hint, or a word of title or hint, however common.
+
+    A pair is made in its rarest common block only, so nothing is made distinct afterwards. A block with many left listings is cut into
+    pieces of about max_block of them, each of which meets all the right ones.
+    """
+    rows = prepared.select("cid", "side", F.explode(_own_keys()).alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.count_if(F.col("side") == "left").alias("lefts"))
-    useful = sizes.where((F.col("lefts") > 0) & (F.col("lefts") < F.col("size")) & (~F.startswith(F.col("key"), F.lit("t|")) | (F.col("size") <= c.max_block))).select("key")
-    kept = rows.join(useful, "key")
-    left, right = (kept.where(F.col("side") == s).select("key", F.col("cid").alias(f"{s}_id")) for s in ("left", "right"))
-    return left.join(right, "key").select("left_id", "right_id").distinct()
+    useful = sizes.where((F.col("lefts") > 0) & (F.col("lefts") < F.col("size"))).select("key", "size", F.ceil(F.col("lefts") / c.max_block).cast("int").alias("pieces"))
+    own = rows.join(useful, "key").groupBy("cid", "side").agg(F.array_sort(F.collect_set(F.struct("size", "key", "pieces"))).alias("own"))
+    at = own.select("cid", "side", "own", F.posexplode("own").alias("pos", "block")).select("cid", "side", "block.key", "block.pieces", F.slice(F.col("own.key"), 1, F.col("pos")).alias("rarer"))
+    left = at.where("side = 'left'").select("key", F.pmod(F.xxhash64("cid"), F.col("pieces")).cast("int").alias("piece"), F.col("cid").alias("left_id"), F.col("rarer").alias("l_rarer"))
+    right = at.where("side = 'right'").select("key", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.col("cid").alias("right_id"), F.col("rarer").alias("r_rarer"))
+    n = int(prepared.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # fixed, as few rows go in where many pairs come out
+    met = left.repartition(n, "key", "piece").join(right.repartition(n, "key", "piece"), ["key", "piece"])
+    return met.where(~F.arrays_overlap("l_rarer", "r_rarer")).select("left_id", "right_id")
+
+
+def blocked_among(prepared: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The distinct pairs of a list that blocked_pairs would make, without making the others."""
+    keys = lambda s: prepared.where(F.col("side") == s).select(F.col("cid").alias(f"{s}_id"), _own_keys().alias(f"_{s}"))
+    rows = pairs.select("left_id", "right_id").join(keys("left"), "left_id").join(keys("right"), "right_id")
+    return rows.where(F.arrays_overlap("_left", "_right")).select("left_id", "right_id").distinct()
 
 
 def scored_pairs(prepared: DataFrame, pairs: DataFrame, c: MatchingConfig = MatchingConfig()) -> DataFrame:
