@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 import zlib
 from collections import defaultdict
 
@@ -227,3 +228,19 @@ def test_licence_rules(spark):
     odd = license_scan.scan_licenses(documents(spark)).collect()
     assert len(odd) == len(ROWS) and {r.licenses for r in odd} == {""}
     assert license_scan.scan_licenses(empty(spark)).count() == 0
+
+
+def wrapped_header(rule, width, sign, glue):
+    fill = lambda x: textwrap.fill(x, width, initial_indent=sign, subsequent_indent=sign, break_long_words=False, break_on_hyphens=False)
+    sentences = [license_scan.SENTENCES[k][0] for k in rule]
+    return "\n".join(map(fill, sentences)) if glue == "\n" else fill(glue.join(sentences))
+
+
+def test_every_rule_matches_its_wrapped_header(spark):
+    cases = [(name, wrapped_header(rule, width, sign, glue)) for name, rule in license_scan.RULES for width in range(20, 100, 3) for sign in ("", "# ", " * ") for glue in ("\n", "  ") if glue == "\n" or name != "Apache-2.0"]
+    gpl = "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n    the Free Software Foundation, either version 3 of the License, or\n    (at your option) any later version.\n\n    This program is distributed in the hope that it will be useful,\n    but WITHOUT ANY WARRANTY; without even the implied warranty of\n    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n    GNU General Public License for more details.\n\n    You should have received a copy."
+    mpl = "// This Source Code Form is subject to the terms of the Mozilla Public\r\n// License, v. 2.0. If a copy of the MPL was not distributed with this\r\n// file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    cases += [("GPL-3.0-or-later", gpl), ("MPL-2.0", mpl), ("", "Not\nAll rights\n\nreserved."), ("", "All rights reserved here.")]
+    df = documents(spark, [(i, t, None, None, None) for i, (_, t) in enumerate(cases)])
+    got = {r.doc_id: r.licenses for r in license_scan.scan_licenses(df).collect()}
+    assert [(n, t, got[i]) for i, (n, t) in enumerate(cases) if got[i] != n] == []

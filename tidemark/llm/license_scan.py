@@ -78,14 +78,18 @@ def normal(sentence: str) -> str:
 
 KNOWN: dict[str, str] = {normal(s): key for key, forms in SENTENCES.items() for s in forms}
 
+#: A known sentence is one piece or several in a row: lines may be wrapped anywhere, and a sentence may have a colon or an abbreviation inside.
+SPANS = "(?m)^(?:" + "|".join(s.replace(" ", "[ \\n]") for s in sorted(KNOWN, key=len, reverse=True)) + ")$"
+
 
 def sentence_ids(text: Column) -> Column:
     """The identifiers of a text's known sentences in their order."""
     for pattern, to in STEPS:
         text = F.regexp_replace(text, F.lit(pattern), F.lit(to.replace("{1}", "$1").replace("{2}", "$2")))
     known = F.create_map(*(F.lit(x) for pair in KNOWN.items() for x in pair))
-    bare = F.transform(F.split(F.regexp_replace(F.lower(text), F.lit("[^a-z0-9\\n]+"), F.lit(" ")), "\n"), lambda s: F.trim(s))
-    return F.transform(F.filter(bare, lambda s: s.isin(list(KNOWN))), lambda s: known[s])
+    bare = F.regexp_replace(F.lower(text), F.lit("[^a-z0-9\\n]+"), F.lit(" "))
+    pieces = F.trim(F.regexp_replace(bare, F.lit(" ?\\n ?"), F.lit("\n")))
+    return F.transform(F.regexp_extract_all(pieces, F.lit(SPANS), F.lit(0)), lambda s: known[F.translate(s, "\n", " ")])
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
