@@ -140,3 +140,15 @@ def test_session_windows_agree_with_islands(spark, tmp_path):
     out.writeStream.format("memory").queryName("sessions").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     got = sorted((r.start_at, r.end_at, r.observations) for r in spark.table("sessions").collect())
     assert got == [(DAY, DAY + dt.timedelta(hours=48), 2), (DAY + dt.timedelta(hours=97), DAY + dt.timedelta(hours=97), 1), (DAY + dt.timedelta(hours=400), DAY + dt.timedelta(hours=400), 1)]
+
+
+def test_stream_finds_every_drop_over_several_batches(spark, tmp_path, monkeypatch):
+    from tests.oracle import connect, same
+    from tidemark.plans import ops_queries
+    from tidemark.plans.base_sql import SNAP
+
+    monkeypatch.setattr(ops_queries, "_folder", lambda _: str(tmp_path))
+    sf = "/root/testdata/sf0.001"
+    whole = f"WITH {SNAP}, c AS (SELECT *, lag(price) OVER (PARTITION BY product_id, listing_id, seller_id ORDER BY observed_at, created_at, snapshot_id) AS base FROM q) SELECT snapshot_id, listing_id, seller_id, price, base AS baseline_paise FROM c WHERE price < base"
+    same(ops_queries.str5_drops(spark, sf), whole, connect(sf))
+    assert len(list((tmp_path / "state").iterdir())) > 2

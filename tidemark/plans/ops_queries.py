@@ -174,10 +174,21 @@ def str2_daily(spark: SparkSession, d: str) -> DataFrame:
 
 
 def str5_drops(spark: SparkSession, d: str) -> DataFrame:
-    """Drops found on arrival, batch by batch, against the last row of each series."""
+    """Drops found on arrival, batch by batch, against the last row of each series.
+
+    The snapshots arrive as four time ranges, one written after the other. In a range each series is in one file, so any batch of files in
+    the order of their times keeps every series in its order.
+    """
     folder = _folder(spark)
-    rows = snapshots(spark, d).where("product_id % 2 = 0").orderBy("observed_at", "created_at", "snapshot_id").coalesce(1)
-    streams.each_batch(_stream(spark, rows, folder), streams.drop_events(f"{folder}/state", f"{folder}/out"), f"{folder}/cp").awaitTermination()
+    s = snapshots(spark, d)
+    late = F.unix_micros("observed_at")
+    bounds = s.agg(F.percentile_approx(late, [0.25, 0.5, 0.75], 1000)).first()[0] or []
+    rows = s.withColumn("_range", sum((F.when(late > b, 1).otherwise(0) for b in bounds), F.lit(0))).persist()
+    n = max(2, spark.sparkContext.defaultParallelism)
+    for i in range(len(bounds) + 1):
+        rows.where(F.col("_range") == i).drop("_range").repartition(n, *streams.SERIES).write.mode("append").parquet(f"{folder}/in")
+    rows.unpersist()
+    streams.each_batch(streams.read(spark, f"{folder}/in", s.schema, n), streams.drop_events(f"{folder}/state", f"{folder}/out"), f"{folder}/cp").awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("snapshot_id", "listing_id", "seller_id", "price", "baseline_paise")
 
 
