@@ -152,3 +152,15 @@ def test_stream_finds_every_drop_over_several_batches(spark, tmp_path, monkeypat
     whole = f"WITH {SNAP}, c AS (SELECT *, lag(price) OVER (PARTITION BY product_id, listing_id, seller_id ORDER BY observed_at, created_at, snapshot_id) AS base FROM q) SELECT snapshot_id, listing_id, seller_id, price, base AS baseline_paise FROM c WHERE price < base"
     same(ops_queries.str5_drops(spark, sf), whole, connect(sf))
     assert len(list((tmp_path / "state").iterdir())) > 2
+
+
+def test_lines_are_redacted_to_their_full_length(spark):
+    from tests.oracle import connect, same
+    from tidemark.plans import feed_queries
+
+    sf = "/root/testdata/sf0.001"
+    query, sql = feed_queries.QUERIES["nrm12_redacted"]
+    whole = sql.replace("> 200", "> 1000").replace("1, 197)", "1, 997)")
+    assert whole.count("1000") == 1 and whole.count("997") == 1
+    same(query(spark, sf), whole, connect(sf))
+    assert query(spark, sf).agg(F.max(F.length("line"))).first()[0] > 200

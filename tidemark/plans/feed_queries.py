@@ -118,7 +118,7 @@ def nrm12_redacted(spark: SparkSession, d: str) -> DataFrame:
     """Conversation turns as log lines with credentials planted by rule."""
     c = read(spark, d, "conversations")
     line = F.concat(F.lit("token: abc"), F.col("conv_id"), F.lit(" Bearer xyz "), F.lit("redis://u:p@host/0 "), F.coalesce("text", F.lit("")))
-    return c.select("conv_id", "turn", T.redacted(line, 200).alias("line"))
+    return c.select("conv_id", "turn", T.redacted(line).alias("line"))
 
 
 def nrm13_search(spark: SparkSession, d: str) -> DataFrame:
