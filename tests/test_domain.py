@@ -164,3 +164,21 @@ def test_lines_are_redacted_to_their_full_length(spark):
     assert whole.count("1000") == 1 and whole.count("997") == 1
     same(query(spark, sf), whole, connect(sf))
     assert query(spark, sf).agg(F.max(F.length("line"))).first()[0] > 200
+
+
+def test_trees_train_with_all_rounds(spark, monkeypatch):
+    import inspect
+
+    from tidemark.config import ModelConfig
+    from tidemark.plans import decision_queries
+
+    asked, whole = [], inspect.signature(decision_queries.M.train)
+
+    def train(*a, **k):
+        bound = whole.bind(*a, **k)
+        bound.apply_defaults()
+        asked.append(bound.arguments["c"])
+
+    monkeypatch.setattr(decision_queries.M, "train", train)
+    assert decision_queries.mod1_trees(spark, "/root/testdata/sf0.001").count() == 0
+    assert asked == [ModelConfig()] and asked[0].rounds == 80

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.config import ModelConfig
 from tidemark.operators import features as X
 from tidemark.operators import history as H
 from tidemark.operators import model as M
@@ -56,7 +55,7 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
 def mod1_trees(spark: SparkSession, d: str) -> DataFrame:
     """Errors of boosted trees per split; trained on the first times, stopped on the middle ones."""
     split = X.chronological_split(examples(spark, d)).cache()
-    trained = M.train(split, ModelConfig(rounds=20))
+    trained = M.train(split)
     if trained is None:
         return spark.createDataFrame([], "split string, examples long, mae double, rmse double")
     out = M.score(*trained, split).withColumn("actual", F.col("target_paise2") / 200.0)
