@@ -182,3 +182,14 @@ def test_trees_train_with_all_rounds(spark, monkeypatch):
     monkeypatch.setattr(decision_queries.M, "train", train)
     assert decision_queries.mod1_trees(spark, "/root/testdata/sf0.001").count() == 0
     assert asked == [ModelConfig()] and asked[0].rounds == 80
+
+
+def test_known_rows_have_no_window(spark):
+    from tests.oracle import connect, same
+    from tidemark.plans import decision_queries
+
+    sf = "/root/testdata/sf0.001"
+    query, sql = decision_queries.QUERIES["fea1_visible"]
+    window = "q.observed_at BETWEEN e.start_at - INTERVAL 60 DAY AND e.start_at AND "
+    assert sql.count(window) == 1
+    same(query(spark, sf), sql.replace(window, ""), connect(sf))

@@ -23,9 +23,19 @@ def examples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fea1_visible(spark: SparkSession, d: str) -> DataFrame:
-    """Per event the rows of its days that were already known when it began; late rows are not."""
-    rows = S.in_events(H.qualifying(snapshots(spark, d)), sale_events(spark).withColumn("T", F.col("start_at")).withColumn("end_at", F.col("start_at")).withColumn("start_at", F.col("start_at") - F.expr("INTERVAL 60 DAYS")))
-    return rows.where(X.known_before(F.col("end_at"))).groupBy("event_id").agg(F.count("*").alias("known"), F.sum("price").cast("long").alias("total"))
+    """Per event all rows of its scope that were observed and recorded before it began, however old; late rows are not.
+
+    Rows are counted by scope and the time they were known first, and events meet these counts.
+    """
+    rows = H.qualifying(snapshots(spark, d)).where(F.col("observed_at").isNotNull() & F.col("created_at").isNotNull())
+    counts = rows.groupBy("retailer_id", "brand", "category", F.greatest("observed_at", "created_at").alias("known_at")).agg(F.count("*").alias("n"), F.sum("price").alias("paise"))
+    out = None
+    for bound, part in S._scoped(sale_events(spark)):
+        known = counts.groupBy(*bound, "known_at").agg(F.sum("n").alias("n"), F.sum("paise").alias("paise"))
+        events = part.select("event_id", F.col("start_at").alias("_at"), *(F.col(k).alias(f"_{k}") for k in bound))
+        met = known.join(events, [F.col("known_at") < F.col("_at"), *(F.col(k) == F.col(f"_{k}") for k in bound)]).select("event_id", "n", "paise")
+        out = met if out is None else out.unionByName(met)
+    return out.groupBy("event_id").agg(F.sum("n").alias("known"), F.sum("paise").cast("long").alias("total"))
 
 
 def fea5_features(spark: SparkSession, d: str) -> DataFrame:
