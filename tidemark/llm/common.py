@@ -14,13 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by the session; a temporary one only where none is set (tests)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The shared folder named by the session. Where none is set, a local session (tests) gets a temporary one; a cluster must name one."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-        root = spark.sparkContext.getCheckpointDir()
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+        root = context.getCheckpointDir()
     return root.rstrip("/") + "/tidemark"
 
 
@@ -36,7 +37,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def drop_scratch(df: DataFrame) -> None:
     """Delete a table written by materialize(), once nothing reads it any more."""
-    spark, path = df.sparkSession, df._tidemark_path
+    drop_path(df.sparkSession, df._tidemark_path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
