@@ -3,7 +3,9 @@
 import gzip
 import hashlib
 import io
+import math
 import os
+import re
 import struct
 import zlib
 
@@ -37,6 +39,33 @@ def test_quality_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
 
 
+def test_quality_scores_match_plain_ones(spark):
+    """The n-grams, their scaling and the margin, written out row by row."""
+    import xxhash
+
+    docs, labels = (spark.read.parquet(f"{SF}/{x}.parquet") for x in ("documents", "labels"))
+    model = quality.fit(docs.select("doc_id", "text"), labels)
+    texts = {r.doc_id: r.text for r in docs.limit(60).collect()} | {-1: None, -2: "", -3: "Ab 12"}
+    mask = (1 << 64) - 1
+
+    def plain(text):
+        words = (text or "").split()
+        shape = lambda w: "".join("X" if r.isupper() and len(r) > 1 else "Xx" if r[:1].isupper() else "x" if r[:1].isalpha() else "9" if r.isdigit() else r for r in re.findall(r"[^\W\d_]+|\d+|[\W_]", w))
+        a, b = [xxhash.xxh3_64_intdigest(w.lower()) for w in words], [xxhash.xxh3_64_intdigest(shape(w), 1) for w in words]
+        pair = lambda x, y: (x * 0x9E3779B97F4A7C15 + y) & mask
+        two, s2 = [pair(*x) for x in zip(a, a[1:])], [pair(*x) for x in zip(b, b[1:])]
+        grams = a + two + b + s2 + [pair(x, y) for x, y in zip(s2, b[2:])]
+        at = {(((g ^ (g >> 31)) * 0x9E3779B97F4A7C15 & mask) >> 20) % model.buckets for g in grams}
+        margin = (sum(float(model.weights[i]) for i in at) / len(at) ** 0.5 if at else 0.0) + model.bias
+        return 1 / (1 + math.exp(-min(30, max(-30, model.slope * margin + model.shift))))
+
+    rows = [(i, t) for i, t in texts.items()] * 2
+    scored = quality.score_quality(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert len(scored) == len(rows)
+    for r in scored:
+        assert abs(r.score - plain(texts[r.doc_id])) < 1e-4
+
+
 def test_quality_of_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1), (5, 0), (7, None), (None, 1)], "doc_id long, quality int")
     for marked in (labels, labels.limit(0)):
@@ -63,7 +92,41 @@ def test_dual_descent_separates():
 def test_language_on_held_out_rows(spark):
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = [r for r in language_id.op8_language_id(spark, SF).collect() if r.held_out]
-    assert np.mean([r.lang_pred == truth[r.doc_id] for r in rows]) >= 0.93
+    assert np.mean([r.lang_pred == truth[r.doc_id] for r in rows]) >= 0.97
+
+
+def test_languages_match_plain_sizes(spark):
+    """The language with the smallest sum of compressed blocks, ties to the first name, margins as documented."""
+    import zstandard
+
+    c = language_id.LanguageConfig()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    learned = language_id.dictionaries(docs)
+    assert sorted(learned) == sorted({r.lang for r in docs.select("lang").collect() if r.lang})
+    rows = [(r.doc_id, r.text) for r in docs.limit(80).collect()] + [(-1, None), (-2, ""), (-3, "12 34"), (-4, "é")]
+    got = language_id.identify(spark.createDataFrame(rows * 2, "doc_id long, text string"), learned).collect()
+    dicts = {k: zstandard.ZstdCompressionDict(v, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for k, v in learned.items()}
+    for r in got:
+        text = dict(rows)[r.doc_id]
+        if text is None or not any(x.isalpha() for x in text):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        data = text.lower().encode()
+        size = {}
+        for lang, d in dicts.items():
+            z = zstandard.ZstdCompressor(level=c.level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+            size[lang] = sum(len(z.compress(data[i : i + c.block_bytes])) for i in range(0, len(data), c.block_bytes))
+        best, second = sorted(size, key=lambda k: (size[k], k))[:2]
+        margin = (size[second] - size[best]) / size[second]
+        assert (r.lang_pred, r.rejected) == (best, margin < c.min_margin) and abs(r.score - margin / (margin + c.half_score)) < 1e-12
+
+
+def test_samples_come_from_all_over_a_text(spark):
+    text = "a" * 5000 + "b" * 5000 + "c" * 5000
+    c = language_id.LanguageConfig()
+    made = language_id.dictionaries(spark.createDataFrame([(1, text, "en"), (3, "short", "de"), (5, None, "fr"), (7, "x", None)], "doc_id long, text string, lang string"))
+    assert set(made) == {"en", "de"} and made["de"] == b"short"
+    assert made["en"].startswith(b"a") and made["en"].endswith(b"c") and b"b" * 100 in made["en"] and len(made["en"]) <= c.sample_chars + c.sample_pieces
 
 
 def test_language_of_odd_rows(spark):
@@ -155,6 +218,39 @@ def test_archives(spark):
     assert warc.read_archive(warc.write_archive(pages.limit(0)), c).where("record_type <> 'warcinfo'").count() == 0
 
 
+def test_broken_archives_give_error_rows(spark):
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * 500) for i in range(1, 6)], "page_id long, url string, html string")
+    c = warc.WarcConfig(chunk_bytes=60)
+    archive = [tuple(r) for r in warc.write_archive(pages, c).collect()]
+    by = {}
+    for r in archive:
+        by.setdefault(r[:2], []).append(r)
+    records = sorted(k for k in by if k[1] > 0)
+    cut, torn, junk = records[0], records[1], records[2]
+    rows = [r for k in by for r in by[k] if k not in (cut, torn, junk)]
+    rows += [r for r in by[cut] if r[2] < 1]  # the rest of the member is missing
+    rows += [(*r[:4], bytes(len(r[4])) if r[2] == 1 else r[4]) for r in by[torn]]
+    rows += [(*junk, 0, True, b"not gzip"), ("x", 1, 0, True, gzip.compress(b"no heads at all")), ("x", 2, 0, True, None), ("x", 3, 0, True, gzip.compress(b"WARC/1.1\r\nContent-Length: many\r\n\r\n"))]
+    found = warc.read_archive(spark.createDataFrame(rows, warc.ARCHIVE), c).collect()
+    bad = {(r.archive, r.seq) for r in found if r.error}
+    assert bad == {cut, torn, junk, ("x", 1), ("x", 2), ("x", 3)}
+    assert not [r for r in found if r.error and r.last] and {(r.archive, r.seq) for r in found if r.last} == set(by) - bad
+
+
+def test_writing_gives_pieces_before_the_record_ends():
+    """Pieces leave as soon as they are full: a payload of any size never lies there in one piece."""
+    given = []
+
+    def parts():
+        for k in range(200):
+            given.append(k)
+            yield os.urandom(1000)
+
+    pieces = warc.gzip_pieces(parts(), 500)
+    next(pieces)
+    assert len(given) < 200
+
+
 def test_small_payloads_are_never_revisits(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab")], "page_id long, url string, html string")
     c = warc.WarcConfig(min_revisit_bytes=3)
@@ -168,7 +264,7 @@ def test_recall_against_brute_force(spark):
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=float)
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    found = ann.nearest(vectors, vectors.where("vec_id % 100 = 0"), ann.AnnConfig(block_rows=1500, query_rows=20)).collect()
+    found = ann.nearest(vectors, vectors.where("vec_id % 100 = 0"), ann.AnnConfig(cell_rows=600, block_rows=250, query_rows=5)).collect()
     hits = total = 0
     for q in ids[ids % 100 == 0]:
         d = np.sqrt(((x - x[ids == q]) ** 2).sum(axis=1))
@@ -181,6 +277,67 @@ def test_recall_against_brute_force(spark):
     assert hits / total >= 0.9
 
 
+def clouds(kind, n=12_000, width=64):
+    rng = np.random.default_rng(3)
+    if kind == "gaussian":
+        return rng.standard_normal((n, width))
+    centres = rng.standard_normal((n // 60, width)) * (3 if kind == "far clusters" else 1)
+    return centres[rng.integers(0, len(centres), n)] + rng.standard_normal((n, width)) * (1 if kind == "far clusters" else 0.3)
+
+
+def found_share(x, asked, c):
+    m, quantile = ann.projection(x.shape[1], c), ann.chi_square_quantile(c.confidence, c.dims)
+    tree = ann.KdTree(x @ m, c.leaf)
+    hits = verified = 0
+    for i in asked:
+        got, n = ann.search_block(tree, tree.order, x[tree.order], int(i), x[i], x[i] @ m, quantile, c.k)
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        d[i] = np.inf
+        hits += len(set(np.argsort(d, kind="stable")[: c.k].tolist()) & {j for _, j in got})
+        verified += n
+    return hits / (c.k * len(asked)), verified / (len(asked) * len(x))
+
+
+@pytest.mark.parametrize(("kind", "most"), [("gaussian", 0.6), ("far clusters", 0.05), ("near clusters", 0.4)])
+def test_the_search_stops_early_and_finds_most(kind, most):
+    x = clouds(kind)
+    recall, share = found_share(x, np.arange(0, len(x), 200), ann.AnnConfig())
+    assert recall >= 0.93 and share <= most, (recall, share)
+
+
+def test_cells_that_hold_nothing_near_are_not_visited(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((20, 16))[rng.integers(0, 20, 6_000)] * 10 + rng.standard_normal((6_000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = ann.nearest(df, df.where("vec_id % 100 = 0"), ann.AnnConfig(cell_rows=300, block_rows=200)).collect()
+    hits = 0
+    for q in range(0, len(x), 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        hits += len(set(np.argsort(d, kind="stable")[:10].tolist()) & {r.vec_id for r in found if r.query_id == q})
+    assert len(found) == 600 and hits / 600 >= 0.93
+    c = ann.AnnConfig(leaf=300)
+    p = x @ ann.projection(16, c)
+    splits = ann.KdTree(p, 300).splits
+    cell = ann.leaves(splits, p)
+    cells = np.unique(cell)
+    low, high = (np.array([f(p[cell == k], axis=0) for k in cells]) for f in (np.min, np.max))
+    visited = []
+    for q in range(0, len(x), 100):
+        d = np.sort(np.sqrt(((x - x[q]) ** 2).sum(axis=1)))[10]
+        visited.append((ann.box_gaps(low, high, p[q]) <= ann.chi_square_quantile(c.confidence, c.dims) * d * d).mean())
+    assert len(cells) >= 20 and np.mean(visited) < 0.5
+
+
+def test_tree_leaves_hold_their_own_points():
+    p = np.random.default_rng(1).standard_normal((1000, 6))
+    tree = ann.KdTree(p, 20)
+    where = ann.leaves(tree.splits, p)
+    assert sorted(tree.order.tolist()) == list(range(1000)) and (tree.end - tree.at).max() <= 20
+    for i, (a, b) in enumerate(zip(tree.at, tree.end)):
+        assert set(where[tree.order[a:b]]) == {i}
+
+
 def test_neighbours_of_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [None, 1.0]), (7, [2.0, 0.0]), (7, [3.0, 0.0]), (8, [1.0, 1.0, 1.0]), (None, [1.0, 0.0]), (9, [1.0, 0.0]), (10, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"v": F.lit(1), "block": F.lit(2), "turn": F.lit(3)})
