@@ -11,8 +11,8 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 def documents(spark, rows=ROWS):
     from pyspark.sql import functions as F
 
-    clash = {x: F.lit(7) for x in ("id", "n", "bands", "key", "pos", "rank", "h", "line_no", "comp", "score", "kept", "at", "batch", "ids", "_text", "start")}
-    return spark.createDataFrame(rows, SCHEMA).withColumns({k: v for k, v in clash.items() if k != "_text"})
+    clash = {x: F.lit(7) for x in ("id", "n", "bands", "key", "pos", "rank", "h", "line_no", "comp", "score", "kept", "at", "batch", "ids", "_text", "_lines", "_runs", "_id", "_thash", "doc", "runs", "thash", "own_id", "start")}
+    return spark.createDataFrame(rows, SCHEMA).withColumns(clash)
 
 
 def empty(spark):

@@ -3,7 +3,7 @@
 All documents, in order of their ids, are one sequence of line ids. Only suffixes that begin with a repeated line can
 begin a repeated run, so the suffix array holds only those. Prefix doubling ranks them by their first 1, 2, 4, ... lines: the new
 rank is the old one plus the number of suffixes of the same old rank with a smaller rank 2^j lines on, which needs only the
-counts of distinct rank pairs, never a sort of a whole group. Suffixes whose rank becomes unique leave.
+counts of distinct rank pairs, summed up in buckets of ranks: no task sorts all followers of one line. Suffixes whose rank becomes unique leave.
 
 Suffixes that share their first l lines are an interval of the suffix array with a longest common prefix of at least l; the
 interval is named by the ranks of the first and of the last 2^j of the l lines. A run counts if it has at least
@@ -68,14 +68,24 @@ def _first_ranks(lines: DataFrame, c: LineConfig) -> DataFrame:
     return out
 
 
-def _doubled(ranked: DataFrame, size: int) -> DataFrame:
-    """(pos, left, rank) by the first 2 * size lines, of (pos, left, rank) by the first size; unique suffixes leave."""
+def _doubled(ranked: DataFrame, size: int, width: int) -> DataFrame:
+    """(pos, left, rank) by the first 2 * size lines, of (pos, left, rank) by the first size; unique suffixes leave.
+
+    The followers of one rank are dealt into buckets of `width` ranks; sums over buckets give each bucket's base.
+    """
     after = ranked.select((F.col("pos") - size).alias("pos"), F.col("rank").alias("next"))
-    pairs = ranked.where(F.col("left") >= 2 * size).join(after, "pos")
-    groups = pairs.groupBy("rank", "next").agg(F.count("*").alias("c")).where("c > 1")
-    lower = F.sum("c").over(Window.partitionBy("rank").orderBy("next")) - F.col("c")
-    named = groups.select("rank", "next", (F.col("rank") + lower).alias("own"))
-    return materialize(pairs.join(named, ["rank", "next"]).select("pos", "left", F.col("own").alias("rank")), "suffixes")
+    pairs = materialize(ranked.where(F.col("left") >= 2 * size).join(after, "pos"), "line-pairs")
+    counted = pairs.groupBy("rank", "next").agg(F.count("*").alias("c")).where("c > 1")
+    groups = materialize(counted.withColumn("bucket", F.floor(F.col("next") / width)), "line-groups")
+    sums = groups.groupBy("rank", "bucket").agg(F.sum("c").alias("c"))  # at most 2**rank_buckets_bits rows a rank
+    base = sums.select("rank", "bucket", (F.sum("c").over(Window.partitionBy("rank").orderBy("bucket")) - F.col("c")).alias("base"))
+    inner = F.sum("c").over(Window.partitionBy("rank", "bucket").orderBy("next")) - F.col("c")
+    named = groups.select("rank", "bucket", "next", inner.alias("inner")).join(base, ["rank", "bucket"]).select("rank", "next", (F.col("rank") + F.col("base") + F.col("inner")).alias("own"))
+    named = materialize(named, "line-names")  # read anew, so that AQE can split the rows of a frequent pair
+    out = materialize(pairs.join(named, ["rank", "next"]).select("pos", "left", F.col("own").alias("rank")), "suffixes")
+    for used in (pairs, groups, named):
+        drop_scratch(used)
+    return out
 
 
 def repeated_runs(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFrame:
@@ -92,18 +102,22 @@ def repeated_runs(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFra
     backward = suffixes.where("back > 1").select(*at, (F.col("line_no") - F.col("back") + 1).alias("line_no"), (F.col("pos") - F.col("back") + 1).alias("pos"), F.col("back").cast("long").alias("size"))
     windows = materialize(forward.union(backward).distinct(), "line-windows")
     longest = windows.agg(F.max("size")).first()[0] or 0
+    width = ((suffixes.agg(F.max("rank")).first()[0] or 0) >> c.rank_buckets_bits) + 1
     ranked, size, later = suffixes.select("pos", "left", "rank"), 1, []
     levels = []
     while size <= longest:
         own = windows.where((F.col("size") >= size) & (F.col("size") < 2 * size))
         first = ranked.select("pos", F.col("rank").alias("a"))
         last = ranked.select(F.col("pos").alias("tail"), F.col("rank").alias("b"))
-        keyed = own.join(first, "pos").withColumn("tail", F.col("pos") + F.col("size") - size).join(last, "tail")
+        keyed = materialize(own.join(first, "pos").withColumn("tail", F.col("pos") + F.col("size") - size).join(last, "tail"), "line-keyed")
         interval = keyed.groupBy("size", "a", "b").agg(F.min("pos").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+        interval = materialize(interval, "line-intervals")  # read anew, so that AQE can split the rows of a frequent run
         later.append(materialize(keyed.join(interval, ["size", "a", "b"]).where("pos > first").select(*at, "line_no", "size"), "line-later"))
+        for used in (keyed, interval):
+            drop_scratch(used)
         if 2 * size > longest:
             break
-        ranked = _doubled(ranked, size)
+        ranked = _doubled(ranked, size, width)
         levels.append(ranked)
         size *= 2
     for used in (*levels, suffixes, windows):
@@ -121,29 +135,38 @@ def repeated_runs(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFra
     return stretches.groupBy(*at, "stretch").agg(F.min("first_line").alias("first_line"), F.max("end_line").alias("end_line")).drop("stretch")
 
 
-def delete_repeats(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFrame:
-    """docs with _text (lines of later copies deleted), _lines and _deleted (their numbers) added.
-
-    Lines are compared exactly. Null texts stay null with 0 lines, an empty text is one empty line. Rows that repeat both id
-    and text are one document with one decision. If all lines go, the text is empty. An empty table stays empty.
-    """
+def _decided(docs: DataFrame, config: LineConfig) -> DataFrame:
+    """(doc, kept, n_lines, n_deleted) of every row: doc holds all of its columns, kept is the text that stays."""
     runs = repeated_runs(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), config)
     stretch = F.array_sort(F.collect_list(F.struct("first_line", "end_line")))
-    per_doc = runs.groupBy("doc_id", "thash").agg(stretch.alias("_runs")).select(F.col("doc_id").alias("_id"), F.col("thash").alias("_thash"), "_runs")
-    joined = docs.join(per_doc, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_thash")), "left")
-    lines = F.split("text", "\n")
-    begins = F.concat(F.array(F.lit(0)), F.transform("_runs", lambda r: r["end_line"]))
-    ends = F.concat(F.transform("_runs", lambda r: r["first_line"]), F.array(F.size(lines)))
+    per_doc = runs.groupBy("doc_id", "thash").agg(stretch.alias("runs")).withColumnRenamed("doc_id", "id")
+    rows = docs.select(F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias("doc"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("own_hash"))
+    joined = rows.join(per_doc, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("thash")), "left")
+    text = F.col("doc")["text"]
+    lines = F.split(text, "\n")
+    begins = F.concat(F.array(F.lit(0)), F.transform("runs", lambda r: r["end_line"]))
+    ends = F.concat(F.transform("runs", lambda r: r["first_line"]), F.array(F.size(lines)))
     kept = F.flatten(F.zip_with(begins, ends, lambda a, b: F.slice(lines, a + 1, b - a)))
-    deleted = F.aggregate("_runs", F.lit(0), lambda total, r: total + r["end_line"] - r["first_line"])
+    deleted = F.aggregate("runs", F.lit(0), lambda total, r: total + r["end_line"] - r["first_line"])
     return joined.select(
-        *(docs[x] for x in docs.columns),
-        F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("_text"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("_lines"),
-        F.coalesce(deleted, F.lit(0)).cast("long").alias("_deleted"),
+        "doc",
+        F.when(F.col("runs").isNull(), text).otherwise(F.array_join(kept, "\n")).alias("kept"),
+        F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.coalesce(deleted, F.lit(0)).cast("long").alias("n_deleted"),
     )
 
 
+def delete_repeats(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFrame:
+    """docs with _text (lines of later copies deleted), _lines and _deleted (their numbers) added; columns of these names are replaced.
+
+    Lines are compared exactly. Null texts stay null with 0 lines, an empty text is one empty line. Rows that repeat both id
+    and text are one document with one decision. If all lines go, the text is empty. An empty table stays empty.
+    """
+    added = {"_text": "kept", "_lines": "n_lines", "_deleted": "n_deleted"}
+    own = [F.col("doc")[x].alias(x) for x in docs.columns if x not in added]
+    return _decided(docs, config).select(*own, *(F.col(v).alias(k) for k, v in added.items()))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return delete_repeats(docs).select("doc_id", F.col("_lines").alias("n_lines"), F.col("_deleted").alias("n_deleted"), F.col("_text").alias("text"))
@@ -170,7 +193,6 @@ FROM documents t LEFT JOIN g USING (doc_id)
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: later copies of repeated runs go from the texts; n_chars is counted anew. All documents stay, but those without text left."""
-    done = delete_repeats(docs)
-    done = done.where((F.col("_deleted") == 0) | (F.length("_text") > 0))
-    fresh = {"text": F.col("_text"), "n_chars": F.when(F.col("_deleted") > 0, F.length("_text").cast("long")).otherwise(F.col("n_chars"))}
-    return done.select(*(fresh.get(x, F.col(x)).alias(x) for x in docs.columns))
+    done = _decided(docs, LineConfig()).where((F.col("n_deleted") == 0) | (F.length("kept") > 0))
+    fresh = {"text": F.col("kept"), "n_chars": F.when(F.col("n_deleted") > 0, F.length("kept").cast("long")).otherwise(F.col("doc")["n_chars"])}
+    return done.select(*(fresh.get(x, F.col("doc")[x]).alias(x) for x in docs.columns))
