@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,45 +33,57 @@ def listed(events: DataFrame, at: Column, sources: list[str], status: str, offse
     return counted.orderBy("start_at", "event_id").offset(offset).limit(limit)
 
 
-def _scoped(events: DataFrame) -> list[tuple[list[str], DataFrame]]:
-    """Events split by which scope columns they bind, so that every part joins on equal keys."""
-    names = ["retailer_id", "brand", "category"]
-    parts = []
-    for mask in range(8):
-        bound = [n for i, n in enumerate(names) if mask >> i & 1]
-        kind = F.lit(True)
-        for n in names:
-            kind = kind & (F.col(n).isNotNull() if n in bound else F.col(n).isNull())
-        parts.append((bound, events.where(kind)))
-    return parts
+SCOPES = ["retailer_id", "brand", "category"]
 
 
-def event_products(products: DataFrame, events: DataFrame) -> DataFrame:
-    """(event_id, product columns) of all events that can apply to a product; a null scope is a wildcard and the retailer is left open."""
-    out = None
-    for bound, part in _scoped(events):
-        keys = [k for k in bound if k != "retailer_id"]
-        side = part.select("event_id", *(F.col(k).alias(f"_{k}") for k in keys))
-        on = [F.col(k) == F.col(f"_{k}") for k in keys]
-        rows = (products.join(side, on) if on else products.join(side)).select("event_id", *products.columns)
-        out = rows if out is None else out.unionByName(rows)
+def _mask(columns: list[str]) -> Column:
+    """Which of the scope columns an event binds, as bits."""
+    return sum((F.when(F.col(c).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(columns)), F.lit(0))
+
+
+def _scope_key(mask: Column, columns: list[str]) -> Column:
+    """One number for the values of the scope columns that a mask binds; equal keys are checked against the columns after the join."""
+    return F.xxhash64(mask, *(F.when(mask.bitwiseAND(F.lit(1 << i)) != 0, F.col(c).cast("string")) for i, c in enumerate(columns)))
+
+
+def scoped(rows: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """rows and events with `_scope`, a key to join them on, and the scope columns in question: those that rows have.
+
+    A row is repeated for each combination of scope columns that any event binds (at most eight, looked up), so that a
+    calendar of all kinds of events takes one pass over the rows and one join on equal keys.
+    """
+    columns = [c for c in SCOPES if c in rows.columns]
+    masks = sorted(r[0] for r in events.select(_mask(columns)).distinct().collect()) or [0]
+    keyed = rows.select("*", F.explode(F.array(*map(F.lit, masks))).alias("_mask")).select("*", _scope_key(F.col("_mask"), columns).alias("_scope")).drop("_mask")
+    return keyed, events.select("*", _scope_key(_mask(columns), columns).alias("_scope")), columns
+
+
+def fits(columns: list[str], prefix: str = "_") -> Column:
+    """An event, with its scope in prefixed columns, applies to a row: null scopes are wildcards."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & (F.col(f"{prefix}{c}").isNull() | (F.col(f"{prefix}{c}") == F.col(c)))
     return out
 
 
+def event_products(products: DataFrame, events: DataFrame) -> DataFrame:
+    """(event_id, product columns) of all events that can apply to a product; a null scope is a wildcard, and so is a scope that products don't have."""
+    rows, sides, columns = scoped(products, events)
+    side = sides.select("event_id", "_scope", *(F.col(c).alias(f"_{c}") for c in columns))
+    return rows.join(side, "_scope").where(fits(columns)).select("event_id", *products.columns)
+
+
 def in_events(points: DataFrame, events: DataFrame) -> DataFrame:
     """(event columns, point columns) of every observation inside an event that applies to it; both bounds belong to the event.
 
     Each event is spread over its days, so the interval join is an equal join on day and scope, with the exact bounds checked after it.
     """
+    rows, sides, columns = scoped(points, events)
     days = F.explode(F.sequence(F.to_date("start_at"), F.to_date("end_at"))).alias("_day")
-    dated = points.withColumn("_day", F.to_date("observed_at"))
-    out = None
-    for bound, part in _scoped(events):
-        side = part.select("event_id", "start_at", "end_at", days, *(F.col(k).alias(f"_{k}") for k in bound)).withColumnRenamed("_day", "_event_day")
-        on = [F.col("_day") == F.col("_event_day"), F.col("observed_at") >= F.col("start_at"), F.col("observed_at") <= F.col("end_at"), *(F.col(k) == F.col(f"_{k}") for k in bound)]
-        rows = dated.join(side, on).select("event_id", "start_at", "end_at", *points.columns)
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    side = sides.select("event_id", "start_at", "end_at", days, "_scope", *(F.col(c).alias(f"_{c}") for c in columns))
+    met = rows.withColumn("_day", F.to_date("observed_at")).join(side, ["_scope", "_day"])
+    inside = (F.col("observed_at") >= F.col("start_at")) & (F.col("observed_at") <= F.col("end_at"))
+    return met.where(inside & fits(columns)).select("event_id", "start_at", "end_at", *points.columns)
 
 
 def event_stats(points: DataFrame, events: DataFrame, key: str = "product_id") -> DataFrame:
@@ -118,12 +130,61 @@ def overall_stats(points: DataFrame, events: DataFrame, key: str = "product_id")
 def discounted(points: DataFrame, keys: list[str], c: SalesConfig = SalesConfig()) -> DataFrame:
     """Rows at least drop_percent below the median of all earlier prices of their series; medians in doubled paise are exact.
 
-    The median is the built-in one over a growing row frame: right for series of up to some thousand rows. Use discounted_long beyond.
+    Series are dealt and sorted by Spark, and a task streams over its series. The running median of one series comes from the ranks of its
+    prices: a count tree over them finds the middle in logarithmic time, so a series of n rows takes n log n steps and n numbers of memory.
     """
     rows = qualifying(points)
-    before = along(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    prior = (F.percentile("price", F.lit(0.5)).over(before) * 2).cast("long")
-    return _dropped(rows.withColumn("prior2", prior), c)
+    tagged = rows.select("*", F.concat_ws("|", *(F.coalesce(F.col(k).cast("string"), F.lit("none")) for k in keys)).alias("_series")).repartition("_series").sortWithinPartitions("_series", *SKEY)
+    schema = rows.schema.add("prior2", "long")
+
+    def medians(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held = None, []  # the series whose end hasn't been seen yet
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = batch.column("_series").dictionary_encode()
+            starts = np.flatnonzero(np.diff(codes.indices.to_numpy(), prepend=-1)).tolist()
+            for at, end in zip(starts, [*starts[1:], batch.num_rows]):
+                own = codes[at].as_py()
+                if own != name:
+                    yield from with_medians(held)
+                    name, held = own, []
+                held.append(batch.slice(at, end - at))
+        yield from with_medians(held)
+
+    def with_medians(series: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if series:
+            whole = pa.Table.from_batches(series)
+            doubled = pa.array(running_median(whole.column("price").to_numpy()), pa.int64())
+            yield from whole.drop_columns(["_series"]).append_column("prior2", doubled).to_batches(max_chunksize=10_000)
+
+    return _dropped(tagged.mapInArrow(medians, schema), c)
+
+
+def running_median(prices: np.ndarray) -> list[int | None]:
+    """Twice the median of all earlier prices, for each price; null for the first."""
+    ranked = np.unique(prices)
+    ranks, values = np.searchsorted(ranked, prices).tolist(), ranked.tolist()
+    top = 1 << max(0, len(values) - 1).bit_length()
+    counts = [0] * (top + 1)
+
+    def nth(n: int) -> int:
+        at, step = 0, top
+        while step:
+            if at + step <= len(values) and counts[at + step] <= n:
+                at += step
+                n -= counts[at]
+            step >>= 1
+        return values[at]
+
+    out: list[int | None] = []
+    for n, rank in enumerate(ranks):
+        out.append(nth(n // 2) + nth((n - 1) // 2) if n else None)
+        at = rank + 1
+        while at <= len(values):
+            counts[at] += 1
+            at += at & -at
+    return out
 
 
 def _dropped(rows: DataFrame, c: SalesConfig) -> DataFrame:
@@ -132,39 +193,13 @@ def _dropped(rows: DataFrame, c: SalesConfig) -> DataFrame:
     return kept.withColumn("drop_percent", percent4(F.col("prior2") - 2 * F.col("price"), F.col("prior2")))
 
 
-def discounted_long(points: DataFrame, keys: list[str], c: SalesConfig = SalesConfig()) -> DataFrame:
-    """Same rows as discounted(), for long series: the running median comes from a sorted list that each row is inserted into.
-
-    Series are dealt and sorted by Spark; a task streams over its series and holds the prices of one at a time.
-    """
-    rows = qualifying(points)
-    tagged = rows.select("*", F.struct(*keys).cast("string").alias("_series")).repartition(*keys).sortWithinPartitions(*keys, *SKEY)
-    schema = rows.schema.add("prior2", "long")
-
-    def medians(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        series, held = None, []
-        for batch in batches:
-            out = []
-            for name, value in zip(batch["_series"], batch["price"].tolist(), strict=True):
-                if name != series:
-                    series, held = name, []
-                n = len(held)
-                out.append(None if not n else held[n // 2] + held[(n - 1) // 2])
-                bisect.insort(held, value)
-            batch = batch.drop(columns="_series")
-            batch["prior2"] = pd.array(out, dtype="Int64")
-            yield batch
-
-    return _dropped(tagged.mapInPandas(medians, schema), c)
-
-
-def detect_windows(points: DataFrame, c: SalesConfig = SalesConfig(), keys: tuple[str, ...] = ("listing_id", "seller_id"), per_retailer: bool = False, long_series: bool = False) -> DataFrame:
+def detect_windows(points: DataFrame, c: SalesConfig = SalesConfig(), keys: tuple[str, ...] = ("listing_id", "seller_id"), per_retailer: bool = False) -> DataFrame:
     """Sale windows inferred from concurrent drops, by retailer, category and brand.
 
     Rows are collapsed to one per scope and day before islands are cut, so a hot category meets one task with days, not rows;
     islands are joined back by day. Two days whose nearest observations are more than max_gap_days apart begin a new window.
     """
-    drops = (discounted_long if long_series else discounted)(points, list(keys), c)
+    drops = discounted(points, list(keys), c)
     scopes = F.array(*(F.struct(F.lit(s).alias("scope"), F.col(col).cast("string").alias("scope_id")) for s, col in (("retailer", "retailer_id"), ("category", "category"), ("brand", "brand"))))
     part = F.col("retailer_id").cast("string") if per_retailer else F.lit("")
     rows = drops.select("observed_at", "drop_percent", *keys, part.alias("part"), F.inline(scopes)).where("scope_id is not null").withColumn("day", F.to_date("observed_at"))
@@ -175,7 +210,7 @@ def detect_windows(points: DataFrame, c: SalesConfig = SalesConfig(), keys: tupl
     islands = daily.withColumn("_new", F.when(gap > c.max_gap_days * DAY_US, 1).otherwise(0)).withColumn("island", F.sum("_new").over(order)).select(*scope, "day", "island")
     placed = rows.join(islands, [*scope, "day"])
     found = placed.groupBy(*scope, "island").agg(
-        F.min("observed_at").alias("start_at"), F.max("observed_at").alias("end_at"), F.count_distinct(F.struct(*keys)).alias("listings"),
+        F.min("observed_at").alias("start_at"), F.max("observed_at").alias("end_at"), F.count_distinct(F.concat_ws("|", *(F.coalesce(F.col(k).cast("string"), F.lit("none")) for k in keys))).alias("listings"),
         F.count("*").alias("observations"), (half_up((F.percentile(F.round(F.col("drop_percent") * 10_000).cast("long"), F.lit(0.5)) * 2).cast("long"), F.lit(2)) / 10_000.0).alias("median_drop_percent"),
     ).where(F.col("listings") >= c.min_listings)
     level = F.when(F.col("listings") >= c.high_listings, "high").when(F.col("listings") >= c.medium_listings, "medium").otherwise("low")

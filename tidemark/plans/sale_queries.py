@@ -15,7 +15,7 @@ STRONG = SalesConfig(drop_percent=25)
 
 
 def sal1_status(spark: SparkSession, d: str) -> DataFrame:
-    """Status of every event at the day of every tenth product's newest observation."""
+    """Status of every brand event at the time of every product's newest observation."""
     days = snapshots(spark, d).groupBy("product_id", "brand").agg(F.max("observed_at").alias("at_day"))
     branded = sale_events(spark).where("brand is not null").select("event_id", F.col("brand").alias("_brand"), "start_at", "end_at")
     return days.join(branded, F.col("brand") == F.col("_brand")).select("product_id", "event_id", S.event_status(F.col("at_day")).alias("status"))
@@ -48,25 +48,26 @@ def sal8_overall(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sal10_discounted(spark: SparkSession, d: str) -> DataFrame:
-    return S.discounted(snapshots(spark, d), ["listing_id"]).select("snapshot_id", "listing_id", "price", "prior2", "drop_percent")
+    return S.discounted(snapshots(spark, d), ["listing_id", "seller_id"]).select("snapshot_id", "listing_id", "seller_id", "price", "prior2", "drop_percent")
 
 
 def sal10_discounted_long(spark: SparkSession, d: str) -> DataFrame:
-    return S.discounted_long(snapshots(spark, d), ["product_id"]).select("snapshot_id", "product_id", "price", "prior2", "drop_percent")
+    """The same over the longer series of whole products."""
+    return S.discounted(snapshots(spark, d), ["product_id"]).select("snapshot_id", "product_id", "price", "prior2", "drop_percent")
 
 
 def sal13_windows(spark: SparkSession, d: str) -> DataFrame:
-    return S.detect_windows(snapshots(spark, d), STRONG, ("listing_id",))
+    return S.detect_windows(snapshots(spark, d), STRONG)
 
 
 def sal13_windows_per_retailer(spark: SparkSession, d: str) -> DataFrame:
-    return S.detect_windows(snapshots(spark, d), SalesConfig(), ("listing_id",), per_retailer=True)
+    return S.detect_windows(snapshots(spark, d), SalesConfig(), per_retailer=True)
 
 
 def snk2_new_windows(spark: SparkSession, d: str) -> DataFrame:
     """Windows that detection finds at 10 percent but not at 25 percent, by the identity an insert would check."""
-    known = S.windows_as_events(S.detect_windows(snapshots(spark, d), STRONG, ("listing_id",)))
-    return S.new_windows(S.windows_as_events(S.detect_windows(snapshots(spark, d), SalesConfig(), ("listing_id",))), known).select("event_id", "start_at", "end_at", "event_type", "confidence")
+    known = S.windows_as_events(S.detect_windows(snapshots(spark, d), STRONG))
+    return S.new_windows(S.windows_as_events(S.detect_windows(snapshots(spark, d), SalesConfig())), known).select("event_id", "start_at", "end_at", "event_type", "confidence")
 
 
 _APPLIES = "(e.retailer_id IS NULL OR e.retailer_id = q.retailer_id) AND (e.brand IS NULL OR e.brand = q.brand) AND (e.category IS NULL OR e.category = q.category)"
@@ -78,18 +79,26 @@ es AS (SELECT product_id, event_id, n, average_paise, low.p AS low_paise, low.s
   CASE WHEN baseline_n = 0 THEN 'no_qualifying_observations' WHEN baseline_paise = 0 THEN 'zero_baseline_price' END AS below_reason FROM b)"""
 
 
+_SERIES = "listing_id, seller_id"
+
+
 def _drops(key: str, percent: int) -> str:
     return f"""d0 AS (SELECT *, CAST(2 * median(price) OVER (PARTITION BY {key} ORDER BY observed_at, created_at, snapshot_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT) AS prior2 FROM q),
 dr AS (SELECT *, {percent4('prior2 - 2 * price', 'prior2')} AS drop_percent FROM d0 WHERE prior2 > 0 AND 100 * (prior2 - 2 * price) >= {percent} * prior2)"""
 
 
-def _windows(percent: int, part: str = "''", out: str = "win") -> str:
-    return f"""{_drops('listing_id', percent)},
-sc AS (SELECT {part} AS part, 'retailer' AS scope, CAST(retailer_id AS VARCHAR) AS scope_id, observed_at, listing_id, drop_percent FROM dr UNION ALL SELECT {part}, 'category', category, observed_at, listing_id, drop_percent FROM dr UNION ALL SELECT {part}, 'brand', brand, observed_at, listing_id, drop_percent FROM dr),
+def sessions_sql(percent: int, part: str = "''") -> str:
+    """Discounted rows by scope, with the number of their island."""
+    return f"""{_drops(_SERIES, percent)},
+sc AS (SELECT {part} AS part, 'retailer' AS scope, CAST(retailer_id AS VARCHAR) AS scope_id, observed_at, concat_ws('|', listing_id, coalesce(CAST(seller_id AS VARCHAR), 'none')) AS series, drop_percent FROM dr UNION ALL SELECT {part}, 'category', category, observed_at, concat_ws('|', listing_id, coalesce(CAST(seller_id AS VARCHAR), 'none')) AS series, drop_percent FROM dr UNION ALL SELECT {part}, 'brand', brand, observed_at, concat_ws('|', listing_id, coalesce(CAST(seller_id AS VARCHAR), 'none')) AS series, drop_percent FROM dr),
 gp AS (SELECT *, CASE WHEN observed_at - lag(observed_at) OVER (PARTITION BY part, scope, scope_id ORDER BY observed_at) > INTERVAL 2 DAY THEN 1 ELSE 0 END AS nw FROM sc),
-isl AS (SELECT *, sum(nw) OVER (PARTITION BY part, scope, scope_id ORDER BY observed_at RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM gp),
-{out} AS (SELECT scope, scope_id, CASE WHEN scope = 'retailer' THEN 'retailer_specific' ELSE scope END AS event_type, min(observed_at) AS start_at, max(observed_at) AS end_at, count(DISTINCT listing_id) AS listings, count(*) AS observations, {half_up('CAST(2 * median(CAST(round(drop_percent * 10000) AS BIGINT)) AS BIGINT)', '2')} / 10000.0::DOUBLE AS median_drop_percent,
-  CASE WHEN count(DISTINCT listing_id) >= 5 THEN 'high' WHEN count(DISTINCT listing_id) >= 2 THEN 'medium' ELSE 'low' END AS confidence, 'Detected ' || scope || ' sale ' || strftime(min(observed_at), '%Y-%m-%d') AS name, part FROM isl GROUP BY part, scope, scope_id, island HAVING count(DISTINCT listing_id) >= 2)"""
+isl AS (SELECT *, sum(nw) OVER (PARTITION BY part, scope, scope_id ORDER BY observed_at RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM gp)"""
+
+
+def _windows(percent: int, part: str = "''", out: str = "win") -> str:
+    return f"""{sessions_sql(percent, part)},
+{out} AS (SELECT scope, scope_id, CASE WHEN scope = 'retailer' THEN 'retailer_specific' ELSE scope END AS event_type, min(observed_at) AS start_at, max(observed_at) AS end_at, count(DISTINCT series) AS listings, count(*) AS observations, {half_up('CAST(2 * median(CAST(round(drop_percent * 10000) AS BIGINT)) AS BIGINT)', '2')} / 10000.0::DOUBLE AS median_drop_percent,
+  CASE WHEN count(DISTINCT series) >= 5 THEN 'high' WHEN count(DISTINCT series) >= 2 THEN 'medium' ELSE 'low' END AS confidence, 'Detected ' || scope || ' sale ' || strftime(min(observed_at), '%Y-%m-%d') AS name, part FROM isl GROUP BY part, scope, scope_id, island HAVING count(DISTINCT series) >= 2)"""
 
 
 _STATUS = "CASE WHEN {a} < start_at THEN 'before_event' WHEN {a} > end_at THEN 'after_event' ELSE 'during_event' END"
@@ -103,7 +112,7 @@ QUERIES = {
     "sal8_overall": (sal8_overall, f"""WITH {SNAP}, {EVENTS}, {_IN}, f AS (SELECT q.*, snapshot_id IN (SELECT snapshot_id FROM ie) AS s FROM q)
 SELECT product_id, count(*) FILTER (s) AS sale_n, {long(half_up('sum(price) FILTER (s)', 'count(*) FILTER (s)'))} AS sale_average_paise, min(price) FILTER (s) AS sale_low_paise, count(*) FILTER (NOT s) AS regular_n, {long(half_up('sum(price) FILTER (NOT s)', 'count(*) FILTER (NOT s)'))} AS regular_average_paise,
   median(price) FILTER (NOT s) AS regular_median_paise, CASE WHEN count(*) FILTER (s) = 0 THEN 'no_observations_during_event' END AS reason FROM f GROUP BY 1"""),
-    "sal10_discounted": (sal10_discounted, f"WITH {SNAP}, {_drops('listing_id', 10)} SELECT snapshot_id, listing_id, price, prior2, drop_percent FROM dr"),
+    "sal10_discounted": (sal10_discounted, f"WITH {SNAP}, {_drops(_SERIES, 10)} SELECT snapshot_id, listing_id, seller_id, price, prior2, drop_percent FROM dr"),
     "sal10_discounted_long": (sal10_discounted_long, f"WITH {SNAP}, {_drops('product_id', 10)} SELECT snapshot_id, product_id, price, prior2, drop_percent FROM dr"),
     "sal13_windows": (sal13_windows, f"WITH {SNAP}, {_windows(25)} SELECT * EXCLUDE (part) FROM win"),
     "sal13_windows_per_retailer": (sal13_windows_per_retailer, f"WITH {SNAP}, {_windows(10, 'CAST(retailer_id AS VARCHAR)')} SELECT * FROM win"),
