@@ -1,4 +1,4 @@
-"""Leakage-safe features and labels: one example per listing and sale event, seeing only what was known before the event."""
+"""Leakage-safe features and labels: one example per series (listing and seller) and sale event, seeing only what was known before the event."""
 
 from __future__ import annotations
 
@@ -10,11 +10,13 @@ from tidemark.config import ModelConfig
 from tidemark.functions.money import mean, whole
 from tidemark.functions.series import days_between, skey
 from tidemark.operators.history import qualifying
-from tidemark.operators.sales import in_events
+from tidemark.operators.sales import fits, in_events, scoped
 
+#: Names of the features.
 NUMERIC = ["current_price", "avg_7d", "avg_30d", "avg_90d", "historical_low", "historical_high", "price_volatility", "previous_sale_price", "previous_sale_low", "previous_sale_count", "mrp", "days_until_sale", "month", "day_of_week", "day_of_year", "is_weekend"]
 CATEGORICAL = ["retailer_id", "seller_id", "brand_id", "category_id", "sale_event_id", "sale_event_type"]
-EXAMPLE = ["listing_id", "event_id"]
+SERIES = ["listing_id", "seller_id"]
+EXAMPLE = ["listing_id", "seller_id", "event_id"]
 INFERRED = "observed_price_inference"
 
 
@@ -28,62 +30,91 @@ def schedule_known(at: Column) -> Column:
     return F.when(F.col("source") == INFERRED, F.col("end_at") < at).otherwise(F.col("source").isNotNull())
 
 
+def series(listing: str = "listing_id", seller: str = "seller_id") -> Column:
+    """A series as one value; no seller is a seller of its own."""
+    return F.concat_ws("|", F.col(listing).cast("string"), F.coalesce(F.col(seller).cast("string"), F.lit("none")))
+
+
 def labels(points: DataFrame, events: DataFrame) -> DataFrame:
-    """(listing_id, event_id, as_of, target_paise2, target_n): twice the median in-event price, of listings with earlier known rows."""
-    rows = qualifying(points)
-    inside = in_events(rows, events).groupBy(*EXAMPLE).agg((F.percentile("price", F.lit(0.5)) * 2).cast("long").alias("target_paise2"), F.count("*").alias("target_n"), F.first("start_at").alias("as_of"))
-    return inside
+    """(listing_id, seller_id, event_id, as_of, target_paise2, target_n): twice the median in-event price of every series.
+
+    Only of series with a row that was observed and recorded before the event began: without one there is no example.
+    """
+    rows = qualifying(points).select(series().alias("_series"), *SERIES, "retailer_id", "brand", "category", "price", "observed_at", "created_at")
+    inside = in_events(rows, events).groupBy("_series", *EXAMPLE).agg((F.percentile("price", F.lit(0.5)) * 2).cast("long").alias("target_paise2"), F.count("*").alias("target_n"), F.first("start_at").alias("as_of"))
+    known = rows.groupBy("_series").agg(F.min(F.greatest("observed_at", "created_at")).alias("_known_at"))
+    return inside.join(known, "_series").where("_known_at < as_of").drop("_known_at", "_series")
 
 
-def feature_table(points: DataFrame, events: DataFrame) -> DataFrame:
-    """The labelled examples with 16 numeric and 6 categorical features and their completeness.
+def asked(points: DataFrame, at: Column) -> DataFrame:
+    """An example per series without an event or a target, at one time: what is scored."""
+    rows = qualifying(points).select(*SERIES).distinct()
+    none = lambda kind: F.lit(None).cast(kind)
+    return rows.select(*SERIES, none("string").alias("event_id"), at.alias("as_of"), none("long").alias("target_paise2"), none("long").alias("target_n"))
 
-    Everything is joined on the listing: its examples meet its earlier rows, and its completed sales, and each is reduced in one aggregation.
+
+def feature_table(points: DataFrame, events: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """The examples (labelled ones, if none are given) with 16 numeric and 6 categorical features and their completeness.
+
+    Everything is joined on the series: its examples meet its earlier rows, and its completed sales, and each is reduced in one aggregation.
+    An example without a row known before its time has no features and gives no row. An example without an event takes the nearest
+    published one.
     """
-    rows, wanted = qualifying(points), labels(points, events)
+    rows = qualifying(points).select(series().alias("_series"), *SERIES, "product_id", "retailer_id", "brand", "category", "price", "mrp_paise", "observed_at", "created_at", "snapshot_id")
+    wanted = labels(points, events) if wanted is None else wanted
+    wanted = wanted.select(series().alias("_series"), F.col("event_id").alias("_event"), "as_of", "target_paise2", "target_n")
+    example = ["_series", "_event"]
     T = F.col("as_of")
-    seen = wanted.join(rows, "listing_id").where(known_before(T))
-    fields = ["price", "mrp_paise", "retailer_id", "seller_id", "brand", "category"]
+    seen = wanted.join(rows, "_series").where(known_before(T))
+    fields = ["product_id", "listing_id", "price", "mrp_paise", "retailer_id", "seller_id", "brand", "category"]
     recent = lambda d: F.col("observed_at") >= T - F.make_dt_interval(F.lit(d))
     average = lambda d: mean(F.sum(F.when(recent(d), F.col("price"))), F.count_if(recent(d)))
     n, sy, syy = F.count("*"), F.sum("price"), F.sum(F.col("price") * F.col("price"))
     spread = F.when(n > 1, (n * syy - sy * sy).cast("double") / F.nullif(n * (n - 1), F.lit(0)).cast("double"))
-    base = seen.groupBy(*EXAMPLE, "as_of", "target_paise2", "target_n").agg(
+    base = seen.groupBy(*example, "as_of", "target_paise2", "target_n").agg(
         F.max_by(F.struct(*fields), skey()).alias("now"), average(7).alias("a7"), average(30).alias("a30"), average(90).alias("a90"),
         F.min("price").alias("low"), F.max("price").alias("high"), F.round(F.sqrt(spread) / 100, 2).alias("volatility"),
     )
-    sold = in_events(rows, events).select("listing_id", F.col("event_id").alias("past_id"), F.col("start_at").alias("past_start"), F.col("end_at").alias("past_end"), "price", "observed_at", "created_at")
-    past = wanted.select(*EXAMPLE, "as_of").join(sold, "listing_id").where((F.col("past_end") < T) & known_before(T))
-    windows = past.groupBy(*EXAMPLE, "past_id", "past_start").agg(mean(F.sum("price"), F.count("*")).alias("average"), F.min("price").alias("lowest"))
-    last = windows.groupBy(*EXAMPLE).agg(F.max_by(F.struct("average", "lowest"), F.struct("past_start", "past_id")).alias("last"), F.count("*").alias("sales"))
-    joined = base.join(last, EXAMPLE, "left").join(events.select("event_id", "event_type", "source", "start_at", "end_at"), "event_id")
-    target_known = schedule_known(T)
-    upcoming = _nearest_known(joined.where(~target_known), events)
-    full = joined.join(upcoming, EXAMPLE, "left")
+    sold = in_events(rows, events).select("_series", F.col("event_id").alias("past_id"), F.col("start_at").alias("past_start"), F.col("end_at").alias("past_end"), "price", "observed_at", "created_at")
+    past = wanted.select(*example, "as_of").join(sold, "_series").where((F.col("past_end") < T) & known_before(T))
+    windows = past.groupBy(*example, "past_id", "past_start").agg(mean(F.sum("price"), F.count("*")).alias("average"), F.min("price").alias("lowest"))
+    last = windows.groupBy(*example).agg(F.max_by(F.struct("average", "lowest"), F.struct("past_start", "past_id")).alias("last"), F.count("*").alias("sales"))
+    last = last.select(F.col("_series").alias("_s"), F.col("_event").alias("_e"), "last", "sales")
+    own = events.select(F.col("event_id").alias("_event"), "event_type", "source", "start_at", "end_at")
+    joined = base.join(last, (F.col("_series") == F.col("_s")) & F.col("_event").eqNullSafe(F.col("_e")), "left").join(own, "_event", "left")
+    target_known = F.coalesce(schedule_known(T), F.lit(False))
+    full = _with_nearest(joined, events, T)
     pick = lambda own, other: F.when(target_known, own).otherwise(F.col(other))
     rupees = lambda c: F.col(c) / 100.0
     starts = pick(F.col("start_at"), "near_start")
     featured = full.select(
-        *EXAMPLE, "as_of", "target_paise2", "target_n",
+        F.col("now.product_id").alias("product_id"), F.col("now.listing_id").alias("listing_id"), F.col("_event").alias("event_id"), "as_of", "target_paise2", "target_n",
         (F.col("now.price") / 100.0).alias("current_price"), rupees("a7").alias("avg_7d"), rupees("a30").alias("avg_30d"), rupees("a90").alias("avg_90d"),
         rupees("low").alias("historical_low"), rupees("high").alias("historical_high"), F.col("volatility").alias("price_volatility"),
         (F.col("last.average") / 100.0).alias("previous_sale_price"), (F.col("last.lowest") / 100.0).alias("previous_sale_low"), F.coalesce("sales", F.lit(0)).cast("double").alias("previous_sale_count"),
         (F.col("now.mrp_paise") / 100.0).alias("mrp"), F.greatest(F.lit(0.0), days_between(starts, T)).alias("days_until_sale"),
         F.month(T).cast("double").alias("month"), F.weekday(T).cast("double").alias("day_of_week"), F.dayofyear(T).cast("double").alias("day_of_year"), F.when(F.weekday(T) >= 5, 1.0).otherwise(0.0).alias("is_weekend"),
         F.col("now.retailer_id").cast("string").alias("retailer_id"), F.col("now.seller_id").cast("string").alias("seller_id"), F.col("now.brand").alias("brand_id"), F.col("now.category").alias("category_id"),
-        pick(F.col("event_id"), "near_id").alias("sale_event_id"), pick(F.col("event_type"), "near_type").alias("sale_event_type"),
+        pick(F.col("_event"), "near_id").alias("sale_event_id"), pick(F.col("event_type"), "near_type").alias("sale_event_type"),
     )
     present = sum((F.col(c).isNotNull().cast("int") for c in NUMERIC + CATEGORICAL), F.lit(0))
     return featured.withColumn("completeness", F.round(present / float(len(NUMERIC + CATEGORICAL)), 6))
 
 
-def _nearest_known(examples: DataFrame, events: DataFrame) -> DataFrame:
-    """For examples whose own event couldn't be known: the nearest published event that has not ended and applies to the listing."""
-    side = events.where(F.col("source") != INFERRED).select(F.col("event_id").alias("near_id"), F.col("event_type").alias("near_type"), F.col("start_at").alias("near_start"), F.col("end_at").alias("near_end"), F.col("retailer_id").alias("_r"), F.col("brand").alias("_b"), F.col("category").alias("_c"))
-    fits = (F.col("_r").isNull() | (F.col("_r") == F.col("now.retailer_id"))) & (F.col("_b").isNull() | (F.col("_b") == F.col("now.brand"))) & (F.col("_c").isNull() | (F.col("_c") == F.col("now.category")))
-    rows = examples.select(*EXAMPLE, "as_of", "now").join(side, (F.col("near_end") >= F.col("as_of")) & fits)
-    best = F.min_by(F.struct("near_id", "near_type", "near_start"), F.struct("near_start", "near_id"))
-    return rows.groupBy(*EXAMPLE).agg(best.alias("near")).select(*EXAMPLE, "near.near_id", "near.near_type", "near.near_start")
+def _with_nearest(examples: DataFrame, events: DataFrame, at: Column) -> DataFrame:
+    """examples with the nearest published event that applies to them and has not ended (near_id, near_type, near_start).
+
+    It depends on the time and the scope alone, so only the distinct ones of these meet the events.
+    """
+    columns = ["retailer_id", "brand", "category"]
+    placed = examples.select("*", *(F.col(f"now.{c}").alias(f"_now_{c}") for c in columns))
+    questions = placed.select(F.col("as_of"), *(F.col(f"_now_{c}").alias(c) for c in columns)).distinct()
+    rows, sides, bound = scoped(questions, events.where(F.col("source") != INFERRED))
+    side = sides.select("_scope", F.col("event_id").alias("near_id"), F.col("event_type").alias("near_type"), F.col("start_at").alias("near_start"), F.col("end_at").alias("near_end"), *(F.col(c).alias(f"_{c}") for c in bound))
+    met = rows.join(side, "_scope").where((F.col("near_end") >= at) & fits(bound))
+    near = met.groupBy(at.alias("_at"), *columns).agg(F.min_by(F.struct("near_id", "near_type", "near_start"), F.struct("near_start", "near_id")).alias("near"))
+    same = [F.col("as_of") == F.col("_at"), *(F.col(f"_now_{c}").eqNullSafe(F.col(c)) for c in columns)]
+    return placed.join(near, same, "left").select(*examples.columns, "near.near_id", "near.near_type", "near.near_start")
 
 
 def chronological_split(examples: DataFrame, c: ModelConfig = ModelConfig()) -> DataFrame:
@@ -105,8 +136,8 @@ def split_summary(split: DataFrame, c: ModelConfig = ModelConfig()) -> DataFrame
 
 
 def fit_encoder(train: DataFrame, columns: list[str] = CATEGORICAL) -> DataFrame:
-    """(feature, value, code): codes by first appearance in the order of (as_of, event, listing), each feature on its own."""
-    order = F.struct("as_of", "event_id", "listing_id")
+    """(feature, value, code): codes by first appearance in the order of (as_of, event, listing, seller), each feature on its own."""
+    order = F.struct("as_of", "event_id", "listing_id", F.coalesce("seller_id", F.lit("none")))
     rows = train.select(order.alias("at_row"), F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in columns)))).where("value is not null")
     first = rows.groupBy("feature", "value").agg(F.min("at_row").alias("at_row"))
     return first.select("feature", "value", (F.row_number().over(Window.partitionBy("feature").orderBy("at_row", "value")) - 1).alias("code"))

@@ -20,13 +20,24 @@ def events_ahead(products: DataFrame, events: DataFrame, as_of: Column, c: Recom
     Inferred windows and low confidence are never credible; days are whole days, rounded down.
     """
     ahead = events.where(F.col("start_at") > as_of).withColumn("days", F.floor((F.unix_micros("start_at") - F.unix_micros(as_of)) / 86_400_000_000))
-    about = ahead.select("event_id", "start_at", "days", "confidence", "source", F.col("retailer_id").alias("event_retailer"))
-    rows = event_products(products, ahead).join(about, "event_id").where("event_retailer is null or event_retailer = retailer_id")
+    about = ahead.select("event_id", "start_at", "days", "confidence", "source")
+    rows = event_products(products, ahead).join(about, "event_id")
     good = (F.col("source") != "observed_price_inference") & F.col("confidence").isin("high", "medium") & (F.col("days") <= c.horizon_days)
     first = F.min_by(F.when(good, F.struct("event_id", "days")), F.when(good, F.struct("days", "start_at", "event_id")))
     return rows.groupBy("product_id").agg(first.alias("next"), F.coalesce(F.bool_or(~good), F.lit(False)).alias("weak_ahead")).select("product_id", F.col("next.event_id").alias("event_id"), F.col("next.days").alias("event_days"), "weak_ahead")
 
 
+def with_prediction(rows: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Variant histories with the prediction of the same variant, retailer and seller as their current row; another listing's is never taken.
+
+    Of several listings of one seller the one with the smallest id counts.
+    """
+    made = predictions.where("status = 'PREDICTED'").groupBy("product_id", "retailer_id", "seller_id").agg(F.min_by(F.struct("predicted_paise", "confidence"), "listing_id").alias("p"))
+    side = made.select(F.col("product_id").alias("_product"), F.col("retailer_id").alias("_retailer"), F.col("seller_id").alias("_seller"), "p.predicted_paise", F.col("p.confidence").alias("prediction_confidence"))
+    same = (F.col("product_id") == F.col("_product")) & (F.col("retailer_id") == F.col("_retailer")) & F.col("seller_id").eqNullSafe(F.col("_seller"))
+    return rows.join(side, same, "left").drop("_product", "_retailer", "_seller")
+
+
 def decide(inputs: DataFrame, as_of: Column, c: RecommendConfig = RecommendConfig()) -> DataFrame:
     """The decision of every row of a variant history joined with event_id, event_days, weak_ahead, predicted_paise and prediction_confidence."""
     now, low, a30, a90 = (F.col(x) for x in ("current_paise", "low_paise", "avg_30d", "avg_90d"))
