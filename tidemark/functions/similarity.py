@@ -56,6 +56,15 @@ def gram_cosine(left: str, right: str, dimension: int) -> float:
     return min(1.0, max(0.0, sum(v * other.get(k, 0.0) for k, v in gram_vector(left, dimension))))
 
 
+def document_cosine(dimension: int):
+    """UDF of (left document, right document): the cosine of their n-gram vectors."""
+    @F.pandas_udf("double")
+    def scores(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([gram_cosine(a, b, dimension) for a, b in zip(left, right)], dtype="float64")
+
+    return scores
+
+
 def pair_scores(least: float, dimension: int):
     """UDF of (left tokens, right tokens, left document, right document, left brand, right brand, left hint, right hint)."""
     @F.pandas_udf("title double, embedding double, brand_ratio double, hint_ratio double")

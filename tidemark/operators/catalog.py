@@ -21,17 +21,20 @@ SNAPSHOT_KEY = ["listing_id", "observed_at", "seller_id"]
 def new_snapshots(batch: DataFrame, fact: DataFrame) -> DataFrame:
     """What an idempotent append would write: of rows with the same listing, time and seller the first recorded one, unless the fact has it.
 
-    The fact is cut to the days of the batch first, so only the touched partitions are read.
+    A fact that is partitioned by observed_date is cut to the days of the batch first: they are looked up and given as literals, so
+    only the touched partitions are read.
     """
-    days = batch.agg(F.min("observed_at").alias("lo"), F.max("observed_at").alias("hi"))
-    touched = fact.join(days, (F.col("observed_at") >= F.col("lo")) & (F.col("observed_at") <= F.col("hi"))).drop("lo", "hi")
-    return new_rows(batch, touched, SNAPSHOT_KEY, [F.col("created_at"), F.col("snapshot_id")])
+    if "observed_date" in fact.columns:
+        days = [r[0] for r in batch.select(F.to_date("observed_at")).distinct().collect()]  # calendar days
+        fact = fact.where(F.col("observed_date").isin(days))
+    return new_rows(batch, fact, SNAPSHOT_KEY, [F.col("created_at"), F.col("snapshot_id")])
 
 
 def append_snapshots(batch: DataFrame, path: str) -> None:
     """Append what is new to a fact partitioned by observed date; running it twice writes nothing more."""
     spark = batch.sparkSession
-    fact = spark.read.schema(batch.schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], batch.schema)
+    schema = batch.schema.add("observed_date", "date") if "observed_date" not in batch.columns else batch.schema
+    fact = spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], batch.schema)
     dated = new_snapshots(batch, fact).withColumn("observed_date", F.to_date("observed_at"))
     dated.write.mode("append").partitionBy("observed_date").parquet(path)
 
@@ -88,5 +91,21 @@ def merge_sellers(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     return rows.select(*incoming.columns, found.alias("seller_id"), F.when(found.isNull(), "new").when(F.col("_by_id").isNotNull(), "external_id").otherwise("first_party").alias("found_by"))
 
 
+def pages(rows: DataFrame, key: str, order: list[Column], offset: int, limit: int) -> DataFrame:
+    """The same page of every key's rows, with its number in the order and the total before paging.
+
+    The window keeps row numbers up to the end of the page only; totals are aggregated apart, so a hot key is no sorted group.
+    """
+    turn = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    shown = rows.select("*", turn.alias("row_no")).where(F.col("row_no") <= offset + limit).where(F.col("row_no") > offset)
+    return shown.join(rows.groupBy(key).agg(F.count("*").alias("total")), key)
+
+
+def children(categories: DataFrame) -> DataFrame:
+    """categories (category_id, parent_id, name) with how many child categories each has, none included."""
+    below = categories.where("parent_id is not null").groupBy(F.col("parent_id").alias("category_id")).agg(F.count("*").alias("children"))
+    return categories.join(below, "category_id", "left").withColumn("children", F.coalesce("children", F.lit(0)))
+
+
 def page(rows: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
     return rows.orderBy(*order).offset(offset).limit(limit)

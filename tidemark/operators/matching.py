@@ -16,11 +16,11 @@ from tidemark.functions.similarity import pair_scores
 from tidemark.functions.text import slug
 
 #: Words and labels that the rules know.
-ACCESSORIES = "case cover charger cable protector tempered glass pouch sleeve stand mount adapter skin film bumper holster strap screenprotector backcover".split()
-PRIMARIES = "smartphone phone mobile laptop notebook earbuds earbud headphones headphone buds soundbar television tv purifier refrigerator washer camera tablet watch console".split()
-HINT_SKIPS = "gb tb ram ssd hdd 5g 4g lte wifi in ear inch wireless wired bluetooth smart edition series smartphone phone mobile laptop notebook headphones headphone television tv".split()
-COLORS = "black white silver gold blue red green grey gray midnight charcoal slate beige pink purple orange yellow bronze graphite starlight cream".split()
-STOP_WORDS = "the a an and or of for with in on to by from new latest original official genuine pack combo offer deal sale best price buy online store marketplace assured warranty edition version only launched".split()
+ACCESSORIES = ["case", "cover", "charger", "cable", "protector", "tempered", "glass", "pouch", "sleeve", "stand", "mount", "adapter", "skin", "film", "bumper", "holster", "strap", "screenprotector", "backcover"]
+PRIMARIES = ["smartphone", "phone", "mobile", "laptop", "notebook", "earbuds", "earbud", "headphones", "headphone", "buds", "soundbar", "television", "tv", "purifier", "refrigerator", "washer", "camera", "tablet", "watch", "console"]
+HINT_SKIPS = ["gb", "tb", "ram", "ssd", "hdd", "5g", "4g", "lte", "wifi", "in", "ear", "inch", "wireless", "wired", "bluetooth", "smart", "edition", "series", "smartphone", "phone", "mobile", "laptop", "notebook", "headphones", "headphone", "television", "tv"]
+COLORS = ["black", "white", "silver", "gold", "blue", "red", "green", "grey", "gray", "midnight", "charcoal", "slate", "beige", "pink", "purple", "orange", "yellow", "bronze", "graphite", "starlight", "cream"]
+STOP_WORDS = ["the", "a", "an", "and", "or", "of", "for", "with", "in", "on", "to", "by", "from", "new", "latest", "original", "official", "genuine", "pack", "combo", "offer", "deal", "sale", "best", "price", "buy", "online", "store", "marketplace", "assured", "warranty", "edition", "version", "only", "launched"]
 SYNONYMS = {"colour": "color", "colours": "color", "smartphone": "phone", "smartphones": "phone", "mobile": "phone", "mobiles": "phone", "notebook": "laptop", "notebooks": "laptop", "earbuds": "buds", "earbud": "buds", "earphones": "buds", "headphone": "headphones", "tv": "television", "ssd": "storage", "hdd": "storage"}
 KEYS = {"colour": "color", "colors": "color", "colours": "color", "memory": "ram", "memory_size": "ram", "internal_storage": "storage", "rom": "storage", "ssd": "storage", "hdd": "storage", "screen_size": "size", "display_size": "size", "coverage": "capacity", "volume": "capacity", "tank": "capacity", "gen": "generation", "style": "variant", "model_number": "model"}
 VARIANT_KEYS = ["ram", "storage", "size", "color", "capacity", "generation", "variant"]
@@ -103,6 +103,12 @@ def title_tokens(title: Column) -> Column:
     return F.filter(words, lambda w: ~w.isin(STOP_WORDS))
 
 
+def merged_attributes(attributes: Column, title: Column) -> Column:
+    """What the title tells, and over it what the listing's own attributes say."""
+    own = attribute_map(attributes)
+    return F.map_concat(F.map_filter(title_attributes(title), lambda k, v: ~F.map_contains_key(own, k)), own)
+
+
 def title_attributes(title: Column) -> Column:
     """RAM, storage, generation and colours that a title tells."""
     size = lambda n, u: F.concat(trimmed_number(n), F.lower(u))
@@ -118,10 +124,7 @@ def title_attributes(title: Column) -> Column:
 
 def prepare(candidates: DataFrame) -> DataFrame:
     """Everything of a candidate that its pairs need, computed once."""
-    own = attribute_map(F.col("attributes"))
-    told = title_attributes(F.col("title"))
-    merged = F.map_concat(F.map_filter(told, lambda k, v: ~F.map_contains_key(own, k)), own)
-    rows = candidates.withColumn("attrs", merged).withColumn("words", plain_tokens(F.col("title")))
+    rows = candidates.withColumn("attrs", merged_attributes(F.col("attributes"), F.col("title"))).withColumn("words", plain_tokens(F.col("title")))
     brand_words = F.coalesce(plain_tokens(F.col("brand")), F.array().cast("array<string>"))
     skip = F.array_union(brand_words, F.array(*map(F.lit, [*ACCESSORIES, *HINT_SKIPS, *COLORS])))
     kept = F.filter("words", lambda w: ~F.array_contains(skip, w) & ~w.rlike("^\\d+(gb|tb|mb|mm|cm)$") & ~(w.rlike("^\\d+$") & (w.try_cast("decimal(38,0)") >= 32)))
@@ -168,22 +171,32 @@ def blocked_among(prepared: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.where(F.arrays_overlap("_left", "_right")).select("left_id", "right_id").distinct()
 
 
+def identifier_signals(left: Column, right: Column) -> tuple[Column, Column]:
+    """Families in which two sets of identifiers share one, and families that both have without sharing any."""
+    agree = families_of(F.array_intersect(left, right))
+    return F.array_sort(agree), F.array_sort(F.array_except(F.array_intersect(families_of(left), families_of(right)), agree))
+
+
+def attribute_signals(left: Column, right: Column) -> tuple[Column, Column, Column]:
+    """Variant attributes that conflict, and how many both have and agree in; colours agree on any shared word."""
+    parts = lambda v: F.split(v, " ")
+    alike = lambda k: F.when(k == "color", F.arrays_overlap(parts(left[k]), parts(right[k])) | F.contains(left[k], right[k]) | F.contains(right[k], left[k])).otherwise(left[k] == right[k])
+    overlap = F.filter(F.array_intersect(F.map_keys(left), F.map_keys(right)), lambda k: k.isin(VARIANT_KEYS))
+    return F.array_sort(F.filter(overlap, lambda k: ~alike(k))), F.size(overlap), F.size(F.filter(overlap, alike))
+
+
 def scored_pairs(prepared: DataFrame, pairs: DataFrame, c: MatchingConfig = MatchingConfig()) -> DataFrame:
     side = lambda s, n: prepared.where(F.col("side") == n).select(F.col("cid").alias(f"{n}_id"), *(F.col(x).alias(f"{s}_{x}") for x in ("ids", "attrs", "hint", "brand_sig", "tokens", "accessory", "document")))
     rows = pairs.join(side("l", "left"), "left_id").join(side("r", "right"), "right_id")
     rows = rows.withColumn("s", pair_scores(c.token_ratio, c.dimension)("l_tokens", "r_tokens", "l_document", "r_document", "l_brand_sig", "r_brand_sig", "l_hint", "r_hint"))
     within = lambda a, b: F.contains(F.col(a), F.col(b)) | F.contains(F.col(b), F.col(a))
     same = lambda a, b, r: F.when(F.coalesce(F.col(a), F.lit("")).isin("") | F.coalesce(F.col(b), F.lit("")).isin(""), None).otherwise(within(a, b) | (F.col(r) >= c.hint_ratio))
-    shared = F.array_intersect("l_ids", "r_ids")
-    families = F.array_intersect(families_of(F.col("l_ids")), families_of(F.col("r_ids")))
-    agree = families_of(shared)
-    parts = lambda v: F.split(v, " ")
-    alike = lambda k: F.when(k == "color", F.arrays_overlap(parts(F.col("l_attrs")[k]), parts(F.col("r_attrs")[k])) | F.contains(F.col("l_attrs")[k], F.col("r_attrs")[k]) | F.contains(F.col("r_attrs")[k], F.col("l_attrs")[k])).otherwise(F.col("l_attrs")[k] == F.col("r_attrs")[k])
-    overlap = F.filter(F.array_intersect(F.map_keys("l_attrs"), F.map_keys("r_attrs")), lambda k: k.isin(VARIANT_KEYS))
+    matches, id_conflicts = identifier_signals(F.col("l_ids"), F.col("r_ids"))
+    conflicts, overlapping, agreeing = attribute_signals(F.col("l_attrs"), F.col("r_attrs"))
     return rows.select(
-        "left_id", "right_id", F.array_sort(agree).alias("id_matches"), F.array_sort(F.array_except(families, agree)).alias("id_conflicts"),
+        "left_id", "right_id", matches.alias("id_matches"), id_conflicts.alias("id_conflicts"),
         same("l_brand_sig", "r_brand_sig", "s.brand_ratio").alias("brand_match"), same("l_hint", "r_hint", "s.hint_ratio").alias("model_match"),
-        F.array_sort(F.filter(overlap, lambda k: ~alike(k))).alias("variant_conflicts"), F.size(overlap).alias("overlapping"), F.size(F.filter(overlap, alike)).alias("agreeing"),
+        conflicts.alias("variant_conflicts"), overlapping.alias("overlapping"), agreeing.alias("agreeing"),
         (F.col("l_accessory") != F.col("r_accessory")).alias("accessory_mismatch"), F.col("s.title").alias("title_score"), F.col("s.embedding").alias("embedding_score"),
     )
 

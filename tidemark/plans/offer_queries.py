@@ -8,22 +8,32 @@ from pyspark.sql import functions as F
 from tidemark.operators import offers as O
 from tidemark.plans.base_sql import ADJ, SNAP, percent2
 from tidemark.plans.history_queries import FRESH, ROLLED
-from tidemark.sources.tables import adjustments, products, sellers, snapshots
+from tidemark.sources.tables import adjustments, adjustments_of, products, sellers, snapshots
 
 AS_OF = "2001-05-01 00:00:00"
 _moment = lambda: F.lit(AS_OF).cast("timestamp")
 
 
-def latest_offers(spark: SparkSession, d: str) -> DataFrame:
-    """Latest observation per listing and seller, with the seller's facts."""
-    rows = O.latest(snapshots(spark, d).drop("suppkey", "line_no"), "listing_id", "seller_id")
+def with_seller_facts(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
     facts = sellers(spark, d).select(F.col("suppkey").alias("seller_id"), (F.col("acctbal") > 5000).alias("first_party"), (F.col("acctbal") > 0).alias("active"))
     rows = rows.join(facts, "seller_id", "left")
     return rows.select("*", O.seller_score(F.col("seller_id"), F.col("first_party"), F.col("active")).alias("seller_score"), F.concat(F.lit("shop-"), "retailer_id").alias("retailer_slug"), F.concat_ws("/", F.col("listing_id").cast("string"), F.coalesce(F.col("seller_id").cast("string"), F.lit("-"))).alias("offer_id")).drop("first_party", "active")
 
 
+def priced_rows(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
+    """Snapshots as priced offers."""
+    return O.priced(with_seller_facts(spark, d, rows), adjustments(spark, d), _moment())
+
+
+def latest_offers(spark: SparkSession, d: str) -> DataFrame:
+    """Latest observation per listing and seller, with the seller's facts; line and supplier tell its adjustments."""
+    return with_seller_facts(spark, d, O.latest(snapshots(spark, d), "listing_id", "seller_id"))
+
+
 def priced_offers(spark: SparkSession, d: str) -> DataFrame:
-    return O.priced(latest_offers(spark, d), adjustments(spark, d), _moment())
+    """Offers with the adjustments of their own snapshots: these follow from the snapshot's line, so the fact is read once."""
+    offers = latest_offers(spark, d)
+    return O.priced(offers.drop("suppkey", "line_no"), adjustments_of(offers), _moment())
 
 
 def listings(spark: SparkSession, d: str) -> DataFrame:

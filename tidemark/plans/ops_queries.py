@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-import uuid
+import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.config import SalesConfig
 from tidemark.functions.similarity import cosine
+from tidemark.operators import catalog as C
 from tidemark.operators import matching as G
 from tidemark.operators import ops as O
-from tidemark.plans.base_sql import SNAP
+from tidemark.operators import sales as S
+from tidemark.plans.base_sql import ADJ, SNAP
 from tidemark.plans.history_queries import his15_newest_age
-from tidemark.plans.offer_queries import WINNERS, winners
+from tidemark.plans.offer_queries import WINNERS, priced_rows, winners
+from tidemark.plans.sale_queries import sessions_sql
+from tidemark.sources.scratch import drop_path, scratch_folder
 from tidemark.sources.tables import products, read, snapshots
 from tidemark.streaming import streams
 
@@ -90,6 +97,12 @@ def alr2_user_lists(spark: SparkSession, d: str) -> DataFrame:
     return O.user_counts(e.select("user_id", F.when(F.col("event_type") == "view", "watch").otherwise("saved").alias("list"), (F.col("event_id") % 97).alias("product_id")))
 
 
+def alr2_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The second page of two of every user's watch list, the latest first."""
+    seen = read(spark, d, "events").where("event_type = 'view'").groupBy("user_id", (F.col("event_id") % 97).alias("product_id")).agg(F.max("ts").alias("added_at"))
+    return C.pages(seen, "user_id", [F.col("added_at").desc(), F.col("product_id")], 2, 2)
+
+
 def log(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").select("event_id", "ts", (F.col("user_id") % 5).alias("retailer_id"), (F.col("event_type") == "error").alias("failed"), "value", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
@@ -140,37 +153,83 @@ def ops7_stale(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not root:
-        import tempfile
+    return scratch_folder(spark, "streams")
+
+
+def _clean(spark: SparkSession, folder: str) -> None:
+    """Delete what a stream needed besides its result."""
+    for part in ("in", "cp", "state"):
+        drop_path(spark, f"{folder}/{part}")
+
+
+def _arrive(spark: SparkSession, folder: str, parts: list[DataFrame], start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Write the parts one after the other and let the stream take up each of them, restarted from its checkpoint, before the next comes."""
+    for part in parts:
+        part.write.mode("append").parquet(f"{folder}/in")
+        start(streams.read(spark, f"{folder}/in", part.schema, 10_000)).awaitTermination()
+    _clean(spark, folder)
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-        root = spark.sparkContext.getCheckpointDir()
-    return f"{root}/streams/{uuid.uuid4().hex}"
 
+RANGES = ("1997-01-01", "1999-01-01")
 
-def _stream(spark: SparkSession, rows: DataFrame, folder: str) -> DataFrame:
-    """rows as a stream of files."""
-    rows.write.parquet(f"{folder}/in")
-    return streams.read(spark, f"{folder}/in", rows.schema)
+
+def _in_time(rows: DataFrame, at: str = "observed_at", bounds: tuple = RANGES) -> list[DataFrame]:
+    """rows by ranges of time, which arrive one after the other."""
+    edges = [F.lit(b).cast("timestamp") for b in bounds]
+    part = sum((F.when(F.col(at) >= e, 1).otherwise(0) for e in edges), F.lit(0))
+    return [rows.where(part == i) for i in range(len(bounds) + 1)]
+
+
+def _closing(rows: DataFrame, at: str, days: tuple[int, ...] = (40, 80), **values) -> list[DataFrame]:
+    """One row some time after all others, then another: with them the watermark passes all windows before, so that these are complete."""
+    newest = rows.agg(F.max(at).alias("newest"))
+    types = dict(rows.dtypes)
+    column = lambda c, d: (F.timestamp_add("DAY", F.lit(d), F.col("newest")) if c == at else F.lit(values.get(c)).cast(types[c])).alias(c)
+    return [newest.select(*(column(c, d) for c in rows.columns)) for d in days]
 
 
 def str1_ingest(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct (listing, time, seller) keys that a stream of snapshots lets through; files come in time order."""
+    """Distinct (listing, time, seller) keys that a stream of snapshots lets through.
+
+    Rows of a quarter of the listings come twice. With the last range, rows of the first come again under another key: years later than the
+    watermark allows, so they are cut off.
+    """
     folder = _folder(spark)
     s = snapshots(spark, d)
-    rows = s.unionByName(s.where("listing_id % 4 = 0")).repartitionByRange(8, "observed_at")
-    streams.to_table(streams.ingest(_stream(spark, rows, folder), "4000 days"), f"{folder}/out", f"{folder}/cp").awaitTermination()
+    parts = _in_time(s.unionByName(s.where("listing_id % 4 = 0")))
+    parts[-1] = parts[-1].unionByName(parts[0].withColumn("seller_id", F.lit(-1).cast("long")))
+    _arrive(spark, folder, parts, lambda rows: streams.to_table(streams.ingest(rows, "30 days"), f"{folder}/out", f"{folder}/cp"))
     return spark.read.schema(s.schema).parquet(f"{folder}/out").groupBy("retailer_id").agg(F.count("*").alias("observations"))
 
 
 def str2_daily(spark: SparkSession, d: str) -> DataFrame:
+    """Daily statistics, each day written once it is complete."""
+    folder = _folder(spark)
+    s = snapshots(spark, d)
+    out = streams.daily_stats(s)
+    _arrive(spark, folder, [*_in_time(s), *_closing(s, "observed_at")], lambda rows: streams.to_table(streams.daily_stats(rows), f"{folder}/out", f"{folder}/cp"))
+    return spark.read.schema(out.schema).parquet(f"{folder}/out").where("retailer_id is not null")
+
+
+def str3_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Sliding windows of the log in which more than a quarter of the events failed."""
+    folder = _folder(spark)
+    rows = log(spark, d).select("event_id", "ts", "failed")
+    bounds = rows.agg(F.percentile_approx(F.unix_seconds("ts"), [0.33, 0.66], 1000)).first()[0] or [0]
+    moments = tuple(dt.datetime.fromtimestamp(b, dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S") for b in bounds)
+    out = streams.metric_windows(rows)
+    _arrive(spark, folder, [*_in_time(rows, "ts", moments), *_closing(rows, "ts", failed=False)], lambda r: streams.to_table(streams.metric_windows(r), f"{folder}/out", f"{folder}/cp"))
+    return spark.read.schema(out.schema).parquet(f"{folder}/out").where("errors * 4 > events")
+
+
+def str4_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions of discounted rows per retailer, category and brand, each written once it is over."""
     folder = _folder(spark)
-    rows = snapshots(spark, d)
-    out = streams.daily_stats(_stream(spark, rows, folder), "4000 days")
-    name = f"daily_{uuid.uuid4().hex}"
-    out.writeStream.foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{folder}/{name}")).option("checkpointLocation", f"{folder}/cp").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{folder}/{name}")
+    scopes = F.array(*(F.struct(F.lit(s).alias("scope"), F.col(c).cast("string").alias("scope_id")) for s, c in (("retailer", "retailer_id"), ("category", "category"), ("brand", "brand"))))
+    drops = S.discounted(snapshots(spark, d), ["listing_id", "seller_id"], SalesConfig(drop_percent=25)).select("observed_at", F.inline(scopes))
+    out = streams.sale_sessions(drops)
+    _arrive(spark, folder, [*_in_time(drops), *_closing(drops, "observed_at", scope="end", scope_id="end")], lambda r: streams.to_table(streams.sale_sessions(r), f"{folder}/out", f"{folder}/cp"))
+    return spark.read.schema(out.schema).parquet(f"{folder}/out").where("scope <> 'end'")
 
 
 def str5_drops(spark: SparkSession, d: str) -> DataFrame:
@@ -183,15 +242,28 @@ def str5_drops(spark: SparkSession, d: str) -> DataFrame:
     s = snapshots(spark, d)
     late = F.unix_micros("observed_at")
     bounds = s.agg(F.percentile_approx(late, [0.25, 0.5, 0.75], 1000)).first()[0] or []
-    rows = s.withColumn("_range", sum((F.when(late > b, 1).otherwise(0) for b in bounds), F.lit(0))).persist()
+    rows = s.withColumn("_range", sum((F.when(late > b, 1).otherwise(0) for b in bounds), F.lit(0)))
     n = max(2, spark.sparkContext.defaultParallelism)
     for i in range(len(bounds) + 1):
         rows.where(F.col("_range") == i).drop("_range").repartition(n, *streams.SERIES).write.mode("append").parquet(f"{folder}/in")
-    rows.unpersist()
     streams.each_batch(streams.read(spark, f"{folder}/in", s.schema, n), streams.drop_events(f"{folder}/state", f"{folder}/out"), f"{folder}/cp").awaitTermination()
+    _clean(spark, folder)
     return spark.read.parquet(f"{folder}/out").select("snapshot_id", "listing_id", "seller_id", "price", "baseline_paise")
 
 
+def str6_alerts(spark: SparkSession, d: str) -> DataFrame:
+    """Alerts met by the offers that arrive in each of three ranges of time, at their verified prices."""
+    folder = _folder(spark)
+    s = snapshots(spark, d)
+
+    def offers_of(batch: DataFrame) -> DataFrame:
+        priced = priced_rows(spark, d, batch.drop("suppkey", "line_no"))
+        return priced.select("product_id", F.lit("INR").alias("currency"), "verified_paise", "can_win")
+
+    _arrive(spark, folder, _in_time(s), lambda r: streams.each_batch(r, streams.alerts(alert_rules(spark, d), offers_of, f"{folder}/out"), f"{folder}/cp"))
+    return spark.read.parquet(f"{folder}/out").select("batch", "user_id", "product_id", "threshold_paise", "verified_paise", "margin_paise")
+
+
 _LOG = """lg AS (SELECT event_id, ts, user_id % 5 AS retailer_id, event_type = 'error' AS failed, value, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)"""
 _JOBS = f"""{_LOG}, jb AS (SELECT date_trunc('hour', ts) AS hour, retailer_id, CASE WHEN count(*) FILTER (failed) > 0 AND count(*) FILTER (NOT failed) > 0 THEN 'partial' WHEN count(*) FILTER (failed) > 0 THEN 'failed' ELSE 'success' END AS status, 'job|' || retailer_id || '|' || epoch_us(date_trunc('hour', ts)) // 3600000000 % 400 AS idempotency_key FROM lg GROUP BY ALL)"""
 _CODE = "[" + ", ".join(f"'{v[0]}'" for v in O.ERROR_CODES.values()) + ", 'unexpected'][k % 11 + 1]"
@@ -212,6 +284,7 @@ SELECT product_id, lpad(CAST(product_id AS VARCHAR), 14, '0') AS barcode, CASE W
     "mat20_evaluation": (mat20_evaluation, None),
     "alr1_alerts": (alr1_alerts, f"WITH {SNAP}, {WINNERS}, ru AS (SELECT c_custkey AS user_id, c_custkey % (SELECT count(*) FROM prod) AS product_id, CASE WHEN c_custkey % 9 = 0 THEN 'USD' ELSE 'INR' END AS currency, CAST(90000 + round(c_acctbal * 10) AS BIGINT) AS threshold_paise FROM customer WHERE c_mktsegment <> 'FURNITURE') SELECT user_id, product_id, threshold_paise, verified_paise, threshold_paise - verified_paise AS margin_paise FROM ru JOIN win USING (product_id) WHERE currency = 'INR' AND verified_paise <= threshold_paise"),
     "alr2_user_lists": (alr2_user_lists, "SELECT user_id, count(DISTINCT event_id % 97) FILTER (event_type = 'view') AS watched, count(DISTINCT event_id % 97) FILTER (event_type = 'purchase') AS saved FROM events WHERE event_type IN ('view', 'purchase') GROUP BY 1"),
+    "alr2_pages": (alr2_pages, "WITH v AS (SELECT user_id, event_id % 97 AS product_id, max(ts) AS added_at FROM events WHERE event_type = 'view' GROUP BY 1, 2) SELECT user_id, product_id, added_at, CAST(row_no AS INTEGER) AS row_no, total FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY added_at DESC, product_id) AS row_no, count(*) OVER (PARTITION BY user_id) AS total FROM v) WHERE row_no BETWEEN 3 AND 4"),
     "ops1_jobs": (ops1_jobs, f"WITH {_JOBS} SELECT retailer_id, status, count(*) AS jobs FROM jb GROUP BY ALL"),
     "ops2_runs": (ops2_runs, f"WITH {_JOBS} SELECT hour, CASE WHEN bool_and(status = 'success') THEN 'success' WHEN bool_and(status = 'failed') THEN 'failed' ELSE 'partial' END AS status, count(*) AS jobs FROM jb GROUP BY 1"),
     "ops3_errors": (ops3_errors, f"WITH {_LOG} SELECT {_CODE} AS category, {_RETRY} AS retryable, count(*) AS errors FROM lg WHERE failed GROUP BY ALL"),
@@ -224,5 +297,11 @@ SELECT *, concat_ws(',', CASE WHEN error_rate > 25 THEN 'error_rate' END, CASE W
     "ops7_stale": (ops7_stale, f"WITH {SNAP} SELECT * FROM (SELECT retailer_id, max(observed_at) AS newest_at, CAST(floor((epoch_us(TIMESTAMP '2001-08-01') - epoch_us(max(observed_at))) / 1000000) AS BIGINT) + 8380800 AS age_seconds FROM snap GROUP BY 1) WHERE age_seconds > 86400"),
     "str1_ingest": (str1_ingest, f"WITH {SNAP} SELECT retailer_id, count(DISTINCT ROW(listing_id, observed_at, seller_id)) AS observations FROM snap GROUP BY 1"),
     "str2_daily": (str2_daily, f"WITH {SNAP} SELECT date_trunc('day', observed_at)::TIMESTAMP AS day, retailer_id, count(*) AS observations, CAST(sum(p) AS BIGINT) AS total_paise, min(p) AS low_paise, max(p) AS high_paise FROM (SELECT *, coalesce(effective_paise, displayed_paise) AS p FROM snap) GROUP BY 1, 2"),
-    "str5_drops": (str5_drops, f"WITH {SNAP}, c AS (SELECT *, lag(price) OVER (PARTITION BY product_id, listing_id, seller_id ORDER BY observed_at, created_at, snapshot_id) AS base FROM q WHERE product_id % 2 = 0) SELECT snapshot_id, listing_id, seller_id, price, base AS baseline_paise FROM c WHERE price < base"),
+    "str3_metrics": (str3_metrics, f"WITH {_LOG}, b AS (SELECT epoch_us(ts) // 300000000 AS k, failed FROM lg), w AS (SELECT k - o AS k, failed FROM b, (SELECT unnest(range(3)) AS o)) SELECT make_timestamp(k * 300000000) AS window_start, count(*) AS events, count(*) FILTER (failed) AS errors FROM w GROUP BY k HAVING count(*) FILTER (failed) * 4 > count(*)"),
+    "str4_sessions": (str4_sessions, f"WITH {SNAP}, {sessions_sql(25)} SELECT scope, scope_id, min(observed_at) AS start_at, max(observed_at) AS end_at, count(*) AS observations FROM isl GROUP BY scope, scope_id, island"),
+    "str5_drops": (str5_drops, f"WITH {SNAP}, c AS (SELECT *, lag(price) OVER (PARTITION BY product_id, listing_id, seller_id ORDER BY observed_at, created_at, snapshot_id) AS base FROM q) SELECT snapshot_id, listing_id, seller_id, price, base AS baseline_paise FROM c WHERE price < base"),
+    "str6_alerts": (str6_alerts, f"""WITH {SNAP}, {ADJ}, vo AS (SELECT snapshot_id, sum(CASE WHEN eligibility = 'verified_eligible' THEN coalesce(amount_paise, 0) ELSE 0 END) AS voff FROM adj GROUP BY 1),
+lo AS (SELECT (observed_at >= DATE '{RANGES[0]}')::INT + (observed_at >= DATE '{RANGES[1]}')::INT AS batch, product_id, min(CAST(greatest(displayed_paise + coalesce(delivery_paise, 0) + coalesce(platform_paise, 0) - coalesce(voff, 0), 0) AS BIGINT)) AS verified_paise FROM snap LEFT JOIN vo USING (snapshot_id) WHERE availability IN ('in_stock', 'limited_stock') GROUP BY ALL),
+ru AS (SELECT c_custkey AS user_id, c_custkey % (SELECT count(*) FROM prod) AS product_id, CAST(90000 + round(c_acctbal * 10) AS BIGINT) AS threshold_paise FROM customer WHERE c_mktsegment <> 'FURNITURE' AND c_custkey % 9 <> 0)
+SELECT batch, user_id, product_id, threshold_paise, verified_paise, threshold_paise - verified_paise AS margin_paise FROM ru JOIN lo USING (product_id) WHERE verified_paise <= threshold_paise"""),
 }

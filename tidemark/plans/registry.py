@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import decision_queries, feed_queries, history_queries, offer_queries, ops_queries, sale_queries
+from tidemark.plans import decision_queries, feed_queries, history_queries, match_queries, offer_queries, ops_queries, sale_queries
 
-_ALL = [history_queries, offer_queries, sale_queries, decision_queries, feed_queries, ops_queries]
+_ALL = [history_queries, offer_queries, sale_queries, decision_queries, feed_queries, ops_queries, match_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -64,8 +64,12 @@ ELIGIBILITIES = ["verified_eligible", "conditional", "membership_required", "pay
 
 
 def adjustments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adjustments_of(snapshots(spark, sf_dir))
+
+
+def adjustments_of(rows: DataFrame) -> DataFrame:
     """Promotional adjustments of snapshots: coupon, payment offer, cashback or none by line number."""
-    s = snapshots(spark, sf_dir).where("line_no % 4 <> 3")
+    s = rows.where("line_no % 4 <> 3")
     kind = F.when(F.col("line_no") % 4 == 0, "coupon").when(F.col("line_no") % 4 == 1, "payment_offer").otherwise("cashback")
     eligibility = F.element_at(F.array(*map(F.lit, ELIGIBILITIES)), (F.col("suppkey") % 7 + 1).cast("int"))
     return s.select("snapshot_id", kind.alias("kind"), F.when(F.col("suppkey") % 11 != 0, F.col("line_no") * 1000).cast("long").alias("amount_paise"), eligibility.alias("eligibility"))

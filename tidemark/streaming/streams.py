@@ -13,6 +13,7 @@ from tidemark.functions.series import price
 from tidemark.operators.history import changes
 from tidemark.operators.offers import latest
 from tidemark.operators.ops import price_alerts
+from tidemark.sources.scratch import drop_path
 
 KEY = ["listing_id", "observed_at", "seller_id"]
 
@@ -49,7 +50,8 @@ SERIES = ("product_id", "listing_id", "seller_id")
 def drop_events(state_path: str, out_path: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch: drops of a batch against the last row of each series, kept in a table with a version per batch.
 
-    A batch that runs again reads the version before it and overwrites its own output, so repeats change nothing.
+    A batch that runs again reads the version before it and overwrites its own output, so repeats change nothing. Versions that no
+    repeat can need any more are deleted.
     """
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -58,14 +60,19 @@ def drop_events(state_path: str, out_path: str) -> Callable[[DataFrame, int], No
         found = changes(known, *SERIES).where("is_drop and not _old")
         found.select("snapshot_id", *SERIES, "observed_at", "price", "baseline_paise").write.mode("overwrite").parquet(f"{out_path}/batch={number}")
         latest(known.drop("_old").where(F.col("confidence").isin("high", "medium")), *SERIES).select(batch.columns).write.mode("overwrite").parquet(f"{state_path}/v{number}")
+        drop_path(spark, f"{state_path}/v{number - 2}")
 
     return run
 
 
-def alerts(rules: DataFrame, out_path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch: rules met by the lowest price that arrives in a batch."""
+def alerts(rules: DataFrame, offers_of: Callable[[DataFrame], DataFrame], out_path: str) -> Callable[[DataFrame, int], None]:
+    """foreachBatch: rules met by the lowest verified price that arrives in a batch.
+
+    offers_of prices the arriving rows as offers (product_id, currency, verified_paise, can_win); only offers that can win count.
+    """
     def run(batch: DataFrame, number: int) -> None:
-        lowest = batch.groupBy("product_id").agg(F.min("displayed_paise").alias("verified_paise")).withColumn("currency", F.lit("INR"))
+        able = offers_of(batch).where(F.col("can_win") & F.col("verified_paise").isNotNull())
+        lowest = able.groupBy("product_id", "currency").agg(F.min("verified_paise").alias("verified_paise"))
         price_alerts(rules, lowest).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
 
     return run
