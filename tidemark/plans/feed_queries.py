@@ -9,6 +9,7 @@ from tidemark.functions import text as T
 from tidemark.operators import catalog as C
 from tidemark.plans.base_sql import EVENTS, SNAP
 from tidemark.sources import feeds as S
+from tidemark.sources.scratch import scratch_folder
 from tidemark.sources.tables import products, read, sale_events, snapshots
 
 P = lambda: F.col("product_id")
@@ -153,13 +154,13 @@ def cat2_sellers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _listings(spark: SparkSession, d: str) -> DataFrame:
-    ids = F.filter(F.array(F.struct(F.lit("gtin").alias("kind"), F.when(P() % 2 == 0, F.lpad(P().cast("string"), 13, "0")).otherwise("").alias("value")), F.struct(F.lit("mpn").alias("kind"), F.concat(F.lit("pn-"), P() % 700).alias("value"))), lambda i: i["value"].isNotNull())
+    ids = F.filter(F.array(F.struct(F.lit("gtin").alias("kind"), F.when(P() % 2 == 0, F.lpad(P().cast("string"), 13, "0")).otherwise("").alias("value")), F.struct(F.lit("mpn").alias("kind"), F.concat(F.lit("pn-"), F.call_function("div", P(), F.lit(3))).alias("value"))), lambda i: i["value"].isNotNull())
     return products(spark, d).select((P() % 5).cast("int").alias("retailer_id"), F.concat(F.lit("L"), P()).alias("sku"), ids.alias("identifiers"))
 
 
 def _identifiers(spark: SparkSession, d: str) -> DataFrame:
     gtin = products(spark, d).where("product_id % 6 = 0").select(F.lit("gtin").alias("kind"), F.lpad(P().cast("string"), 13, "0").alias("value"), F.concat(F.lit("v"), P()).alias("variant_id"))
-    mpn = products(spark, d).where("product_id < 400").select(F.lit("mpn"), F.concat(F.lit("pn-"), P()), F.concat(F.lit("v"), P()))
+    mpn = products(spark, d).where("product_id % 6 = 3").select(F.lit("mpn"), F.concat(F.lit("pn-"), F.call_function("div", P(), F.lit(3))), F.concat(F.lit("v"), P()))
     return gtin.union(mpn)
 
 
@@ -197,11 +198,44 @@ def cat8_counts(spark: SparkSession, d: str) -> DataFrame:
     return products(spark, d).groupBy("category", "brand").agg(F.count("*").alias("products"))
 
 
+def cat8_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The second page of three of every category, by title."""
+    return C.pages(products(spark, d).select("category", "title", "product_id"), "category", [F.col("title"), P()], 3, 3)
+
+
+def cat8_retailers(spark: SparkSession, d: str) -> DataFrame:
+    """Retailers that have something of a category on offer, and the products they have."""
+    able = snapshots(spark, d).where(F.col("availability").isin("in_stock", "limited_stock"))
+    pairs = able.select("category", "retailer_id", "product_id").distinct()
+    return pairs.groupBy("category").agg(F.count_distinct("retailer_id").alias("retailers"), F.count_distinct("product_id").alias("products"))
+
+
+def cat8_children(spark: SparkSession, d: str) -> DataFrame:
+    """A tree of categories, regions above nations, with the number of their children."""
+    top = read(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("category_id"), _none().alias("parent_id"), F.col("r_name").alias("name"))
+    low = read(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("category_id"), F.concat(F.lit("r"), "n_regionkey").alias("parent_id"), F.col("n_name").alias("name"))
+    return C.children(top.unionByName(low))
+
+
+def src2_api_files(spark: SparkSession, d: str) -> DataFrame:
+    """The API feed read from JSON files."""
+    folder = scratch_folder(spark, "feeds")
+    raw_api(spark, d).write.json(folder)
+    return _flat(S.parse_api(S.read_json_feed(spark, folder, S.API_SCHEMA)))
+
+
+def src3_flat_files(spark: SparkSession, d: str) -> DataFrame:
+    """The flat feed read from CSV files with a header."""
+    folder = scratch_folder(spark, "feeds")
+    raw_flat(spark, d).select([x.split()[0] for x in S.FLAT_SCHEMA.split(", ")]).write.options(header=True, escape='"').csv(folder)
+    return _flat(S.parse_flat(S.read_flat_feed(spark, folder)))
+
+
 def snk1_new_snapshots(spark: SparkSession, d: str) -> DataFrame:
     """What an append of the last two years would write if every third listing was there already."""
     s = snapshots(spark, d)
     batch = s.where(F.col("observed_at") >= F.lit("2000-01-01").cast("timestamp"))
-    return C.new_snapshots(batch, s.where("listing_id % 3 = 0")).select("snapshot_id", "listing_id", "seller_id", "observed_at")
+    return C.new_snapshots(batch, s.where("listing_id % 3 = 0").withColumn("observed_date", F.to_date("observed_at"))).select("snapshot_id", "listing_id", "seller_id", "observed_at")
 
 
 _BAR = "lpad(CAST(product_id AS VARCHAR), 13, '0')"
@@ -220,14 +254,19 @@ MARKET_SQL = f"""SELECT 'market' AS feed, 'M' || product_id AS sku, title, {_SLU
   {_B} AS effective_paise, {_B} AS delivery_paise, {_B} AS platform_paise, CASE WHEN product_id % 2 = 1 THEN 'in_stock' ELSE ['in_stock', '', 'out_of_stock', ''][product_id % 4 + 1] END AS availability, 'M1' AS seller_external_id, CASE WHEN product_id % 3 = 0 THEN 'Amazon.in' ELSE 'Shop' END AS seller_name, product_id % 3 = 0 AS first_party, CAST(NULL AS VARCHAR) AS error FROM prod"""
 AFFILIATE_SQL = f"""SELECT 'affiliate' AS feed, 'F' || product_id AS sku, title, {_SLUG('brand')} AS brand_slug, {_SLUG('category')} AS category_slug, CASE WHEN product_id % 2 = 0 THEN 'color=red;' ELSE '' END || 'size=' || size AS variant_key, '' AS identifiers, [list_paise, list_paise + 1, list_paise + 2, NULL][product_id % 4 + 1] AS displayed_paise, list_paise * 2 AS mrp_paise, {_B} AS effective_paise, {_B} AS delivery_paise, {_B} AS platform_paise,
   ['in_stock', 'out_of_stock', 'unknown'][product_id % 3 + 1] AS availability, CAST(NULL AS VARCHAR) AS seller_external_id, CASE WHEN product_id % 3 = 0 THEN 'WS Retail' ELSE 'Other' END AS seller_name, product_id % 3 = 0 AS first_party, CASE WHEN product_id % 4 = 3 THEN 'bad_amount' END AS error FROM prod"""
-_IDS = f"""have AS (SELECT 'gtin' AS kind, {_BAR} AS value, 'v' || product_id AS owner FROM prod WHERE product_id % 6 = 0 UNION ALL SELECT 'mpn', 'pn-' || product_id, 'v' || product_id FROM prod WHERE product_id < 400),
-ask AS (SELECT product_id, CAST(product_id % 5 AS INTEGER) AS retailer_id, 'L' || product_id AS sku, 0 AS pos, 'gtin' AS kind, CASE WHEN product_id % 2 = 0 THEN {_BAR} ELSE '' END AS value FROM prod UNION ALL SELECT product_id, CAST(product_id % 5 AS INTEGER), 'L' || product_id, 1, 'mpn', 'pn-' || product_id % 700 FROM prod),
+_IDS = f"""have AS (SELECT 'gtin' AS kind, {_BAR} AS value, 'v' || product_id AS owner FROM prod WHERE product_id % 6 = 0 UNION ALL SELECT 'mpn', 'pn-' || product_id // 3, 'v' || product_id FROM prod WHERE product_id % 6 = 3),
+ask AS (SELECT product_id, CAST(product_id % 5 AS INTEGER) AS retailer_id, 'L' || product_id AS sku, 0 AS pos, 'gtin' AS kind, CASE WHEN product_id % 2 = 0 THEN {_BAR} ELSE '' END AS value FROM prod UNION ALL SELECT product_id, CAST(product_id % 5 AS INTEGER), 'L' || product_id, 1, 'mpn', 'pn-' || product_id // 3 FROM prod),
 res AS (SELECT retailer_id, sku, coalesce(h, CASE WHEN product_id % 4 = 1 THEN 'old' || product_id END, 'new-' || retailer_id || '-' || sku) AS variant_id, CASE WHEN h IS NOT NULL THEN 'identifier' WHEN product_id % 4 = 1 THEN 'sku' ELSE 'new' END AS resolved_by
   FROM (SELECT product_id, retailer_id, sku, arg_min(owner, pos) AS h FROM ask LEFT JOIN have USING (kind, value) GROUP BY ALL))"""
 _RE = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '(?i)(rediss?://)([^/@]+)@', '\\1[REDACTED]@', 'g'), '(?i)(bearer\\s+)[^\\s]+', '\\1[REDACTED]', 'g'), '(?i)\\b(api[-_]?key|token|password|secret|authorization|access[-_]?key)\\s*[:=]\\s*\\S+', '\\1=[REDACTED]', 'g'), '^([A-Za-z][A-Za-z0-9+.-]*://)[^/?#]*@', '\\1[REDACTED]@', 'g')"
 _LINE = _RE.format(x="trim('token: abc' || conv_id || ' Bearer xyz redis://u:p@host/0 ' || coalesce(text, ''), ' ')")
 
 QUERIES = {
+    "src2_api_files": (src2_api_files, f"WITH {SNAP} {API_SQL}"),
+    "src3_flat_files": (src3_flat_files, f"WITH {SNAP} {FLAT_SQL}"),
+    "cat8_pages": (cat8_pages, f"WITH {SNAP} SELECT category, title, product_id, CAST(row_no AS INTEGER) AS row_no, total FROM (SELECT category, title, product_id, row_number() OVER (PARTITION BY category ORDER BY title, product_id) AS row_no, count(*) OVER (PARTITION BY category) AS total FROM prod) WHERE row_no BETWEEN 4 AND 6"),
+    "cat8_retailers": (cat8_retailers, f"WITH {SNAP} SELECT category, count(DISTINCT retailer_id) AS retailers, count(DISTINCT product_id) AS products FROM snap WHERE availability IN ('in_stock', 'limited_stock') GROUP BY 1"),
+    "cat8_children": (cat8_children, "WITH c AS (SELECT 'r' || r_regionkey AS category_id, NULL AS parent_id, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation) SELECT c.*, (SELECT count(*) FROM c x WHERE x.parent_id = c.category_id) AS children FROM c"),
     "src2_api": (src2_api, f"WITH {SNAP} {API_SQL}"),
     "src3_flat": (src3_flat, f"WITH {SNAP} {FLAT_SQL}"),
     "src4_nested": (src4_nested, f"WITH {SNAP} {NESTED_SQL}"),
@@ -236,7 +275,7 @@ QUERIES = {
     "nrm10_quarantine": (nrm10_quarantine, f"WITH {SNAP} SELECT feed, error, count(*) AS bad_rows FROM ({API_SQL} UNION ALL {FLAT_SQL} UNION ALL {NESTED_SQL} UNION ALL {MARKET_SQL} UNION ALL {AFFILIATE_SQL}) WHERE error IS NOT NULL GROUP BY ALL"),
     "nrm11_event_errors": (nrm11_event_errors, f"""WITH {SNAP}, {EVENTS}, r AS (SELECT product_id AS p, start_at, CASE WHEN product_id % 11 = 0 THEN start_at - INTERVAL 1 DAY ELSE end_at END AS e, ['brand', 'retailer_specific', 'manually_curated', 'externally_sourced', 'category'][product_id % 5 + 1] AS k, ['manual_curation', 'official_api', 'observed_price_inference'][product_id % 3 + 1] AS s FROM ev JOIN prod USING (brand))
 SELECT CASE WHEN e < start_at THEN 'bad_dates' WHEN k = 'retailer_specific' THEN 'retailer_required' WHEN k = 'category' THEN 'category_required' WHEN k = 'manually_curated' AND s <> 'manual_curation' THEN 'source_not_manual' WHEN k = 'externally_sourced' AND s = 'observed_price_inference' THEN 'inference_not_external' WHEN k = 'externally_sourced' AND s = 'manual_curation' THEN 'source_not_permitted' WHEN k = 'externally_sourced' AND p % 2 = 1 THEN 'source_ref_required' END AS error, count(*) AS events FROM r GROUP BY 1"""),
-    "nrm12_redacted": (nrm12_redacted, f"SELECT conv_id, turn, CASE WHEN length({_LINE}) > 200 THEN substr({_LINE}, 1, 197) || '...' ELSE {_LINE} END AS line FROM conversations"),
+    "nrm12_redacted": (nrm12_redacted, f"SELECT conv_id, turn, CASE WHEN length({_LINE}) > 1000 THEN substr({_LINE}, 1, 997) || '...' ELSE {_LINE} END AS line FROM conversations"),
     "nrm13_search": (nrm13_search, f"WITH {SNAP}, l AS (SELECT CAST(r AS INTEGER) AS retailer_id, product_id, title FROM prod, (SELECT unnest(range(5)) AS r) WHERE contains(lower(title), 'ring') AND category = 'PROMO'), k AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY retailer_id ORDER BY product_id) <= 20) SELECT *, count(*) OVER () AS total FROM k ORDER BY retailer_id, product_id LIMIT 40 OFFSET 10"),
     "nrm14_keys": (nrm14_keys, f"""WITH {SNAP}, r AS (SELECT product_id, 'price_refresh|shop-' || product_id % 5 || '|' AS h, 'price_refresh|shop-' || product_id % 5 || '|{{' || CASE WHEN product_id % 3 <> 0 THEN '"brand":"' || brand || '",' ELSE '' END || CASE WHEN product_id % 7 <> 0 THEN '"note":"' || repeat('x', CAST(product_id % 7 * 100 AS INTEGER)) || '",' ELSE '' END || '"sku":"A-' || product_id || '"}}' AS raw FROM prod)
 SELECT product_id, CASE WHEN length(raw) <= 512 THEN raw ELSE h || sha256(raw) END AS idempotency_key FROM r"""),
