@@ -5,12 +5,15 @@ Every document becomes the set of its distinct word shingles (64-bit hashes). Ea
 signature values, its minimum and its maximum, so a signature of 2p values costs p
 evaluations. Bands of `rows` values of different permutations are the candidate keys.
 
-Exact copies of a set are one node. First every member of a bucket is compared with the bucket's hub, the member that
-shares most buckets with others; in a group of copies this joins nearly all. What buckets tie together is a cluster; in
-each cluster the nodes outside its largest component are compared with all nodes of other components, block by block:
-a task holds two blocks of bounded size, screens pairs by the signatures and confirms them on the full
-sets. No pairs are emitted but confirmed links, and at most as many as join the nodes of the task; no
-bucket is capped, and no link between different texts is lost.
+Exact copies of a set are one node, buckets with the same nodes are one bucket. First every node is compared with one hub,
+the member of its buckets that shares most buckets with others; in a group of copies this joins most. Only buckets
+that hold several components after that stay open: in each of them, the nodes outside its largest component are compared with the
+members of other components, in pairs of blocks of bounded size. A pair is looked at in the first bucket that it shares. Signatures
+are compared first, and only nodes that have a candidate in a block send their full sets there; on these the candidates are
+confirmed where both lie, and what leaves a task are only links between components that it had not joined yet. So rows grow with nodes and links, never with the pairs of a group; no bucket is capped.
+
+What is missed: a pair of similarity 0.8 shares no band with a probability of 3e-6, and its signatures differ by more than
+`screen_deviations` with 3e-7; pairs that are more alike are missed less.
 """
 
 from __future__ import annotations
@@ -19,7 +22,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -34,8 +36,8 @@ class MinMaxConfig:
     threshold_percent: int = 80
     permutations: int = 80
     rows: int = 5
-    screen_deviations: float = 4.3  # pairs whose signatures agree so much less than at the threshold aren't confirmed
-    block_shingles: int = 150_000  # of the texts that a task compares with each other
+    screen_deviations: float = 5.0  # pairs whose signatures agree so much less than at the threshold aren't confirmed
+    block_shingles: int = 300_000  # of the sets that a task compares with as many others
     seed: int = 20240229
 
 
@@ -112,11 +114,10 @@ def signature(hashes: np.ndarray, c: MinMaxConfig, drawn: tuple[np.ndarray, np.n
     return key.view(np.int64), _mixed(np.concatenate([low, high]) * _MIX).astype(np.uint8).tobytes()
 
 
-def screen(a: np.ndarray, b: np.ndarray, c: MinMaxConfig) -> np.ndarray:
-    """Which signatures (rows of bytes) of a and b agree enough for the threshold, give or take some deviations."""
+def least_agreement(c: MinMaxConfig) -> float:
+    """Signatures that agree in fewer values aren't those of a linked pair, give or take some deviations."""
     t = c.threshold_percent / 100
-    least = 2 * c.permutations * t - c.screen_deviations * np.sqrt(2 * c.permutations * t * (1 - t))
-    return np.stack([(row[None, :] == b).sum(axis=1) for row in a]) >= least if len(a) else np.zeros((0, len(b)), bool)
+    return 2 * c.permutations * t - c.screen_deviations * float(np.sqrt(2 * c.permutations * t * (1 - t)))
 
 
 def signatures(docs: DataFrame, c: MinMaxConfig, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -145,37 +146,51 @@ def signatures(docs: DataFrame, c: MinMaxConfig, id_col: str = "doc_id", text_co
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(sign, "id long, n long, digest binary, bands array<long>, sketch binary")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, c: MinMaxConfig) -> DataFrame:
-    """The pairs (a, b) that are linked on their full sets. A hub's rows meet in a join that AQE can split."""
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, hub = None, np.empty(0, np.uint64)
+def shingle_sets(docs: DataFrame, c: MinMaxConfig) -> DataFrame:
+    """(id, set) of (id, text): the sorted hashes as bytes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _own_cache()
         for batch in batches:
-            out: tuple[list, list] = ([], [])
-            for a, b, ta, tb in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if (a, ta) != last:
-                    last, hub = (a, ta), shingle_set(ta, c.shingle_words)
-                if linked(hub, shingle_set(tb, c.shingle_words), c.threshold_percent):
-                    out[0].append(a)
-                    out[1].append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
-
-    with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long").distinct()
-
-
-def _screened(sides: DataFrame, c: MinMaxConfig) -> DataFrame:
-    """The pairs of (a, b, sketch_a, sketch_b) whose signatures agree enough."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [shingle_set(t, c.shingle_words).tobytes() for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
+
+    return docs.mapInArrow(run, "id long, set binary")
+
+
+def _set(data: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(data.as_buffer(), np.uint64)
+
+
+def _members(nodes: DataFrame) -> DataFrame:
+    """(key, id): the nodes of every bucket with more than one; of buckets with the same nodes only one is listed."""
+    banded = nodes.select(F.explode("bands").alias("key"), "id")
+    marks = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"mark{i}") for i in range(2)]
+    shared = banded.groupBy("key").agg(F.count("*").alias("m"), *marks).where("m > 1")
+    single = shared.groupBy("m", "mark0", "mark1").agg(F.min("key").alias("key")).select("key", "m")
+    return banded.join(single, "key")
+
+
+def _hub_pairs(members: DataFrame) -> DataFrame:
+    """One pair (a, b) per node: the node and the hub of its buckets that shares most buckets with others, ties to the smaller id."""
+    degrees = members.groupBy("id").agg(F.sum("m").alias("degree"))
+    hubs = members.join(degrees, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"))).alias("hub"))
+    best = members.join(hubs, "key").groupBy("id").agg((-F.max("hub")["minus"]).alias("hub"))
+    return best.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+
+
+def _hub_links(pairs: DataFrame, about: DataFrame, c: MinMaxConfig) -> DataFrame:
+    """The pairs (a, b) that are linked on their full sets. A hub's rows meet in a join that AQE can split."""
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-            keep = np.concatenate([screen(x[None], y[None], c)[0] for x, y in zip(left, right, strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], names=["a", "b"])
+            a, b = batch.column(2), batch.column(3)
+            keep = pa.array([linked(_set(a[i]), _set(b[i]), c.threshold_percent) for i in range(batch.num_rows)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    return sides.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+    side = lambda x: about.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("set").alias(f"set_{x}"))
+    sides = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= c.threshold_percent * F.greatest("n_a", "n_b"))
+    return sides.select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long").distinct()
 
 
 def _find(parent: dict[int, int], x: int) -> int:
@@ -185,51 +200,106 @@ def _find(parent: dict[int, int], x: int) -> int:
     return x
 
 
-def block_links(nodes: list[int], comps: list[int], sketches: list[bytes], texts: list[str], outside: list[bool], c: MinMaxConfig) -> list[tuple[int, int]]:
-    """Confirmed links that join the components of a task's nodes: rows marked outside are compared with the others."""
-    _own_cache()
+BOTH, LEFT, RIGHT = range(3)
+
+
+def block_candidates(key: int, block: pa.Table, c: MinMaxConfig) -> Iterator[tuple[int, list[int]]]:
+    """(row, rows) of a block of a bucket: for rows outside the bucket's largest component the rows of others that may be linked, most alike first.
+
+    Of (id, comp, n, sketch, keys, outside, role): rows of role LEFT are only compared, those of role RIGHT only compared with.
+    """
+    ids, comps, sizes, role = (block.column(x).to_numpy() for x in ("id", "comp", "n", "role"))
+    outside = block.column("outside").to_numpy(zero_copy_only=False)
+    sketches = np.frombuffer(b"".join(block.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
+    buckets = block.column("keys").to_pylist()
+    least, rights = least_agreement(c), np.flatnonzero(role != LEFT)
+    for i in np.flatnonzero(outside & (role != RIGHT)).tolist():
+        smaller, larger = np.minimum(sizes[rights], sizes[i]), np.maximum(sizes[rights], sizes[i])
+        once = ~outside[rights] | (ids[rights] > ids[i])
+        at = rights[(comps[rights] != comps[i]) & once & (100 * smaller >= c.threshold_percent * larger)]
+        agreed = (sketches[at] == sketches[i]).sum(axis=1)
+        order = np.lexsort((ids[at], -agreed))[: int((agreed >= least).sum())]
+        mine = set(buckets[i])
+        found = [j for j in at[order].tolist() if min(mine.intersection(buckets[j])) == key]
+        if found:
+            yield i, found
+
+
+def block_links(key: int, block: pa.Table, c: MinMaxConfig) -> list[tuple[int, int]]:
+    """Links between components of a block, at most as many as join those of its candidates that are linked on their sets."""
+    ids, comps, sets = block.column("id").to_pylist(), block.column("comp").to_pylist(), block.column("set")
     parent: dict[int, int] = {}
-    sets: dict[int, np.ndarray] = {}
     links = []
-    rows, others = [i for i, x in enumerate(outside) if x], [i for i, x in enumerate(outside) if not x]
-    matrix = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
-    for i, hits in zip(rows, screen(matrix[rows], matrix[others], c), strict=True):
-        for j in (others[k] for k in np.flatnonzero(hits)):
+    for i, others in block_candidates(key, block, c):
+        own = _set(sets[i])
+        for j in others:
             x, y = _find(parent, comps[i]), _find(parent, comps[j])
-            if x == y:
-                continue
-            for k in (i, j):
-                if k not in sets:
-                    sets[k] = shingle_set(texts[k], c.shingle_words)
-            if linked(sets[i], sets[j], c.threshold_percent):
+            if x != y and linked(own, _set(sets[j]), c.threshold_percent):
                 parent[max(x, y)] = min(x, y)
-                links.append((nodes[i], nodes[j]))
+                links.append((ids[i], ids[j]))
     return links
 
 
-def _crossing_links(placed: DataFrame, texts: DataFrame, c: MinMaxConfig) -> DataFrame:
-    """Links between components of the same cluster, of (cluster, id, n, comp, sketch).
-
-    Nodes outside the largest component (role 0) meet all nodes (role 1) in pairs of blocks. Blocks are dealt by hash;
-    their number follows the shingles in the cluster, so what a task holds is bounded by two blocks and the longest text.
+def _blocks(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...] = ("key", "left", "right")) -> Iterator[pa.Table]:
+    """The stretches of rows with the same values in some columns, of sorted batches."""
+    place, held = None, []  # the block whose end hasn't been seen yet
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        where = np.stack([batch.column(x).to_numpy() for x in columns])
+        starts = np.flatnonzero(np.concatenate([[True], (where[:, 1:] != where[:, :-1]).any(axis=0)])).tolist()
+        for at, end in zip(starts, [*starts[1:], batch.num_rows]):
+            if (own := tuple(where[:, at].tolist())) != place:
+                if held:
+                    yield pa.Table.from_batches(held)
+                place, held = own, []
+            held.append(batch.slice(at, end - at))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _open_links(members: DataFrame, comps: DataFrame, about: DataFrame, c: MinMaxConfig) -> DataFrame:
+    """Links (a, b) in the buckets whose nodes lie in different components.
+
+    Blocks are dealt by hash and their number follows the shingles in the bucket, so a task holds two blocks and the longest
+    set at a time, whatever the size of the bucket. A bucket of one block lists each of its nodes once.
     """
-    sized = placed.groupBy("cluster", "comp").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
-    open_ = sized.groupBy("cluster").agg(F.count("*").alias("comps"), F.sum("n").alias("all_n"), F.max_by("comp", F.struct("size", -F.col("comp"))).alias("main"), F.max_by("n", F.struct("size", -F.col("comp"))).alias("main_n")).where("comps > 1")
-    count = lambda total: F.ceil(total / c.block_shingles).cast("int")
-    cut = open_.select("cluster", "main", count(F.col("all_n")).alias("all_blocks"), count(F.col("all_n") - F.col("main_n")).alias("out_blocks"))
-    rows = placed.join(cut, "cluster")
-    deal = lambda blocks: F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
-    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
-    outer = rows.where("comp <> main").select("cluster", "id", "comp", "sketch", deal("out_blocks").alias("left"), every("all_blocks").alias("right"), F.lit(True).alias("outside"))
-    inner = rows.select("cluster", "id", "comp", "sketch", deal("all_blocks").alias("right"), every("out_blocks").alias("left"), F.lit(False).alias("outside"))
-    dealt = outer.unionByName(inner).join(texts, "id")
-
-    def compare(block: pd.DataFrame) -> pd.DataFrame:
-        links = block_links(*(block[x].tolist() for x in ("id", "comp", "sketch", "text", "outside")), c)
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
-
-    found = dealt.groupBy("cluster", "left", "right").applyInPandas(compare, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    known = members.join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+    sized = known.join(about.select("id", "n"), "id")
+    parts = sized.groupBy("key", "comp").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
+    largest = F.max(F.struct("size", (-F.col("comp")).alias("minus"), "n")).alias("main")
+    cut = parts.groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), largest).where("comps > 1")
+    blocks = lambda n: F.greatest(F.ceil(n / c.block_shingles), F.lit(1)).cast("int")
+    cut = cut.select("key", (-F.col("main")["minus"]).alias("main"), blocks(F.col("n")).alias("rights"), blocks(F.col("n") - F.col("main")["n"]).alias("lefts"))
+    rows = known.join(cut, "key").withColumn("outside", F.col("comp") != F.col("main"))
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    several = rows.where("rights > 1")
+    alone = rows.where("rights = 1").select("key", "id", "comp", "outside", F.lit(0).alias("left"), F.lit(0).alias("right"), F.lit(BOTH).alias("role"))
+    outer = several.where("outside").select("key", "id", "comp", "outside", deal("lefts").alias("left"), every("rights").alias("right"), F.lit(LEFT).alias("role"))
+    inner = several.select("key", "id", "comp", "outside", every("lefts").alias("left"), deal("rights").alias("right"), F.lit(RIGHT).alias("role"))
+    place = ["key", "left", "right"]
+    dealt = alone.unionByName(outer).unionByName(inner).join(about.drop("set"), "id").repartition(*place).sortWithinPartitions(*place)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            needed = np.zeros(block.num_rows, bool)
+            for i, others in block_candidates(block.column("key")[0].as_py(), block, c):
+                needed[i] = True
+                needed[others] = True
+            yield from block.filter(pa.array(needed)).combine_chunks().to_batches()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            links = block_links(block.column("key")[0].as_py(), block, c)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in range(2)], names=["a", "b"])
+
+    slim = dealt.select(*place, "role", "id", "comp", "n", "sketch", "keys", "outside")
+    needed = materialize(slim.mapInArrow(mark, slim.schema), "minmax-open")
+    full = needed.join(about.select("id", "set"), "id").repartition(*place).sortWithinPartitions(*place)
+    found = materialize(full.mapInArrow(compare, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "minmax-links")
+    drop_scratch(needed)
+    return found
 
 
 def near_duplicates(docs: DataFrame, config: MinMaxConfig = MinMaxConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,42 +309,34 @@ def near_duplicates(docs: DataFrame, config: MinMaxConfig = MinMaxConfig(), id_c
     row's own. Null, empty and wordless texts have n_shingles 0 and are linked with nothing. Rows with a
     null id can't be named by a component: they are linked with nothing, component_id null, kept true.
     Rows that share an id are one document; a link of one of them is a link of all. An empty table gives
-    an empty result. Other columns of docs are not looked at.
+    an empty result. Other columns of docs are not looked at. The result lies in the shared folder.
     """
     c = config
     signed = materialize(signatures(docs, c, id_col, text_col), "minmax-signed")
     named = signed.where("n > 0 and id is not null")
     nodes = materialize(named.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "minmax-nodes")
-    banded = nodes.select(F.explode("bands").alias("key"), "id")
-    shared = banded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    members = materialize(banded.join(shared, "key"), "minmax-members")
-    degrees = members.groupBy("id").agg(F.sum("m").alias("degree"))
-    hubs = members.join(degrees, "id").groupBy("key").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("hub"))
-    stars = materialize(members.join(hubs, "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "minmax-stars")
-    clusters = connected_components(stars)
-    drop_scratch(members)
-    texts = materialize(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(clusters.select("id"), "id"), "minmax-texts")
-
-    about = nodes.select("id", "n", "sketch")
-    sides = stars.join(about.toDF("a", "n_a", "sketch_a"), "a").join(about.toDF("b", "n_b", "sketch_b"), "b")
-    alike = sides.where(100 * F.least("n_a", "n_b") >= c.threshold_percent * F.greatest("n_a", "n_b"))
-    first = materialize(_confirmed(_screened(alike, c), texts, c), "minmax-links")
-    joined = connected_components(first)
-    placed = clusters.withColumnRenamed("comp", "cluster").join(about, "id").join(joined, "id", "left").select("cluster", "id", "n", "sketch", F.coalesce("comp", "id").alias("comp"))
-    crossing = materialize(_crossing_links(placed, texts, c), "minmax-links")
-    comps = joined if crossing.isEmpty() else connected_components(first.union(crossing))
-    for used in (texts, stars, clusters):
-        drop_scratch(used)
+    members = materialize(_members(nodes), "minmax-members")
+    buckets = members.groupBy("id").agg(F.collect_list("key").alias("keys"))  # at most one a band
+    sets = shingle_sets(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(buckets.select("id").hint("merge"), "id", "left_semi"), c)  # one plan at all sizes: texts are dealt by id
+    about = materialize(nodes.select("id", "n", "sketch").join(buckets, "id").join(sets, "id"), "minmax-about")
+    links = materialize(_hub_links(_hub_pairs(members), about, c), "minmax-links")
+    first = connected_components(links)
+    more = _open_links(members, first, about, c)
+    comps = first if more.isEmpty() else connected_components(links.union(more))
 
     of_set = nodes.select("digest", "id").join(comps, "id", "left").select("digest", F.coalesce("comp", "id").alias("comp"))
     by_set = signed.select("id", "n", "digest").join(of_set, "digest", "left")
     shared = by_set.where("id is not null").groupBy("id").agg(F.min("comp").alias("least"), F.max("comp").alias("most"))
-    torn = shared.where("least < most").select(F.col("least").alias("a"), F.col("most").alias("b"))
+    torn, joined = materialize(shared.where("least < most").select(F.col("least").alias("a"), F.col("most").alias("b")), "minmax-torn"), None
     if not torn.isEmpty():  # ids whose rows have different sets tie their components together
         joined = connected_components(torn)
         by_set = by_set.join(joined.select(F.col("id").alias("comp"), F.col("comp").alias("root")), "comp", "left").withColumn("comp", F.coalesce("root", "comp"))
     component = F.when(F.col("id").isNotNull(), F.coalesce("comp", "id"))
-    return by_set.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    result = by_set.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    out = materialize(result, "minmax-result")
+    for used in {id(x): x for x in (signed, nodes, members, about, links, first, more, comps, torn, joined) if x is not None}.values():
+        drop_scratch(used)
+    return out
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
