@@ -85,26 +85,36 @@ def drop_feed(points: DataFrame) -> DataFrame:
 def variant_history(points: DataFrame, as_of: Column, c: PricingConfig = PricingConfig()) -> DataFrame:
     """The full history record of every variant.
 
-    The rows are dealt by product once; lag, the current price, sums and extrema all use that partitioning.
+    Rows are combined per variant and price, then per variant: everything but the change of the latest row comes from sums, counts and
+    extrema, so a hot variant only meets in partial aggregates. The share of rows at or below the current price comes from the
+    counts of its distinct prices. Only the previous row of a series needs a window.
     """
-    dealt = changes(points.where(qualifies()).repartition("product_id"), *SERIES)
-    whole = Window.partitionBy("product_id")
-    last = F.max_by(F.struct("price", "displayed_paise", "effective_paise", "baseline_paise", "change_percent", "is_drop", "change_reason", "retailer_id", "listing_id", "seller_id", *SKEY), skey()).over(whole)
-    first = F.min_by(F.struct("price", *SKEY), skey()).over(whole)
-    rows = dealt.withColumns({"_last": last, "_first": first})
-    x = days_between(F.col("observed_at"), F.col("_first.observed_at"))
-    y = F.col("price").cast("double")
-    grouped = rows.groupBy("product_id").agg(
-        F.count("*").alias("qualifying"), *average_columns(as_of, c), *extrema_columns(), F.first("_last").alias("_last"), F.first("_first").alias("_first"),
-        F.count_if(F.col("price") <= F.col("_last.price")).alias("_below"), F.sum("price").alias("_sy"), F.sum(F.col("price") * F.col("price")).alias("_syy"),
-        F.sum(x).alias("_sx"), F.sum(x * y).alias("_sxy"), F.sum(x * x).alias("_sxx"), F.max(x).alias("_span"),
+    row = F.struct("price", *SKEY)
+    latest = F.struct("price", "displayed_paise", "effective_paise", "baseline_paise", "change_percent", "is_drop", "change_reason", "retailer_id", "listing_id", "seller_id", *SKEY)
+    x = days_between(F.col("observed_at"), as_of)
+    per_price = changes(points, *SERIES).groupBy("product_id", "price").agg(
+        F.count("*").alias("n"), *(F.count_if(_in_window(as_of, d)).alias(f"n_{d}d") for d in c.window_days), F.max_by(latest, skey()).alias("_last"), F.min_by(row, skey()).alias("_first"),
+        F.sum(x).alias("_sx"), F.sum(x * x).alias("_sxx"), F.max(x).alias("_mx"),
+    )
+    p, order = F.col("price"), lambda s: F.struct(*(F.col(f"{s}.{k}") for k in SKEY))
+    counted = lambda d: F.sum(F.col(f"n_{d}d"))
+    summed = per_price.groupBy("product_id").agg(
+        F.sum("n").alias("qualifying"), *(y for d in c.window_days for y in (mean(F.sum(p * F.col(f"n_{d}d")), counted(d)).alias(f"avg_{d}d"), counted(d).alias(f"n_{d}d"))),
+        F.max_by("_last", order("_last")).alias("_last"), F.min_by("_first", order("_first")).alias("_first"), F.min_by("_first", F.struct(p, order("_first"))).alias("_low"), F.min_by("_first", F.struct(-p, order("_first"))).alias("_high"),
+        F.sum(p * F.col("n")).alias("_sy"), F.sum(p * p * F.col("n")).alias("_syy"), F.sum("_sx").alias("_sx"), F.sum(p * F.col("_sx")).alias("_sxy"), F.sum("_sxx").alias("_sxx"), F.max("_mx").alias("_mx"),
+        F.collect_list(F.struct("price", "n")).alias("_prices"),
     )
+    start, many = days_between(F.col("_first.observed_at"), as_of), F.col("qualifying")
+    below = F.aggregate(F.filter("_prices", lambda q: q["price"] <= F.col("_last.price")), F.lit(0).cast("long"), lambda total, q: total + q["n"])
+    grouped = summed.select("*", below.alias("_below"), (F.col("_mx") - start).alias("_span"), start.alias("_start")).withColumns({
+        "_sxx": F.col("_sxx") - 2 * F.col("_start") * F.col("_sx") + many * F.col("_start") * F.col("_start"), "_sxy": F.col("_sxy") - F.col("_start") * F.col("_sy"), "_sx": F.col("_sx") - many * F.col("_start"),
+    })
     n = F.col("qualifying")
     enough = n >= c.min_count
     spread = (n * F.col("_syy") - F.col("_sy") * F.col("_sy")).cast("double") / (n * (n - 1)).cast("double")
     stdev = F.round(F.sqrt(spread) / 100, 2)
     denom = n * F.col("_sxx") - F.col("_sx") * F.col("_sx")
-    slope = (n * F.col("_sxy") - F.col("_sx") * F.col("_sy")) / F.when(denom != 0, denom)
+    slope = (n * F.col("_sxy") - F.col("_sx") * F.col("_sy")) / F.when(F.col("_span") > 0, denom)
     implied = F.round(slope * F.col("_span") / F.when(F.col("_first.price") != 0, F.col("_first.price")) * 100, 4)
     values = grouped.select(
         "product_id", "qualifying", *(f"{p}_{d}d" for d in c.window_days for p in ("avg", "n")), *_extrema_fields(),
@@ -114,7 +124,7 @@ def variant_history(points: DataFrame, as_of: Column, c: PricingConfig = Pricing
         F.when(enough, stdev).alias("volatility"), F.when(enough, F.round(stdev / (F.col("_sy") / n / 100), 4)).alias("variation"),
         F.col("_last.baseline_paise").alias("baseline_paise"), F.col("_last.change_percent").alias("change_percent"), F.col("_last.is_drop").alias("is_drop"), F.col("_last.change_reason").alias("change_reason"),
         F.when(enough, implied).alias("trend_percent"),
-        F.when(~enough, "below_minimum_observation_count").when(denom == 0, "zero_time_span").when(F.col("_first.price") == 0, "zero_baseline_price").alias("trend_reason"),
+        F.when(~enough, "below_minimum_observation_count").when(F.col("_span") == 0, "zero_time_span").when(F.col("_first.price") == 0, "zero_baseline_price").alias("trend_reason"),
     )
     direction = F.when(F.col("trend_percent").isNull(), "insufficient_history").when(F.abs("trend_percent") <= c.stable_percent, "stable").when(F.col("trend_percent") > 0, "rising").otherwise("falling")
     return values.withColumn("trend", direction)

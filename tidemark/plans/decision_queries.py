@@ -13,6 +13,7 @@ from tidemark.operators import recommend as R
 from tidemark.operators import sales as S
 from tidemark.plans.base_sql import EVENTS, SNAP, half_up, long, percent4
 from tidemark.plans.history_queries import FRESH, VARIANT_HISTORY
+from tidemark.sources.scratch import stored
 from tidemark.sources.tables import products, sale_events, snapshots
 
 NOW = "2001-05-01 00:00:00"
@@ -20,7 +21,14 @@ now = lambda: F.lit(NOW).cast("timestamp")
 
 
 def examples(spark: SparkSession, d: str) -> DataFrame:
-    return X.feature_table(snapshots(spark, d), sale_events(spark))
+    """The labelled examples; the projected fact and the labels are stored once, as the features use them several times."""
+    points, events = stored(facts(spark, d)), sale_events(spark)
+    return X.feature_table(points, events, stored(X.labels(points, events)))
+
+
+def facts(spark: SparkSession, d: str) -> DataFrame:
+    """The columns of snapshots that features and scores look at."""
+    return snapshots(spark, d).drop("delivery_paise", "platform_paise", "availability", "line_no", "suppkey")
 
 
 def fea1_visible(spark: SparkSession, d: str) -> DataFrame:
@@ -63,12 +71,12 @@ def fea12_leakage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    return M.baseline(X.chronological_split(examples(spark, d)))
+    return stored(M.baseline(X.chronological_split(examples(spark, d))))
 
 
 def mod1_trees(spark: SparkSession, d: str) -> DataFrame:
     """Errors of boosted trees per split; trained on the first times, stopped on the middle ones."""
-    split = X.chronological_split(examples(spark, d)).cache()
+    split = stored(X.chronological_split(examples(spark, d)))
     trained = M.train(split)
     if trained is None:
         return spark.createDataFrame([], "split string, examples long, mae double, rmse double")
@@ -93,17 +101,17 @@ def mod5_intervals(spark: SparkSession, d: str) -> DataFrame:
 def _predictions(spark: SparkSession, d: str, points: DataFrame) -> DataFrame:
     """Every series scored by the rule predictor, with the uncertainty of its labelled examples."""
     events = sale_events(spark)
-    known = M.baseline(X.chronological_split(X.feature_table(points, events)))
+    known = M.baseline(X.chronological_split(X.feature_table(points, events, stored(X.labels(points, events)))))
     return M.batch_scores(points, events, now(), M.baseline, M.fit_uncertainty(known.where("split = 'validation'")))
 
 
 def mod5_predictions(spark: SparkSession, d: str) -> DataFrame:
-    return _predictions(spark, d, snapshots(spark, d))
+    return _predictions(spark, d, stored(facts(spark, d)))
 
 
 def decision_inputs(spark: SparkSession, d: str, predicted: bool) -> DataFrame:
-    snaps = snapshots(spark, d)
-    history = H.variant_history(snaps, now())
+    snaps = stored(facts(spark, d)) if predicted else snapshots(spark, d)
+    history = stored(H.variant_history(snaps, now()))
     about = history.select("product_id", "retailer_id").join(products(spark, d).select("product_id", "brand", "category"), "product_id")
     ahead = R.events_ahead(about, sale_events(spark), now())
     rows = history.join(ahead, "product_id", "left")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.config import SalesConfig
 from tidemark.operators import sales as S
 from tidemark.plans.base_sql import EVENTS, SNAP, half_up, long, percent4
+from tidemark.sources.scratch import stored
 from tidemark.sources.tables import products, sale_events, snapshots
 
 at = lambda s: F.lit(s).cast("timestamp")
@@ -40,11 +41,11 @@ def sal5_in_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sal6_event_stats(spark: SparkSession, d: str) -> DataFrame:
-    return S.event_stats(snapshots(spark, d), sale_events(spark))
+    return S.event_stats(stored(snapshots(spark, d)), sale_events(spark))
 
 
 def sal8_overall(spark: SparkSession, d: str) -> DataFrame:
-    return S.overall_stats(snapshots(spark, d), sale_events(spark))
+    return S.overall_stats(stored(snapshots(spark, d)), sale_events(spark))
 
 
 def sal10_discounted(spark: SparkSession, d: str) -> DataFrame:
