@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.common import scratch_root, table
+from tidemark.llm.common import drop_path, scratch_root, table
 from tidemark.llm.language_id import keep_identified
 from tidemark.llm.line_dedup import drop_repeated_lines
 from tidemark.llm.minhash_dedup import keep_representatives
@@ -30,9 +30,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = f"{scratch_root(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:  # nothing reads the stage before any more
+            drop_path(spark, before)
+        before = path
     return docs

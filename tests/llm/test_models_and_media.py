@@ -349,20 +349,45 @@ def test_neighbours_of_odd_vectors(spark):
 # -- pipeline
 
 
-def test_pipeline(spark, tmp_path):
+def test_pipeline_matches_plain_stages(spark, tmp_path):
+    """Each stage against a plain version of it on what the stage before has kept."""
     import corpus_pipeline as p
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    counts = []
+    from tests.llm.test_text_operators import brute_components, brute_lines
+
+    small = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    columns, kept, out = docs.columns, [{r.doc_id: r for r in docs.collect()}], docs
     for k, (_, stage) in enumerate(p.STAGES):
-        out = stage(spark, docs, SF)
-        if k < len(p.STAGES) - 1:
-            assert out.columns == docs.columns
-        out.write.parquet(str(tmp_path / str(k)))
-        docs = spark.read.parquet(str(tmp_path / str(k)))
-        counts.append(docs.count())
-    assert 1000 > counts[0] >= counts[1] >= counts[2] >= counts[3] > 500
-    assert docs.select("doc_id").distinct().count() == counts[3]
+        made = stage(spark, out, small)
+        assert k == len(p.STAGES) - 1 or made.columns == columns
+        made.write.parquet(str(tmp_path / str(k)))
+        out = spark.read.parquet(str(tmp_path / str(k)))
+        kept.append({r.doc_id: r for r in out.collect()})
+    start, good, known, lines, single = kept[:5]
+    frame = lambda rows: spark.createDataFrame([(r.doc_id, r.text, r.lang) for r in rows.values()], "doc_id long, text string, lang string")
+    model = quality.fit(frame(start), spark.read.parquet(f"{small}/labels.parquet"))
+    assert set(good) == {i for i, r in start.items() if model.score(r.text) >= 0.7}
+    c = language_id.LanguageConfig()
+    zips = language_id._compressors(language_id.dictionaries(frame(good)), c.level)
+    assert set(known) == {i for i, r in good.items() if not language_id.classify(r.text, zips, c)[2]}
+    plain = brute_lines({i: r.text.split("\n") for i, r in known.items()}, 50)
+    assert {i: r.text for i, r in lines.items()} == {i: t for i, t in plain.items() if t or t == known[i].text}
+    assert any(t != known[i].text for i, t in plain.items())
+    assert set(single) == {i for i, (_, comp) in brute_components({i: r.text for i, r in lines.items()}, 5).items() if i == comp}
+    assert {i: r.text for i, r in single.items()} == {i: lines[i].text for i in single}
+    pieces = out.collect()
+    assert {r.doc_id for r in pieces} == set(single) and sum(r.length for r in pieces) == sum({r.doc_id: r.doc_tokens for r in pieces}.values())
+
+
+def test_run_keeps_its_last_stage_only(spark):
+    import corpus_pipeline as p
+
+    from tidemark.llm.common import scratch_root
+
+    found = p.run(spark, "/root/testdata/sf0.001")
+    left = [x for x in os.listdir(scratch_root(spark).removeprefix("file:")) if x.startswith("pipeline-")]
+    assert found.count() > 50 and len(left) == 1 and left[0].startswith("pipeline-packing")
 
 
 def test_stages_bear_odd_rows(spark):
@@ -370,5 +395,19 @@ def test_stages_bear_odd_rows(spark):
 
     clean = spark.createDataFrame([tuple(r) for r in ROWS], "doc_id long, text string, lang string, source string, n_chars long")
     for name, stage in p.STAGES:
-        assert stage(spark, clean, SF).count() >= 0, name
+        ids = [r.doc_id for r in stage(spark, clean, SF).select("doc_id").collect()]
+        assert set(ids) <= {r[0] for r in ROWS}, name
+        assert name != "line_dedup" or sorted(ids, key=str) == sorted((r[0] for r in ROWS), key=str)
+        assert name != "near_dedup" or sorted(ids, key=str) == sorted((r[0] for r in ROWS), key=str)  # rows with one id are one document
+        assert name != "packing" or set(ids) == {r[0] for r in ROWS}
+        assert name != "language" or not {2, 3, 4, 6} & set(ids)
         assert stage(spark, clean.limit(0), SF).count() == 0, name
+
+
+def test_samples_are_bounded_by_rows_and_characters(spark):
+    docs = spark.createDataFrame([(i, "x" * 100) for i in range(60)] + [(5, "x" * 50), (70, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)] + [(4, 0)], "doc_id long, quality int")
+    counts = lambda **k: sorted((r.quality, r["count"]) for r in quality.sample(docs, labels, quality.QualityConfig(**k)).groupBy("quality").count().collect())
+    assert counts(sample_per_class=7) == [(0, 7), (1, 7)]
+    assert counts(sample_chars=450) == [(0, 5), (1, 5)] or counts(sample_chars=450) == [(0, 5), (1, 4)]
+    assert counts(sample_chars=1) == [(0, 1), (1, 1)]

@@ -158,6 +158,11 @@ def test_pieces_are_the_tokenizers_ids(spark):
     t = Tokenizer.from_file(packing.PackConfig().path())
     rows = packing.pack(documents(spark), packing.PackConfig(length=256, block_windows=4)).collect()
     by = packed_ids(rows)
+    for doc in (1, None):  # ids of several rows: the pieces of each row, in some order
+        texts = [r[1] for r in ROWS if r[0] == doc]
+        ids = np.array([*t.encode(texts[0], add_special_tokens=False).ids, 1], "<u4")
+        assert sum(r.length for r in by[doc]) == len(ids) * len(texts) and {r.doc_tokens for r in by[doc]} == {len(ids)}
+        assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in by[doc])
     for doc, text in {(r[0], r[1]) for r in ROWS if r[0] != 1 and r[0] is not None}:
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
         own = sorted(by[doc], key=lambda r: r.start)

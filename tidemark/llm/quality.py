@@ -24,7 +24,8 @@ from tidemark.llm.common import held_out, sole_cache, table
 
 @dataclass(frozen=True)
 class QualityConfig:
-    sample_per_class: int = 2500  # bound of the labelled sample that the model is fitted on
+    sample_per_class: int = 2500  # bound of the labelled sample that the model is fitted on ...
+    sample_chars: int = 16_000_000  # ... and of the characters of its texts a class, so of the driver's memory
     buckets: int = 1 << 18
     smoothing: float = 1.0
     c: float = 0.1
@@ -92,11 +93,13 @@ def indicators(text: str | None, buckets: int) -> np.ndarray:
 
 
 def sample(docs: DataFrame, labels: DataFrame, c: QualityConfig) -> DataFrame:
-    """(doc_id, quality) of at most sample_per_class training rows a class, those whose ids hash lowest."""
-    marked = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", "quality")
-    known = marked.join(docs.where(F.col("text").isNotNull()).select("doc_id"), "doc_id", "left_semi").distinct()
-    turn = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    return known.select("*", F.row_number().over(turn).alias("turn")).where(F.col("turn") <= c.sample_per_class).select("doc_id", "quality")
+    """(doc_id, quality) of at most sample_per_class training rows a class, those whose ids hash lowest, until their texts reach sample_chars."""
+    marked = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", "quality").distinct()
+    sized = docs.where(F.col("text").isNotNull()).groupBy("doc_id").agg(F.sum(F.length("text")).alias("chars"))
+    order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
+    first = marked.join(sized, "doc_id").select("*", F.row_number().over(order).alias("turn")).where(F.col("turn") <= c.sample_per_class)
+    before = F.coalesce(F.sum("chars").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return first.select("doc_id", "quality", before.alias("before")).where(F.col("before") < c.sample_chars).select("doc_id", "quality")
 
 
 def descend(rows: list[np.ndarray], ratio: np.ndarray, y: np.ndarray, c: QualityConfig) -> tuple[np.ndarray, float]:
