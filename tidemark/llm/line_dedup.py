@@ -132,7 +132,11 @@ def repeated_runs(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFra
     seen = F.max("end_line").over(along.rowsBetween(Window.unboundedPreceding, -1))
     opened = spans.select("*", F.when(F.col("first_line") <= seen, 0).otherwise(1).alias("opens"))
     stretches = opened.select("*", F.sum("opens").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("stretch"))
-    return stretches.groupBy(*at, "stretch").agg(F.min("first_line").alias("first_line"), F.max("end_line").alias("end_line")).drop("stretch")
+    runs = stretches.groupBy(*at, "stretch").agg(F.min("first_line").alias("first_line"), F.max("end_line").alias("end_line")).drop("stretch")
+    out = materialize(runs, "line-runs")
+    for used in later:
+        drop_scratch(used)
+    return out
 
 
 def _decided(docs: DataFrame, config: LineConfig) -> DataFrame:
