@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import ModelConfig
-from tidemark.operators.features import CATEGORICAL, NUMERIC, asked, encode, feature_table, fit_encoder
+from tidemark.operators.features import CATEGORICAL, EXAMPLE, NUMERIC, asked, encode, feature_table, fit_encoder
 
 
 def baseline(examples: DataFrame) -> DataFrame:
@@ -62,9 +62,9 @@ def train(split: DataFrame, c: ModelConfig = ModelConfig()):
     if sizes.get("train", 0) < c.min_train or sizes.get("validation", 0) < c.min_validation or sizes.get("test", 0) < c.min_test:
         return None
     codes = fit_encoder(split.where("split = 'train'"))
-    rows = _assembled(encode(split.where("split <> 'test'"), codes)).select("_features", (F.col("target_paise2") / 200.0).alias("_label"), (F.col("split") == "validation").alias("_held"))
+    rows = _assembled(encode(split.where("split <> 'test'"), codes)).select(*EXAMPLE, "_features", (F.col("target_paise2") / 200.0).alias("_label"), (F.col("split") == "validation").alias("_held"))
     gbt = GBTRegressor(featuresCol="_features", labelCol="_label", predictionCol="predicted", validationIndicatorCol="_held", maxDepth=c.depth, maxIter=c.rounds, stepSize=c.rate, subsamplingRate=0.8, seed=c.seed)
-    return gbt.fit(rows.repartition(8, "_label")), codes
+    return gbt.fit(rows.repartition(*EXAMPLE).sortWithinPartitions(*EXAMPLE)), codes  # the same rows in the same places, whatever came before
 
 
 def score(model, codes: DataFrame, examples: DataFrame) -> DataFrame:
