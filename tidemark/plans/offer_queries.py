@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import offers as O
 from tidemark.plans.base_sql import ADJ, SNAP, percent2
 from tidemark.plans.history_queries import FRESH, ROLLED
+from tidemark.sources.scratch import stored
 from tidemark.sources.tables import adjustments, adjustments_of, products, sellers, snapshots
 
 AS_OF = "2001-05-01 00:00:00"
@@ -31,8 +32,8 @@ def latest_offers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def priced_offers(spark: SparkSession, d: str) -> DataFrame:
-    """Offers with the adjustments of their own snapshots: these follow from the snapshot's line, so the fact is read once."""
-    offers = latest_offers(spark, d)
+    """Offers with the adjustments of their own snapshots, which follow from the snapshot's line: the fact is read once, for the latest rows."""
+    offers = stored(latest_offers(spark, d))
     return O.priced(offers.drop("suppkey", "line_no"), adjustments_of(offers), _moment())
 
 

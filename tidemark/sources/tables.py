@@ -81,8 +81,8 @@ def sale_events(spark: SparkSession, years: range = range(1995, 2002)) -> DataFr
     day = lambda m, d: F.make_timestamp(F.col("y"), m, d, F.lit(0), F.lit(0), F.lit(0))
     none_i, none_s = F.lit(None).cast("int"), F.lit(None).cast("string")
     plain = year.select(F.concat(F.lit("all-"), "y").alias("event_id"), none_i.alias("retailer_id"), none_s.alias("brand"), none_s.alias("category"), day(F.lit(10), F.lit(5)).alias("start_at"), F.lit(10).alias("days"), F.lit("manually_curated").alias("event_type"), F.lit("manual_curation").alias("source"), F.lit("high").alias("confidence"))
-    shop = year.crossJoin(spark.range(5).select(F.col("id").cast("int").alias("r"))).select(F.concat(F.lit("shop-"), "y", F.lit("-"), "r"), F.col("r"), none_s, none_s, day(F.col("r") + 1, F.lit(10)), F.lit(15), F.lit("retailer_specific"), F.when(F.col("r") == 0, "observed_price_inference").otherwise("official_api"), F.when(F.col("r") == 1, "low").otherwise("medium"))
-    brand = year.crossJoin(spark.range(1, 26, 5).select(F.col("id").cast("int").alias("b"))).select(F.concat(F.lit("brand-"), "y", F.lit("-"), "b"), none_i, F.concat(F.lit("Brand#"), "b"), none_s, day(F.lit(8), F.lit(1) + F.col("b")), F.lit(5), F.lit("brand"), F.lit("affiliate_feed"), F.when(F.col("b") == 1, "low").otherwise("high"))
+    shop = year.select("y", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("r")).select(F.concat(F.lit("shop-"), "y", F.lit("-"), "r"), F.col("r"), none_s, none_s, day(F.col("r") + 1, F.lit(10)), F.lit(15), F.lit("retailer_specific"), F.when(F.col("r") == 0, "observed_price_inference").otherwise("official_api"), F.when(F.col("r") == 1, "low").otherwise("medium"))
+    brand = year.select("y", F.explode(F.sequence(F.lit(1), F.lit(25), F.lit(5))).alias("b")).select(F.concat(F.lit("brand-"), "y", F.lit("-"), "b"), none_i, F.concat(F.lit("Brand#"), "b"), none_s, day(F.lit(8), F.lit(1) + F.col("b")), F.lit(5), F.lit("brand"), F.lit("affiliate_feed"), F.when(F.col("b") == 1, "low").otherwise("high"))
     kinds = F.array(*map(F.lit, ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]))
     kind = year.select("y", F.posexplode(kinds).alias("k", "c")).select(F.concat(F.lit("kind-"), "y", F.lit("-"), "k"), none_i, none_s, F.col("c"), day(F.lit(3) + F.col("k"), F.lit(20)), F.lit(7), F.lit("category"), F.lit("product_feed"), F.lit("medium"))
     made = plain.union(shop).union(brand).union(kind)
