@@ -36,7 +36,7 @@ def variant_key(attributes: Column) -> Column:
 
 
 HIDDEN = "[REDACTED]"
-#: What credentials look like in free text.
+#: What credentials look like in free text; {1} is the first group, which engines name differently.
 SECRETS = [("(?i)(rediss?://)([^/@]+)@", "{1}" + HIDDEN + "@"), ("(?i)(bearer\\s+)[^\\s]+", "{1}" + HIDDEN), ("(?i)\\b(api[-_]?key|token|password|secret|authorization|access[-_]?key)\\s*[:=]\\s*\\S+", "{1}=" + HIDDEN), ("^([A-Za-z][A-Za-z0-9+.-]*://)[^/?#]*@", "{1}" + HIDDEN + "@")]
 
 

@@ -24,6 +24,11 @@ STOP_WORDS = ["the", "a", "an", "and", "or", "of", "for", "with", "in", "on", "t
 SYNONYMS = {"colour": "color", "colours": "color", "smartphone": "phone", "smartphones": "phone", "mobile": "phone", "mobiles": "phone", "notebook": "laptop", "notebooks": "laptop", "earbuds": "buds", "earbud": "buds", "earphones": "buds", "headphone": "headphones", "tv": "television", "ssd": "storage", "hdd": "storage"}
 KEYS = {"colour": "color", "colors": "color", "colours": "color", "memory": "ram", "memory_size": "ram", "internal_storage": "storage", "rom": "storage", "ssd": "storage", "hdd": "storage", "screen_size": "size", "display_size": "size", "coverage": "capacity", "volume": "capacity", "tank": "capacity", "gen": "generation", "style": "variant", "model_number": "model"}
 VARIANT_KEYS = ["ram", "storage", "size", "color", "capacity", "generation", "variant"]
+#: How sizes and generations are written.
+SIZED = "(\\d+(?:\\.\\d+)?)\\s*(tb|gb|mb|ml|l|kg|g|inch|in|cm|mm|sqft|sq\\s*ft)?"
+GENERATION = "(?i)\\b(?:gen(?:eration)?\\s*(\\d+)|(\\d+)(?:st|nd|rd|th)\\s*gen(?:eration)?)\\b"
+TOLD_RAM = "(?i)\\b(\\d+(?:\\.\\d+)?)\\s*gb\\s*ram\\b"
+TOLD_STORAGE = "(?i)\\b(\\d+(?:\\.\\d+)?)\\s*(tb|gb)\\b(?!\\s*ram)"
 FAMILIES = {"gtin": "barcode", "ean": "barcode", "upc": "barcode", "isbn": "isbn", "mpn": "part", "model_number": "part", "other": "other"}
 
 
@@ -72,16 +77,12 @@ def trimmed_number(text: Column) -> Column:
 
 def attribute_value(key: Column, value: Column) -> Column:
     raw = F.regexp_replace(F.trim(F.regexp_replace(F.lower(value), "\\s+", " ")), "colour", "color")
-    spec = "(\\d+(?:\\.\\d+)?)\\s*(tb|gb|mb|ml|l|kg|g|inch|in|cm|mm|sqft|sq\\s*ft)?"
-    unit = F.regexp_replace(F.regexp_extract(raw, spec, 2), "\\s", "")
-    sized = F.concat(trimmed_number(F.regexp_extract(raw, spec, 1)), F.when(unit == "in", "inch").otherwise(unit))
+    unit = F.regexp_replace(F.regexp_extract(raw, SIZED, 2), "\\s", "")
+    sized = F.concat(trimmed_number(F.regexp_extract(raw, SIZED, 1)), F.when(unit == "in", "inch").otherwise(unit))
     gen = F.coalesce(F.nullif(F.regexp_extract(raw, GENERATION, 1), F.lit("")), F.nullif(F.regexp_extract(raw, GENERATION, 2), F.lit("")), F.nullif(F.regexp_replace(raw, "\\D", ""), F.lit("")), raw)
     return F.when(key.isin("ram", "storage", "capacity", "size") & raw.rlike("\\d"), sized).when(key == "generation", gen).otherwise(raw)
 
 
-GENERATION = "(?i)\\b(?:gen(?:eration)?\\s*(\\d+)|(\\d+)(?:st|nd|rd|th)\\s*gen(?:eration)?)\\b"
-
-
 def attribute_map(attributes: Column) -> Column:
     """Canonical keys and values; entries without either go."""
     def pair(e: Column) -> Column:
@@ -112,9 +113,9 @@ def merged_attributes(attributes: Column, title: Column) -> Column:
 def title_attributes(title: Column) -> Column:
     """RAM, storage, generation and colours that a title tells."""
     size = lambda n, u: F.concat(trimmed_number(n), F.lower(u))
-    ram = F.nullif(F.regexp_extract(title, "(?i)\\b(\\d+(?:\\.\\d+)?)\\s*gb\\s*ram\\b", 1), F.lit(""))
+    ram = F.nullif(F.regexp_extract(title, TOLD_RAM, 1), F.lit(""))
     ram = F.when(ram.isNotNull(), size(ram, F.lit("gb")))
-    pattern = F.lit("(?i)\\b(\\d+(?:\\.\\d+)?)\\s*(tb|gb)\\b(?!\\s*ram)")
+    pattern = F.lit(TOLD_STORAGE)
     found = F.zip_with(F.regexp_extract_all(title, pattern, F.lit(1)), F.regexp_extract_all(title, pattern, F.lit(2)), size)
     storage = F.try_element_at(F.filter(found, lambda s: ram.isNull() | (s != ram)), F.lit(-1))
     gen = F.coalesce(F.nullif(F.regexp_extract(title, GENERATION, 1), F.lit("")), F.nullif(F.regexp_extract(title, GENERATION, 2), F.lit("")))
