@@ -13,7 +13,7 @@ def plan(df) -> str:
 
 @pytest.mark.parametrize(
     ("name", "scans"),
-    [("his2_window_averages", 1), ("his13_variant_history", 1), ("cmp1_latest_per_seller", 1), ("cmp5_priced_offers", 0), ("cmp15_lowest_verified", 0), ("sal5_in_events", 1), ("sal6_event_stats", 0), ("sal8_overall", 0), ("sal10_discounted", 1), ("sal13_windows", 2), ("fea5_features", 0), ("fea9_labels", 2), ("mod5_predictions", 0), ("rec9_decisions", 0)],
+    [("his2_window_averages", 1), ("his13_variant_history", 1), ("cmp1_latest_per_seller", 1), ("cmp5_priced_offers", 0), ("cmp15_lowest_verified", 0), ("sal5_in_events", 1), ("sal6_event_stats", 0), ("sal8_overall", 0), ("sal10_discounted", 1), ("sal13_windows", 0), ("fea5_features", 0), ("fea9_labels", 2), ("mod5_predictions", 0), ("rec9_decisions", 0)],
 )
 def test_the_fact_is_read_seldom(spark, name, scans):
     assert plan(registry.queries()[name](spark, SF)).count("lineitem.parquet") <= scans

@@ -14,6 +14,7 @@ from tidemark.config import SalesConfig
 from tidemark.functions.money import half_up, mean, percent4
 from tidemark.functions.series import SKEY, along
 from tidemark.operators.history import qualifying
+from tidemark.sources.scratch import stored
 
 DAY_US = 86_400_000_000
 
@@ -197,9 +198,11 @@ def detect_windows(points: DataFrame, c: SalesConfig = SalesConfig(), keys: tupl
     """Sale windows inferred from concurrent drops, by retailer, category and brand.
 
     Rows are collapsed to one per scope and day before islands are cut, so a hot category meets one task with days, not rows;
-    islands are joined back by day. Two days whose nearest observations are more than max_gap_days apart begin a new window.
+    islands are joined back by day. The drops are stored, as both steps read them, and only the columns in question go through Python.
+    Two days whose nearest observations are more than max_gap_days apart begin a new window.
     """
-    drops = discounted(points, list(keys), c)
+    needed = dict.fromkeys([*keys, *SKEY, "confidence", "displayed_paise", "effective_paise", "retailer_id", "category", "brand"])
+    drops = stored(discounted(points.select(*needed), list(keys), c).select("observed_at", "drop_percent", "retailer_id", "category", "brand", *keys))
     scopes = F.array(*(F.struct(F.lit(s).alias("scope"), F.col(col).cast("string").alias("scope_id")) for s, col in (("retailer", "retailer_id"), ("category", "category"), ("brand", "brand"))))
     part = F.col("retailer_id").cast("string") if per_retailer else F.lit("")
     rows = drops.select("observed_at", "drop_percent", *keys, part.alias("part"), F.inline(scopes)).where("scope_id is not null").withColumn("day", F.to_date("observed_at"))

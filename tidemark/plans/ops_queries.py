@@ -19,7 +19,7 @@ from tidemark.plans.base_sql import ADJ, SNAP
 from tidemark.plans.history_queries import his15_newest_age
 from tidemark.plans.offer_queries import WINNERS, priced_rows, winners
 from tidemark.plans.sale_queries import sessions_sql
-from tidemark.sources.scratch import drop_path, scratch_folder
+from tidemark.sources.scratch import drop_path, scratch_folder, stored
 from tidemark.sources.tables import products, read, snapshots
 from tidemark.streaming import streams
 
@@ -227,6 +227,7 @@ def str4_sessions(spark: SparkSession, d: str) -> DataFrame:
     folder = _folder(spark)
     scopes = F.array(*(F.struct(F.lit(s).alias("scope"), F.col(c).cast("string").alias("scope_id")) for s, c in (("retailer", "retailer_id"), ("category", "category"), ("brand", "brand"))))
     drops = S.discounted(snapshots(spark, d), ["listing_id", "seller_id"], SalesConfig(drop_percent=25)).select("observed_at", F.inline(scopes))
+    drops = stored(drops)
     out = streams.sale_sessions(drops)
     _arrive(spark, folder, [*_in_time(drops), *_closing(drops, "observed_at", scope="end", scope_id="end")], lambda r: streams.to_table(streams.sale_sessions(r), f"{folder}/out", f"{folder}/cp"))
     return spark.read.schema(out.schema).parquet(f"{folder}/out").where("scope <> 'end'")
