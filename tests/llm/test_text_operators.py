@@ -89,10 +89,11 @@ def test_near_duplicates_of_odd_rows(spark):
 
 
 def test_components_of_documents_match_brute_force(spark):
-    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.op1_minhash_dedup(spark, SF).collect()}
+    larger = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{larger}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.op1_minhash_dedup(spark, larger).collect()}
     assert got == brute_components(docs, 4)
-    assert sum(i != comp for i, (_, comp) in got.items()) > 20
+    assert sum(i != comp for i, (_, comp) in got.items()) > 50
 
 
 def test_blocks_give_the_links_between_components():
@@ -107,7 +108,7 @@ def test_blocks_give_the_links_between_components():
         return pa.table({k: pa.array(v, pa.list_(pa.int64()) if k == "keys" else None) for k, v in columns.items()})
 
     assert minhash_dedup.block_links(5, block([0, 1, 1, 3], [[5]] * 4), c) == [(0, 1)]
-    assert minhash_dedup.block_links(5, block([0, 1, 2, 3], [[5]] * 4), c) == [(0, 1), (2, 1)]
+    assert minhash_dedup.block_links(5, block([0, 1, 2, 3], [[5]] * 4), c) == [(0, 1), (0, 2)]
     assert minhash_dedup.block_links(5, block([0, 1, 1, 3], [[5], [4, 5], [5], [5]]), c) == [(0, 1)]
     assert minhash_dedup.block_links(5, block([0, 1, 1, 3], [[4, 5], [4, 5], [5], [5]]), c) == [(0, 2)]
     assert minhash_dedup.block_links(5, block([0, 1, 1, 3], [[5]] * 4, (2, 2, 2, 2)), c) == []
