@@ -145,6 +145,7 @@ def _decided(docs: DataFrame, config: LineConfig) -> DataFrame:
     stretch = F.array_sort(F.collect_list(F.struct("first_line", "end_line")))
     per_doc = runs.groupBy("doc_id", "thash").agg(stretch.alias("runs")).withColumnRenamed("doc_id", "id")
     rows = docs.select(F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias("doc"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("own_hash"))
+    per_doc = per_doc.hint("merge")  # one plan at all sizes: texts are dealt by id, and the list of runs grows with them
     joined = rows.join(per_doc, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("thash")), "left")
     text = F.col("doc")["text"]
     lines = F.split(text, "\n")
