@@ -129,6 +129,14 @@ def test_samples_come_from_all_over_a_text(spark):
     assert made["en"].startswith(b"a") and made["en"].endswith(b"c") and b"b" * 100 in made["en"] and len(made["en"]) <= c.sample_chars + c.sample_pieces
 
 
+@pytest.mark.parametrize("text", ["½", "²³ ① Ⅷ", "१२३", "_ 7 .", "\u0301"])
+def test_texts_without_letters_are_undetermined(text):
+    c = language_id.LanguageConfig()
+    compressors = language_id._compressors({"de": b"und der die das", "en": b"the and of to"}, c.level)
+    assert language_id.classify(text, compressors, c) == ("und", 0.0, True)
+    assert language_id.classify(text + "ª", compressors, c)[0] in ("de", "en")
+
+
 def test_language_of_odd_rows(spark):
     docs = documents(spark)
     learned = language_id.dictionaries(docs)

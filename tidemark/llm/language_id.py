@@ -7,7 +7,6 @@ Where the best two are too close the text is rejected.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +30,6 @@ class LanguageConfig:
 
 
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def _pieces(text: F.Column, c: LanguageConfig) -> F.Column:
@@ -74,7 +72,7 @@ def _compressors(learned: dict[str, bytes], level: int) -> list:
 
 def classify(text: str | None, compressors: list, c: LanguageConfig) -> tuple[str, float, bool]:
     """(language, score, rejected) of a whole text; of languages with the same size the first by name wins, and is rejected."""
-    if text is None or not compressors or not _LETTER.search(text):
+    if text is None or not compressors or not any(map(str.isalpha, text)):  # ½, ① and Ⅷ are numbers, not letters
         return UNDETERMINED, 0.0, True
     data = text.lower().encode("utf-8", "replace")
     blocks = [data[i : i + c.block_bytes] for i in range(0, len(data), c.block_bytes)]
@@ -102,7 +100,8 @@ def identify(docs: DataFrame, learned: dict[str, bytes], config: LanguageConfig
 
     lang_pred is a learned language, or `und` with score 0 for null texts, texts without a letter, and all texts if
     nothing was learned; those are rejected, like texts whose best two languages are closer than min_margin. Only the
-    text is looked at. Repeated rows get the same values; an empty table gives an empty result.
+    text is looked at, from end to end: a very long one is compressed in blocks, whose sizes are summed. Repeated rows get
+    the same values; an empty table gives an empty result.
     """
     predict = language_column(learned, config, docs.sparkSession)
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), predict(F.col("text")).alias("p"))
