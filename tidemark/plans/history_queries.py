@@ -34,7 +34,7 @@ def his4_extrema(spark: SparkSession, d: str) -> DataFrame:
 
 
 def his8_changes(spark: SparkSession, d: str) -> DataFrame:
-    return H.changes(snapshots(spark, d), "product_id", "listing_id").select("snapshot_id", "product_id", "listing_id", "price", "baseline_paise", "baseline_snapshot_id", "change_percent", "is_drop", "change_reason")
+    return H.changes(snapshots(spark, d), *H.SERIES).select("snapshot_id", *H.SERIES, "price", "baseline_paise", "baseline_snapshot_id", "change_percent", "is_drop", "change_reason")
 
 
 def his10_drop_feed(spark: SparkSession, d: str) -> DataFrame:
@@ -113,7 +113,7 @@ QUERIES = {
     "his2_window_averages": (his2_window_averages, f"WITH {SNAP} SELECT product_id, {_AVG}, {', '.join(f'''CASE WHEN count(*) FILTER ({_WIN(_A, x)}) = 0 THEN 'no_observations_in_window' END AS reason_{x}d''' for x in D7)} FROM q GROUP BY 1"),
     "his3_rolling_averages": (his3_rolling_averages, f"WITH {SNAP} SELECT snapshot_id, product_id, observed_at, price, " + ", ".join(f"{long(half_up(f'sum(price) OVER w{x}', f'count(*) OVER w{x}'))} AS avg_{x}d" for x in D7) + " FROM q WINDOW " + ", ".join(f"w{x} AS (PARTITION BY product_id ORDER BY observed_at RANGE BETWEEN INTERVAL {x} DAY PRECEDING AND CURRENT ROW)" for x in D7)),
     "his4_extrema": (his4_extrema, f"WITH {SNAP}, e AS (SELECT product_id, {_EXT} FROM q GROUP BY 1) SELECT product_id, {_EXTCOLS} FROM e"),
-    "his8_changes": (his8_changes, f"WITH {SNAP}, {_changes('product_id, listing_id')} SELECT snapshot_id, product_id, listing_id, price, baseline_paise, baseline_snapshot_id, change_percent, is_drop, change_reason FROM c"),
+    "his8_changes": (his8_changes, f"WITH {SNAP}, {_changes('product_id, listing_id, seller_id')} SELECT snapshot_id, product_id, listing_id, seller_id, price, baseline_paise, baseline_snapshot_id, change_percent, is_drop, change_reason FROM c"),
     "his10_drop_feed": (his10_drop_feed, f"WITH {SNAP}, {_changes('product_id, listing_id, seller_id')} SELECT snapshot_id, product_id, listing_id, seller_id, observed_at, price, baseline_paise, baseline_snapshot_id, change_percent FROM c WHERE is_drop"),
     "his12_variant_freshness": (his12_variant_freshness, f"WITH {SNAP}, {_VF} SELECT product_id, observed_at, observations, status FROM vf"),
     "his12_brand_freshness": (his12_brand_freshness, f"WITH {SNAP}, {_VF} SELECT brand, {ROLLED} FROM vf GROUP BY 1"),
