@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.alignment import op11_token_alignment
 from tidemark.llm.ann import op9_ann
 from tidemark.llm.bpe import op7_bpe
 from tidemark.llm.language_id import op8_language_id
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_ann": op9_ann,
         "op10_license_scan": op10_license_scan,
+        "op11_token_alignment": op11_token_alignment,
     }
 
 
