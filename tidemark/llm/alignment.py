@@ -35,9 +35,9 @@ class AlignConfig:
     tokenizer_a: str | None = None  # path of a byte-level tokenizers file; None: the public one
     tokenizer_b: str | None = None  # path of a sentencepiece model that adds a space in front; None: the public one
     piece_tokens: int = 128  # tokens of both sides that a piece of a merge holds
-    cached_segments: int = 400_000
-    block_words: int = 3_000_000  # a block ends after the document that reaches this
-    together_words: int = 400_000  # words whose documents are summed up in one step
+    cached_segments: int = 250_000
+    block_words: int = 1_500_000  # a block ends after the document that reaches this
+    together_words: int = 200_000  # words whose documents are summed up in one step
 
     def paths(self) -> tuple[str, str]:
         if self.tokenizer_a and self.tokenizer_b:
@@ -109,7 +109,7 @@ class Segments:
     #: A space with white space, or an end of the text, beside it.
     _ODD = re.compile(r" (?:(?!\S)|(?<=\A )|(?<=\s ))")
     _CUT = re.compile(r"(?<=\S) (?=\S)")
-    CHUNK = 1_000_000  # characters of new segments that are merged at a time; a longer segment is merged alone
+    CHUNK = 300_000  # characters of new segments that are merged at a time; a longer segment is merged alone
 
     def __init__(self, c: AlignConfig):
         import sentencepiece
@@ -231,6 +231,7 @@ class Segments:
 
 
 _LOADED: dict[AlignConfig, Segments] = {}
+_NO_CACHE: dict = {}
 
 
 def _segments(c: AlignConfig) -> Segments:
@@ -239,18 +240,29 @@ def _segments(c: AlignConfig) -> Segments:
     return _LOADED[c]
 
 
-#: A document has doc_id to times; a block has one more row, without `of`, with pairs to links: its distinct pairs A << 32 | B, how many
+#: A document has doc_id to segments; a block has one more row, without `of`, with pairs to links: its distinct pairs A << 32 | B, how many
 #: of its documents hold each, and of its distinct segments the number of pairs, their places and links.
-_BLOCKS = "block long, of long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, segments array<int>, times array<int>, pairs array<long>, docs array<int>, sizes array<int>, places array<int>, links array<long>"
-_TYPES = [pa.int64()] * 7 + [pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+_BLOCKS = "block long, of long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, segments binary, pairs array<long>, docs array<int>, sizes array<int>, places array<int>, links array<long>"
+_TYPES = [pa.int64()] * 7 + [pa.string(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
 
 
 def _rows(columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(columns, _TYPES, strict=True)], names=[x.split()[0] for x in _BLOCKS.split(", ")])
 
 
-def _lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, kind))
+def _squeeze(ascending: np.ndarray, times: np.ndarray) -> bytes:
+    """A document's distinct segments as steps, and how often it has each, byte by byte of all numbers."""
+    import zstandard
+
+    both = np.concatenate([np.diff(ascending, prepend=0), times]).astype("<u4")
+    return zstandard.compress(both.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unsqueezed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    import zstandard
+
+    both = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+    return np.cumsum(both[: len(both) // 2]), both[len(both) // 2 :]
 
 
 class _Block:
@@ -299,12 +311,13 @@ class _Block:
         of = 0
         for ids, a, b, groups, n_links, digests, counts, segment, times in self.steps:
             bounds = np.concatenate([[0], np.cumsum(counts)])
-            n = len(ids)
-            yield _rows([np.full(n, self.block), np.arange(of, of + n), ids, a, b, groups, n_links, digests, _lists(np.searchsorted(own, segment), bounds, pa.int32()), _lists(times, bounds, pa.int32()), *([[None] * n] * 5)])
+            n, local = len(ids), np.searchsorted(own, segment)
+            squeezed = [_squeeze(local[i:j], times[i:j]) if i < j else b"" for i, j in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
+            yield _rows([np.full(n, self.block), np.arange(of, of + n), ids, a, b, groups, n_links, digests, squeezed, *([[None] * n] * 5)])
             of += n
         distinct, docs = _counted(*(np.concatenate(x) for x in zip(*self.pairs, strict=True))) if self.pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         at = _spread((np.cumsum(sizes) - sizes)[own], sizes[own]) if len(own) else np.zeros(0, np.int64)
-        yield _rows([[self.block], *([[None]] * 9), [distinct], [docs], [sizes[own] if len(own) else []], [np.searchsorted(distinct, pairs[at]) if len(own) else []], [links[at] if len(own) else []]])
+        yield _rows([[self.block], *([[None]] * 8), [distinct], [docs], [sizes[own] if len(own) else []], [np.searchsorted(distinct, pairs[at]) if len(own) else []], [links[at] if len(own) else []]])
 
 
 def aligned_blocks(docs: DataFrame, c: AlignConfig, id_col: str, text_col: str) -> DataFrame:
@@ -344,6 +357,7 @@ def _scored(block: pa.Table, told: pa.Table) -> pa.Table:
     """The documents of a block; told: of each of its pairs (place), the count and whether it is the highest of its id of A."""
     import pyarrow.compute as pc
 
+    sole_cache(_NO_CACHE)
     docs = block.filter(pc.is_valid(block["of"])).combine_chunks()
     head = block.filter(pc.is_null(block["of"])).combine_chunks()
     array = lambda x: x.to_numpy().astype(np.int64)
@@ -356,9 +370,8 @@ def _scored(block: pa.Table, told: pa.Table) -> pa.Table:
     ends = np.cumsum(sizes)
     summed = lambda x, ends: np.diff(np.concatenate([[0], np.cumsum(x)])[ends], prepend=0)
     of_segment = [summed(links * x[places], ends) for x in (best, count)]
-    segment, times = values(docs, "segments"), values(docs, "times")
-    bounds = np.cumsum(array(pc.list_value_length(docs["segments"])))
-    n_best, count_sum = (summed(times * x[segment], bounds) for x in of_segment)
+    own = [_unsqueezed(x) if x else (np.zeros(0, np.int64),) * 2 for x in docs["segments"].to_pylist()]
+    n_best, count_sum = ([int((times * x[segment]).sum()) for segment, times in own] for x in of_segment)
     out = docs.select(["doc_id", "n_a", "n_b", "n_groups", "n_links"])
     return out.append_column("n_best", pa.array(n_best, pa.int64())).append_column("count_sum", pa.array(count_sum, pa.int64())).append_column("groups_sha256", docs["groups_sha256"])
 
