@@ -16,6 +16,7 @@ from tidemark.llm.matroska import op4_matroska
 from tidemark.llm.minhash_dedup import op1_minhash_dedup
 from tidemark.llm.packing import op2_packing
 from tidemark.llm.quality import op3_quality
+from tidemark.llm.token_files import op13_token_files
 from tidemark.llm.warc import OP6_SQL, op6_warc
 
 
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_ann": op9_ann,
         "op10_license_scan": op10_license_scan,
         "op11_token_alignment": op11_token_alignment,
+        "op13_token_files": op13_token_files,
     }
 
 
