@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.alignment import op11_token_alignment
 from tidemark.llm.ann import op9_ann
 from tidemark.llm.bpe import op7_bpe
+from tidemark.llm.collocations import OP12_SQL, op12_collocations
 from tidemark.llm.language_id import op8_language_id
 from tidemark.llm.license_scan import OP10_SQL, op10_license_scan
 from tidemark.llm.line_dedup import OP5_SQL, op5_line_dedup
@@ -33,9 +34,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_ann": op9_ann,
         "op10_license_scan": op10_license_scan,
         "op11_token_alignment": op11_token_alignment,
+        "op12_collocations": op12_collocations,
         "op13_token_files": op13_token_files,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op10_license_scan": OP10_SQL}
+    return {"op5_line_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op10_license_scan": OP10_SQL, "op12_collocations": OP12_SQL}
