@@ -7,8 +7,8 @@ frequent where its first and its last k words are, so a round looks only at plac
 named by the phrase of k words one place further on: with the prefix it gives the next word, the rest of the phrase after any cut, and
 both one-word extensions of which a shorter phrase may be a mere part.
 
-A stripe is cut into parts by the hash of its entries, as many as its prefix is frequent, so the stripe of a very common word is not
-one row or group; a block hands in each entry once, with its count.
+A stripe is cut into parts by the hash of its entries, the more the oftener its prefix occurs, so the stripe of a very common word is
+not one group; a block hands in each entry once, with its count, and lays the stripes of a bucket of prefixes end to end in one row.
 """
 
 from __future__ import annotations
@@ -34,16 +34,17 @@ class PhraseConfig:
     least: int = 100  # occurrences of a candidate
     part_of: int = 100  # percent of a phrase's occurrences from which a longer one takes its place
     top: int = 2000  # of a language in the report
-    block_words: int = 1_000_000  # a block ends after the document that reaches this
+    block_words: int = 1_500_000  # a block ends after the document that reaches this
+    buckets: int = 2048  # of prefixes and parts; tasks that merge stripes are no more than these
     word_parts: int = 64  # parts of the stripe of all words of a language
     part_count: int = 100_000  # occurrences of a prefix from which its stripe has one more part
 
 
 UNKNOWN = "und"
-#: A block has one row with `places`: numbers of its entries along its texts, -1 between pieces. Other rows are parts of its stripes: the
-#: prefix (a language with words, or a phrase with phrases) and, per entry, what it is, its count in the block and its number there.
-_STRIPES = "block long, places array<int>, lang string, words array<string>, head long, tails array<long>, part int, counts array<long>, entries array<int>"
-_TYPES = [pa.int64(), pa.list_(pa.int32()), pa.string(), pa.list_(pa.string()), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+#: A block has one row with `places`: numbers of its entries along its texts, squeezed. Other rows are parts of its stripes: what the entries
+#: are (words of a language, or heads and tails), their counts in the block and their numbers there, listed or from `start` on.
+_STRIPES = "block long, places binary, lang string, bucket int, words array<string>, heads array<long>, tails array<long>, counts array<int>, entries array<int>, start int"
+_TYPES = [pa.int64(), pa.binary(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32()]
 _NAMES = [x.split()[0] for x in _STRIPES.split(", ")]
 
 _ENTRY_BITS = 27  # of a phrase's name: its entry in a block; then 14 bits for the block in its partition and 22 for the partition
@@ -61,6 +62,19 @@ def _split(bounds: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Arra
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, kind))
 
 
+def _squeeze(places: np.ndarray) -> bytes:
+    """Numbers from -1 on, byte by byte of all of them."""
+    import zstandard
+
+    return zstandard.compress((places + 1).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _places(data: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64) - 1
+
+
 def _columns(n: int, **known) -> list:
     return [known[x] if x in known else pa.nulls(n, t) for x, t in zip(_NAMES, _TYPES, strict=True)]
 
@@ -106,7 +120,7 @@ def _first_stripes(block: int, numbers: dict[str, _Numbers], held: list[tuple[st
     for lang, own in numbers.items():
         first[lang], at = at, at + len(own) - 2
     places = np.concatenate([np.concatenate([np.where(p, p + (first[lang] - 2), -1), [-1]]) for lang, p in held]).astype(np.int32)
-    yield _batch(1, block=pa.array([block]), places=pa.array([places], pa.list_(pa.int32())))
+    yield _batch(1, block=pa.array([block]), places=pa.array([_squeeze(places)]))
     counts = np.bincount(places[places >= 0], minlength=at)
     for lang, own in numbers.items():
         n = len(own) - 2
@@ -116,8 +130,8 @@ def _first_stripes(block: int, numbers: dict[str, _Numbers], held: list[tuple[st
             order, bounds = _grouped([part])
             m = len(bounds) - 1
             yield _batch(
-                m, block=pa.array(np.full(m, block)), lang=pa.array([lang] * m), words=pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), words.take(pa.array(order))), part=pa.array(part[order[bounds[:-1]]], pa.int32()),
-                counts=_split(bounds, counts[first[lang] + order], pa.int64()), entries=_split(bounds, first[lang] + order, pa.int32()),
+                m, block=pa.array(np.full(m, block)), lang=pa.array([lang] * m), words=pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), words.take(pa.array(order))), bucket=pa.array(part[order[bounds[:-1]]], pa.int32()),
+                counts=_split(bounds, counts[first[lang] + order], pa.int32()), entries=_split(bounds, first[lang] + order, pa.int32()),
             )
 
 
@@ -135,8 +149,8 @@ def longer_stripes(blocks: DataFrame, merged: DataFrame, c: PhraseConfig) -> Dat
         empty = pa.Table.from_batches([_batch(0)])
         if not len(block) or not len(told):
             return empty
-        number, places = block["block"][0].as_py(), block["places"].combine_chunks().flatten().to_numpy()
-        entry, phrase, total = (told[x].to_numpy() for x in ("entry", "phrase", "total"))
+        number, places = block["block"][0].as_py(), _places(block["places"][0].as_py())
+        entry, phrase, parts = (told[x].to_numpy() for x in ("entry", "phrase", "parts"))
         known = np.full(max(int(places.max()), int(entry.max())) + 1, -1, np.int64)
         known[entry] = np.arange(len(entry))
         at = np.where(places >= 0, known[places], -1)
@@ -144,36 +158,49 @@ def longer_stripes(blocks: DataFrame, merged: DataFrame, c: PhraseConfig) -> Dat
         if not len(here):
             return empty
         codes, own, counts = np.unique(at[here] * len(entry) + at[here + 1], return_inverse=True, return_counts=True)
-        after = np.full(len(at), -1, np.int32)
-        after[here] = own
-        after = after[(after >= 0) | np.concatenate([[False], after[:-1] >= 0])]  # one -1 is enough between runs
         head, tail = codes // len(entry), phrase[codes % len(entry)]
-        part = (_mix(tail) % (1 + total[head] // c.part_count).astype(np.uint64)).astype(np.int64)
-        order, bounds = _grouped([phrase[head], part])
+        part = _mix(tail) % parts[head].astype(np.uint64)
+        head = phrase[head]
+        bucket = (_mix(head + part.astype(np.int64)) % np.uint64(c.buckets)).astype(np.int64)
+        order = np.lexsort((tail, head, bucket))  # entries are numbered in this order
+        bounds = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]])
+        number_of = np.empty(len(order), np.int64)
+        number_of[order] = np.arange(len(order))
+        after = np.full(len(at), -1, np.int64)
+        after[here] = number_of[own]
+        after = after[(after >= 0) | np.concatenate([[False], after[:-1] >= 0])]  # one -1 is enough between runs
         m = len(bounds) - 1
-        start = order[bounds[:-1]]
-        stripes = _batch(m, block=pa.array(np.full(m, number)), head=pa.array(phrase[head[start]]), part=pa.array(part[start], pa.int32()), tails=_split(bounds, tail[order], pa.int64()), counts=_split(bounds, counts[order], pa.int64()), entries=_split(bounds, order, pa.int32()))
-        return pa.Table.from_batches([_batch(1, block=pa.array([number]), places=pa.array([after], pa.list_(pa.int32()))), stripes])
+        stripes = _batch(
+            m, block=pa.array(np.full(m, number)), bucket=pa.array(bucket[order[bounds[:-1]]], pa.int32()), start=pa.array(bounds[:-1], pa.int32()),
+            heads=_split(bounds, head[order], pa.int64()), tails=_split(bounds, tail[order], pa.int64()), counts=_split(bounds, counts[order], pa.int32()),
+        )
+        return pa.Table.from_batches([_batch(1, block=pa.array([number]), places=pa.array([_squeeze(after)])), stripes])
 
-    told = merged.select(F.col("block").alias("to"), "entry", "phrase", "total")
+    told = merged.select(F.col("block").alias("to"), "entry", "phrase", F.least(1 + F.floor(F.col("total") / c.part_count), F.lit(1 << 30)).cast("int").alias("parts"))
     return blocks.where("places is not null").select("block", "places").groupBy("block").cogroup(told.groupBy("to")).applyInArrow(run, _STRIPES)
 
 
 def merged_stripes(blocks: DataFrame, c: PhraseConfig) -> DataFrame:
-    """(block, entry, key columns, own, phrase, total) of the frequent entries of each block.
+    """(block, entry, phrase, total, own, item columns) of the frequent entries of each block.
 
-    Stripes meet by prefix and part, once; their entries are added up there. A phrase is named by the first of its entries, block and number
-    in one; `own` says which row that is.
+    Stripes meet by their bucket, once; their entries are added up there. A phrase is named by the first of its entries, block and number
+    in one; the row of that entry alone, `own`, says what the phrase is: lang and word, or head and tail.
     """
-    words = "words" if "words" in blocks.columns else "tails"
-    prefix, item = ("lang", "word") if words == "words" else ("head", "tail")
-    stripes = blocks.where("places is null").select("block", prefix, "part", words, "counts", "entries").repartition(prefix, "part")
-    entries = stripes.select("block", prefix, "part", F.explode(F.arrays_zip(F.col(words).alias("item"), F.col("counts").alias("n"), F.col("entries").alias("entry"))).alias("e"))
-    rows = entries.select("block", prefix, "part", F.col("e.item").alias(item), F.col("e.n").alias("n"), F.col("e.entry").alias("entry"))
-    same = Window.partitionBy(prefix, "part", item)
+    stripes, item = blocks.where("places is null"), ["lang", "word"] if "words" in blocks.columns else ["head", "tail"]
+    if "words" in blocks.columns:
+        dealt = stripes.select("block", "lang", "bucket", "words", "counts", "entries").repartition("lang", "bucket")
+        each = F.explode(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n"), F.col("entries").alias("entry"))).alias("e")
+        rows = dealt.select("block", "lang", "bucket", each).select("block", "lang", "bucket", "e.word", "e.n", "e.entry")
+        same = Window.partitionBy("lang", "bucket", "word")
+    else:
+        dealt = stripes.select("block", "bucket", "start", "heads", "tails", "counts").repartition("bucket")
+        each = F.posexplode(F.arrays_zip(F.col("heads").alias("head"), F.col("tails").alias("tail"), F.col("counts").alias("n"))).alias("at", "e")
+        rows = dealt.select("block", "bucket", "start", each).select("block", "bucket", "e.head", "e.tail", "e.n", (F.col("start") + F.col("at")).alias("entry"))
+        same = Window.partitionBy("bucket", "head", "tail")
     name = F.shiftleft("block", _ENTRY_BITS).bitwiseOR(F.col("entry").cast("long"))
-    totals = rows.select("block", "entry", prefix, item, F.sum("n").over(same).alias("total"), F.min(name).over(same).alias("phrase"), name.alias("_name"))
-    return totals.where(F.col("total") >= c.least).select("block", "entry", prefix, item, (F.col("phrase") == F.col("_name")).alias("own"), "phrase", "total")
+    totals = rows.select("block", "entry", *item, F.sum("n").over(same).alias("total"), F.min(name).over(same).alias("phrase"), name.alias("_name")).where(F.col("total") >= c.least)
+    own = F.col("phrase") == F.col("_name")
+    return totals.select("block", "entry", "phrase", "total", own.alias("own"), *(F.when(own, F.col(x)).alias(x) for x in item))
 
 
 def phrases(docs: DataFrame, config: PhraseConfig = PhraseConfig(), lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -189,7 +216,7 @@ def phrases(docs: DataFrame, config: PhraseConfig = PhraseConfig(), lang_col: st
     none = F.array().cast("array<long>")
     found = []
     for k in range(1, c.longest + 1):
-        merged = materialize(merged_stripes(blocks.drop("tails", "head") if k == 1 else blocks.drop("words", "lang"), c), "phrase-merged")
+        merged = materialize(merged_stripes(blocks if k == 1 else blocks.drop("words"), c), "phrase-merged")
         own = merged.where("own")
         if k == 1:
             level = own.select("phrase", "lang", F.array("word").alias("words"), "total", none.alias("heads"), none.alias("tails"), F.lit(0).cast("long").alias("head"), F.lit(0).cast("long").alias("tail"))
