@@ -66,7 +66,7 @@ def _squeeze(places: np.ndarray) -> bytes:
     """Numbers from -1 on, byte by byte of all of them."""
     import zstandard
 
-    return zstandard.compress((places + 1).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    return zstandard.compress((places + 1).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
 
 
 def _places(data: bytes) -> np.ndarray:
@@ -120,8 +120,10 @@ def _first_stripes(block: int, numbers: dict[str, _Numbers], held: list[tuple[st
     for lang, own in numbers.items():
         first[lang], at = at, at + len(own) - 2
     places = np.concatenate([np.concatenate([np.where(p, p + (first[lang] - 2), -1), [-1]]) for lang, p in held]).astype(np.int32)
-    yield _batch(1, block=pa.array([block]), places=pa.array([_squeeze(places)]))
     counts = np.bincount(places[places >= 0], minlength=at)
+    turn = np.empty(at + 1, np.int32)  # common words get small numbers, which squeeze well; -1 stays
+    turn[np.argsort(-counts, kind="stable")], turn[at] = np.arange(at), -1
+    yield _batch(1, block=pa.array([block]), places=pa.array([_squeeze(turn[places])]))
     for lang, own in numbers.items():
         n = len(own) - 2
         if n:
@@ -131,7 +133,7 @@ def _first_stripes(block: int, numbers: dict[str, _Numbers], held: list[tuple[st
             m = len(bounds) - 1
             yield _batch(
                 m, block=pa.array(np.full(m, block)), lang=pa.array([lang] * m), words=pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), words.take(pa.array(order))), bucket=pa.array(part[order[bounds[:-1]]], pa.int32()),
-                counts=_split(bounds, counts[first[lang] + order], pa.int32()), entries=_split(bounds, first[lang] + order, pa.int32()),
+                counts=_split(bounds, counts[first[lang] + order], pa.int32()), entries=_split(bounds, turn[first[lang] + order], pa.int32()),
             )
 
 
