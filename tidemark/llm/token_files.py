@@ -28,7 +28,7 @@ from tidemark.llm.packing import PackConfig, _words
 
 @dataclass(frozen=True)
 class FileConfig:
-    tokens: PackConfig = PackConfig()  # the tokenizer and the id that ends a document
+    tokens: PackConfig = PackConfig(cached_words=1_000_000)  # the tokenizer and the id that ends a document
     stripe_bytes: int = 16 << 20
     index_rows: int = 1_000  # documents of an index entry; the format takes no fewer
     bloom_error: float = 0.01
