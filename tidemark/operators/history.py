@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from tidemark.config import PricingConfig
 from tidemark.functions.money import mean, percent4
 from tidemark.functions.series import SKEY, along, days_between, price, qualifies, skey
+from tidemark.operators.catalog import pages
 
 
 def qualifying(points: DataFrame) -> DataFrame:
@@ -151,10 +152,9 @@ def variant_freshness(points: DataFrame, variants: DataFrame, as_of: Column) ->
 
 
 def page(points: DataFrame, since: Column, until: Column, offset: int, limit: int, key: str = "product_id") -> DataFrame:
-    """A page of observations per variant between inclusive bounds, with the total before paging."""
-    inside = points.where((F.col("observed_at") >= since) & (F.col("observed_at") <= until))
-    rows = inside.select(key, "snapshot_id", "observed_at", F.row_number().over(along(key)).alias("row_no"), F.count("*").over(Window.partitionBy(key)).alias("total"))
-    return rows.where((F.col("row_no") > offset) & (F.col("row_no") <= offset + limit))
+    """A page of observations per variant between inclusive bounds, with the total before paging; a hot variant is no sorted group."""
+    inside = points.where((F.col("observed_at") >= since) & (F.col("observed_at") <= until)).select(key, *SKEY)
+    return pages(inside, key, [F.col(x) for x in SKEY], offset, limit).select(key, "snapshot_id", "observed_at", "row_no", "total")
 
 
 def newest_age(points: DataFrame, as_of: Column, key: str = "retailer_id") -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,6 +21,10 @@ from tidemark.sources.scratch import stored
 DAY_US = 86_400_000_000
 
 
+#: What a price history needs of a row.
+ROW = [*SKEY, "confidence", "displayed_paise", "effective_paise"]
+
+
 def event_status(at: Column) -> Column:
     return F.when(at < F.col("start_at"), "before_event").when(at > F.col("end_at"), "after_event").otherwise("during_event")
 
@@ -48,14 +54,14 @@ def _scope_key(mask: Column, columns: list[str]) -> Column:
 
 
 def scoped(rows: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
-    """rows and events with `_scope`, a key to join them on, and the scope columns in question: those that rows have.
+    """rows (with `_mask`, the columns bound, as bits) and events with `_scope`, a key to join them on, and the scope columns in question: those that rows have.
 
     A row is repeated for each combination of scope columns that any event binds (at most eight, looked up), so that a
     calendar of all kinds of events takes one pass over the rows and one join on equal keys.
     """
     columns = [c for c in SCOPES if c in rows.columns]
     masks = sorted(r[0] for r in events.select(_mask(columns)).distinct().collect()) or [0]
-    keyed = rows.select("*", F.explode(F.array(*map(F.lit, masks))).alias("_mask")).select("*", _scope_key(F.col("_mask"), columns).alias("_scope")).drop("_mask")
+    keyed = rows.select("*", F.explode(F.array(*map(F.lit, masks))).alias("_mask")).select("*", _scope_key(F.col("_mask"), columns).alias("_scope"))
     return keyed, events.select("*", _scope_key(_mask(columns), columns).alias("_scope")), columns
 
 
@@ -131,39 +137,73 @@ def overall_stats(points: DataFrame, events: DataFrame, key: str = "product_id")
 def discounted(points: DataFrame, keys: list[str], c: SalesConfig = SalesConfig()) -> DataFrame:
     """Rows at least drop_percent below the median of all earlier prices of their series; medians in doubled paise are exact.
 
-    Series are dealt and sorted by Spark, and a task streams over its series. The running median of one series comes from the ranks of its
-    prices: a count tree over them finds the middle in logarithmic time, so a series of n rows takes n log n steps and n numbers of memory.
+    Series are dealt and sorted by Spark, and a task streams over them: all series that end in a batch of rows are answered together, and only
+    the one that may go on is carried over. What leaves Python are the drops.
     """
     rows = qualifying(points)
     tagged = rows.select("*", F.concat_ws("|", *(F.coalesce(F.col(k).cast("string"), F.lit("none")) for k in keys)).alias("_series")).repartition("_series").sortWithinPartitions("_series", *SKEY)
     schema = rows.schema.add("prior2", "long")
 
-    def medians(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, held = None, []  # the series whose end hasn't been seen yet
+    def drops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of the series whose end hasn't been seen yet
         for batch in batches:
             if not batch.num_rows:
                 continue
-            codes = batch.column("_series").dictionary_encode()
-            starts = np.flatnonzero(np.diff(codes.indices.to_numpy(), prepend=-1)).tolist()
-            for at, end in zip(starts, [*starts[1:], batch.num_rows]):
-                own = codes[at].as_py()
-                if own != name:
-                    yield from with_medians(held)
-                    name, held = own, []
-                held.append(batch.slice(at, end - at))
-        yield from with_medians(held)
+            last = int(_starts(batch.column("_series"))[-1])
+            if held and not last and held[0].column("_series")[0] == batch.column("_series")[0]:
+                held.append(batch)
+                continue
+            yield from found([*held, batch.slice(0, last)])
+            held = [batch.slice(last)]
+        yield from found(held)
+
+    def found(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not any(b.num_rows for b in batches):
+            return
+        whole = pa.Table.from_batches(batches).combine_chunks()
+        prices = whole.column("price").to_numpy()
+        prior2 = prior_medians(prices, _starts(whole.column("_series").chunk(0)))
+        fell = (prior2 > 0) & (100 * (prior2 - 2 * prices) >= c.drop_percent * prior2)
+        yield from whole.drop_columns(["_series"]).append_column("prior2", pa.array(prior2, pa.int64())).filter(pa.array(fell)).to_batches(max_chunksize=10_000)
+
+    return _dropped(tagged.mapInArrow(drops, schema), c)
+
+
+def _starts(series: pa.Array) -> np.ndarray:
+    """Where runs of equal values begin."""
+    if len(series) < 2:
+        return np.arange(len(series))
+    return np.concatenate([[0], np.flatnonzero(pc.not_equal(series.slice(1), series.slice(0, len(series) - 1)).to_numpy(zero_copy_only=False)) + 1])
+
+
+def prior_medians(prices: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Twice the median of all earlier prices of its series for each price, -1 for the first; series lie one after the other."""
+    out = np.full(len(prices), -1, np.int64)
+    ends = np.append(starts[1:], len(prices))
+    two, three = starts[ends - starts > 1] + 1, starts[ends - starts > 2] + 2
+    out[two] = 2 * prices[two - 1]
+    out[three] = prices[three - 1] + prices[three - 2]
+    for at, end in zip(starts[ends - starts > 3].tolist(), ends[ends - starts > 3].tolist(), strict=True):
+        out[at + 1 : end] = running_median(prices[at:end])[1:]
+    return out
+
 
-    def with_medians(series: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if series:
-            whole = pa.Table.from_batches(series)
-            doubled = pa.array(running_median(whole.column("price").to_numpy()), pa.int64())
-            yield from whole.drop_columns(["_series"]).append_column("prior2", doubled).to_batches(max_chunksize=10_000)
+def running_median(prices: np.ndarray) -> list[int | None]:
+    """Twice the median of all earlier prices, for each price; null for the first. Short series are kept sorted, long ones as counts of their ranks."""
+    return _median_sorted(prices.tolist()) if len(prices) <= 4096 else _median_ranked(prices)
 
-    return _dropped(tagged.mapInArrow(medians, schema), c)
 
+def _median_sorted(prices: list[int]) -> list[int | None]:
+    seen: list[int] = []
+    out: list[int | None] = []
+    for n, price in enumerate(prices):
+        out.append(seen[n // 2] + seen[(n - 1) // 2] if n else None)
+        insort(seen, price)
+    return out
 
-def running_median(prices: np.ndarray) -> list[int | None]:
-    """Twice the median of all earlier prices, for each price; null for the first."""
+
+def _median_ranked(prices: np.ndarray) -> list[int | None]:
+    """A count tree over the ranks finds the middle in logarithmic time: n log n steps and n numbers of memory."""
     ranked = np.unique(prices)
     ranks, values = np.searchsorted(ranked, prices).tolist(), ranked.tolist()
     top = 1 << max(0, len(values) - 1).bit_length()
@@ -201,7 +241,7 @@ def detect_windows(points: DataFrame, c: SalesConfig = SalesConfig(), keys: tupl
     islands are joined back by day. The drops are stored, as both steps read them, and only the columns in question go through Python.
     Two days whose nearest observations are more than max_gap_days apart begin a new window.
     """
-    needed = dict.fromkeys([*keys, *SKEY, "confidence", "displayed_paise", "effective_paise", "retailer_id", "category", "brand"])
+    needed = dict.fromkeys([*keys, *ROW, "retailer_id", "category", "brand"])
     drops = stored(discounted(points.select(*needed), list(keys), c).select("observed_at", "drop_percent", "retailer_id", "category", "brand", *keys))
     scopes = F.array(*(F.struct(F.lit(s).alias("scope"), F.col(col).cast("string").alias("scope_id")) for s, col in (("retailer", "retailer_id"), ("category", "category"), ("brand", "brand"))))
     part = F.col("retailer_id").cast("string") if per_retailer else F.lit("")

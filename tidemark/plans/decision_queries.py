@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -40,11 +42,14 @@ def fea1_visible(spark: SparkSession, d: str) -> DataFrame:
     rows = H.qualifying(snapshots(spark, d)).where(F.col("observed_at").isNotNull() & F.col("created_at").isNotNull())
     keyed, sides, columns = S.scoped(rows.select("retailer_id", "brand", "category", "price", F.greatest("observed_at", "created_at").alias("known_at")), sale_events(spark))
     keyed = keyed.withColumn("day", F.to_date("known_at"))
-    daily = keyed.groupBy("_scope", "day").agg(F.count("*").alias("n"), F.sum("price").alias("paise"))
-    upto = Window.partitionBy("_scope").orderBy("day")
-    summed = daily.select("_scope", F.col("day").alias("upto"), F.sum("n").over(upto).alias("n"), F.sum("paise").over(upto).alias("paise"))
+    bound = [F.when(F.col("_mask").bitwiseAND(F.lit(1 << i)) != 0, F.col(c).cast("string")).alias(f"_on_{c}") for i, c in enumerate(columns)]
+    scope = ["_scope", *(f"_on_{c}" for c in columns)]
+    daily = keyed.select("_scope", *bound, "day", "price").groupBy(*scope, "day").agg(F.count("*").alias("n"), F.sum("price").alias("paise"))
+    upto = Window.partitionBy(*scope).orderBy("day")
+    summed = daily.select(*scope, F.col("day").alias("upto"), F.sum("n").over(upto).alias("n"), F.sum("paise").over(upto).alias("paise"))
     asked = sides.select("event_id", "start_at", F.to_date("start_at").alias("start_day"), "_scope", *(F.col(c).alias(f"_{c}") for c in columns))
-    before = asked.join(summed, "_scope").where("upto < start_day").groupBy("event_id").agg(F.max_by(F.struct("n", "paise"), "upto").alias("before")).select("event_id", "before.n", "before.paise")
+    exact = reduce(Column.__and__, (F.col(f"_{c}").cast("string").eqNullSafe(F.col(f"_on_{c}")) for c in columns))
+    before = asked.join(summed, "_scope").where((F.col("upto") < F.col("start_day")) & exact).groupBy("event_id").agg(F.max_by(F.struct("n", "paise"), "upto").alias("before")).select("event_id", "before.n", "before.paise")
     same_day = keyed.join(asked, [keyed["_scope"] == asked["_scope"], F.col("day") == F.col("start_day")]).where((F.col("known_at") < F.col("start_at")) & S.fits(columns))
     own = same_day.groupBy("event_id").agg(F.count("*").alias("n"), F.sum("price").alias("paise"))
     return before.unionByName(own).groupBy("event_id").agg(F.sum("n").alias("known"), F.sum("paise").cast("long").alias("total"))

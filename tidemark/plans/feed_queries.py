@@ -191,7 +191,8 @@ def cat7_variants(spark: SparkSession, d: str) -> DataFrame:
     """Variants found by attributes in any order and spelling."""
     a = products(spark, d).select("product_id", T.variant_key(T.normal_attributes(F.create_map(F.lit("Size"), F.col("size").cast("string"), F.lit("Colour"), F.upper(F.substring_index("title", " ", 1))))).alias("key"))
     b = products(spark, d).select(F.col("product_id").alias("other_id"), T.variant_key(T.normal_attributes(F.create_map(F.lit("color"), F.concat(F.substring_index("title", " ", 1), F.lit(" ")), F.lit("size"), F.col("size").cast("string")))).alias("key"))
-    return a.join(b, "key").groupBy("key").agg(F.count_distinct("product_id").alias("variants"), F.min("other_id").alias("first_id"))
+    asked, known = a.groupBy("key").agg(F.count("*").alias("variants")), b.groupBy("key").agg(F.min("other_id").alias("first_id"))  # a key may hold many on both sides
+    return asked.join(known, "key")
 
 
 def cat8_counts(spark: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import SalesConfig
 from tidemark.operators import sales as S
+from tidemark.operators.history import qualifying
 from tidemark.plans.base_sql import EVENTS, SNAP, half_up, long, percent4
 from tidemark.sources.scratch import stored
 from tidemark.sources.tables import products, sale_events, snapshots
@@ -41,20 +42,20 @@ def sal5_in_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sal6_event_stats(spark: SparkSession, d: str) -> DataFrame:
-    return S.event_stats(stored(snapshots(spark, d)), sale_events(spark))
+    return S.event_stats(stored(qualifying(snapshots(spark, d)).select("product_id", "brand", "category", "retailer_id", *S.ROW)), sale_events(spark))
 
 
 def sal8_overall(spark: SparkSession, d: str) -> DataFrame:
-    return S.overall_stats(stored(snapshots(spark, d)), sale_events(spark))
+    return S.overall_stats(stored(qualifying(snapshots(spark, d)).select("product_id", "brand", "category", "retailer_id", *S.ROW)), sale_events(spark))
 
 
 def sal10_discounted(spark: SparkSession, d: str) -> DataFrame:
-    return S.discounted(snapshots(spark, d), ["listing_id", "seller_id"]).select("snapshot_id", "listing_id", "seller_id", "price", "prior2", "drop_percent")
+    return S.discounted(snapshots(spark, d).select("listing_id", "seller_id", *S.ROW), ["listing_id", "seller_id"]).select("snapshot_id", "listing_id", "seller_id", "price", "prior2", "drop_percent")
 
 
 def sal10_discounted_long(spark: SparkSession, d: str) -> DataFrame:
     """The same over the longer series of whole products."""
-    return S.discounted(snapshots(spark, d), ["product_id"]).select("snapshot_id", "product_id", "price", "prior2", "drop_percent")
+    return S.discounted(snapshots(spark, d).select("product_id", *S.ROW), ["product_id"]).select("snapshot_id", "product_id", "price", "prior2", "drop_percent")
 
 
 def sal13_windows(spark: SparkSession, d: str) -> DataFrame:
