@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -81,3 +82,61 @@ def cosine(left, right):
     norm = lambda v: F.sqrt(F.aggregate(F.transform(v, lambda a: a.cast("double") * a.cast("double")), F.lit(0.0), lambda s, x: s + x))
     size = norm(left) * norm(right)
     return F.when((F.size(left) == F.size(right)) & (size > 0), F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot / size))).otherwise(0.0)
+
+
+def ratio_column():
+    """UDF of (left, right): the ratio of two strings."""
+    @F.pandas_udf("double")
+    def ratios(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([ratio(a, b) for a, b in zip(left, right)], dtype="float64")
+
+    return ratios
+
+
+def _grams(s, size: int):
+    """Distinct substrings of a length."""
+    return F.when(F.length(s) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - size + 1), lambda i: F.substring(s, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+
+
+def _containing(outer: DataFrame, inner: DataFrame) -> DataFrame:
+    """(o, i): every string of outer with those of inner that lie in it. An inner one is looked for by its rarest three characters, or all if it is shorter."""
+    held = outer.select("o", F.explode(F.concat(*(_grams(F.col("o"), n) for n in (1, 2, 3)))).alias("gram"))
+    often = held.groupBy("gram").agg(F.count("*").alias("n"))
+    own = F.when(F.length("i") >= 3, _grams(F.col("i"), 3)).otherwise(F.array("i"))
+    sought = inner.select("i", F.explode(own).alias("gram")).join(often, "gram", "left")
+    rarest = sought.groupBy("i").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rarest")).where("rarest.n > 0").select("i", F.col("rarest.gram").alias("gram"))
+    return held.join(rarest, "gram").where(F.contains("o", "i")).select("o", "i")
+
+
+def _ranked(strings: DataFrame, often: DataFrame, least: float) -> DataFrame:
+    """(s, size, all tokens, pos, token) of the prefix of every string: its characters, numbered where they repeat, rarest first."""
+    placed = strings.select("s", F.explode(_characters(F.col("s"))).alias("token")).join(often, "token")
+    lists = placed.groupBy("s").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("tokens")).withColumn("size", F.size("tokens"))
+    prefix = F.col("size") - F.ceil(F.lit(least / (2 - least)) * F.col("size") - 1e-9) + 1
+    return lists.select("s", "size", "tokens", F.posexplode(F.slice("tokens", F.lit(1), prefix.cast("int"))).alias("pos", "token"))
+
+
+def _characters(s):
+    chars = F.array_sort(F.split(s, ""))
+    return F.transform(chars, lambda x, i: F.concat(x, (i - F.array_position(chars, x)).cast("string")))
+
+
+def alike_strings(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(l, r) of distinct strings s of both sides where one holds the other or their ratio is at least `least`.
+
+    A ratio counts characters matched in order, so twice the characters in common, in any order, over all characters is no smaller. That makes the
+    characters a set (repeated ones are numbered) and the pairs a set-similarity join: with characters in one global order, rarest
+    first, a pair shares a character in the first few of both; lengths and the places of the shared one bound what else can be
+    shared. Only pairs whose sets pass are compared as strings, each once.
+    """
+    left, right = left.select("s").where("s <> ''").distinct(), right.select("s").where("s <> ''").distinct()
+    o, i = (lambda x: x.select(F.col("s").alias("o"))), (lambda x: x.select(F.col("s").alias("i")))
+    within = _containing(o(left), i(right)).select(F.col("o").alias("l"), F.col("i").alias("r")).unionAll(_containing(o(right), i(left)).select(F.col("i").alias("l"), F.col("o").alias("r"))).distinct()
+    often = left.unionAll(right).select(F.explode(_characters(F.col("s"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    a = _ranked(left, often, least).select("token", F.col("s").alias("l"), F.col("size").alias("n"), F.col("tokens").alias("ls"), F.col("pos").alias("i"))
+    b = _ranked(right, often, least).select("token", F.col("s").alias("r"), F.col("size").alias("m"), F.col("tokens").alias("rs"), F.col("pos").alias("j"))
+    needed = F.lit(least / 2) * (F.col("n") + F.col("m")) - 1e-9
+    met = a.join(b, "token").where((F.least("n", "m") >= needed) & (F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= needed))
+    close = met.where(F.size(F.array_intersect("ls", "rs")) >= needed).select("l", "r").distinct()
+    scored = close.join(within, ["l", "r"], "left_anti").where(ratio_column()("l", "r") >= least)
+    return within.unionAll(scored)

@@ -7,13 +7,16 @@ in one UDF over the distinct pairs.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.config import MatchingConfig
-from tidemark.functions.similarity import pair_scores
+from tidemark.functions.similarity import alike_strings, pair_scores
 from tidemark.functions.text import slug
+from tidemark.sources.scratch import stored
 
 #: Words and labels that the rules know.
 ACCESSORIES = ["case", "cover", "charger", "cable", "protector", "tempered", "glass", "pouch", "sleeve", "stand", "mount", "adapter", "skin", "film", "bumper", "holster", "strap", "screenprotector", "backcover"]
@@ -165,6 +168,48 @@ def blocked_pairs(prepared: DataFrame, c: MatchingConfig = MatchingConfig()) ->
     return met.where(~F.arrays_overlap("l_rarer", "r_rarer")).select("left_id", "right_id")
 
 
+def telling_pairs(prepared: DataFrame, c: MatchingConfig = MatchingConfig()) -> DataFrame:
+    """Distinct (left_id, right_id) of the pairs that may be decided as anything but different products.
+
+    What the rules ask of such a pair: a shared identifier, or else no family of identifiers, no variant and no kind of product that
+    conflicts, and of brand and model hint none that disagrees. Two listings that have both need both alike, which is a similarity join over
+    the distinct brands and the distinct hints; where one lacks its hint, alike brands are enough, and where one lacks its brand, alike
+    hints. If neither can be compared, the texts must say something: such pairs share a word, as in blocked_pairs.
+    """
+    prepared = stored(prepared)  # read some twenty times
+    side = lambda s, n: prepared.where(F.col("side") == n).select(F.col("cid").alias(f"{n}_id"), *(F.col(x).alias(f"{s}_{x}") for x in ("ids", "attrs", "hint", "brand_sig", "accessory")))
+    left, right = side("l", "left"), side("r", "right")
+    by_id = lambda rows, s, n: rows.select(f"{n}_id", f"{s}_ids", F.explode(f"{s}_ids").alias("id"))
+    shared = by_id(left, "l", "left").join(by_id(right, "r", "right"), "id").where(F.size(identifier_signals(F.col("l_ids"), F.col("r_ids"))[1]) == 0).select("left_id", "right_id").distinct()
+
+    strings = lambda rows, x: rows.select(F.col(x).alias("s")).where("s is not null")
+    alike = lambda x: stored(alike_strings(strings(left, f"l_{x}"), strings(right, f"r_{x}"), c.hint_ratio).select(F.col("l").alias(f"l_{x}"), F.col("r").alias(f"r_{x}")))
+    brands, hints = alike("brand_sig"), alike("hint")
+    lacks = lambda x: F.coalesce(F.col(f"l_{x}"), F.lit("")).isin("") | F.coalesce(F.col(f"r_{x}"), F.lit("")).isin("")
+    same_hint = left.join(hints, "l_hint").join(right, "r_hint").join(brands.withColumn("_alike", F.lit(True)), ["l_brand_sig", "r_brand_sig"], "left").where(lacks("brand_sig") | F.col("_alike")).drop("_alike")
+    hintless = lambda s: F.coalesce(F.col(f"{s}_hint"), F.lit("")) == ""
+    same_brand = left.where(hintless("l")).join(brands, "l_brand_sig").join(right, "r_brand_sig").unionByName(left.where(~hintless("l")).join(brands, "l_brand_sig").join(right.where(hintless("r")), "r_brand_sig"))
+    missing = F.when(F.coalesce(F.col("brand_sig"), F.lit("")) == "", 1).otherwise(0) + F.when(F.coalesce(F.col("hint"), F.lit("")) == "", 2).otherwise(0)
+    gaps = prepared.withColumn("_gaps", missing)
+    kinds = {tuple(r) for r in gaps.select("side", "_gaps").distinct().collect()}  # at most eight
+    words = [(a, b) for a, b in (([3], [0, 1, 2, 3]), ([0, 1, 2], [3]), ([1], [2]), ([2], [1])) if any(("left", x) in kinds for x in a) and any(("right", x) in kinds for x in b)]
+    mute = [blocked_pairs(gaps.where(((F.col("side") == "left") & F.col("_gaps").isin(a)) | ((F.col("side") == "right") & F.col("_gaps").isin(b))), c) for a, b in words]
+    silent = [reduce(DataFrame.unionAll, mute).join(left, "left_id").join(right, "right_id")] if mute else []
+    others = reduce(DataFrame.unionByName, [same_hint, same_brand, *silent])
+    conflicts, _, _ = attribute_signals(F.col("l_attrs"), F.col("r_attrs"))
+    open_ = (F.col("l_accessory") == F.col("r_accessory")) & (F.size(conflicts) == 0) & ~F.arrays_overlap(families_of(F.col("l_ids")), families_of(F.col("r_ids")))
+    return shared.unionAll(others.where(open_).select("left_id", "right_id"))
+
+
+def best_of_all(prepared: DataFrame, c: MatchingConfig = MatchingConfig()) -> DataFrame:
+    """Per left candidate the best pair. Different products rank last, so only candidates without any telling pair, or with none that is decided
+    as more, have their other pairs scored."""
+    prepared = stored(prepared)
+    telling = stored(best_matches(decide(scored_pairs(prepared, telling_pairs(prepared, c), c), c)).where("classification <> 'DIFFERENT_PRODUCT'"))
+    rest = prepared.join(telling.select(F.col("left_id").alias("cid")), "cid", "left_anti").where("side = 'left'").unionByName(prepared.where("side = 'right'"))
+    return telling.unionByName(best_matches(decide(scored_pairs(rest, blocked_pairs(rest, c), c), c)))
+
+
 def blocked_among(prepared: DataFrame, pairs: DataFrame) -> DataFrame:
     """The distinct pairs of a list that blocked_pairs would make, without making the others."""
     keys = lambda s: prepared.where(F.col("side") == s).select(F.col("cid").alias(f"{s}_id"), _own_keys().alias(f"_{s}"))

@@ -57,20 +57,18 @@ def mat14_cosine(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mat18_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return G.blocked_pairs(G.prepare(candidates(spark, d)))
-
-
-def decided(spark: SparkSession, d: str) -> DataFrame:
-    prepared = G.prepare(candidates(spark, d))
-    return G.decide(G.scored_pairs(prepared, G.blocked_pairs(prepared)))
+    """The pairs that can be more than different products."""
+    return G.telling_pairs(G.prepare(candidates(spark, d)))
 
 
 def mat17_decisions(spark: SparkSession, d: str) -> DataFrame:
-    return decided(spark, d)
+    """Decisions on those pairs; all other pairs are different products."""
+    prepared = stored(G.prepare(candidates(spark, d)))
+    return G.decide(G.scored_pairs(prepared, stored(G.telling_pairs(prepared))))
 
 
 def mat19_best(spark: SparkSession, d: str) -> DataFrame:
-    return G.best_matches(decided(spark, d))
+    return G.best_of_all(G.prepare(candidates(spark, d)))
 
 
 def mat20_evaluation(spark: SparkSession, d: str) -> DataFrame:
