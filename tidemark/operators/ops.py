@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +57,27 @@ def threshold_alerts(log: DataFrame, minutes: int = 15, step: int = 5, max_rate:
     return rows.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "events", "errors", "error_rate", "p95", F.array_join(fired, ",").alias("alerts")).where("alerts <> ''")
 
 
+#: The rules with their own windows in minutes, what they measure and the limit that it must exceed.
+RULES = (("error_rate", 15, "error_rate", 5.0), ("failures", 30, "errors", 5.0), ("p95", 15, "p95", 5000.0))
+
+
+def rule_alerts(log: DataFrame, rules: tuple = RULES, step: int = 5) -> DataFrame:
+    """(rule, window_start, window_end, events, value) of every window, `step` minutes apart, in which a rule's measure exceeds its limit.
+
+    Rules look back as far as each says; those of the same length share their windows.
+    """
+    found = []
+    for minutes in sorted({r[1] for r in rules}):
+        own = [r for r in rules if r[1] == minutes]
+        bad, n = F.count_if(F.col("failed")), F.count("*")
+        measures = {"errors": bad.cast("double"), "error_rate": F.round(bad * 100.0 / n, 4), "p95": F.round(F.percentile("value", F.lit(0.95)), 4)}
+        used = dict.fromkeys(r[2] for r in own)
+        rows = log.groupBy(F.window("ts", f"{minutes} minutes", f"{step} minutes").alias("w")).agg(n.alias("events"), *(measures[m].alias(m) for m in used))
+        told = F.explode(F.array(*(F.struct(F.lit(name).alias("rule"), F.col(m).alias("value"), F.lit(float(limit)).alias("limit")) for name, _, m, limit in own))).alias("r")
+        found.append(rows.select("w", "events", told).where("r.value > r.limit").select("r.rule", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "events", "r.value"))
+    return reduce(DataFrame.unionAll, found)
+
+
 def stale_sources(ages: DataFrame, seconds: int = 86_400) -> DataFrame:
     return ages.where(F.col("age_seconds") > seconds)
 

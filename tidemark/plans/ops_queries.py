@@ -146,6 +146,11 @@ def ops7_alerts(spark: SparkSession, d: str) -> DataFrame:
     return O.threshold_alerts(log(spark, d), 60, 30, 25.0, 5, 120.0)
 
 
+def ops7_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Three rules, each over the window that it looks back."""
+    return O.rule_alerts(log(spark, d), (("error_rate", 15, "error_rate", 25.0), ("failures", 30, "errors", 3.0), ("p95", 15, "p95", 120.0)))
+
+
 def ops7_stale(spark: SparkSession, d: str) -> DataFrame:
     return O.stale_sources(his15_newest_age(spark, d).withColumn("age_seconds", F.col("age_seconds") + 97 * 86_400))
 
@@ -200,13 +205,22 @@ def str1_ingest(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(s.schema).parquet(f"{folder}/out").groupBy("retailer_id").agg(F.count("*").alias("observations"))
 
 
-def str2_daily(spark: SparkSession, d: str) -> DataFrame:
-    """Daily statistics, each day written once it is complete."""
+def _daily(spark: SparkSession, d: str, key: str) -> DataFrame:
     folder = _folder(spark)
     s = snapshots(spark, d)
-    out = streams.daily_stats(s)
-    _arrive(spark, folder, [*_in_time(s), *_closing(s, "observed_at")], lambda rows: streams.to_table(streams.daily_stats(rows), f"{folder}/out", f"{folder}/cp"))
-    return spark.read.schema(out.schema).parquet(f"{folder}/out").where("retailer_id is not null")
+    out = streams.daily_stats(s, key=key)
+    _arrive(spark, folder, [*_in_time(s), *_closing(s, "observed_at")], lambda rows: streams.to_table(streams.daily_stats(rows, key=key), f"{folder}/out", f"{folder}/cp"))
+    return spark.read.schema(out.schema).parquet(f"{folder}/out").where(f"{key} is not null")
+
+
+def str2_daily(spark: SparkSession, d: str) -> DataFrame:
+    """Daily statistics of retailers, each day written once it is complete."""
+    return _daily(spark, d, "retailer_id")
+
+
+def str2_variants(spark: SparkSession, d: str) -> DataFrame:
+    """The same of variants."""
+    return _daily(spark, d, "product_id")
 
 
 def str3_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -293,9 +307,15 @@ SELECT product_id, lpad(CAST(product_id AS VARCHAR), 14, '0') AS barcode, CASE W
     "ops7_alerts": (ops7_alerts, f"""WITH {_LOG}, w AS (SELECT make_timestamp(({_BIN} - o) * 1800000000) AS window_start, * FROM lg, (SELECT unnest(range(2)) AS o)),
 g AS (SELECT window_start, window_start + INTERVAL 60 MINUTE AS window_end, count(*) AS events, count(*) FILTER (failed) AS errors, round(count(*) FILTER (failed) * 100.0::DOUBLE / count(*), 4) AS error_rate, round(quantile_cont(value, 0.95), 4) AS p95 FROM w GROUP BY 1)
 SELECT *, concat_ws(',', CASE WHEN error_rate > 25 THEN 'error_rate' END, CASE WHEN errors > 5 THEN 'failures' END, CASE WHEN p95 > 120 THEN 'p95' END) AS alerts FROM g WHERE error_rate > 25 OR errors > 5 OR p95 > 120"""),
+    "ops7_rules": (ops7_rules, f"""WITH {_LOG}, b AS (SELECT epoch_us(ts) // 300000000 AS k, failed, value FROM lg),
+s AS (SELECT k - o AS k, failed, value FROM b, (SELECT unnest(range(3)) AS o)), l AS (SELECT k - o AS k, failed FROM b, (SELECT unnest(range(6)) AS o)),
+gs AS (SELECT k, count(*) AS events, round(count(*) FILTER (failed) * 100.0::DOUBLE / count(*), 4) AS rate, round(quantile_cont(value, 0.95), 4) AS p95 FROM s GROUP BY 1), gl AS (SELECT k, count(*) AS events, CAST(count(*) FILTER (failed) AS DOUBLE) AS errors FROM l GROUP BY 1),
+r AS (SELECT 'error_rate' AS rule, 15 AS m, k, events, rate AS value FROM gs WHERE rate > 25 UNION ALL SELECT 'p95', 15, k, events, p95 FROM gs WHERE p95 > 120 UNION ALL SELECT 'failures', 30, k, events, errors FROM gl WHERE errors > 3)
+SELECT rule, make_timestamp(k * 300000000) AS window_start, make_timestamp(k * 300000000 + m * 60000000) AS window_end, events, value FROM r"""),
     "ops7_stale": (ops7_stale, f"WITH {SNAP} SELECT * FROM (SELECT retailer_id, max(observed_at) AS newest_at, CAST(floor((epoch_us(TIMESTAMP '2001-08-01') - epoch_us(max(observed_at))) / 1000000) AS BIGINT) + 8380800 AS age_seconds FROM snap GROUP BY 1) WHERE age_seconds > 86400"),
     "str1_ingest": (str1_ingest, f"WITH {SNAP} SELECT retailer_id, count(DISTINCT ROW(listing_id, observed_at, seller_id)) AS observations FROM snap GROUP BY 1"),
     "str2_daily": (str2_daily, f"WITH {SNAP} SELECT date_trunc('day', observed_at)::TIMESTAMP AS day, retailer_id, count(*) AS observations, CAST(sum(p) AS BIGINT) AS total_paise, min(p) AS low_paise, max(p) AS high_paise FROM (SELECT *, coalesce(effective_paise, displayed_paise) AS p FROM snap) GROUP BY 1, 2"),
+    "str2_variants": (str2_variants, f"WITH {SNAP} SELECT date_trunc('day', observed_at)::TIMESTAMP AS day, product_id, count(*) AS observations, CAST(sum(p) AS BIGINT) AS total_paise, min(p) AS low_paise, max(p) AS high_paise FROM (SELECT *, coalesce(effective_paise, displayed_paise) AS p FROM snap) GROUP BY 1, 2"),
     "str3_metrics": (str3_metrics, f"WITH {_LOG}, b AS (SELECT epoch_us(ts) // 300000000 AS k, failed FROM lg), w AS (SELECT k - o AS k, failed FROM b, (SELECT unnest(range(3)) AS o)) SELECT make_timestamp(k * 300000000) AS window_start, count(*) AS events, count(*) FILTER (failed) AS errors FROM w GROUP BY k HAVING count(*) FILTER (failed) * 4 > count(*)"),
     "str4_sessions": (str4_sessions, f"WITH {SNAP}, {sessions_sql(25)} SELECT scope, scope_id, min(observed_at) AS start_at, max(observed_at) AS end_at, count(*) AS observations FROM isl GROUP BY scope, scope_id, island"),
     "str5_drops": (str5_drops, f"WITH {SNAP}, c AS (SELECT *, lag(price) OVER (PARTITION BY product_id, listing_id, seller_id ORDER BY observed_at, created_at, snapshot_id) AS base FROM q) SELECT snapshot_id, listing_id, seller_id, price, base AS baseline_paise FROM c WHERE price < base"),

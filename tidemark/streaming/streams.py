@@ -27,10 +27,11 @@ def ingest(stream: DataFrame, late: str = "2 days") -> DataFrame:
     return stream.withWatermark("observed_at", late).dropDuplicatesWithinWatermark(KEY)
 
 
-def daily_stats(stream: DataFrame, late: str = "2 days") -> DataFrame:
+def daily_stats(stream: DataFrame, late: str = "2 days", key: str = "retailer_id") -> DataFrame:
+    """Statistics per day and retailer, or variant with another key."""
     window = F.window("observed_at", "1 day")
     rows = stream.withColumn("price", price()).withWatermark("observed_at", late)
-    return rows.groupBy(window, "retailer_id").agg(F.count("*").alias("observations"), F.sum("price").alias("total_paise"), F.min("price").alias("low_paise"), F.max("price").alias("high_paise")).select(F.col("window.start").alias("day"), "retailer_id", "observations", "total_paise", "low_paise", "high_paise")
+    return rows.groupBy(window, key).agg(F.count("*").alias("observations"), F.sum("price").alias("total_paise"), F.min("price").alias("low_paise"), F.max("price").alias("high_paise")).select(F.col("window.start").alias("day"), key, "observations", "total_paise", "low_paise", "high_paise")
 
 
 def metric_windows(stream: DataFrame, late: str = "1 hour") -> DataFrame:
