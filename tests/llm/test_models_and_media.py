@@ -408,6 +408,7 @@ def test_stages_bear_odd_rows(spark):
         assert name != "line_dedup" or sorted(ids, key=str) == sorted((r[0] for r in ROWS), key=str)
         assert name != "near_dedup" or sorted(ids, key=str) == sorted((r[0] for r in ROWS), key=str)  # rows with one id are one document
         assert name != "packing" or set(ids) == {r[0] for r in ROWS}
+        assert name != "quality" or (2 in ids) == (3 in ids)  # null and empty texts alike
         assert name != "language" or not {2, 3, 4, 6} & set(ids)
         assert stage(spark, clean.limit(0), SF).count() == 0, name
 

@@ -114,7 +114,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents whose language can't be told go."""
+    """Pipeline stage: documents whose language can't be told go.
+
+    Null and empty texts and those without a letter go. Very long texts are compressed whole. Ids take no part: rows without one, and repeated
+    rows, are judged by their texts. Where no row has a language nothing can be told, and all go.
+    """
     c = LanguageConfig()
     learned = dictionaries(docs.select("doc_id", "text", "lang"), c)
     return docs.where(~language_column(learned, c, spark)(F.col("text"))["rejected"])

@@ -344,7 +344,11 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_representatives(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near duplicates (five words, 0.8) the document with the smallest id stays."""
+    """Pipeline stage: of each group of near duplicates (five words, 0.8) the document with the smallest id stays.
+
+    Null, empty and wordless texts are linked with nothing and stay, as do rows without an id; all rows of an id that stays do. Very
+    long texts are compared whole.
+    """
     found = near_duplicates(docs)
     lost = found.where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(lost, "doc_id", "left_anti").select(docs.columns)

@@ -246,5 +246,5 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the packed pieces of what the stages before have kept."""
+    """Pipeline stage: the packed pieces of what the stages before have kept; null and empty texts are one end id, repeated rows are packed each, long texts cut."""
     return pack(docs)

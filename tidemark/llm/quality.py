@@ -205,7 +205,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that score below `accept` go."""
+    """Pipeline stage: documents that score below `accept` go.
+
+    Null and empty texts, which have no features, all get the score of the model's bias and so stay or go together. Very long texts are scored
+    whole. Ids take no part: rows without one, and repeated rows, are judged by their texts.
+    """
     c = QualityConfig()
     model = fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), c)
     return docs.where(score_column(model, spark)(F.col("text")) >= c.accept)
