@@ -7,7 +7,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.similarity import alike_strings
+from tidemark.functions.similarity import alike_strings, fuzzy_overlap, gram_cosine, near_tokens, overlap_column, ratio, title_score
 from tidemark.operators import matching
 
 SCHEMA = "cid string, side string, title string, brand string, category_slug string, identifiers array<struct<kind:string,value:string>>, attributes map<string,string>"
@@ -59,6 +59,45 @@ def test_the_best_pair_is_that_of_all_blocked_pairs(spark):
     assert best == want and {r.classification for r in best.values()} >= {"SAME_PRODUCT", "DIFFERENT_PRODUCT"}
 
 
+def test_overlap_of_words_is_that_of_the_plain_rule(spark):
+    rng = random.Random(8)
+    draw = lambda: [rng.choice(["nova", "novas", "novax", "anova", "phone", "phones", "ab", "a", "ultra", "ultar", "xultra", "12"]) for _ in range(rng.randrange(0, 7))]
+    rows = [(i, draw(), draw()) for i in range(400)]
+    pairs = spark.createDataFrame(rows, "i int, l array<string>, r array<string>")
+    words = lambda c: pairs.select(F.explode(c).alias("s")).distinct()
+    near = near_tokens(words("l"), words("r"), 0.84).agg(F.map_from_entries(F.collect_list(F.struct("token", "near"))).alias("near"))
+    got = {r.i: r.x for r in pairs.join(near).select("i", overlap_column(F.col("l"), F.col("r"), F.col("near")).alias("x")).collect()}
+    assert got == {i: fuzzy_overlap(a, b, 0.84) for i, a, b in rows}
+    assert any(got[i] > len(set(a) & set(b)) / max(1, len(set(a) | set(b))) for i, a, b in rows)
+
+
+def test_text_scores_are_plain_ones_and_stay_under_their_bounds(spark):
+    prepared = matching.stored(matching.prepare(spark.createDataFrame(listings(5, 40), SCHEMA)))
+    side = lambda s: prepared.where(F.col("side") == s).select(F.col("cid").alias(f"{s}_id"))
+    every = matching.stored(side("left").crossJoin(side("right")))
+    scored = matching.stored(matching.scored_pairs(prepared, every))
+    of = {r.cid: r for r in prepared.collect()}
+    for r in scored.collect():
+        a, b = of[r.left_id], of[r.right_id]
+        assert r.title_score == title_score(fuzzy_overlap(a.tokens, b.tokens, 0.84), " ".join(sorted(a.tokens)), " ".join(sorted(b.tokens)))
+        assert r.embedding_score == gram_cosine(a.document, b.document, 256)
+        for match, x, y in ((r.brand_match, a.brand_sig, b.brand_sig), (r.model_match, a.hint, b.hint)):
+            assert match == ((x in y or y in x or ratio(x, y) >= 0.86) if x and y else None)
+    decided = matching.decide(scored).where("classification = 'DIFFERENT_PRODUCT'")
+    met = matching.stored(decided.join(matching.bounds(prepared, every), ["left_id", "right_id"]))
+    assert met.where("score > bound").count() == 0 and met.where("bound < 0.6").count() > 400
+
+
+def test_few_pairs_are_scored_to_find_the_best(spark):
+    prepared = matching.stored(matching.prepare(spark.createDataFrame(listings(6, 60), SCHEMA)))
+    different = matching.stored(matching.decide(matching.scored_pairs(prepared, matching.blocked_pairs(prepared))).where("classification = 'DIFFERENT_PRODUCT'"))
+    bounded = matching.stored(matching.bounds(prepared, different.select("left_id", "right_id")))
+    left = matching.contenders(prepared, bounded)
+    got = {r.left_id: r for r in matching.best_matches(different.join(left, ["left_id", "right_id"])).collect()}
+    assert got == {r.left_id: r for r in matching.best_matches(different).collect()}
+    assert left.count() < different.count() / 3
+
+
 def test_pairs_follow_the_listings(spark):
     from tidemark.plans import registry
 

@@ -8,24 +8,28 @@ from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Weights of a title's score, and the least length of a word that matches by ratio.
+OVERLAP_WEIGHT, RATIO_WEIGHT, LONG_TOKEN = 0.62, 0.38, 4
+
+
 @lru_cache(maxsize=50_000)
 def ratio(left: str, right: str) -> float:
     return SequenceMatcher(None, left, right).ratio()
 
 
 def fuzzy_overlap(left: list[str], right: list[str], least: float) -> float:
-    """Jaccard of token lists where tokens of four letters or more may match by ratio; greedy in the left list's order."""
+    """Jaccard of token lists where tokens of four letters or more may match by ratio; greedy in the left list's order. The plain rule: overlap_column does it on pairs."""
     if not left or not right:
         return float(not left and not right)
     rest, hits = list(right), 0
     for token in left:
         at = rest.index(token) if token in rest else None
-        if at is None and len(token) >= 4:
-            best = max(((ratio(token, x), -i) for i, x in enumerate(rest) if len(x) >= 4), default=(0.0, 0))
+        if at is None and len(token) >= LONG_TOKEN:
+            best = max(((ratio(token, x), -i) for i, x in enumerate(rest) if len(x) >= LONG_TOKEN), default=(0.0, 0))
             at = -best[1] if best[0] >= least else None
         if at is not None:
             rest.pop(at)
@@ -33,10 +37,39 @@ def fuzzy_overlap(left: list[str], right: list[str], least: float) -> float:
     return hits / (len(left) + len(right) - hits)
 
 
-def title_score(left: list[str], right: list[str], least: float) -> float:
-    a, b = " ".join(sorted(left)), " ".join(sorted(right))
-    sorted_ratio = ratio(a, b) if a and b else float(not a and not b)
-    return round(0.62 * fuzzy_overlap(left, right, least) + 0.38 * sorted_ratio, 4)
+def overlap_column(left: Column, right: Column, near: Column) -> Column:
+    """fuzzy_overlap of two token columns, given the left side's `near`: token -> {alike token -> ratio}.
+
+    The state is what is left of the right list; a hit takes one token out, so that hits are what the list lost.
+    """
+    without = lambda rest, at: F.concat(F.slice(rest, F.lit(1), at - 1), F.slice(rest, at + 1, F.size(rest)))
+    blank = F.array().cast("array<struct<ratio:double,at:int>>")
+
+    def place(rest: Column, token: Column) -> Column:
+        mine = F.try_element_at(near, token)
+        alike = F.filter(F.transform(rest, lambda x, i: F.struct(F.try_element_at(mine, x).alias("ratio"), (-i).alias("at"))), lambda x: x["ratio"].isNotNull())
+        best = F.array_max(F.when(mine.isNotNull(), alike).otherwise(blank))
+        return F.coalesce(F.nullif(F.array_position(rest, token).cast("int"), F.lit(0)), 1 - best["at"], F.lit(0))
+
+    rest = F.aggregate(left, right, lambda rest, token: F.when(place(rest, token) > 0, without(rest, F.greatest(place(rest, token), F.lit(1)))).otherwise(rest))
+    hits = F.size(right) - F.size(rest)
+    return F.when((F.size(left) == 0) | (F.size(right) == 0), (F.size(left) == F.size(right)).cast("double")).otherwise(hits / (F.size(left) + F.size(right) - hits).cast("double"))
+
+
+def bag_ratio(left: Column, right: Column) -> Column:
+    """No ratio of two strings is above this: twice the characters they share in any order, over all of them. The columns are numbered characters."""
+    size = F.size(left) + F.size(right)
+    return F.when(size == 0, 1.0).otherwise(2 * F.size(F.array_intersect(left, right)) / size.cast("double"))
+
+
+def title_score(overlap: float, a: str, b: str) -> float:
+    """Score of two titles from their overlap and the ratio of their sorted words."""
+    return round(OVERLAP_WEIGHT * overlap + RATIO_WEIGHT * (ratio(a, b) if a and b else float(not a and not b)), 4)
+
+
+def title_bound(overlap: Column, bag: Column) -> Column:
+    """No title score of a pair is above this."""
+    return F.least(F.lit(1.0), OVERLAP_WEIGHT * overlap + RATIO_WEIGHT * bag + 1e-4)
 
 
 @lru_cache(maxsize=20_000)
@@ -66,12 +99,12 @@ def document_cosine(dimension: int):
     return scores
 
 
-def pair_scores(least: float, dimension: int):
-    """UDF of (left tokens, right tokens, left document, right document, left brand, right brand, left hint, right hint)."""
-    @F.pandas_udf("title double, embedding double, brand_ratio double, hint_ratio double")
-    def scores(lt: pd.Series, rt: pd.Series, ld: pd.Series, rd: pd.Series, lb: pd.Series, rb: pd.Series, lh: pd.Series, rh: pd.Series) -> pd.DataFrame:
-        both = lambda a, b: [ratio(x, y) if x and y else None for x, y in zip(a, b)]
-        return pd.DataFrame({"title": [title_score(list(a), list(b), least) for a, b in zip(lt, rt)], "embedding": [gram_cosine(a, b, dimension) for a, b in zip(ld, rd)], "brand_ratio": pd.Series(both(lb, rb), dtype="float64"), "hint_ratio": pd.Series(both(lh, rh), dtype="float64")})
+def text_scores(dimension: int):
+    """UDF of (overlap of the words, left words sorted, right ones, left document, right document)."""
+    @F.pandas_udf("title double, embedding double")
+    def scores(overlap: pd.Series, a: pd.Series, b: pd.Series, left: pd.Series, right: pd.Series) -> pd.DataFrame:
+        titles = [title_score(*x) for x in zip(overlap, a, b)]
+        return pd.DataFrame({"title": pd.Series(titles, dtype="float64"), "embedding": pd.Series([gram_cosine(x, y, dimension) for x, y in zip(left, right)], dtype="float64")})
 
     return scores
 
@@ -110,19 +143,20 @@ def _containing(outer: DataFrame, inner: DataFrame) -> DataFrame:
 
 def _ranked(strings: DataFrame, often: DataFrame, least: float) -> DataFrame:
     """(s, size, all tokens, pos, token) of the prefix of every string: its characters, numbered where they repeat, rarest first."""
-    placed = strings.select("s", F.explode(_characters(F.col("s"))).alias("token")).join(often, "token")
+    placed = strings.select("s", F.explode(characters(F.col("s"))).alias("token")).join(often, "token")
     lists = placed.groupBy("s").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("tokens")).withColumn("size", F.size("tokens"))
     prefix = F.col("size") - F.ceil(F.lit(least / (2 - least)) * F.col("size") - 1e-9) + 1
     return lists.select("s", "size", "tokens", F.posexplode(F.slice("tokens", F.lit(1), prefix.cast("int"))).alias("pos", "token"))
 
 
-def _characters(s):
-    chars = F.array_sort(F.split(s, ""))
-    return F.transform(chars, lambda x, i: F.concat(x, (i - F.array_position(chars, x)).cast("string")))
+def characters(s: Column) -> Column:
+    """The characters of a string, numbered where they repeat; none of an empty one."""
+    chars = F.array_sort(F.filter(F.split(s, ""), lambda x: x != ""))
+    return F.transform(chars, lambda x, i: F.concat(x, (i + 1 - F.array_position(chars, x)).cast("string")))
 
 
-def alike_strings(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """(l, r) of distinct strings s of both sides where one holds the other or their ratio is at least `least`.
+def close_strings(left: DataFrame, right: DataFrame, least: float, known: DataFrame | None = None) -> DataFrame:
+    """(l, r, ratio) of the distinct strings s of both sides whose ratio is at least `least`, but for pairs already known.
 
     A ratio counts characters matched in order, so twice the characters in common, in any order, over all characters is no smaller. That makes the
     characters a set (repeated ones are numbered) and the pairs a set-similarity join: with characters in one global order, rarest
@@ -130,13 +164,27 @@ def alike_strings(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     shared. Only pairs whose sets pass are compared as strings, each once.
     """
     left, right = left.select("s").where("s <> ''").distinct(), right.select("s").where("s <> ''").distinct()
-    o, i = (lambda x: x.select(F.col("s").alias("o"))), (lambda x: x.select(F.col("s").alias("i")))
-    within = _containing(o(left), i(right)).select(F.col("o").alias("l"), F.col("i").alias("r")).unionAll(_containing(o(right), i(left)).select(F.col("i").alias("l"), F.col("o").alias("r"))).distinct()
-    often = left.unionAll(right).select(F.explode(_characters(F.col("s"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    often = left.unionAll(right).select(F.explode(characters(F.col("s"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     a = _ranked(left, often, least).select("token", F.col("s").alias("l"), F.col("size").alias("n"), F.col("tokens").alias("ls"), F.col("pos").alias("i"))
     b = _ranked(right, often, least).select("token", F.col("s").alias("r"), F.col("size").alias("m"), F.col("tokens").alias("rs"), F.col("pos").alias("j"))
     needed = F.lit(least / 2) * (F.col("n") + F.col("m")) - 1e-9
     met = a.join(b, "token").where((F.least("n", "m") >= needed) & (F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= needed))
     close = met.where(F.size(F.array_intersect("ls", "rs")) >= needed).select("l", "r").distinct()
-    scored = close.join(within, ["l", "r"], "left_anti").where(ratio_column()("l", "r") >= least)
-    return within.unionAll(scored)
+    if known is not None:
+        close = close.join(known, ["l", "r"], "left_anti")
+    return close.withColumn("ratio", ratio_column()("l", "r")).where(F.col("ratio") >= least)
+
+
+def alike_strings(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(l, r) of distinct strings s of both sides where one holds the other or their ratio is at least `least`."""
+    o, i = (lambda x: x.select(F.col("s").alias("o"))), (lambda x: x.select(F.col("s").alias("i")))
+    left, right = left.select("s").where("s <> ''").distinct(), right.select("s").where("s <> ''").distinct()
+    within = _containing(o(left), i(right)).select(F.col("o").alias("l"), F.col("i").alias("r")).unionAll(_containing(o(right), i(left)).select(F.col("i").alias("l"), F.col("o").alias("r"))).distinct()
+    return within.unionAll(close_strings(left, right, least, within).select("l", "r"))
+
+
+def near_tokens(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(token, near): for each long left token the other long right tokens that are alike, with their ratios. Strings come as s."""
+    long = lambda x: x.where(F.length("s") >= LONG_TOKEN)
+    found = close_strings(long(left), long(right), least).where("l <> r")
+    return found.groupBy(F.col("l").alias("token")).agg(F.map_from_entries(F.collect_list(F.struct("r", "ratio"))).alias("near"))

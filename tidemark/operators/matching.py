@@ -1,8 +1,8 @@
 """Entity matching: block, pair, score, decide, pick the best.
 
 Candidates have (cid, side, title, brand, category_slug, identifiers array<struct<kind, value>>, attributes map).
-Each is prepared once; pairs come from equal blocking keys; what columns can decide is columns, and string ratios run
-in one UDF over the distinct pairs.
+Each is prepared once; what columns can decide is columns. Ratios of brands, hints and words are computed once for each pair of
+distinct strings that can pass and joined back; those of whole titles run where a bound leaves them a say.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.config import MatchingConfig
-from tidemark.functions.similarity import alike_strings, pair_scores
+from tidemark.functions.similarity import alike_strings, bag_ratio, characters, near_tokens, overlap_column, text_scores, title_bound
 from tidemark.functions.text import slug
 from tidemark.sources.scratch import stored
 
@@ -168,7 +168,16 @@ def blocked_pairs(prepared: DataFrame, c: MatchingConfig = MatchingConfig()) ->
     return met.where(~F.arrays_overlap("l_rarer", "r_rarer")).select("left_id", "right_id")
 
 
-def telling_pairs(prepared: DataFrame, c: MatchingConfig = MatchingConfig()) -> DataFrame:
+def string_tables(prepared: DataFrame, c: MatchingConfig = MatchingConfig()) -> dict[str, DataFrame]:
+    """What alike strings there are between both sides: brands, hints, and the words of titles; each pair of distinct ones is compared once."""
+    of = lambda s: prepared.where(F.col("side") == s)
+    strings = lambda s, x: of(s).select(F.col(x).alias("s")).where("s is not null")
+    words = lambda s: of(s).select(F.explode("tokens").alias("s"))
+    alike = lambda x: alike_strings(strings("left", x), strings("right", x), c.hint_ratio).select(F.col("l").alias(f"l_{x}"), F.col("r").alias(f"r_{x}"))
+    return {"brand_sig": stored(alike("brand_sig")), "hint": stored(alike("hint")), "words": stored(near_tokens(words("left"), words("right"), c.token_ratio))}
+
+
+def telling_pairs(prepared: DataFrame, c: MatchingConfig = MatchingConfig(), tables: dict[str, DataFrame] | None = None) -> DataFrame:
     """Distinct (left_id, right_id) of the pairs that may be decided as anything but different products.
 
     What the rules ask of such a pair: a shared identifier, or else no family of identifiers, no variant and no kind of product that
@@ -182,9 +191,8 @@ def telling_pairs(prepared: DataFrame, c: MatchingConfig = MatchingConfig()) ->
     by_id = lambda rows, s, n: rows.select(f"{n}_id", f"{s}_ids", F.explode(f"{s}_ids").alias("id"))
     shared = by_id(left, "l", "left").join(by_id(right, "r", "right"), "id").where(F.size(identifier_signals(F.col("l_ids"), F.col("r_ids"))[1]) == 0).select("left_id", "right_id").distinct()
 
-    strings = lambda rows, x: rows.select(F.col(x).alias("s")).where("s is not null")
-    alike = lambda x: stored(alike_strings(strings(left, f"l_{x}"), strings(right, f"r_{x}"), c.hint_ratio).select(F.col("l").alias(f"l_{x}"), F.col("r").alias(f"r_{x}")))
-    brands, hints = alike("brand_sig"), alike("hint")
+    tables = tables or string_tables(prepared, c)
+    brands, hints = tables["brand_sig"], tables["hint"]
     lacks = lambda x: F.coalesce(F.col(f"l_{x}"), F.lit("")).isin("") | F.coalesce(F.col(f"r_{x}"), F.lit("")).isin("")
     same_hint = left.join(hints, "l_hint").join(right, "r_hint").join(brands.withColumn("_alike", F.lit(True)), ["l_brand_sig", "r_brand_sig"], "left").where(lacks("brand_sig") | F.col("_alike")).drop("_alike")
     hintless = lambda s: F.coalesce(F.col(f"{s}_hint"), F.lit("")) == ""
@@ -203,11 +211,38 @@ def telling_pairs(prepared: DataFrame, c: MatchingConfig = MatchingConfig()) ->
 
 def best_of_all(prepared: DataFrame, c: MatchingConfig = MatchingConfig()) -> DataFrame:
     """Per left candidate the best pair. Different products rank last, so only candidates without any telling pair, or with none that is decided
-    as more, have their other pairs scored."""
+    as more, have their other pairs looked at."""
     prepared = stored(prepared)
-    telling = stored(best_matches(decide(scored_pairs(prepared, telling_pairs(prepared, c), c), c)).where("classification <> 'DIFFERENT_PRODUCT'"))
+    tables = string_tables(prepared, c)
+    telling = stored(best_matches(decide(scored_pairs(prepared, telling_pairs(prepared, c, tables), c, tables), c)).where("classification <> 'DIFFERENT_PRODUCT'"))
     rest = prepared.join(telling.select(F.col("left_id").alias("cid")), "cid", "left_anti").where("side = 'left'").unionByName(prepared.where("side = 'right'"))
-    return telling.unionByName(best_matches(decide(scored_pairs(rest, blocked_pairs(rest, c), c), c)))
+    return telling.unionByName(best_different(rest, blocked_pairs(rest, c), c, tables))
+
+
+def best_different(prepared: DataFrame, pairs: DataFrame, c: MatchingConfig = MatchingConfig(), tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Per left candidate the best of pairs that are all of different products, so that the score decides; as best_matches of all of them."""
+    tables = tables or string_tables(prepared, c)
+    bounded = stored(bounds(prepared, pairs, c, tables))
+    return best_matches(decide(scored_pairs(prepared, contenders(prepared, bounded, c, tables), c, tables), c))
+
+
+def bounds(prepared: DataFrame, pairs: DataFrame, c: MatchingConfig = MatchingConfig(), tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(left_id, right_id, bound) of pairs of different products: no score is above its bound, which takes no string comparison of its own.
+
+    What can't be known without one is the order of a title's characters and the cosine of the documents; those are at most
+    the characters in common and 1. No rule lowers a score where a text score rises, so the rules turn these into a bound.
+    """
+    rows = evidence(prepared, pairs, c, tables).withColumn("title_score", title_bound(F.col("overlap"), bag_ratio(F.col("l_chars"), F.col("r_chars")))).withColumn("embedding_score", F.lit(1.0))
+    return decide(rows, c).select("left_id", "right_id", (F.col("score") + 1e-9).alias("bound"))
+
+
+def contenders(prepared: DataFrame, bounded: DataFrame, c: MatchingConfig = MatchingConfig(), tables: dict[str, DataFrame] | None = None, firsts: int = 16) -> DataFrame:
+    """The bounded pairs that may be the best of their left candidate: those whose bound reaches the best score found among its most hopeful
+    pairs, one in each of a few shares of its right candidates."""
+    share = F.pmod(F.xxhash64("right_id"), F.lit(firsts))
+    hopeful = bounded.groupBy("left_id", share.alias("_share")).agg(F.max_by("right_id", F.struct("bound", "right_id")).alias("right_id")).select("left_id", "right_id")
+    reached = decide(scored_pairs(prepared, stored(hopeful), c, tables), c).groupBy("left_id").agg(F.max("score").alias("_least"))
+    return bounded.join(reached, "left_id").where(F.col("bound") >= F.col("_least")).select("left_id", "right_id")
 
 
 def blocked_among(prepared: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -231,22 +266,37 @@ def attribute_signals(left: Column, right: Column) -> tuple[Column, Column, Colu
     return F.array_sort(F.filter(overlap, lambda k: ~alike(k))), F.size(overlap), F.size(F.filter(overlap, alike))
 
 
-def scored_pairs(prepared: DataFrame, pairs: DataFrame, c: MatchingConfig = MatchingConfig()) -> DataFrame:
-    side = lambda s, n: prepared.where(F.col("side") == n).select(F.col("cid").alias(f"{n}_id"), *(F.col(x).alias(f"{s}_{x}") for x in ("ids", "attrs", "hint", "brand_sig", "tokens", "accessory", "document")))
-    rows = pairs.join(side("l", "left"), "left_id").join(side("r", "right"), "right_id")
-    rows = rows.withColumn("s", pair_scores(c.token_ratio, c.dimension)("l_tokens", "r_tokens", "l_document", "r_document", "l_brand_sig", "r_brand_sig", "l_hint", "r_hint"))
-    within = lambda a, b: F.contains(F.col(a), F.col(b)) | F.contains(F.col(b), F.col(a))
-    same = lambda a, b, r: F.when(F.coalesce(F.col(a), F.lit("")).isin("") | F.coalesce(F.col(b), F.lit("")).isin(""), None).otherwise(within(a, b) | (F.col(r) >= c.hint_ratio))
+def evidence(prepared: DataFrame, pairs: DataFrame, c: MatchingConfig = MatchingConfig(), tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Pairs with all that tells for and against them but the ratio of whole titles and the cosine, and with what these are computed from."""
+    tables = tables or string_tables(stored(prepared), c)
+    of = lambda s: prepared.where(F.col("side") == s)
+    placed = of("left").select("cid", F.explode(F.array_distinct("tokens")).alias("token")).join(tables["words"], "token")
+    maps = placed.groupBy("cid").agg(F.map_from_entries(F.collect_list(F.struct("token", "near"))).alias("near"))
+    title = F.array_join(F.array_sort("tokens"), " ")
+    known = [F.col(x) for x in ("ids", "attrs", "hint", "brand_sig", "tokens", "accessory", "document")] + [title.alias("sorted"), characters(title).alias("chars")]
+    side = lambda rows, s, n, *more: rows.select("cid", *known, *more).toDF(f"{n}_id", *(f"{s}_{x}" for x in ("ids", "attrs", "hint", "brand_sig", "tokens", "accessory", "document", "sorted", "chars", *more)))
+    rows = pairs.select("left_id", "right_id").join(side(of("left").join(maps, "cid", "left"), "l", "left", "near"), "left_id").join(side(of("right"), "r", "right"), "right_id")
+    overlap = overlap_column(F.col("l_tokens"), F.col("r_tokens"), F.col("l_near"))
+    rows = rows.select("*", F.inline(F.array(F.struct(overlap.alias("overlap"))))).drop("l_tokens", "r_tokens", "l_near")  # generated: a Python UDF isn't found in a plan if lambdas move into its arguments
+    same = {}
+    for x, name in (("brand_sig", "brand_match"), ("hint", "model_match")):
+        rows = rows.join(tables[x].withColumn(f"_{x}", F.lit(True)), [f"l_{x}", f"r_{x}"], "left")
+        same[name] = F.when(F.coalesce(F.col(f"l_{x}"), F.lit("")).isin("") | F.coalesce(F.col(f"r_{x}"), F.lit("")).isin(""), None).otherwise(F.coalesce(f"_{x}", F.lit(False)))
     matches, id_conflicts = identifier_signals(F.col("l_ids"), F.col("r_ids"))
     conflicts, overlapping, agreeing = attribute_signals(F.col("l_attrs"), F.col("r_attrs"))
     return rows.select(
-        "left_id", "right_id", matches.alias("id_matches"), id_conflicts.alias("id_conflicts"),
-        same("l_brand_sig", "r_brand_sig", "s.brand_ratio").alias("brand_match"), same("l_hint", "r_hint", "s.hint_ratio").alias("model_match"),
-        conflicts.alias("variant_conflicts"), overlapping.alias("overlapping"), agreeing.alias("agreeing"),
-        (F.col("l_accessory") != F.col("r_accessory")).alias("accessory_mismatch"), F.col("s.title").alias("title_score"), F.col("s.embedding").alias("embedding_score"),
+        "left_id", "right_id", matches.alias("id_matches"), id_conflicts.alias("id_conflicts"), *(v.alias(k) for k, v in same.items()), conflicts.alias("variant_conflicts"), overlapping.alias("overlapping"), agreeing.alias("agreeing"),
+        (F.col("l_accessory") != F.col("r_accessory")).alias("accessory_mismatch"), "overlap",
+        *(f"{s}_{x}" for s in "lr" for x in ("sorted", "chars", "document")),
     )
 
 
+def scored_pairs(prepared: DataFrame, pairs: DataFrame, c: MatchingConfig = MatchingConfig(), tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Pairs with all their evidence, the scores of their texts too."""
+    rows = evidence(prepared, pairs, c, tables).withColumn("s", text_scores(c.dimension)("overlap", "l_sorted", "r_sorted", "l_document", "r_document"))
+    return rows.withColumn("title_score", F.col("s.title")).withColumn("embedding_score", F.col("s.embedding")).drop("s", "overlap", *(f"{s}_{x}" for s in "lr" for x in ("sorted", "chars", "document")))
+
+
 def decide(pairs: DataFrame, c: MatchingConfig = MatchingConfig()) -> DataFrame:
     """Classification, method, confidence and score of scored pairs: an ordered list of rules, the first that holds decides."""
     col = F.col

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import MatchingConfig
-from tidemark.functions.similarity import document_cosine
+from tidemark.functions.similarity import bag_ratio, document_cosine, text_scores, title_bound
 from tidemark.operators import matching as G
 from tidemark.plans.base_sql import SNAP
 from tidemark.plans.ops_queries import candidates
+from tidemark.sources.scratch import stored
 from tidemark.sources.tables import products
 
 P = lambda: F.col("product_id")
@@ -64,6 +65,16 @@ def mat13_documents(spark: SparkSession, d: str) -> DataFrame:
     return side("left").join(side("right"), "product_id").select("product_id", F.round(document_cosine(MatchingConfig().dimension)("left", "right"), 5).alias("cosine"))
 
 
+def mat12_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of the titles of both listings of every part, and the bound that each keeps under."""
+    prepared = stored(G.prepare(candidates(spark, d)))
+    cid = lambda x: F.concat(F.lit(x), P())
+    pairs = products(spark, d).select(cid("L").alias("left_id"), cid("R").alias("right_id"))
+    rows = G.evidence(prepared, pairs).withColumn("bound", F.round(title_bound(F.col("overlap"), bag_ratio(F.col("l_chars"), F.col("r_chars"))), 4))
+    scored = rows.withColumn("s", text_scores(MatchingConfig().dimension)("overlap", "l_sorted", "r_sorted", "l_document", "r_document"))
+    return scored.select("left_id", "right_id", F.round("overlap", 6).alias("overlap"), F.col("s.title").alias("title_score"), "bound")
+
+
 def mat15_stages(spark: SparkSession, d: str) -> DataFrame:
     """Decisions on evidence of all kinds, made by rule from every part."""
     flag = lambda n, *values: _pick(n, *(F.lit(v).cast("boolean") for v in values))
@@ -100,6 +111,7 @@ k AS (SELECT *, list_filter(words, lambda x: NOT list_contains(own, x) AND NOT l
 SELECT cid, nullif(array_to_string(kept[1:4], ' '), '') AS hint, nullif(regexp_replace(regexp_replace(lower(trim(brand)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), '') AS brand_sig, contains(lower(category), 'accessor') OR (list_has_any(words, {_LIST(G.ACCESSORIES)}) AND NOT list_has_any(words, {_LIST(G.PRIMARIES)})) AS accessory FROM k"""),
     "mat9_attribute_signals": (mat9_attribute_signals, f"""WITH {SNAP}, x AS (SELECT product_id, product_id % 4 = 1 AS st, product_id % 3 = 1 AS co, product_id % 2 = 0 AND product_id % 3 = 0 AS has, product_id % 5 = 2 AS other FROM prod)
 SELECT product_id, concat_ws(',', CASE WHEN co THEN 'color' END, CASE WHEN has AND other THEN 'ram' END, CASE WHEN st THEN 'storage' END) AS conflicts, CAST(2 + has::INT AS INTEGER) AS overlapping, CAST((NOT co)::INT + (NOT st)::INT + (has AND NOT other)::INT AS INTEGER) AS agreeing FROM x"""),
+    "mat12_titles": (mat12_titles, None),
     "mat13_documents": (mat13_documents, f"""WITH {SNAP}, {_CANDIDATES}, dc AS (SELECT cid, product_id, side, '  ' || array_to_string({_TOKENS("concat_ws(' ', brand, title, 'Storage', storage || ' GB')")}, ' ') || '  ' AS t FROM ca),
 gr AS (SELECT cid, product_id, side, sha256(unnest(list_concat(list_transform(range(1, length(t)), lambda i: substr(t, i, 2)), list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))))) AS h FROM dc),
 vc AS (SELECT product_id, side, substr(h, 1, 2) AS k, sum(CASE WHEN contains('13579bdf', substr(h, 10, 1)) THEN -1 ELSE 1 END)::DOUBLE AS x FROM gr GROUP BY ALL),
