@@ -9,13 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.config import SalesConfig
 from tidemark.functions.similarity import cosine
 from tidemark.operators import catalog as C
 from tidemark.operators import matching as G
 from tidemark.operators import ops as O
 from tidemark.operators import sales as S
-from tidemark.plans.base_sql import ADJ, SNAP
+from tidemark.plans.base_sql import ADJ, SNAP, half_up
 from tidemark.plans.history_queries import his15_newest_age
 from tidemark.plans.offer_queries import WINNERS, priced_rows, winners
 from tidemark.plans.sale_queries import sessions_sql
@@ -234,34 +233,39 @@ def str3_metrics(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(out.schema).parquet(f"{folder}/out").where("errors * 4 > events")
 
 
+def _quarters(rows: DataFrame) -> list[DataFrame]:
+    """rows as four ranges of time of about equal size."""
+    late = F.unix_micros("observed_at")
+    bounds = rows.agg(F.percentile_approx(late, [0.25, 0.5, 0.75], 1000)).first()[0] or []
+    part = sum((F.when(late > b, 1).otherwise(0) for b in bounds), F.lit(0))
+    return [rows.where(part == i) for i in range(len(bounds) + 1)]
+
+
 def str4_sessions(spark: SparkSession, d: str) -> DataFrame:
-    """Sessions of discounted rows per retailer, category and brand, each written once it is over."""
+    """Sale windows per retailer, category and brand out of two streams: discounted rows by medians kept in state, and sessions of them.
+
+    Only the columns in question go through the streams. The second stream takes the drops in the order of their times.
+    """
     folder = _folder(spark)
-    scopes = F.array(*(F.struct(F.lit(s).alias("scope"), F.col(c).cast("string").alias("scope_id")) for s, c in (("retailer", "retailer_id"), ("category", "category"), ("brand", "brand"))))
-    drops = S.discounted(snapshots(spark, d), ["listing_id", "seller_id"], SalesConfig(drop_percent=25)).select("observed_at", F.inline(scopes))
-    drops = stored(drops)
+    session = streams.state_session(spark)
+    s = snapshots(session, d).select("listing_id", "seller_id", "retailer_id", "category", "brand", *S.ROW)
+    _arrive(session, f"{folder}/a", _quarters(s), lambda r: streams.to_table(streams.keyed_discounts(r, 25), f"{folder}/drops", f"{folder}/a/cp"))
+    found = session.createDataFrame([], "listing_id long, seller_id long, retailer_id int, category string, brand string, snapshot_id string, price long, observed_at timestamp, prior2 long").schema
+    drops = streams.scoped_drops(spark.read.schema(found).parquet(f"{folder}/drops"))
     out = streams.sale_sessions(drops)
     _arrive(spark, folder, [*_in_time(drops), *_closing(drops, "observed_at", scope="end", scope_id="end")], lambda r: streams.to_table(streams.sale_sessions(r), f"{folder}/out", f"{folder}/cp"))
+    drop_path(spark, f"{folder}/drops")
     return spark.read.schema(out.schema).parquet(f"{folder}/out").where("scope <> 'end'")
 
 
 def str5_drops(spark: SparkSession, d: str) -> DataFrame:
-    """Drops found on arrival, batch by batch, against the last row of each series.
-
-    The snapshots arrive as four time ranges, one written after the other. In a range each series is in one file, so any batch of files in
-    the order of their times keeps every series in its order.
-    """
+    """Drops found on arrival against the row before in the series' state; the snapshots arrive as four ranges of time, the stream is restarted for each."""
     folder = _folder(spark)
-    s = snapshots(spark, d)
-    late = F.unix_micros("observed_at")
-    bounds = s.agg(F.percentile_approx(late, [0.25, 0.5, 0.75], 1000)).first()[0] or []
-    rows = s.withColumn("_range", sum((F.when(late > b, 1).otherwise(0) for b in bounds), F.lit(0)))
-    n = max(2, spark.sparkContext.defaultParallelism)
-    for i in range(len(bounds) + 1):
-        rows.where(F.col("_range") == i).drop("_range").repartition(n, *streams.SERIES).write.mode("append").parquet(f"{folder}/in")
-    streams.each_batch(streams.read(spark, f"{folder}/in", s.schema, n), streams.drop_events(f"{folder}/state", f"{folder}/out"), f"{folder}/cp").awaitTermination()
-    _clean(spark, folder)
-    return spark.read.parquet(f"{folder}/out").select("snapshot_id", "listing_id", "seller_id", "price", "baseline_paise")
+    session = streams.state_session(spark)
+    s = snapshots(session, d).select(*streams.SERIES, *S.ROW)
+    out = streams.keyed_drops(s).schema
+    _arrive(session, folder, _quarters(s), lambda r: streams.to_table(streams.keyed_drops(r), f"{folder}/out", f"{folder}/cp"))
+    return spark.read.schema(out).parquet(f"{folder}/out").select("snapshot_id", "listing_id", "seller_id", "price", "baseline_paise")
 
 
 def str6_alerts(spark: SparkSession, d: str) -> DataFrame:
@@ -317,7 +321,7 @@ SELECT rule, make_timestamp(k * 300000000) AS window_start, make_timestamp(k * 3
     "str2_daily": (str2_daily, f"WITH {SNAP} SELECT date_trunc('day', observed_at)::TIMESTAMP AS day, retailer_id, count(*) AS observations, CAST(sum(p) AS BIGINT) AS total_paise, min(p) AS low_paise, max(p) AS high_paise FROM (SELECT *, coalesce(effective_paise, displayed_paise) AS p FROM snap) GROUP BY 1, 2"),
     "str2_variants": (str2_variants, f"WITH {SNAP} SELECT date_trunc('day', observed_at)::TIMESTAMP AS day, product_id, count(*) AS observations, CAST(sum(p) AS BIGINT) AS total_paise, min(p) AS low_paise, max(p) AS high_paise FROM (SELECT *, coalesce(effective_paise, displayed_paise) AS p FROM snap) GROUP BY 1, 2"),
     "str3_metrics": (str3_metrics, f"WITH {_LOG}, b AS (SELECT epoch_us(ts) // 300000000 AS k, failed FROM lg), w AS (SELECT k - o AS k, failed FROM b, (SELECT unnest(range(3)) AS o)) SELECT make_timestamp(k * 300000000) AS window_start, count(*) AS events, count(*) FILTER (failed) AS errors FROM w GROUP BY k HAVING count(*) FILTER (failed) * 4 > count(*)"),
-    "str4_sessions": (str4_sessions, f"WITH {SNAP}, {sessions_sql(25)} SELECT scope, scope_id, min(observed_at) AS start_at, max(observed_at) AS end_at, count(*) AS observations FROM isl GROUP BY scope, scope_id, island"),
+    "str4_sessions": (str4_sessions, f"WITH {SNAP}, {sessions_sql(25)} SELECT scope, scope_id, min(observed_at) AS start_at, max(observed_at) AS end_at, count(*) AS observations, count(DISTINCT series) AS listings, {half_up('CAST(2 * median(CAST(round(drop_percent * 10000) AS BIGINT)) AS BIGINT)', '2')} / 10000.0::DOUBLE AS median_drop_percent, CASE WHEN count(DISTINCT series) >= 5 THEN 'high' ELSE 'medium' END AS confidence FROM isl GROUP BY scope, scope_id, island HAVING count(DISTINCT series) >= 2"),
     "str5_drops": (str5_drops, f"WITH {SNAP}, c AS (SELECT *, lag(price) OVER (PARTITION BY product_id, listing_id, seller_id ORDER BY observed_at, created_at, snapshot_id) AS base FROM q) SELECT snapshot_id, listing_id, seller_id, price, base AS baseline_paise FROM c WHERE price < base"),
     "str6_alerts": (str6_alerts, f"""WITH {SNAP}, {ADJ}, vo AS (SELECT snapshot_id, sum(CASE WHEN eligibility = 'verified_eligible' THEN coalesce(amount_paise, 0) ELSE 0 END) AS voff FROM adj GROUP BY 1),
 lo AS (SELECT (observed_at >= DATE '{RANGES[0]}')::INT + (observed_at >= DATE '{RANGES[1]}')::INT AS batch, product_id, min(CAST(greatest(displayed_paise + coalesce(delivery_paise, 0) + coalesce(platform_paise, 0) - coalesce(voff, 0), 0) AS BIGINT)) AS verified_paise FROM snap LEFT JOIN vo USING (snapshot_id) WHERE availability IN ('in_stock', 'limited_stock') GROUP BY ALL),

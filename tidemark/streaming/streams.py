@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import partial
+from itertools import pairwise
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from tidemark.config import SalesConfig
+from tidemark.functions.money import half_up
 from tidemark.functions.series import price
-from tidemark.operators.history import changes
-from tidemark.operators.offers import latest
 from tidemark.operators.ops import price_alerts
-from tidemark.sources.scratch import drop_path
+from tidemark.operators.sales import running_median
 
 KEY = ["listing_id", "observed_at", "seller_id"]
 
@@ -39,31 +45,104 @@ def metric_windows(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     return stream.withWatermark("ts", late).groupBy(window).agg(F.count("*").alias("events"), F.count_if("failed").alias("errors")).select(F.col("window.start").alias("window_start"), "events", "errors")
 
 
-def sale_sessions(drops: DataFrame, gap: str = "2 days", late: str = "4 days") -> DataFrame:
-    """Windows of discounted rows per scope. The session's own end is the last row plus the gap, so the last row's time is kept."""
-    rows = drops.withWatermark("observed_at", late)
-    return rows.groupBy(F.session_window("observed_at", gap), "scope", "scope_id").agg(F.min("observed_at").alias("start_at"), F.max("observed_at").alias("end_at"), F.count("*").alias("observations")).select("scope", "scope_id", "start_at", "end_at", "observations")
+def state_session(spark: SparkSession) -> SparkSession:
+    """A session of the same application whose streams keep their state in RocksDB and write only what a batch changes."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        session.conf.set(name, spark.conf.get(name))
+    return session
 
 
 SERIES = ("product_id", "listing_id", "seller_id")
 
 
-def drop_events(state_path: str, out_path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch: drops of a batch against the last row of each series, kept in a table with a version per batch.
+def keyed_drops(stream: DataFrame, late: str = "30 days", idle_days: int = 3650) -> DataFrame:
+    """Drops of every series against its row before, which is the series' state: a batch reads and writes the state of its own series only.
 
-    A batch that runs again reads the version before it and overwrites its own output, so repeats change nothing. Versions that no
-    repeat can need any more are deleted.
+    Rows that arrive behind their series' last row have no baseline and don't become its state. Rows behind the watermark are cut off. A timer
+    clears a series without rows for idle_days (of event time), which then starts anew.
     """
-    def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.parquet(f"{state_path}/v{number - 1}") if number else batch.limit(0)
-        known = before.withColumn("_old", F.lit(True)).unionByName(batch.withColumn("_old", F.lit(False)))
-        found = changes(known, *SERIES).where("is_drop and not _old")
-        found.select("snapshot_id", *SERIES, "observed_at", "price", "baseline_paise").write.mode("overwrite").parquet(f"{out_path}/batch={number}")
-        latest(known.drop("_old").where(F.col("confidence").isin("high", "medium")), *SERIES).select(batch.columns).write.mode("overwrite").parquet(f"{state_path}/v{number}")
-        drop_path(spark, f"{state_path}/v{number - 2}")
+    rows = stream.where(F.col("confidence").isin("high", "medium")).withColumn("price", price()).withWatermark("observed_at", late)
+    keyed = rows.select(*SERIES, "snapshot_id", "price", "observed_at", "created_at")
+    types = dict(keyed.dtypes)
+    columns = ("snapshot_id", *SERIES, "observed_at", "price", "baseline_paise")
+    out = ", ".join(f"{c} {types.get(c, 'bigint')}" for c in columns)
+    return keyed.groupBy(*SERIES).applyInPandasWithState(partial(_drops_of_series, idle_ms=idle_days * 86_400_000), out, "seen long, made long, id string, price long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _micros(times: pd.Series) -> list[int]:
+    return times.astype("datetime64[us]").astype("int64").tolist()
+
+
+def _drops_of_series(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState, idle_ms: int) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
+    last = state.getOption
+    rows, known = [], [] if last is None else [(*last, None)]
+    for part in parts:
+        rows += zip(_micros(part["observed_at"]), _micros(part["created_at"]), part["snapshot_id"].tolist(), part["price"].tolist(), part["observed_at"].tolist(), strict=True)
+    ordered = sorted([*known, *rows], key=lambda r: r[:3])
+    fell = [(r[2], *key, r[4], r[3], before[3]) for before, r in pairwise(ordered) if r[4] is not None and r[3] < before[3]]
+    newest = ordered[-1]
+    state.update(newest[:4])
+    state.setTimeoutTimestamp(max(newest[0] // 1000, state.getCurrentWatermarkMs()) + idle_ms)
+    if fell:
+        yield pd.DataFrame(fell, columns=["snapshot_id", *SERIES, "observed_at", "price", "baseline_paise"])
+
+
+def keyed_discounts(stream: DataFrame, percent: int, late: str = "30 days") -> DataFrame:
+    """Rows at least percent below the median of all earlier prices of their (listing, seller), whose counts by price are the state.
+
+    The state of a series is as large as the number of its distinct prices. Rows have to arrive in the order of their series.
+    """
+    rows = stream.where(F.col("confidence").isin("high", "medium")).withColumn("price", price()).withWatermark("observed_at", late)
+    kept = ("retailer_id", "category", "brand", "snapshot_id", "price", "observed_at", "created_at")
+    keyed = rows.select("listing_id", "seller_id", *kept)
+    types = dict(keyed.dtypes)
+    columns = (*DISCOUNT, "prior2")
+    out = ", ".join(f"{c} {types.get(c, 'bigint')}" for c in columns)
+    return keyed.groupBy("listing_id", "seller_id").applyInPandasWithState(partial(_discounts_of_series, percent=percent), out, "prices array<long>, counts array<long>", "append", GroupStateTimeout.NoTimeout)
 
-    return run
+
+DISCOUNT = ("listing_id", "seller_id", "retailer_id", "category", "brand", "snapshot_id", "price", "observed_at")
+
+
+def _discounts_of_series(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState, percent: int) -> Iterator[pd.DataFrame]:
+    old = state.getOption
+    seen = [] if old is None else [p for p, n in zip(*old, strict=True) for _ in range(n)]
+    rows = pd.concat(list(parts)).sort_values(["observed_at", "created_at", "snapshot_id"])
+    prior2 = running_median(np.array([*seen, *rows["price"].tolist()], dtype=np.int64))[len(seen) :]
+    counts = Counter(seen) + Counter(rows["price"].tolist())
+    state.update((list(counts), list(counts.values())))
+    fell = [m is not None and m > 0 and 100 * (m - 2 * p) >= percent * m for m, p in zip(prior2, rows["price"].tolist(), strict=True)]
+    if any(fell):
+        found = rows[fell].assign(prior2=[m for m, f in zip(prior2, fell, strict=True) if f], listing_id=key[0], seller_id=key[1])
+        yield found[[*DISCOUNT, "prior2"]].astype({"seller_id": "Int64"})
+
+
+def scoped_drops(drops: DataFrame) -> DataFrame:
+    """(observed_at, series, drop, scope, scope_id): drops in ten-thousandths of a percent, once for each of their scopes."""
+    scopes = F.array(*(F.struct(F.lit(s).alias("scope"), F.col(c).cast("string").alias("scope_id")) for s, c in (("retailer", "retailer_id"), ("category", "category"), ("brand", "brand"))))
+    share = half_up((F.col("prior2") - 2 * F.col("price")) * 1_000_000, F.col("prior2"))
+    series = F.concat_ws("|", F.col("listing_id").cast("string"), F.coalesce(F.col("seller_id").cast("string"), F.lit("none")))
+    return drops.select("observed_at", series.alias("series"), share.alias("drop"), F.inline(scopes)).where("scope_id is not null")
+
+
+def sale_sessions(drops: DataFrame, gap: str = "2 days", late: str = "4 days", c: SalesConfig = SalesConfig()) -> DataFrame:
+    """Sale windows of discounted rows per scope, each written once it is over: rows, distinct listings, median drop and confidence.
+
+    An open session keeps the set of its series and counts by drop. Its own end is the last row plus the gap, so the last row's time is kept.
+    """
+    rows = drops.withWatermark("observed_at", late)
+    median = half_up((F.percentile("drop", F.lit(0.5)) * 2).cast("long"), F.lit(2)) / 10_000.0
+    sessions = rows.groupBy(F.session_window("observed_at", gap), "scope", "scope_id").agg(
+        F.min("observed_at").alias("start_at"), F.max("observed_at").alias("end_at"), F.count("*").alias("observations"), F.size(F.collect_set("series")).cast("long").alias("listings"), median.alias("median_drop_percent"),
+    )
+    level = F.when(F.col("listings") >= c.high_listings, "high").when(F.col("listings") >= c.medium_listings, "medium").otherwise("low")
+    return sessions.where(F.col("listings") >= c.min_listings).select("scope", "scope_id", "start_at", "end_at", "observations", "listings", "median_drop_percent", level.alias("confidence"))
 
 
 def alerts(rules: DataFrame, offers_of: Callable[[DataFrame], DataFrame], out_path: str) -> Callable[[DataFrame, int], None]:
