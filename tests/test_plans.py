@@ -2,7 +2,9 @@
 
 import pytest
 
+from tidemark.operators import history
 from tidemark.plans import registry
+from tidemark.sources import tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,3 +38,12 @@ def test_filters_and_columns_reach_the_scan(spark):
     text = plan(registry.queries()["ops5_pages"](spark, SF))
     assert "PushedFilters: [IsNotNull(event_type)" in text and "ts:timestamp" in text
     assert "l_comment" not in plan(registry.queries()["his2_window_averages"](spark, SF))
+
+
+def test_a_bucketed_fact_is_not_shuffled(spark, tmp_path):
+    fact = tables.bucketed(tables.snapshots(spark, SF), "bucketed_fact", str(tmp_path / "fact"), 4)
+    drops = history.drop_feed(fact)
+    assert "Exchange" not in plan(drops), plan(drops)
+    assert drops.count() == history.drop_feed(tables.snapshots(spark, SF)).count()
+    assert history.history_of(fact, listing_id=87).count() == history.history_of(tables.snapshots(spark, SF), listing_id=87).count() > 0
+    spark.sql("DROP TABLE bucketed_fact")

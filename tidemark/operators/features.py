@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tidemark.config import ModelConfig
 from tidemark.functions.money import mean, whole
-from tidemark.functions.series import days_between, skey
+from tidemark.functions.series import SKEY, days_between
 from tidemark.operators.history import qualifying
 from tidemark.operators.sales import fits, in_events, scoped
 
@@ -53,35 +53,67 @@ def asked(points: DataFrame, at: Column) -> DataFrame:
     return rows.select(*SERIES, none("string").alias("event_id"), at.alias("as_of"), none("long").alias("target_paise2"), none("long").alias("target_n"))
 
 
+WINDOWS = (7, 30, 90)
+DAY_US = 86_400_000_000
+
+
+def sale_states(rows: DataFrame, events: DataFrame) -> DataFrame:
+    """(_series, at, sale): what a sale of a series looked like after each of its rows, from the time when the sale was over and the row known."""
+    sold = in_events(rows.select("_series", "retailer_id", "brand", "category", "price", "observed_at", "created_at", "snapshot_id"), events)
+    known = sold.where(F.col("observed_at").isNotNull() & F.col("created_at").isNotNull()).select("_series", "event_id", "start_at", "price", "snapshot_id", F.unix_micros(F.greatest("observed_at", "created_at", "end_at")).alias("at"))
+    upto = Window.partitionBy("_series", "event_id").orderBy("at", "snapshot_id").rowsBetween(Window.unboundedPreceding, 0)
+    sale = F.struct("start_at", "event_id", F.count("*").over(upto).alias("n"), F.sum("price").over(upto).alias("paise"), F.min("price").over(upto).alias("lowest"))
+    return known.select("_series", "at", sale.alias("sale"))
+
+
+def sweep(rows: DataFrame, sales: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted with what its series showed before each time: the newest row (now), extrema, sums, sums of the last 7, 30 and 90 days, the last sale and the number of sales.
+
+    A row counts once it was observed and recorded, so it enters the order of time at the later of both. It leaves a window of d days when d days
+    have passed since it was observed; a row recorded later than that was never in it. So sums of d days are two running sums, one up to the
+    time and one up to d days before it, over one sorted series: an example doesn't meet its rows. A row whose two times differ takes two places.
+    """
+    fields = ["product_id", "listing_id", "price", "mrp_paise", "retailer_id", "seller_id", "brand", "category"]
+    seen, known = F.unix_micros("observed_at"), F.unix_micros(F.greatest("observed_at", "created_at"))
+    timely = [(known - seen < d * DAY_US).alias(f"timely_{d}") for d in WINDOWS]
+    now, at = F.struct(*SKEY, *fields), F.explode(F.when(known == seen, F.array(seen)).otherwise(F.array(seen, known))).alias("at")
+    steps = rows.where(F.col("observed_at").isNotNull() & F.col("created_at").isNotNull()).select("_series", "price", now.alias("row"), *timely, seen.alias("seen"), known.alias("known"), at)
+    steps = steps.select("_series", "at", F.when(F.col("at") == F.col("known"), F.col("row")).alias("row"), F.when(F.col("at") == F.col("seen"), F.col("price")).alias("leaving"), *(f"timely_{d}" for d in WINDOWS))
+    asked = wanted.select("*", F.unix_micros("as_of").alias("at"), F.lit(True).alias("asked"))
+    every = steps.unionByName(sales, allowMissingColumns=True).unionByName(asked, allowMissingColumns=True)
+    until = lambda d: Window.partitionBy("_series").orderBy("at").rangeBetween(Window.unboundedPreceding, -d * DAY_US - 1)
+    before, price, leaving = until(0), F.col("row.price"), F.col("leaving")
+    total = lambda value, window: F.coalesce(F.sum(value).over(window), F.lit(0))
+    within = lambda d, entered, left: total(F.when(F.col(f"timely_{d}"), entered), before) - total(F.when(F.col(f"timely_{d}"), left), until(d))
+    one = lambda c: F.when(c.isNotNull(), F.lit(1))
+    swept = every.select(
+        "*", total(one(price), before).alias("seen_n"), total(price, before).alias("seen_paise"), total(price * price, before).alias("seen_squares"), F.max("row").over(before).alias("now"),
+        F.min(price).over(before).alias("low"), F.max(price).over(before).alias("high"),
+        *(y for d in WINDOWS for y in (within(d, one(price), one(leaving)).alias(f"n_{d}"), within(d, price, leaving).alias(f"paise_{d}"))),
+        F.max("sale").over(before).alias("last"), total((F.col("sale.n") == 1).cast("int"), before).alias("sales"),
+    )
+    return swept.where("asked and seen_n > 0")
+
+
 def feature_table(points: DataFrame, events: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """The examples (labelled ones, if none are given) with 16 numeric and 6 categorical features and their completeness.
 
-    Everything is joined on the series: its examples meet its earlier rows, and its completed sales, and each is reduced in one aggregation.
-    An example without a row known before its time has no features and gives no row. An example without an event takes the nearest
-    published one.
+    Every series is swept once in the order of time, see `sweep`. An example without a row known before its time has no features and gives no
+    row. An example without an event takes the nearest published one.
     """
     rows = qualifying(points).select(series().alias("_series"), *SERIES, "product_id", "retailer_id", "brand", "category", "price", "mrp_paise", "observed_at", "created_at", "snapshot_id")
     wanted = labels(points, events) if wanted is None else wanted
     wanted = wanted.select(series().alias("_series"), F.col("event_id").alias("_event"), "as_of", "target_paise2", "target_n")
-    example = ["_series", "_event"]
+    rows = rows.join(wanted, "_series", "left_semi")
     T = F.col("as_of")
-    seen = wanted.join(rows, "_series").where(known_before(T))
-    fields = ["product_id", "listing_id", "price", "mrp_paise", "retailer_id", "seller_id", "brand", "category"]
-    recent = lambda d: F.col("observed_at") >= T - F.make_dt_interval(F.lit(d))
-    average = lambda d: mean(F.sum(F.when(recent(d), F.col("price"))), F.count_if(recent(d)))
-    n, sy, syy = F.count("*"), F.sum("price"), F.sum(F.col("price") * F.col("price"))
+    n, sy, syy = F.col("seen_n"), F.col("seen_paise"), F.col("seen_squares")
     spread = F.when(n > 1, (n * syy - sy * sy).cast("double") / F.nullif(n * (n - 1), F.lit(0)).cast("double"))
-    base = seen.groupBy(*example, "as_of", "target_paise2", "target_n").agg(
-        F.max_by(F.struct(*fields), skey()).alias("now"), average(7).alias("a7"), average(30).alias("a30"), average(90).alias("a90"),
-        F.min("price").alias("low"), F.max("price").alias("high"), F.round(F.sqrt(spread) / 100, 2).alias("volatility"),
+    base = sweep(rows, sale_states(rows, events), wanted).select(
+        "_event", "as_of", "target_paise2", "target_n", "now", *(mean(F.col(f"paise_{d}"), F.col(f"n_{d}")).alias(f"a{d}") for d in WINDOWS), "low", "high", F.round(F.sqrt(spread) / 100, 2).alias("volatility"),
+        F.struct(mean(F.col("last.paise"), F.col("last.n")).alias("average"), F.col("last.lowest").alias("lowest")).alias("last"), "sales",
     )
-    sold = in_events(rows, events).select("_series", F.col("event_id").alias("past_id"), F.col("start_at").alias("past_start"), F.col("end_at").alias("past_end"), "price", "observed_at", "created_at")
-    past = wanted.select(*example, "as_of").join(sold, "_series").where((F.col("past_end") < T) & known_before(T))
-    windows = past.groupBy(*example, "past_id", "past_start").agg(mean(F.sum("price"), F.count("*")).alias("average"), F.min("price").alias("lowest"))
-    last = windows.groupBy(*example).agg(F.max_by(F.struct("average", "lowest"), F.struct("past_start", "past_id")).alias("last"), F.count("*").alias("sales"))
-    last = last.select(F.col("_series").alias("_s"), F.col("_event").alias("_e"), "last", "sales")
     own = events.select(F.col("event_id").alias("_event"), "event_type", "source", "start_at", "end_at")
-    joined = base.join(last, (F.col("_series") == F.col("_s")) & F.col("_event").eqNullSafe(F.col("_e")), "left").join(own, "_event", "left")
+    joined = base.join(own, "_event", "left")
     target_known = F.coalesce(schedule_known(T), F.lit(False))
     full = _with_nearest(joined, events, T)
     pick = lambda own, other: F.when(target_known, own).otherwise(F.col(other))
@@ -91,7 +123,7 @@ def feature_table(points: DataFrame, events: DataFrame, wanted: DataFrame | None
         F.col("now.product_id").alias("product_id"), F.col("now.listing_id").alias("listing_id"), F.col("_event").alias("event_id"), "as_of", "target_paise2", "target_n",
         (F.col("now.price") / 100.0).alias("current_price"), rupees("a7").alias("avg_7d"), rupees("a30").alias("avg_30d"), rupees("a90").alias("avg_90d"),
         rupees("low").alias("historical_low"), rupees("high").alias("historical_high"), F.col("volatility").alias("price_volatility"),
-        (F.col("last.average") / 100.0).alias("previous_sale_price"), (F.col("last.lowest") / 100.0).alias("previous_sale_low"), F.coalesce("sales", F.lit(0)).cast("double").alias("previous_sale_count"),
+        (F.col("last.average") / 100.0).alias("previous_sale_price"), (F.col("last.lowest") / 100.0).alias("previous_sale_low"), F.col("sales").cast("double").alias("previous_sale_count"),
         (F.col("now.mrp_paise") / 100.0).alias("mrp"), F.greatest(F.lit(0.0), days_between(starts, T)).alias("days_until_sale"),
         F.month(T).cast("double").alias("month"), F.weekday(T).cast("double").alias("day_of_week"), F.dayofyear(T).cast("double").alias("day_of_year"), F.when(F.weekday(T) >= 5, 1.0).otherwise(0.0).alias("is_weekend"),
         F.col("now.retailer_id").cast("string").alias("retailer_id"), F.col("now.seller_id").cast("string").alias("seller_id"), F.col("now.brand").alias("brand_id"), F.col("now.category").alias("category_id"),

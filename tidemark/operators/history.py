@@ -157,6 +157,16 @@ def page(points: DataFrame, since: Column, until: Column, offset: int, limit: in
     return pages(inside, key, [F.col(x) for x in SKEY], offset, limit).select(key, "snapshot_id", "observed_at", "row_no", "total")
 
 
+def history_of(points: DataFrame, since: Column | None = None, until: Column | None = None, limit: int | None = None, **ids) -> DataFrame:
+    """The rows with given ids (a product, a listing, a retailer), oldest first, between inclusive bounds; with a limit the oldest ones."""
+    for name, value in ids.items():
+        points = points.where(F.col(name) == value)
+    points = points if since is None else points.where(F.col("observed_at") >= since)
+    points = points if until is None else points.where(F.col("observed_at") <= until)
+    rows = points.orderBy(*SKEY)
+    return rows if limit is None else rows.limit(limit)
+
+
 def newest_age(points: DataFrame, as_of: Column, key: str = "retailer_id") -> DataFrame:
     return points.groupBy(key).agg(F.max("observed_at").alias("newest_at")).select(key, "newest_at", F.floor((F.unix_micros(as_of) - F.unix_micros("newest_at")) / 1_000_000).alias("age_seconds"))
 

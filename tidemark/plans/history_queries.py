@@ -12,9 +12,21 @@ from tidemark.sources.tables import as_of, products, read, snapshots
 at = lambda s: F.lit(s).cast("timestamp")
 
 
+_HISTORY = ["snapshot_id", "product_id", "listing_id", "seller_id", "brand", "category", "observed_at", "created_at", "displayed_paise", "effective_paise", "mrp_paise", "availability", "confidence"]
+
+
 def src1_retailer_history(spark: SparkSession, d: str) -> DataFrame:
-    rows = snapshots(spark, d).where((F.col("retailer_id") == 2) & F.col("observed_at").between(at("1999-01-01"), at("2000-06-30")))
-    return rows.select("snapshot_id", "product_id", "listing_id", "seller_id", "brand", "category", "observed_at", "created_at", "displayed_paise", "effective_paise", "mrp_paise", "availability", "confidence")
+    return H.history_of(snapshots(spark, d), at("1999-01-01"), at("2000-06-30"), retailer_id=2).select(_HISTORY)
+
+
+def src1_product_history(spark: SparkSession, d: str) -> DataFrame:
+    """All rows of one product, in order."""
+    return H.history_of(snapshots(spark, d), at("1995-01-01"), product_id=17).select(_HISTORY)
+
+
+def src1_listing_history(spark: SparkSession, d: str) -> DataFrame:
+    """The oldest three rows of one listing."""
+    return H.history_of(snapshots(spark, d), limit=3, listing_id=17 * 5 + 2).select(_HISTORY)
 
 
 def his1_quality_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -109,6 +121,8 @@ _VF = f"vf AS (SELECT product_id, brand, n.t AS observed_at, coalesce(n.c, 0) AS
 
 QUERIES = {
     "src1_retailer_history": (src1_retailer_history, f"WITH {SNAP} SELECT snapshot_id, product_id, listing_id, seller_id, brand, category, observed_at, created_at, displayed_paise, effective_paise, mrp_paise, availability, confidence FROM snap WHERE retailer_id = 2 AND observed_at BETWEEN TIMESTAMP '1999-01-01' AND TIMESTAMP '2000-06-30'"),
+    "src1_product_history": (src1_product_history, f"WITH {SNAP} SELECT {', '.join(_HISTORY)} FROM snap WHERE product_id = 17 AND observed_at >= TIMESTAMP '1995-01-01' ORDER BY observed_at, created_at, snapshot_id"),
+    "src1_listing_history": (src1_listing_history, f"WITH {SNAP} SELECT {', '.join(_HISTORY)} FROM snap WHERE listing_id = 87 ORDER BY observed_at, created_at, snapshot_id LIMIT 3"),
     "his1_quality_counts": (his1_quality_counts, f"WITH {SNAP} SELECT retailer_id, category, count(*) FILTER (confidence <> 'low') AS qualifying, count(*) FILTER (confidence = 'low') AS excluded FROM snap GROUP BY ALL"),
     "his2_window_averages": (his2_window_averages, f"WITH {SNAP} SELECT product_id, {_AVG}, {', '.join(f'''CASE WHEN count(*) FILTER ({_WIN(_A, x)}) = 0 THEN 'no_observations_in_window' END AS reason_{x}d''' for x in D7)} FROM q GROUP BY 1"),
     "his3_rolling_averages": (his3_rolling_averages, f"WITH {SNAP} SELECT snapshot_id, product_id, observed_at, price, " + ", ".join(f"{long(half_up(f'sum(price) OVER w{x}', f'count(*) OVER w{x}'))} AS avg_{x}d" for x in D7) + " FROM q WINDOW " + ", ".join(f"w{x} AS (PARTITION BY product_id ORDER BY observed_at RANGE BETWEEN INTERVAL {x} DAY PRECEDING AND CURRENT ROW)" for x in D7)),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.money import whole
+from tidemark.functions.series import SKEY
 
 AS_OF = dt.datetime(2001, 8, 1)
 
@@ -87,3 +88,12 @@ def sale_events(spark: SparkSession, years: range = range(1995, 2002)) -> DataFr
     kind = year.select("y", F.posexplode(kinds).alias("k", "c")).select(F.concat(F.lit("kind-"), "y", F.lit("-"), "k"), none_i, none_s, F.col("c"), day(F.lit(3) + F.col("k"), F.lit(20)), F.lit(7), F.lit("category"), F.lit("product_feed"), F.lit("medium"))
     made = plain.union(shop).union(brand).union(kind)
     return made.select("*", F.timestamp_add("DAY", F.col("days"), F.col("start_at")).alias("end_at")).drop("days")
+
+
+def bucketed(points: DataFrame, name: str, path: str, buckets: int = 200) -> DataFrame:
+    """points written once as a table bucketed by listing and sorted along its series: windows, changes and histories of listings read it without a shuffle.
+
+    A bucket should hold less than an executor's share of memory; a listing lies in one bucket.
+    """
+    points.repartition(buckets, "listing_id").write.bucketBy(buckets, "listing_id").sortBy("listing_id", *SKEY).option("path", path).saveAsTable(name)
+    return points.sparkSession.table(name)
