@@ -39,6 +39,16 @@ def adjustment_sums(adjustments: DataFrame) -> DataFrame:
     )
 
 
+def adjustment_columns(kind: Column, amount: Column, eligibility: Column) -> list[Column]:
+    """adjustment_sums of offers with one adjustment at most, told by their own columns; all null without one."""
+    told = lambda value: F.when(kind.isin(PROMOTIONS), value)
+    known = F.coalesce(amount, F.lit(0))
+    return [
+        told(F.when((eligibility == "verified_eligible") & amount.isNotNull(), known).otherwise(0)).alias("verified_off"), told(F.when(eligibility != "ineligible", known).otherwise(0)).alias("possible_off"),
+        told((eligibility == "verified_eligible") & amount.isNotNull()).alias("has_verified"), told(~eligibility.isin("verified_eligible", "unavailable")).alias("unsafe"),
+    ]
+
+
 def amounts_by_kind(adjustments: DataFrame) -> DataFrame:
     """Recorded amounts per snapshot and kind, null where none was recorded."""
     return adjustments.groupBy("snapshot_id").pivot("kind", PROMOTIONS).agg(F.sum("amount_paise"))
@@ -49,7 +59,11 @@ def priced(offers: DataFrame, adjustments: DataFrame, as_of: Column, c: PricingC
 
     Missing fees are unknown, not zero: they add nothing, and a missing delivery fee costs a step of confidence.
     """
-    rows = offers.join(adjustment_sums(adjustments), "snapshot_id", "left")
+    return with_prices(offers.join(adjustment_sums(adjustments), "snapshot_id", "left"), offers.columns, as_of, c)
+
+
+def with_prices(rows: DataFrame, columns: list[str], as_of: Column, c: PricingConfig = PricingConfig()) -> DataFrame:
+    """The given columns of offers that have their sums of adjustments, with all that `priced` adds."""
     shown = F.col("displayed_paise")
     fees = F.coalesce("delivery_paise", F.lit(0)) + F.coalesce("platform_paise", F.lit(0))
     verified = F.greatest(shown + fees - F.coalesce("verified_off", F.lit(0)), F.lit(0))
@@ -64,7 +78,7 @@ def priced(offers: DataFrame, adjustments: DataFrame, as_of: Column, c: PricingC
     level = F.element_at(F.array(*map(F.lit, LEVELS)), F.least(start + steps, F.lit(2)) + 1)
     available = F.col("availability").isin("in_stock", "limited_stock")
     return rows.select(
-        *offers.columns,
+        *columns,
         F.when((F.col("mrp_paise") > 0) & (shown < F.col("mrp_paise")), percent2(F.col("mrp_paise") - shown, F.col("mrp_paise"))).alias("discount_percent"),
         F.when(F.col("mrp_paise") > shown, F.col("mrp_paise") - shown).when(F.col("mrp_paise").isNotNull() & shown.isNotNull(), 0).cast("long").alias("mrp_off_paise"),
         verified.alias("verified_paise"), F.nullif(estimate, verified).alias("estimated_paise"),
