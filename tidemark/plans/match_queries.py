@@ -10,7 +10,7 @@ from tidemark.functions.similarity import bag_ratio, document_cosine, text_score
 from tidemark.operators import matching as G
 from tidemark.plans.base_sql import SNAP
 from tidemark.plans.ops_queries import candidates
-from tidemark.sources.scratch import stored
+from tidemark.sources.scratch import spread, stored
 from tidemark.sources.tables import products
 
 P = lambda: F.col("product_id")
@@ -42,7 +42,7 @@ def mat6_title_attributes(spark: SparkSession, d: str) -> DataFrame:
     title = F.concat_ws(" ", F.lit("Nova"), F.concat("size", F.lit("GB RAM")), F.concat(F.col("size") * 2, F.lit(" GB")), _pick(3, F.lit("3rd Gen"), F.lit("gen 4"), F.lit("x")), _pick(4, F.lit("Black"), F.lit("Rose Gold"), F.lit("plain"), F.lit("grey/BLUE")))
     own = F.when(P() % 5 == 0, F.create_map(F.lit("Color"), F.lit("Mint"))).otherwise(F.create_map().cast("map<string,string>"))
     got = G.merged_attributes(own, title)
-    return products(spark, d).select("product_id", *(got[k].alias(k) for k in ("ram", "storage", "generation", "color")))
+    return spread(products(spark, d), "product_id").select("product_id", *(got[k].alias(k) for k in ("ram", "storage", "generation", "color")))
 
 
 def mat8_hints(spark: SparkSession, d: str) -> DataFrame:
