@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import partial
-from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
+import pyarrow.ipc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -58,39 +60,66 @@ def state_session(spark: SparkSession) -> SparkSession:
 SERIES = ("product_id", "listing_id", "seller_id")
 
 
-def keyed_drops(stream: DataFrame, late: str = "30 days", idle_days: int = 3650) -> DataFrame:
-    """Drops of every series against its row before, which is the series' state: a batch reads and writes the state of its own series only.
+def keyed_drops(stream: DataFrame, late: str = "30 days", idle_days: int = 3650, groups: int = 1024) -> DataFrame:
+    """Drops of every series against its row before, which is the series' state: a batch reads and writes the state of its own groups only.
 
-    Rows that arrive behind their series' last row have no baseline and don't become its state. Rows behind the watermark are cut off. A timer
-    clears a series without rows for idle_days (of event time), which then starts anew.
+    Series are dealt into groups by hash, and a group's rows are answered together in columns, as a call per series costs more than its rows.
+    A group's state holds the last row of each of its series; some hundred series a group keep both the calls and the rewritten state few.
+    The number of groups can't change while a checkpoint lives.
+
+    Rows that arrive behind their series' last row have no baseline and don't become its state. Rows behind the watermark are cut off. A
+    series without rows for idle_days (of event time) is cleared and then starts anew; a timer clears a group whose series are all idle.
     """
     rows = stream.where(F.col("confidence").isin("high", "medium")).withColumn("price", price()).withWatermark("observed_at", late)
-    keyed = rows.select(*SERIES, "snapshot_id", "price", "observed_at", "created_at")
-    types = dict(keyed.dtypes)
+    seller = F.col("seller_id").cast("string").alias("seller_id")  # a number beside nulls would be a fraction in pandas
+    keyed = rows.select(F.pmod(F.xxhash64(*SERIES), F.lit(groups)).alias("_group"), "product_id", "listing_id", seller, "snapshot_id", "price", "observed_at", "created_at")
+    types = dict(rows.dtypes)
     columns = ("snapshot_id", *SERIES, "observed_at", "price", "baseline_paise")
     out = ", ".join(f"{c} {types.get(c, 'bigint')}" for c in columns)
-    return keyed.groupBy(*SERIES).applyInPandasWithState(partial(_drops_of_series, idle_ms=idle_days * 86_400_000), out, "seen long, made long, id string, price long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def _micros(times: pd.Series) -> list[int]:
-    return times.astype("datetime64[us]").astype("int64").tolist()
-
-
-def _drops_of_series(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState, idle_ms: int) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
+    return keyed.groupBy("_group").applyInPandasWithState(partial(_drops_of_group, idle_ms=idle_days * 86_400_000), out, "lasts binary", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _micros(times: pd.Series) -> pd.Series:
+    return times.astype("datetime64[us]").astype("int64")
+
+
+LAST = pa.schema([*((c, pa.int64()) for c in SERIES), ("seen", pa.int64()), ("made", pa.int64()), ("snapshot_id", pa.string()), ("price", pa.int64()), ("until", pa.int64())])
+
+
+def _drops_of_group(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState, idle_ms: int) -> Iterator[pd.DataFrame]:
+    mark = state.getCurrentWatermarkMs()
+    held = pa.ipc.open_stream(state.get[0]).read_all() if state.exists else LAST.empty_table()
+    if held.num_rows:
+        held = held.filter(pa.compute.greater(held["until"], mark))
+    rows = pd.concat(parts, ignore_index=True) if not state.hasTimedOut else None
+    if rows is not None:
+        fresh = pa.table({
+            "product_id": pa.array(rows["product_id"], pa.int64()), "listing_id": pa.array(rows["listing_id"], pa.int64()), "seller_id": pa.array(rows["seller_id"], pa.string()).cast(pa.int64()), "seen": pa.array(_micros(rows["observed_at"])), "made": pa.array(_micros(rows["created_at"])),
+            "snapshot_id": pa.array(rows["snapshot_id"], pa.string()), "price": pa.array(rows["price"].astype("Int64"), pa.int64()), "until": pa.nulls(len(rows), pa.int64()),
+        }).cast(LAST)
+        every = pa.concat_tables([held, fresh]).sort_by([(c, "ascending") for c in (*SERIES, "seen", "made", "snapshot_id")])
+        series = [every[c].combine_chunks() for c in SERIES]
+        same = np.ones(max(0, len(every) - 1), bool)  # whether a row goes on with the series of the row before; no seller is a seller of its own
+        for c in series:
+            known, values = c.is_valid().to_numpy(zero_copy_only=False), c.fill_null(0).to_numpy()
+            same &= (values[1:] == values[:-1]) & (known[1:] == known[:-1])
+        cost, new = every["price"].to_numpy(), every["until"].is_null().to_numpy()
+        fell = np.flatnonzero(same & (cost[1:] < cost[:-1]) & new[1:]) + 1
+        newest = every.take(np.flatnonzero(np.append(~same, True)))
+        until = pa.array(np.maximum(newest["seen"].to_numpy() // 1000, mark) + idle_ms)
+        held = newest.set_column(LAST.get_field_index("until"), "until", pa.compute.coalesce(newest["until"], until))
+        if len(fell):
+            found = every.take(fell)
+            drops = {"snapshot_id": found["snapshot_id"].to_pandas(), **{c: found[c].to_pandas(integer_object_nulls=True).astype("Int64") for c in SERIES}}
+            yield pd.DataFrame({**drops, "observed_at": pd.to_datetime(found["seen"].to_pandas(), unit="us"), "price": cost[fell], "baseline_paise": cost[fell - 1]})
+    if not held.num_rows:
         state.remove()
         return
-    last = state.getOption
-    rows, known = [], [] if last is None else [(*last, None)]
-    for part in parts:
-        rows += zip(_micros(part["observed_at"]), _micros(part["created_at"]), part["snapshot_id"].tolist(), part["price"].tolist(), part["observed_at"].tolist(), strict=True)
-    ordered = sorted([*known, *rows], key=lambda r: r[:3])
-    fell = [(r[2], *key, r[4], r[3], before[3]) for before, r in pairwise(ordered) if r[4] is not None and r[3] < before[3]]
-    newest = ordered[-1]
-    state.update(newest[:4])
-    state.setTimeoutTimestamp(max(newest[0] // 1000, state.getCurrentWatermarkMs()) + idle_ms)
-    if fell:
-        yield pd.DataFrame(fell, columns=["snapshot_id", *SERIES, "observed_at", "price", "baseline_paise"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, LAST) as writer:
+        writer.write_table(held)
+    state.update((sink.getvalue().to_pybytes(),))
+    state.setTimeoutTimestamp(max(int(pa.compute.max(held["until"]).as_py()), mark + 1))
 
 
 def keyed_discounts(stream: DataFrame, percent: int, late: str = "30 days") -> DataFrame:
