@@ -176,38 +176,48 @@ def _starts(series: pa.Array) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(pc.not_equal(series.slice(1), series.slice(0, len(series) - 1)).to_numpy(zero_copy_only=False)) + 1])
 
 
-def prior_medians(prices: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Twice the median of all earlier prices of its series for each price, -1 for the first; series lie one after the other."""
+def prior_medians(prices: np.ndarray, starts: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
+    """Twice the median of all earlier prices of its series for each price, -1 for the first; series lie one after the other.
+
+    Of each series the first `known` prices may be given in order of size: they count as earlier, and nothing is asked about them.
+    """
     out = np.full(len(prices), -1, np.int64)
     ends = np.append(starts[1:], len(prices))
     two, three = starts[ends - starts > 1] + 1, starts[ends - starts > 2] + 2
     out[two] = 2 * prices[two - 1]
     out[three] = prices[three - 1] + prices[three - 2]
-    for at, end in zip(starts[ends - starts > 3].tolist(), ends[ends - starts > 3].tolist(), strict=True):
-        out[at + 1 : end] = running_median(prices[at:end])[1:]
+    known = np.zeros(len(starts), np.int64) if known is None else known
+    long = (ends - starts > 3) & (ends - starts > known)
+    for at, end, n in zip(starts[long].tolist(), ends[long].tolist(), known[long].tolist(), strict=True):
+        out[at + max(1, n) : end] = running_median(prices[at:end], n)[0 if n else 1 :]
     return out
 
 
-def running_median(prices: np.ndarray) -> list[int | None]:
-    """Twice the median of all earlier prices, for each price; null for the first. Short series are kept sorted, long ones as counts of their ranks."""
-    return _median_sorted(prices.tolist()) if len(prices) <= 4096 else _median_ranked(prices)
+def running_median(prices: np.ndarray, known: int = 0) -> list[int | None]:
+    """Twice the median of all earlier prices, for each price after the `known` ones, which are sorted; null for the very first. Short series are kept sorted, long ones as counts of their ranks."""
+    return _median_sorted(prices.tolist(), known) if len(prices) <= 4096 else _median_ranked(prices, known)
 
 
-def _median_sorted(prices: list[int]) -> list[int | None]:
-    seen: list[int] = []
+def _median_sorted(prices: list[int], known: int = 0) -> list[int | None]:
+    seen = prices[:known]
     out: list[int | None] = []
-    for n, price in enumerate(prices):
+    for n, price in enumerate(prices[known:], known):
         out.append(seen[n // 2] + seen[(n - 1) // 2] if n else None)
         insort(seen, price)
     return out
 
 
-def _median_ranked(prices: np.ndarray) -> list[int | None]:
+def _median_ranked(prices: np.ndarray, known: int = 0) -> list[int | None]:
     """A count tree over the ranks finds the middle in logarithmic time: n log n steps and n numbers of memory."""
     ranked = np.unique(prices)
     ranks, values = np.searchsorted(ranked, prices).tolist(), ranked.tolist()
     top = 1 << max(0, len(values) - 1).bit_length()
     counts = [0] * (top + 1)
+    for rank in ranks[:known]:
+        counts[rank + 1] += 1
+    for at in range(1, len(values) + 1):  # counts of single ranks become the tree's
+        if at + (at & -at) <= len(values):
+            counts[at + (at & -at)] += counts[at]
 
     def nth(n: int) -> int:
         at, step = 0, top
@@ -219,7 +229,7 @@ def _median_ranked(prices: np.ndarray) -> list[int | None]:
         return values[at]
 
     out: list[int | None] = []
-    for n, rank in enumerate(ranks):
+    for n, rank in enumerate(ranks[known:], known):
         out.append(nth(n // 2) + nth((n - 1) // 2) if n else None)
         at = rank + 1
         while at <= len(values):

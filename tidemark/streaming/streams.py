@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -21,7 +20,7 @@ from tidemark.config import SalesConfig
 from tidemark.functions.money import half_up
 from tidemark.functions.series import price
 from tidemark.operators.ops import price_alerts
-from tidemark.operators.sales import running_median
+from tidemark.operators.sales import prior_medians
 
 KEY = ["listing_id", "observed_at", "seller_id"]
 
@@ -83,6 +82,28 @@ def _micros(times: pd.Series) -> pd.Series:
     return times.astype("datetime64[us]").astype("int64")
 
 
+def _same_series(rows: pa.Table) -> np.ndarray:
+    """Whether a row goes on with the series of the row before; no seller is a seller of its own."""
+    same = np.ones(max(0, len(rows) - 1), bool)
+    for c in SERIES:
+        if c in rows.column_names:
+            column = rows[c].combine_chunks()
+            known, values = column.is_valid().to_numpy(zero_copy_only=False), column.fill_null(0).to_numpy()
+            same &= (values[1:] == values[:-1]) & (known[1:] == known[:-1])
+    return same
+
+
+def _series_starts(rows: pa.Table) -> np.ndarray:
+    return np.concatenate([[0], np.flatnonzero(~_same_series(rows)) + 1])
+
+
+def _written(table: pa.Table, schema: pa.Schema) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
 LAST = pa.schema([*((c, pa.int64()) for c in SERIES), ("seen", pa.int64()), ("made", pa.int64()), ("snapshot_id", pa.string()), ("price", pa.int64()), ("until", pa.int64())])
 
 
@@ -98,11 +119,7 @@ def _drops_of_group(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState
             "snapshot_id": pa.array(rows["snapshot_id"], pa.string()), "price": pa.array(rows["price"].astype("Int64"), pa.int64()), "until": pa.nulls(len(rows), pa.int64()),
         }).cast(LAST)
         every = pa.concat_tables([held, fresh]).sort_by([(c, "ascending") for c in (*SERIES, "seen", "made", "snapshot_id")])
-        series = [every[c].combine_chunks() for c in SERIES]
-        same = np.ones(max(0, len(every) - 1), bool)  # whether a row goes on with the series of the row before; no seller is a seller of its own
-        for c in series:
-            known, values = c.is_valid().to_numpy(zero_copy_only=False), c.fill_null(0).to_numpy()
-            same &= (values[1:] == values[:-1]) & (known[1:] == known[:-1])
+        same = _same_series(every)
         cost, new = every["price"].to_numpy(), every["until"].is_null().to_numpy()
         fell = np.flatnonzero(same & (cost[1:] < cost[:-1]) & new[1:]) + 1
         newest = every.take(np.flatnonzero(np.append(~same, True)))
@@ -115,41 +132,60 @@ def _drops_of_group(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState
     if not held.num_rows:
         state.remove()
         return
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, LAST) as writer:
-        writer.write_table(held)
-    state.update((sink.getvalue().to_pybytes(),))
+    state.update((_written(held, LAST),))
     state.setTimeoutTimestamp(max(int(pa.compute.max(held["until"]).as_py()), mark + 1))
 
 
-def keyed_discounts(stream: DataFrame, percent: int, late: str = "30 days") -> DataFrame:
+def keyed_discounts(stream: DataFrame, percent: int, late: str = "30 days", groups: int = 1024) -> DataFrame:
     """Rows at least percent below the median of all earlier prices of their (listing, seller), whose counts by price are the state.
 
-    The state of a series is as large as the number of its distinct prices. Rows have to arrive in the order of their series.
+    Series are dealt into groups as in keyed_drops, and all series of a group are answered together in columns. A group's state is as large as
+    the number of distinct prices of its series. Rows have to arrive in the order of their series. The number of groups can't change while a
+    checkpoint lives.
     """
-    rows = stream.where(F.col("confidence").isin("high", "medium")).withColumn("price", price()).withWatermark("observed_at", late)
+    rows = stream.where(F.col("confidence").isin("high", "medium")).withColumn("price", price()).where("price is not null").withWatermark("observed_at", late)
+    seller = F.col("seller_id").cast("string").alias("seller_id")  # a number beside nulls would be a fraction in pandas
     kept = ("retailer_id", "category", "brand", "snapshot_id", "price", "observed_at", "created_at")
-    keyed = rows.select("listing_id", "seller_id", *kept)
-    types = dict(keyed.dtypes)
+    keyed = rows.select(F.pmod(F.xxhash64("listing_id", "seller_id"), F.lit(groups)).alias("_group"), "listing_id", seller, *kept)
+    types = dict(rows.dtypes)
     columns = (*DISCOUNT, "prior2")
     out = ", ".join(f"{c} {types.get(c, 'bigint')}" for c in columns)
-    return keyed.groupBy("listing_id", "seller_id").applyInPandasWithState(partial(_discounts_of_series, percent=percent), out, "prices array<long>, counts array<long>", "append", GroupStateTimeout.NoTimeout)
+    return keyed.groupBy("_group").applyInPandasWithState(partial(_discounts_of_group, percent=percent), out, "prices binary", "append", GroupStateTimeout.NoTimeout)
 
 
 DISCOUNT = ("listing_id", "seller_id", "retailer_id", "category", "brand", "snapshot_id", "price", "observed_at")
-
-
-def _discounts_of_series(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState, percent: int) -> Iterator[pd.DataFrame]:
-    old = state.getOption
-    seen = [] if old is None else [p for p, n in zip(*old, strict=True) for _ in range(n)]
-    rows = pd.concat(list(parts)).sort_values(["observed_at", "created_at", "snapshot_id"])
-    prior2 = running_median(np.array([*seen, *rows["price"].tolist()], dtype=np.int64))[len(seen) :]
-    counts = Counter(seen) + Counter(rows["price"].tolist())
-    state.update((list(counts), list(counts.values())))
-    fell = [m is not None and m > 0 and 100 * (m - 2 * p) >= percent * m for m, p in zip(prior2, rows["price"].tolist(), strict=True)]
-    if any(fell):
-        found = rows[fell].assign(prior2=[m for m, f in zip(prior2, fell, strict=True) if f], listing_id=key[0], seller_id=key[1])
-        yield found[[*DISCOUNT, "prior2"]].astype({"seller_id": "Int64"})
+#: Counts of the prices of a group's series, in the order of series and price.
+PRICES = pa.schema([("listing_id", pa.int64()), ("seller_id", pa.int64()), ("price", pa.int64()), ("n", pa.int64())])
+
+
+def _discounts_of_group(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState, percent: int) -> Iterator[pd.DataFrame]:
+    held = pa.ipc.open_stream(state.get[0]).read_all() if state.exists else PRICES.empty_table()
+    rows = pd.concat(parts, ignore_index=True)
+    fresh = pa.table({
+        "listing_id": pa.array(rows["listing_id"], pa.int64()), "seller_id": pa.array(rows["seller_id"], pa.string()).cast(pa.int64()), "price": pa.array(rows["price"], pa.int64()), "n": pa.array(np.ones(len(rows), np.int64)),
+        "seen": pa.array(_micros(rows["observed_at"])), "made": pa.array(_micros(rows["created_at"])), "snapshot_id": pa.array(rows["snapshot_id"], pa.string()), "row": pa.array(np.arange(len(rows))),
+    })
+    every = pa.concat_tables([held, fresh], promote_options="default")
+    every = every.append_column("new", every["row"].is_valid().cast(pa.int8()))
+    every = every.sort_by([(c, "ascending") for c in ("listing_id", "seller_id", "new", "seen", "made", "snapshot_id", "price")])
+    starts = _series_starts(every)
+    many, new = every["n"].to_numpy(), every["new"].to_numpy().astype(bool)
+    busy = np.repeat(np.maximum.reduceat(new, starts), np.diff(np.append(starts, len(new))))  # series without new rows have nothing to answer
+    times = np.where(busy, many, 0)
+    prices, asked = np.repeat(every["price"].to_numpy(), times), np.repeat(new, times)
+    at = np.concatenate([[0], np.cumsum(times)])[starts]
+    at = at[np.maximum.reduceat(busy, starts)]
+    known = np.add.reduceat((~asked).astype(np.int64), at)
+    prior2 = prior_medians(prices, at, known)
+    fell = np.flatnonzero(asked & (prior2 > 0) & (100 * (prior2 - 2 * prices) >= percent * prior2))
+    if len(fell):
+        place = np.repeat(np.arange(len(new)), times)[fell]
+        found = rows.iloc[every["row"].take(place).to_numpy()].reset_index(drop=True)
+        sellers = every["seller_id"].take(place).to_pandas(integer_object_nulls=True).astype("Int64")
+        yield found.assign(seller_id=sellers, prior2=prior2[fell])[[*DISCOUNT, "prior2"]]
+    counted = every.select(PRICES.names).group_by(["listing_id", "seller_id", "price"], use_threads=False).aggregate([("n", "sum")])
+    held = counted.rename_columns([*PRICES.names[:3], "n"]).select(PRICES.names).cast(PRICES).sort_by([(c, "ascending") for c in PRICES.names[:3]])
+    state.update((_written(held, PRICES),))
 
 
 def scoped_drops(drops: DataFrame) -> DataFrame:
