@@ -108,10 +108,16 @@ def ranked(offers: DataFrame, key: str = "product_id") -> DataFrame:
 
 
 def lowest_verified(offers: DataFrame, key: str = "product_id") -> DataFrame:
-    """Per variant the winner, the runner-up's price and the criterion that decided, or why nobody can win."""
-    order = Window.partitionBy(key).orderBy("rank")
+    """Per variant the winner, the runner-up's price and the criterion that decided, or why nobody can win.
+
+    All of it is told along the ranks and over the variant, so ranked offers aren't moved or read a second time.
+    """
+    order, whole = Window.partitionBy(key).orderBy("rank"), Window.partitionBy(key)
     follows = lambda c: F.lead(F.when(F.col("can_win"), F.col(c))).over(order)
-    rows = offers.select("*", F.lead(F.col("can_win")).over(order).alias("_next"), *(follows(c).alias(f"_{c}") for c in ("verified_paise", "displayed_paise", "availability", "seller_score", "delivery_paise")))
+    rows = offers.select(
+        "*", F.lead(F.col("can_win")).over(order).alias("_next"), *(follows(c).alias(f"_{c}") for c in ("verified_paise", "displayed_paise", "availability", "seller_score")),
+        F.max("is_available").over(whole).alias("_any"), F.count("*").over(whole).alias("offers"),
+    )
     differs = lambda c: ~F.col(c).eqNullSafe(F.col(f"_{c}"))
     rule = (
         F.when(~F.coalesce("_next", F.lit(False)), F.when(F.col("price_kind") == "verified_effective", "verified_effective_price").otherwise("displayed_price"))
@@ -120,9 +126,8 @@ def lowest_verified(offers: DataFrame, key: str = "product_id") -> DataFrame:
     )
     first = rows.where("rank = 1")
     reason = F.when(F.col("can_win"), F.lit(None)).otherwise(F.when(F.col("_any"), "no_verified_price").otherwise("none_available"))
-    available = offers.groupBy(key).agg(F.max("is_available").alias("_any"), F.count("*").alias("offers"))
     won = lambda c: F.when(F.col("can_win"), F.col(c))
-    return first.join(available, key).select(key, won("offer_id").alias("offer_id"), won("retailer_slug").alias("retailer_slug"), won("verified_paise").alias("verified_paise"), F.when(F.col("can_win"), F.col("_verified_paise")).alias("runner_up_paise"), F.when(F.col("can_win"), rule).otherwise("no_applicable_offer").alias("criterion"), reason.alias("reason"), "offers")
+    return first.select(key, won("offer_id").alias("offer_id"), won("retailer_slug").alias("retailer_slug"), won("verified_paise").alias("verified_paise"), F.when(F.col("can_win"), F.col("_verified_paise")).alias("runner_up_paise"), F.when(F.col("can_win"), rule).otherwise("no_applicable_offer").alias("criterion"), reason.alias("reason"), "offers")
 
 
 def with_missing(listings: DataFrame, offers: DataFrame, keys: list[str]) -> DataFrame:
