@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import catalog as C
 from tidemark.plans.base_sql import EVENTS, SNAP
 from tidemark.sources import feeds as S
-from tidemark.sources.scratch import scratch_folder
+from tidemark.sources.scratch import scratch_folder, spread
 from tidemark.sources.tables import products, read, sale_events, snapshots
 
 P = lambda: F.col("product_id")
@@ -17,6 +17,17 @@ _txt = lambda p: F.format_string("%d.%02d", (p / 100).cast("long"), p % 100)  #
 _none = lambda t="string": F.lit(None).cast(t)
 
 
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    """Parts dealt over all tasks: payloads are made and parsed for every row, which one task would do for a file of one block."""
+    return spread(products(spark, d), "product_id")
+
+
+def _packs(spark: SparkSession, d: str) -> GroupedData:
+    """Ten parts a payload, brought together as parts, not as the items made of them, which are several times as wide."""
+    numbered = products(spark, d).withColumn("n", F.call_function("div", P(), F.lit(10)))
+    return spread(numbered, "n").groupBy("n")
+
+
 def raw_api(spark: SparkSession, d: str) -> DataFrame:
     stock = F.element_at(F.array(*map(F.lit, ["IN_STOCK", "LIMITED", "OUT_OF_STOCK", "GONE"])), (P() % 4 + 1).cast("int"))
     row = F.struct(
@@ -25,11 +36,11 @@ def raw_api(spark: SparkSession, d: str) -> DataFrame:
         F.call_function("div", F.col("list_paise") * 11, F.lit(10)).alias("listPriceInPaise"), F.when(P() % 31 != 0, F.col("list_paise")).alias("sellingPriceInPaise"), stock.alias("stock"),
         F.struct(F.concat(F.lit("S"), P() % 7).alias("id"), F.lit("Some Seller").alias("name"), (P() % 2 == 0).alias("firstParty")).alias("fulfilledBy"),
     )
-    return products(spark, d).select(F.to_json(row).alias("payload")).select(F.from_json("payload", S.API_SCHEMA).alias("r")).select("r.*")
+    return _parts(spark, d).select(F.to_json(row).alias("payload")).select(F.from_json("payload", S.API_SCHEMA).alias("r")).select("r.*")
 
 
 def raw_flat(spark: SparkSession, d: str) -> DataFrame:
-    return products(spark, d).select(
+    return _parts(spark, d).select(
         F.concat(F.lit("B-"), P()).alias("item_id"), F.col("title").alias("name"), F.col("brand").alias("mfr"), F.concat(F.lit("Root>"), "category").alias("cat"), F.when(P() % 3 == 0, F.lower("category")).alias("cat_slug"),
         F.concat(F.lit("Size = "), "size", F.lit("|bad|Colour=Dark=Red|")).alias("specs"), F.concat(F.lit("pn-"), P()).alias("mpn"), _txt(F.call_function("div", F.col("list_paise") * 11, F.lit(10))).alias("mrp"), F.when(P() % 23 == 0, "N/A").otherwise(_txt(F.col("list_paise"))).alias("price"),
         F.when(P() % 2 == 0, _txt(F.col("list_paise") - 500)).alias("final_payable"), F.when(P() % 5 == 0, "-1").when(P() % 3 == 0, "40.00").alias("delivery"), F.element_at(F.array(*map(F.lit, ["y", "L", "N", "?"])), (P() % 4 + 1).cast("int")).alias("stock"),
@@ -38,7 +49,7 @@ def raw_flat(spark: SparkSession, d: str) -> DataFrame:
 
 
 def raw_nested(spark: SparkSession, d: str) -> DataFrame:
-    return products(spark, d).select(
+    return _parts(spark, d).select(
         F.concat(F.lit("C/"), P()).alias("item_code"), F.when(P() % 40 != 0, F.col("title")).alias("title"), F.col("brand").alias("manufacturer"), F.col("category").alias("department"), F.create_map(F.lit("size"), F.col("size").cast("string")).alias("variant"),
         _txt(F.col("list_paise")).alias("mrp_inr"), _txt(F.col("list_paise") - 100).alias("offer_inr"), F.when(P() % 2 == 0, "9.50").alias("platform_fee_inr"), F.element_at(F.array(*map(F.lit, ["In_Stock", "limited", "sold_out", "unknown", "??"])), (P() % 5 + 1).cast("int")).alias("stock_state"),
     )
@@ -54,7 +65,7 @@ def raw_market(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("M"), P()).alias("asin"), F.struct(shown(F.col("title")).alias("title"), shown(F.col("brand")).alias("brand"), F.struct(F.struct(F.array(F.lpad(P().cast("string"), 13, "0"), F.lit(" ")).alias("displayValues")).alias("eans"), F.struct(F.array(F.lpad(P().cast("string"), 12, "0")).alias("displayValues")).alias("upcs")).alias("externalIds"), shown(F.concat(F.lit("pn-"), P())).alias("itemPartNumber")).alias("itemInfo"),
         F.array(offer(F.lit(False), F.col("list_paise") + 700, F.lit("NOW")), offer(P() % 2 == 0, F.col("list_paise"), kinds)).alias("listings"),
     )
-    packed = products(spark, d).groupBy(F.call_function("div", P(), F.lit(10)).alias("n")).agg(F.collect_list(item).alias("items"))
+    packed = _packs(spark, d).agg(F.collect_list(item).alias("items"))
     return packed.select(F.to_json(F.struct(F.struct("items").alias("searchResult"))).alias("payload")).select(F.from_json("payload", S.MARKET_SCHEMA).alias("r")).select("r.*")
 
 
@@ -68,7 +79,7 @@ def raw_affiliate(spark: SparkSession, d: str) -> DataFrame:
     seller = F.struct(F.when(P() % 3 == 0, "WS Retail").otherwise("Other").alias("sellerName"))
     new, old = F.when(P() % 2 == 0, base), F.when(P() % 2 == 1, F.struct(F.struct(base["productId"].alias("productId"), path.alias("categoryPath")).alias("productIdentifier"), base.alias("productAttributes")))
     item = F.struct(new.alias("productBaseInfoV1"), F.when(P() % 2 == 0, seller).alias("productShippingInfoV1"), old.alias("productBaseInfo"), F.when(P() % 2 == 1, seller).alias("productShippingBaseInfo"))
-    packed = products(spark, d).groupBy(F.call_function("div", P(), F.lit(10)).alias("n")).agg(F.collect_list(item).alias("productInfoList"))
+    packed = _packs(spark, d).agg(F.collect_list(item).alias("productInfoList"))
     return packed.select(F.to_json(F.struct("productInfoList")).alias("payload")).select(F.from_json("payload", S.AFFILIATE_SCHEMA).alias("r")).select("r.*")
 
 
@@ -102,7 +113,7 @@ def src6_affiliate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nrm10_quarantine(spark: SparkSession, d: str) -> DataFrame:
-    return S.split(all_feeds(spark, d))[1].groupBy("feed", "error").agg(F.count("*").alias("bad_rows"))
+    return S.quarantine_counts(all_feeds(spark, d))
 
 
 def nrm11_event_errors(spark: SparkSession, d: str) -> DataFrame:

@@ -154,3 +154,11 @@ def union(*feeds: DataFrame) -> DataFrame:
 def split(listings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good rows, quarantine)."""
     return listings.where("error is null").drop("error"), listings.where("error is not null")
+
+
+def quarantine_counts(listings: DataFrame) -> DataFrame:
+    """Rows of the quarantine by feed and error.
+
+    Errors are counted, not filtered first: a filter would be moved to where the rows are read, and a small file's one task would parse them all.
+    """
+    return listings.groupBy("feed", "error").agg(F.count("error").alias("bad_rows")).where("bad_rows > 0")
