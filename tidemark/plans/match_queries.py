@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import MatchingConfig
-from tidemark.functions.similarity import bag_ratio, document_cosine, text_scores, title_bound
+from tidemark.functions.similarity import document_cosine
 from tidemark.operators import matching as G
 from tidemark.plans.base_sql import SNAP
 from tidemark.plans.ops_queries import candidates
-from tidemark.sources.scratch import spread, stored
+from tidemark.sources.scratch import spread
 from tidemark.sources.tables import products
 
 P = lambda: F.col("product_id")
@@ -67,12 +67,9 @@ def mat13_documents(spark: SparkSession, d: str) -> DataFrame:
 
 def mat12_titles(spark: SparkSession, d: str) -> DataFrame:
     """Scores of the titles of both listings of every part, and the bound that each keeps under."""
-    prepared = stored(G.prepare(candidates(spark, d)))
     cid = lambda x: F.concat(F.lit(x), P())
     pairs = products(spark, d).select(cid("L").alias("left_id"), cid("R").alias("right_id"))
-    rows = G.evidence(prepared, pairs).withColumn("bound", F.round(title_bound(F.col("overlap"), bag_ratio(F.col("l_chars"), F.col("r_chars"))), 4))
-    scored = rows.withColumn("s", text_scores(MatchingConfig().dimension)("overlap", "l_sorted", "r_sorted", "l_document", "r_document"))
-    return scored.select("left_id", "right_id", F.round("overlap", 6).alias("overlap"), F.col("s.title").alias("title_score"), "bound")
+    return G.compared_titles(candidates(spark, d), pairs).withColumn("overlap", F.round("overlap", 6))
 
 
 def mat15_stages(spark: SparkSession, d: str) -> DataFrame:
