@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import ModelConfig
-from tidemark.operators.features import CATEGORICAL, EXAMPLE, NUMERIC, asked, encode, feature_table, fit_encoder
+from tidemark.operators.features import CATEGORICAL, EXAMPLE, NUMERIC, encode, features_at, fit_encoder
 
 
 def baseline(examples: DataFrame) -> DataFrame:
@@ -90,21 +90,23 @@ def load_latest(spark, root: str):
 
 
 def batch_scores(points: DataFrame, events: DataFrame, at: Column, predict: Callable[[DataFrame], DataFrame], uncertainty: DataFrame) -> DataFrame:
-    """A prediction, or the reason why there is none, for every series at a time, in the order of (variant, retailer, seller).
+    """scores in the order of (variant, retailer, seller)."""
+    return scores(points, events, at, predict, uncertainty).orderBy("product_id", "retailer_id", F.col("seller_id").asc_nulls_first(), "listing_id")
 
-    predict adds `predicted` to a feature table; uncertainty has one row, without bounds where nothing was trained. A price is never made up:
-    a series without a qualifying row known before the time has no current price, and without bounds nothing is predicted.
+
+def scores(points: DataFrame, events: DataFrame, at: Column, predict: Callable[[DataFrame], DataFrame], uncertainty: DataFrame) -> DataFrame:
+    """A prediction, or the reason why there is none, for every series at a time.
+
+    predict adds `predicted` to a feature table and keeps its other columns; uncertainty has one row, without bounds where nothing was trained.
+    A price is never made up: a series without a qualifying row known before the time has no current price, and without bounds nothing is predicted.
     """
-    every = points.groupBy("listing_id", "seller_id").agg(F.min("product_id").alias("product_id"), F.min("retailer_id").alias("retailer_id"))
-    featured = predict(feature_table(points, events, asked(points, at))).withColumn("predicted", F.greatest(F.lit(0.0), F.col("predicted")))
-    done = intervals(featured, uncertainty).select(F.col("listing_id").alias("_listing"), F.col("seller_id").alias("_seller"), "predicted", "lower", "upper", "confidence", "completeness")
-    rows = every.join(done, (F.col("listing_id") == F.col("_listing")) & F.col("seller_id").cast("string").eqNullSafe(F.col("_seller")), "left")
+    predicted = F.when(F.col("seen_n") > 0, F.greatest(F.lit(0.0), F.col("predicted")))
+    rows = intervals(predict(features_at(points, events, at)).withColumn("predicted", predicted), uncertainty)
     rows = rows.join(uncertainty.select(F.col("p_low").isNotNull().alias("_trained")))
     known = F.col("predicted").isNotNull() & F.col("_trained")
     paise = lambda c: F.when(known, F.round(F.col(c) * 100).cast("long"))
-    out = rows.select(
-        "product_id", "retailer_id", "seller_id", "listing_id", F.when(known, "PREDICTED").otherwise("INSUFFICIENT_DATA").alias("status"),
+    return rows.select(
+        F.col("_product").alias("product_id"), F.col("_retailer").alias("retailer_id"), F.col("_seller").alias("seller_id"), F.col("_listing").alias("listing_id"), F.when(known, "PREDICTED").otherwise("INSUFFICIENT_DATA").alias("status"),
         F.when(~F.col("_trained"), "no_trained_model").when(F.col("predicted").isNull(), "no_current_price").alias("reason"),
         paise("predicted").alias("predicted_paise"), paise("lower").alias("lower_paise"), paise("upper").alias("upper_paise"), F.when(known, F.col("confidence")).alias("confidence"),
     )
-    return out.orderBy("product_id", "retailer_id", F.col("seller_id").asc_nulls_first(), "listing_id")

@@ -30,11 +30,13 @@ def events_ahead(products: DataFrame, events: DataFrame, as_of: Column, c: Recom
 def with_prediction(rows: DataFrame, predictions: DataFrame) -> DataFrame:
     """Variant histories with the prediction of the same variant, retailer and seller as their current row; another listing's is never taken.
 
-    Of several listings of one seller the one with the smallest id counts.
+    Of several listings of one seller the one with the smallest id counts. A product has one history, so the product alone is the key: rows that
+    lie dealt by it are not moved, and the others of its sellers are passed over.
     """
     made = predictions.where("status = 'PREDICTED'").groupBy("product_id", "retailer_id", "seller_id").agg(F.min_by(F.struct("predicted_paise", "confidence"), "listing_id").alias("p"))
     side = made.select(F.col("product_id").alias("_product"), F.col("retailer_id").alias("_retailer"), F.col("seller_id").alias("_seller"), "p.predicted_paise", F.col("p.confidence").alias("prediction_confidence"))
-    same = (F.col("product_id") == F.col("_product")) & (F.col("retailer_id") == F.col("_retailer")) & F.col("seller_id").eqNullSafe(F.col("_seller"))
+    seller = (F.col("retailer_id") == F.col("_retailer")) & F.col("seller_id").eqNullSafe(F.col("_seller"))
+    same = (F.col("product_id") == F.col("_product")) & F.coalesce(seller, F.lit(False))
     return rows.join(side, same, "left").drop("_product", "_retailer", "_seller")
 
 

@@ -43,7 +43,7 @@ def listed(events: DataFrame, at: Column, sources: list[str], status: str, offse
 SCOPES = ["retailer_id", "brand", "category"]
 
 
-def _mask(columns: list[str]) -> Column:
+def scope_mask(columns: list[str]) -> Column:
     """Which of the scope columns an event binds, as bits."""
     return sum((F.when(F.col(c).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(columns)), F.lit(0))
 
@@ -53,16 +53,17 @@ def _scope_key(mask: Column, columns: list[str]) -> Column:
     return F.xxhash64(mask, *(F.when(mask.bitwiseAND(F.lit(1 << i)) != 0, F.col(c).cast("string")) for i, c in enumerate(columns)))
 
 
-def scoped(rows: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+def scoped(rows: DataFrame, events: DataFrame, itself: bool = False) -> tuple[DataFrame, DataFrame, list[str]]:
     """rows (with `_mask`, the columns bound, as bits) and events with `_scope`, a key to join them on, and the scope columns in question: those that rows have.
 
     A row is repeated for each combination of scope columns that any event binds (at most eight, looked up), so that a
-    calendar of all kinds of events takes one pass over the rows and one join on equal keys.
+    calendar of all kinds of events takes one pass over the rows and one join on equal keys. With `itself` every row is there once more,
+    with the mask -1, which no event has.
     """
     columns = [c for c in SCOPES if c in rows.columns]
-    masks = sorted(r[0] for r in events.select(_mask(columns)).distinct().collect()) or [0]
-    keyed = rows.select("*", F.explode(F.array(*map(F.lit, masks))).alias("_mask")).select("*", _scope_key(F.col("_mask"), columns).alias("_scope"))
-    return keyed, events.select("*", _scope_key(_mask(columns), columns).alias("_scope")), columns
+    masks = sorted(r[0] for r in events.select(scope_mask(columns)).distinct().collect()) or [0]
+    keyed = rows.select("*", F.explode(F.array(*map(F.lit, [-1, *masks] if itself else masks))).alias("_mask")).select("*", _scope_key(F.col("_mask"), columns).alias("_scope"))
+    return keyed, events.select("*", _scope_key(scope_mask(columns), columns).alias("_scope")), columns
 
 
 def fits(columns: list[str], prefix: str = "_") -> Column:
@@ -85,12 +86,24 @@ def in_events(points: DataFrame, events: DataFrame) -> DataFrame:
 
     Each event is spread over its days, so the interval join is an equal join on day and scope, with the exact bounds checked after it.
     """
-    rows, sides, columns = scoped(points, events)
+    rows, side, inside = _by_day(points, events)
+    return rows.join(side, ["_scope", "_day"]).where(inside).select("event_id", "start_at", "end_at", *points.columns)
+
+
+def beside_events(points: DataFrame, events: DataFrame) -> DataFrame:
+    """in_events, and every observation once more by itself, without an event: what is summed up of both is read once."""
+    rows, side, inside = _by_day(points, events, itself=True)
+    same = (F.col("_mask") >= 0) & (rows["_scope"] == side["_scope"]) & (rows["_day"] == side["_day"])
+    return rows.join(side, same, "left").where((F.col("_mask") < 0) | F.coalesce(inside, F.lit(False))).select("event_id", "start_at", "end_at", *points.columns)
+
+
+def _by_day(points: DataFrame, events: DataFrame, itself: bool = False) -> tuple[DataFrame, DataFrame, Column]:
+    """points and events with their days and scopes, and what holds of a point inside an event that applies to it."""
+    rows, sides, columns = scoped(points, events, itself)
     days = F.explode(F.sequence(F.to_date("start_at"), F.to_date("end_at"))).alias("_day")
     side = sides.select("event_id", "start_at", "end_at", days, "_scope", *(F.col(c).alias(f"_{c}") for c in columns))
-    met = rows.withColumn("_day", F.to_date("observed_at")).join(side, ["_scope", "_day"])
     inside = (F.col("observed_at") >= F.col("start_at")) & (F.col("observed_at") <= F.col("end_at"))
-    return met.where(inside & fits(columns)).select("event_id", "start_at", "end_at", *points.columns)
+    return rows.withColumn("_day", F.to_date("observed_at")), side, inside & fits(columns)
 
 
 def event_stats(points: DataFrame, events: DataFrame, key: str = "product_id") -> DataFrame:

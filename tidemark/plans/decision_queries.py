@@ -15,7 +15,7 @@ from tidemark.operators import recommend as R
 from tidemark.operators import sales as S
 from tidemark.plans.base_sql import EVENTS, SNAP, half_up, long, percent4
 from tidemark.plans.history_queries import FRESH, VARIANT_HISTORY
-from tidemark.sources.scratch import stored
+from tidemark.sources.scratch import dealt, stored
 from tidemark.sources.tables import products, sale_events, snapshots
 
 NOW = "2001-05-01 00:00:00"
@@ -23,14 +23,13 @@ now = lambda: F.lit(NOW).cast("timestamp")
 
 
 def examples(spark: SparkSession, d: str) -> DataFrame:
-    """The labelled examples; the projected fact and the labels are stored once, as the features use them several times."""
-    points, events = stored(facts(spark, d)), sale_events(spark)
-    return X.feature_table(points, events, stored(X.labels(points, events)))
+    """The labelled examples."""
+    return X.feature_table(facts(spark, d), sale_events(spark))
 
 
 def facts(spark: SparkSession, d: str) -> DataFrame:
-    """The columns of snapshots that features and scores look at."""
-    return snapshots(spark, d).drop("delivery_paise", "platform_paise", "availability", "line_no", "suppkey")
+    """The columns of snapshots that features and scores look at, stored once and dealt by product: labels, sweeps, totals and histories move no row of it."""
+    return dealt(snapshots(spark, d, dealt=True).drop("delivery_paise", "platform_paise", "availability", "line_no", "suppkey"), "product_id")
 
 
 def fea1_visible(spark: SparkSession, d: str) -> DataFrame:
@@ -64,11 +63,11 @@ def fea9_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fea10_split(spark: SparkSession, d: str) -> DataFrame:
-    return X.split_summary(X.chronological_split(examples(spark, d)))
+    return X.split_summary(X.chronological_split(stored(examples(spark, d))))
 
 
 def fea11_encoder(spark: SparkSession, d: str) -> DataFrame:
-    return X.fit_encoder(X.chronological_split(examples(spark, d)).where("split = 'train'"))
+    return X.fit_encoder(X.chronological_split(stored(examples(spark, d))).where("split = 'train'"))
 
 
 def fea12_leakage(spark: SparkSession, d: str) -> DataFrame:
@@ -76,12 +75,12 @@ def fea12_leakage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    return stored(M.baseline(X.chronological_split(examples(spark, d))))
+    return stored(M.baseline(X.chronological_split(stored(examples(spark, d)))))
 
 
 def mod1_trees(spark: SparkSession, d: str) -> DataFrame:
     """Errors of boosted trees per split; trained on the first times, stopped on the middle ones."""
-    split = stored(X.chronological_split(examples(spark, d)))
+    split = stored(X.chronological_split(stored(examples(spark, d))))
     trained = M.train(split)
     if trained is None:
         return spark.createDataFrame([], "split string, examples long, mae double, rmse double")
@@ -103,26 +102,29 @@ def mod5_intervals(spark: SparkSession, d: str) -> DataFrame:
     return M.intervals(rows, M.fit_uncertainty(rows.where("split = 'validation'"))).where("split = 'test'").select("listing_id", "seller_id", "event_id", "predicted", "lower", "upper", "confidence")
 
 
-def _predictions(spark: SparkSession, d: str, points: DataFrame) -> DataFrame:
-    """Every series scored by the rule predictor, with the uncertainty of its labelled examples."""
-    events = sale_events(spark)
-    known = M.baseline(X.chronological_split(X.feature_table(points, events, stored(X.labels(points, events)))))
-    return M.batch_scores(points, events, now(), M.baseline, M.fit_uncertainty(known.where("split = 'validation'")))
+def uncertainty(points: DataFrame) -> DataFrame:
+    """The uncertainty of the rule predictor by the labelled examples: one row, stored."""
+    known = stored(M.baseline(X.chronological_split(stored(X.feature_table(points, sale_events(points.sparkSession))))).where("split = 'validation'"))
+    return stored(M.fit_uncertainty(known))
 
 
 def mod5_predictions(spark: SparkSession, d: str) -> DataFrame:
-    return _predictions(spark, d, stored(facts(spark, d)))
+    """Every series scored by the rule predictor, with the uncertainty of its labelled examples."""
+    points = facts(spark, d)
+    return M.batch_scores(points, sale_events(spark), now(), M.baseline, uncertainty(points))
 
 
 def decision_inputs(spark: SparkSession, d: str, predicted: bool) -> DataFrame:
-    snaps = stored(facts(spark, d)) if predicted else snapshots(spark, d)
-    history = stored(H.variant_history(snaps, now()))
+    """Histories with their events ahead and predictions. With predictions, histories and scores both come from the dealt fact and meet where they are."""
+    snaps = facts(spark, d) if predicted else snapshots(spark, d)
+    history = H.variant_history(snaps, now())
+    history = dealt(history, "product_id") if predicted else stored(history)
     about = history.select("product_id", "retailer_id").join(products(spark, d).select("product_id", "brand", "category"), "product_id")
     ahead = R.events_ahead(about, sale_events(spark), now())
     rows = history.join(ahead, "product_id", "left")
     if not predicted:
         return rows.withColumns({"predicted_paise": F.lit(None).cast("long"), "prediction_confidence": F.lit(None).cast("double")})
-    return R.with_prediction(rows, _predictions(spark, d, snaps))
+    return R.with_prediction(rows, M.scores(snaps, sale_events(spark), now(), M.baseline, uncertainty(snaps)))
 
 
 def rec9_decisions(spark: SparkSession, d: str) -> DataFrame:
